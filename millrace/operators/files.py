@@ -11,7 +11,7 @@ from millrace.functions.binary import digest
 from millrace.functions.text import blank_to_null, file_format, first_non_blank, last_path_segment
 
 FILE = "struct<name:string,url:string,path:string,content:string,format:string>"
-NO_FILES = F"array<{FILE}>"
+NO_FILES = f"array<{FILE}>"
 DEFAULT_NAME = "file.pdf"
 
 
@@ -31,18 +31,23 @@ def _name(name: Column, place: Column) -> Column:
 
 def listed_files(text: Column) -> Column:
     """A JSON list of ``{path, url, name, content, format}``; entries with no content or place are dropped."""
-    items = F.from_json(text, NO_FILES)
+    items = F.filter(F.from_json(text, NO_FILES), lambda f: F.coalesce(
+        blank_to_null(f["content"]), blank_to_null(f["url"]), blank_to_null(f["path"])).isNotNull())
 
-    def place(f: Column) -> Column:
-        return F.coalesce(blank_to_null(f["url"]), blank_to_null(f["path"]))
+    def settle(f: Column) -> Column:
+        inline = F.coalesce(f["content"], F.lit("")) != ""
+        place = F.coalesce(blank_to_null(f["url"]), blank_to_null(f["path"]))
+        name = F.when(inline, F.coalesce(f["name"], F.lit(DEFAULT_NAME))).otherwise(_name(f["name"], place))
+        return _file(name, f["url"], f["path"], f["content"],
+                     F.when(inline, F.coalesce(f["format"], F.lit("pdf"))))
 
-    usable = F.filter(items, lambda f: blank_to_null(f["content"]).isNotNull() | place(f).isNotNull())
-    return F.transform(usable, lambda f: _file(
-        F.when(blank_to_null(f["content"]).isNotNull(), F.coalesce(f["name"], F.lit(DEFAULT_NAME)))
-        .otherwise(_name(f["name"], place(f))),
-        f["url"], f["path"], f["content"],
-        F.when(blank_to_null(f["content"]).isNotNull(), F.coalesce(f["format"], F.lit("pdf")))
-        .otherwise(file_format(_name(f["name"], place(f))))))
+    return with_format(F.transform(items, settle))
+
+
+def with_format(files: Column) -> Column:
+    """Give files that state no format the one their name ends in."""
+    return F.transform(files, lambda f: _file(
+        f["name"], f["url"], f["path"], f["content"], F.coalesce(f["format"], file_format(f["name"]))))
 
 
 _DOCUMENTS = "array<struct<mimeType:string,downloadUrl:string,fileName:string>>"
@@ -53,9 +58,8 @@ def document_files(text: Column, marker: str = "changehistory") -> Column:
     items = F.filter(F.from_json(text, _DOCUMENTS), lambda d: is_pdf(d["mimeType"], d["downloadUrl"])
                      & blank_to_null(d["downloadUrl"]).isNotNull()
                      & ~F.coalesce(d["fileName"].contains(marker), F.lit(False)))
-    return F.transform(items, lambda d: _file(_name(d["fileName"], d["downloadUrl"]), d["downloadUrl"],
-                                              _none(), _none(),
-                                              file_format(_name(d["fileName"], d["downloadUrl"]))))
+    return with_format(F.transform(items, lambda d: _file(
+        _name(d["fileName"], d["downloadUrl"]), d["downloadUrl"], _none(), _none(), _none())))
 
 
 def is_pdf(mime: Column, url: Column) -> Column:
@@ -65,23 +69,24 @@ def is_pdf(mime: Column, url: Column) -> Column:
 
 
 def single_file(path: Column, url: Column, name: Column) -> Column:
-    place = F.coalesce(blank_to_null(path), blank_to_null(url))
-    named = _name(name, place)
-    local = blank_to_null(path).isNotNull()
-    return F.when(place.isNotNull(), F.array(_file(
-        named, F.when(~local, url), F.when(local, path), _none(), file_format(named))))
+    """A local path, else a URL, as a list of one; neither gives an empty list."""
+    local = F.coalesce(path, F.lit("")) != ""
+    one = F.filter(F.array(F.struct(F.coalesce(blank_to_null(path), blank_to_null(url)).alias("place"))),
+                   lambda p: p["place"].isNotNull())
+    return with_format(F.transform(one, lambda p: _file(
+        _name(name, p["place"]), F.when(~local, p["place"]), F.when(local, p["place"]), _none(), _none())))
 
 
 def comma_list_files(paths: Column) -> Column:
     kept = F.filter(F.transform(F.split(paths, ","), lambda p: F.trim(p)), lambda p: p != "")
-    return F.transform(kept, lambda p: _file(last_path_segment(p), _none(), p, _none(),
-                                             file_format(last_path_segment(p))))
+    return with_format(F.transform(kept, lambda p: _file(
+        last_path_segment(p, DEFAULT_NAME), _none(), p, _none(), _none())))
 
 
 def resolve_files(*candidates: Column) -> Column:
     """The first candidate list that has an element, else an empty list."""
-    filled = [F.when(F.size(c) > 0, c) for c in candidates]
-    return F.coalesce(*filled, F.array().cast(NO_FILES))
+    filled = F.filter(F.array(*candidates), lambda c: F.coalesce(F.size(c), F.lit(0)) > 0)
+    return F.coalesce(F.get(filled, F.lit(0)), F.array().cast(NO_FILES))
 
 
 def with_content(files: Column, content: Column) -> Column:

@@ -19,37 +19,48 @@ def json_path(text: Column, path: str) -> Column:
     return F.get_json_object(text, f"${steps}")
 
 
+_CONTAINER = "^(OBJECT|ARRAY)"
+
+
+def _is_object(node: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(node).startswith("OBJECT"), F.lit(False))
+
+
 def _objects(items: Column) -> Column:
     """Elements of a variant array that are objects, as JSON text."""
-    kept = F.filter(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-    return F.transform(kept, lambda v: F.to_json(v))
+    return F.transform(F.filter(items, _is_object), lambda v: F.to_json(v))
 
 
-def _object_list(node: Column) -> Column:
-    """Objects in a variant that is an array; null when it is not one or holds none."""
-    found = _objects(F.try_variant_get(node, "$", "array<variant>"))
-    return F.when(F.size(found) > 0, found)
+def _list_objects(node: Column) -> Column:
+    """Objects of a variant that is an array; null when it is none."""
+    return _objects(F.try_variant_get(node, "$", "array<variant>"))
 
 
-def response_items(body: Column) -> Column:
-    """Rows of a response body as an array of JSON objects.
+def with_response_items(df: DataFrame, body: str, out: str = "_items") -> DataFrame:
+    """Add the rows of a response body as an array of JSON objects.
 
     In order: the objects of a bare list; the objects of a list under ``data``; the
     objects of the first list, in document order, among the other values; the whole
-    object. Text that is not JSON, and scalars, give an empty array.
+    object. Text that is not JSON, and scalars, give an empty array. The text is parsed
+    once as a tree and once as ordered top-level fields.
     """
-    root = F.try_parse_json(body)
-    fields = F.from_json(body, "map<string,string>")
-    lists = F.transform(F.map_values(fields), lambda v: _object_list(F.try_parse_json(v)))
-    first_list = F.get(F.filter(lists, lambda x: x.isNotNull()), F.lit(0))
-    whole = F.when(F.schema_of_variant(root).startswith("OBJECT"), F.array(F.to_json(root)))
-    named = _object_list(F.try_variant_get(root, "$.data", "variant"))
-    return F.coalesce(_object_list(root), named, first_list, whole, F.array().cast("array<string>"))
+    root, members = F.col("_root"), F.col("_members")
+    parsed = df.withColumn("_root", F.try_parse_json(F.col(body))).withColumn(
+        "_members", F.map_values(F.from_json(F.when(_is_object(root), F.col(body)), "map<string,string>")))
+    lists = F.transform(F.filter(members, lambda v: v.startswith("[")),
+                        lambda v: _list_objects(F.try_parse_json(v)))
+    choices = F.concat(
+        F.array(_list_objects(root), _list_objects(F.try_variant_get(root, "$.data", "variant"))),
+        F.coalesce(lists, F.array().cast("array<array<string>>")),
+        F.array(F.when(_is_object(root), F.array(F.to_json(root)))))
+    filled = F.filter(choices, lambda c: F.coalesce(F.size(c), F.lit(0)) > 0)
+    empty = F.array().cast("array<string>")
+    return parsed.withColumn(out, F.coalesce(F.get(filled, F.lit(0)), empty))
 
 
 def response_rows(df: DataFrame, body: str, schema: T.StructType | str, keys: Sequence[str]) -> DataFrame:
     """One output row per item, with its position and the fields named in ``schema``."""
-    items = df.select(*keys, F.posexplode(response_items(F.col(body))).alias("pos", "_item"))
+    items = with_response_items(df, body).select(*keys, F.posexplode("_items").alias("pos", "_item"))
     return items.select(*keys, "pos", F.from_json("_item", schema).alias("_row")
                         ).select(*keys, "pos", "_row.*")
 
@@ -57,7 +68,7 @@ def response_rows(df: DataFrame, body: str, schema: T.StructType | str, keys: Se
 def chain_result_rows(df: DataFrame, body: str, variables: str, keys: Sequence[str]) -> DataFrame:
     """Rows of a call chain's last response as JSON objects in ``item``.
 
-    Parsable text follows ``response_items``; other text becomes one ``{raw}`` row,
+    Parsable text follows ``with_response_items``; other text becomes one ``{raw}`` row,
     uncut; no text gives one row of the chain's variables (a map column), if any.
     """
     text = F.col(body)
@@ -65,9 +76,8 @@ def chain_result_rows(df: DataFrame, body: str, variables: str, keys: Sequence[s
     raw = F.array(F.to_json(F.struct(text.alias("raw"))))
     spare = F.when(F.size(F.col(variables)) > 0, F.array(F.to_json(F.col(variables)))
                    ).otherwise(F.array().cast("array<string>"))
-    parsed = F.try_parse_json(text).isNotNull()
-    items = F.when(has_text & parsed, response_items(text)).when(has_text, raw).otherwise(spare)
-    return df.select(*keys, F.posexplode(items).alias("pos", "item"))
+    items = F.when(has_text & F.col("_root").isNotNull(), F.col("_items")).when(has_text, raw).otherwise(spare)
+    return with_response_items(df, body).select(*keys, F.posexplode(items).alias("pos", "item"))
 
 
 def json_list(text: Column, item: str) -> Column:
@@ -79,14 +89,13 @@ def nested_extract(df: DataFrame, body: str, path: str, fields: Sequence[tuple[s
                    keys: Sequence[str]) -> DataFrame:
     """Walk to ``path``, treat a single node as a list of one, project fields, null → blank."""
     steps = "$" + "".join(f".{step}" for step in path.split(".") if step)
-    node = F.try_variant_get(F.try_parse_json(F.col(body)), steps, "variant")
-    wrapped = F.when(F.schema_of_variant(node).startswith("ARRAY"),
-                     F.try_variant_get(node, "$", "array<variant>")
-                     ).when(node.isNotNull() & ~F.is_variant_null(node), F.array(node))
-    items = df.select(*keys, F.posexplode(_objects(wrapped)).alias("pos", "_item"))
+    found = df.withColumn("_node", F.try_variant_get(F.try_parse_json(F.col(body)), steps, "variant"))
+    node = F.col("_node")
+    items = F.coalesce(F.try_variant_get(node, "$", "array<variant>"), F.array(node))
+    objects = found.select(*keys, F.posexplode(_objects(items)).alias("pos", "_item"))
     out = [F.coalesce(json_path(F.col("_item"), source), F.lit("")).alias(target)
            for source, target in fields]
-    return items.select(*keys, "pos", *out)
+    return objects.select(*keys, "pos", *out)
 
 
 def nesting_depth(text: Column) -> Column:
@@ -111,33 +120,31 @@ def json_to_kv(df: DataFrame, body: str, keys: Sequence[str]) -> DataFrame:
     """
     depth = df.agg(F.max(nesting_depth(F.col(body))).alias("d")).first()["d"] or 0
     root = F.try_parse_json(F.col(body))
-    frame = df.select(*keys, F.when(
-        F.schema_of_variant(root).rlike("^(OBJECT|ARRAY)"),
-        F.array(F.struct(F.lit("").alias("key"), root.alias("node")))).alias("_nodes"))
+    nodes = F.array(F.struct(F.lit("").alias("key"), root.alias("node")))
+    frame = df.select(*keys, F.filter(nodes, lambda n: _is_container(n["node"])).alias("_nodes"))
     for _ in range(depth):
         frame = frame.withColumn("_nodes", F.flatten(F.transform("_nodes", _open_node)))
     leaf = frame.select(*keys, F.explode("_nodes").alias("_leaf"))
     value = F.coalesce(F.try_variant_get("_leaf.node", "$", "string"), F.lit(""))
-    kind = F.schema_of_variant("_leaf.node")
-    return leaf.where(~kind.rlike("^(OBJECT|ARRAY)")).select(
-        *keys, F.col("_leaf.key").alias("key"), value.alias("value"))
+    return leaf.select(*keys, F.col("_leaf.key").alias("key"), value.alias("value"))
+
+
+def _is_container(node: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(node).rlike(_CONTAINER), F.lit(False))
 
 
 def _open_node(entry: Column) -> Column:
+    """Members of an object or elements of an array; a leaf stays. Empty containers vanish."""
     prefix, node = entry.getField("key"), entry.getField("node")
-    kind = F.schema_of_variant(node)
+    inner = F.when(prefix == "", prefix).otherwise(F.concat(prefix, F.lit(".")))
     members = F.transform(
         F.map_entries(F.try_variant_get(node, "$", "map<string,variant>")),
-        lambda e: F.struct(
-            F.when(prefix == "", e.getField("key"))
-            .otherwise(F.concat(prefix, F.lit("."), e.getField("key"))).alias("key"),
-            e.getField("value").alias("node")))
+        lambda e: F.struct(F.concat(inner, e.getField("key")).alias("key"), e.getField("value").alias("node")))
     elements = F.transform(
         F.try_variant_get(node, "$", "array<variant>"),
         lambda v, i: F.struct(F.concat(prefix, F.lit("["), i.cast("string"), F.lit("]")).alias("key"),
                               v.alias("node")))
-    return F.when(kind.startswith("OBJECT"), members).when(kind.startswith("ARRAY"), elements
-                                                           ).otherwise(F.array(entry))
+    return F.coalesce(members, elements, F.array(entry))
 
 
 _COLLECTION = "struct<item:array<struct<response:array<struct<body:string>>>>>"

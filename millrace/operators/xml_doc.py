@@ -124,13 +124,24 @@ def entity_class(df: DataFrame, run_date: dt.date, category: str = "二级目录
     return F.concat(year_prefix(when, run_date), F.lit("-"), kind)
 
 
-def element(tag: str, text: Column, depth: int, omit_empty: bool = False) -> Column:
-    """One indented line; an empty element is written ``<tag/>`` or left out."""
-    pad = "\n" + INDENT * depth
-    body = xml_escape(clean_markup(F.coalesce(text.cast("string"), F.lit(""))))
-    empty = F.lit("") if omit_empty else F.lit(f"{pad}<{tag}/>")
-    return F.when(body == "", empty).otherwise(
-        F.concat(F.lit(f"{pad}<{tag}>"), body, F.lit(f"</{tag}>")))
+def xml_lines(entries: Sequence[tuple[str, Column]], depth: int, omit_empty: bool = False) -> Column:
+    """Indented lines of ``(tag, text)`` entries; an empty element is ``<tag/>`` or left out.
+
+    The entries travel as one array, so the cleaning expression occurs once in the plan
+    however many fields a document has.
+    """
+    pad = F.lit("\n" + INDENT * depth)
+    raw = F.array(*[F.struct(F.lit(tag).alias("tag"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
+                    for tag, text in entries])
+    clean = F.transform(raw, lambda e: F.struct(e["tag"].alias("tag"), F.when(
+        e["text"].contains("<"), clean_markup(e["text"])).otherwise(e["text"]).alias("text")))
+    if omit_empty:
+        clean = F.filter(clean, lambda e: e["text"] != "")
+    lines = F.transform(clean, lambda e: F.when(
+        e["text"] == "", F.concat(pad, F.lit("<"), e["tag"], F.lit("/>"))).otherwise(
+        F.concat(pad, F.lit("<"), e["tag"], F.lit(">"), xml_escape(e["text"]),
+                 F.lit("</"), e["tag"], F.lit(">"))))
+    return F.array_join(lines, "")
 
 
 def metadata_xml(
@@ -150,27 +161,25 @@ def metadata_xml(
     """
     context = archive_context(df, run_time, institution, F.size(files))
     row = {c: F.col(f"`{c}`") for c in df.columns}
-    lines = []
+    entries = []
     for field in fields if fields is not None else default_fields():
         present = [F.col(f"`{s}`") for s in field.sources if s in df.columns]
         source = F.nullif(first_non_blank(*present), F.lit("")) if present else None
-        lines.append(element(field.tag, default_render(source, field.default, context, row), 1, omit_empty))
-    surroundings = [element(tag, column_or_blank(df, tag), 2, omit_empty) for tag in ENVIRONMENT_FIELDS]
-    lines.append(_block(ENVIRONMENT_TAG, F.concat(*surroundings)))
+        entries.append((field.tag, default_render(source, field.default, context, row)))
+    surroundings = [(tag, column_or_blank(df, tag)) for tag in ENVIRONMENT_FIELDS]
 
     def one_file(f: Column, i: Column) -> Column:
         values = [F.concat(F.lit(OBJECT_LABEL), (i + 1).cast("string")),
                   F.coalesce(f["format"], F.lit("pdf")), f["name"], f["size"], f["md5"]]
-        inner = [element(tag, v, 2, omit_empty) for tag, v in zip(OBJECT_FIELDS, values)]
-        return _block(OBJECT_TAG, F.concat(*inner))
+        return _block(OBJECT_TAG, xml_lines(list(zip(OBJECT_FIELDS, values)), 2, omit_empty))
 
-    lines.append(F.array_join(F.transform(files, one_file), ""))
-    return F.concat(F.lit(f"{HEADER}\n<{root}>"), *lines, F.lit(f"\n</{root}>\n"))
+    return F.concat(F.lit(f"{HEADER}\n<{root}>"), xml_lines(entries, 1, omit_empty),
+                    _block(ENVIRONMENT_TAG, xml_lines(surroundings, 2, omit_empty)),
+                    F.array_join(F.transform(files, one_file), ""), F.lit(f"\n</{root}>\n"))
 
 
 def _block(tag: str, inner: Column) -> Column:
-    return F.when(inner == "", F.lit(f"\n{INDENT}<{tag}/>")).otherwise(
-        F.concat(F.lit(f"\n{INDENT}<{tag}>"), inner, F.lit(f"\n{INDENT}</{tag}>")))
+    return F.concat(F.lit(f"\n{INDENT}<{tag}>"), inner, F.lit(f"\n{INDENT}</{tag}>"))
 
 
 def archive_manifest(df: DataFrame, record_id: Column, files: Column, class_no: Column, case_no: Column,
