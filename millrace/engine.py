@@ -37,8 +37,8 @@ class TableSink:
         if flow.strategy is Strategy.FULL:
             append(df, self.path, run_id)
         else:
-            SnapshotTable(df.sparkSession, self.path).upsert(df, run_id, flow.key, flow.sequence,
-                                                             self.nulls)
+            SnapshotTable(df.sparkSession, self.path).upsert(
+                df, run_id, flow.key, flow.sequence, self.nulls, stored=True)
 
 
 @dataclass(frozen=True)
@@ -65,8 +65,10 @@ def run_flow(
 ) -> RunResult:
     """Read by strategy, apply the stages as one plan, write, then save state and log the run.
 
-    Counts and the next bookmark are observed while the rows pass, without a second
-    scan. Any failure fails the run and leaves bookmark and synced ids untouched.
+    A reader function is called once and its rows are stored, so an API is not asked
+    twice. Row count and next bookmark come from one narrow aggregate over the source
+    rows, before the stages run; the count after the stages is observed during the write.
+    Any failure fails the run and leaves bookmark and synced ids untouched.
     """
     registry = registry or Registry()
     run_id = run_id or uuid.uuid4().hex
@@ -88,20 +90,18 @@ def run_flow(
     try:
         before = state.load(flow.flow_id)
         column = flow.incremental_column
-        rows = source(flow.strategy, before.last_value) if callable(source) else source
+        rows = materialise(source(flow.strategy, before.last_value), "read") if callable(source) else source
         rows = incremental(rows, flow.strategy, column, before.last_value, flow.cap)
-        if flow.strategy is Strategy.SYNCED_SET:
-            rows = not_synced(rows, state.synced_ids(flow.flow_id), flow.key[0])
         tracked = flow.strategy in (Strategy.INCREMENTAL_ID, Strategy.INCREMENTAL_TIME) and column
-        read, shaped = Observation(), Observation()
         mark = high_water_mark(column, flow.incremental_type) if tracked else F.lit(None).cast("string")
-        rows = rows.observe(read, F.count(F.lit(1)).alias("rows"), F.max(mark).alias("mark")
-                            if not tracked else mark.alias("mark"))
+        read = rows.agg(F.count(F.lit(1)).alias("rows"), mark.alias("mark")).first()
+        if flow.strategy is Strategy.SYNCED_SET:
+            rows = not_synced(rows, state.synced_ids(flow.flow_id), flow.key[0])
         for step in flow.compile(registry):
             rows = rows.transform(step)
-        rows = rows.observe(shaped, F.count(F.lit(1)).alias("rows"))
-        staged = materialise(rows, "batch")
-        read_count, write_count = read.get["rows"], shaped.get["rows"]
+        shaped = Observation()
+        staged = materialise(rows.observe(shaped, F.count(F.lit(1)).alias("rows")), "batch")
+        read_count, write_count = read["rows"], shaped.get["rows"]
         note("INFO", f"read {read_count} rows, {write_count} after the stages")
         if flow.cap and read_count >= flow.cap:
             note("WARN", f"read reached the cap of {flow.cap} rows; more may be waiting")
@@ -113,7 +113,7 @@ def run_flow(
             state.add_synced(flow.flow_id, ids, run_id)
             write_count = write_count if succeeded is None else succeeded.count()
         if tracked:
-            after = read.get["mark"]
+            after = read["mark"]
             if after is None:
                 note("WARN", f"no value of {column} was read; the bookmark stays")
             else:

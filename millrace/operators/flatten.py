@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.collections import find, first_element, join_non_blank
 
@@ -74,8 +73,8 @@ _TYPED_TERM = f"struct<uri:string,term:{_LOCAL_TERM}>"
 _PERSON_REF = ("struct<name:struct<firstName:string,lastName:string>,"
                "person:struct<uuid:string>,externalPerson:struct<uuid:string>>")
 
-# The nested source record, and the two tables it refers to.
-RECORD_SCHEMA = T.StructType.fromDDL(
+# The nested source record, and the two tables it refers to, as DDL text.
+RECORD_DDL = (
     "pureId bigint, uuid string, portalUrl string, version string, createdBy string,"
     "createdDate string, modifiedBy string, modifiedDate string, title struct<value:string>,"
     f"language {_TYPED_TERM}, type {_TYPED_TERM}, abstract {_LOCAL_TERM},"
@@ -93,11 +92,11 @@ RECORD_SCHEMA = T.StructType.fromDDL(
     "keywords:array<struct<locale:string,freeKeywords:array<string>>>>>,"
     "documents array<struct<fileId:string,fileName:string,mimeType:string,size:bigint,url:string,"
     "embargoDate:string,visibility:struct<key:string>>>")
-PERSON_SCHEMA = T.StructType.fromDDL(
+PERSON_DDL = (
     "uuid string, studentOrganizationAssociations array<struct<affiliationId:string,"
     "organization:struct<uuid:string>,period:struct<startDate:string,endDate:string>,"
     "primaryAssociation:boolean>>")
-ORGANISATION_SCHEMA = T.StructType.fromDDL(f"uuid string, name {_LOCAL_TERM}")
+ORGANISATION_DDL = f"uuid string, name {_LOCAL_TERM}"
 
 
 def kept_documents(documents: Column, marker: str = "changehistory") -> Column:

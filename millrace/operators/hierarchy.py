@@ -34,5 +34,5 @@ def descend(edges: DataFrame, roots: DataFrame, node: str = "id", parent: str =
 
 def in_subtree(rows: DataFrame, category: str, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows whose category is one of the roots or lies below them."""
-    closure = descend(edges, roots).select(F.col("id").alias(category)).distinct()
+    closure = descend(edges, roots).select(F.col("id").alias(category))
     return rows.join(closure, category, "left_semi")

@@ -19,16 +19,18 @@ def json_path(text: Column, path: str) -> Column:
     return F.get_json_object(text, f"${steps}")
 
 
-_CONTAINER = "^(OBJECT|ARRAY)"
+def explode_items(df: DataFrame, keys: Sequence[str], items: Column, out: str) -> DataFrame:
+    """``keys``, position and element of an array, one row each; no rows for null or empty.
 
-
-def _is_object(node: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(node).startswith("OBJECT"), F.lit(False))
+    The outer form keeps the planner from testing the array's size below the generator,
+    which would compute a costly array expression twice.
+    """
+    return df.select(*keys, F.posexplode_outer(items).alias("pos", out)).where("pos IS NOT NULL")
 
 
 def _objects(items: Column) -> Column:
     """Elements of a variant array that are objects, as JSON text."""
-    return F.transform(F.filter(items, _is_object), lambda v: F.to_json(v))
+    return F.filter(F.transform(items, lambda v: F.to_json(v)), lambda text: text.startswith("{"))
 
 
 def _list_objects(node: Column) -> Column:
@@ -41,26 +43,23 @@ def with_response_items(df: DataFrame, body: str, out: str = "_items") -> DataFr
 
     In order: the objects of a bare list; the objects of a list under ``data``; the
     objects of the first list, in document order, among the other values; the whole
-    object. Text that is not JSON, and scalars, give an empty array. The text is parsed
-    once as a tree and once as ordered top-level fields.
+    object. Text that is not JSON, and scalars, give an empty array.
     """
     root, members = F.col("_root"), F.col("_members")
     parsed = df.withColumn("_root", F.try_parse_json(F.col(body))).withColumn(
-        "_members", F.map_values(F.from_json(F.when(_is_object(root), F.col(body)), "map<string,string>")))
-    lists = F.transform(F.filter(members, lambda v: v.startswith("[")),
-                        lambda v: _list_objects(F.try_parse_json(v)))
-    choices = F.concat(
-        F.array(_list_objects(root), _list_objects(F.try_variant_get(root, "$.data", "variant"))),
-        F.coalesce(lists, F.array().cast("array<array<string>>")),
-        F.array(F.when(_is_object(root), F.array(F.to_json(root)))))
+        "_members", F.try_variant_get(root, "$", "map<string,variant>"))
+    is_object = members.isNotNull()
+    in_order = F.concat(F.array(F.lit("data")), F.json_object_keys(F.when(is_object, F.col(body))))
+    lists = F.transform(in_order, lambda key: _list_objects(F.try_element_at(members, key)))
+    whole = F.array(F.when(is_object, F.array(F.to_json(root))))
+    choices = F.concat(F.array(_list_objects(root)), F.coalesce(lists, F.array().cast("array<array<string>>")), whole)
     filled = F.filter(choices, lambda c: F.coalesce(F.size(c), F.lit(0)) > 0)
-    empty = F.array().cast("array<string>")
-    return parsed.withColumn(out, F.coalesce(F.get(filled, F.lit(0)), empty))
+    return parsed.withColumn(out, F.coalesce(F.get(filled, F.lit(0)), F.array().cast("array<string>")))
 
 
 def response_rows(df: DataFrame, body: str, schema: T.StructType | str, keys: Sequence[str]) -> DataFrame:
     """One output row per item, with its position and the fields named in ``schema``."""
-    items = with_response_items(df, body).select(*keys, F.posexplode("_items").alias("pos", "_item"))
+    items = explode_items(with_response_items(df, body), keys, F.col("_items"), "_item")
     return items.select(*keys, "pos", F.from_json("_item", schema).alias("_row")
                         ).select(*keys, "pos", "_row.*")
 
@@ -77,7 +76,7 @@ def chain_result_rows(df: DataFrame, body: str, variables: str, keys: Sequence[s
     spare = F.when(F.size(F.col(variables)) > 0, F.array(F.to_json(F.col(variables)))
                    ).otherwise(F.array().cast("array<string>"))
     items = F.when(has_text & F.col("_root").isNotNull(), F.col("_items")).when(has_text, raw).otherwise(spare)
-    return with_response_items(df, body).select(*keys, F.posexplode(items).alias("pos", "item"))
+    return explode_items(with_response_items(df, body), keys, items, "item")
 
 
 def json_list(text: Column, item: str) -> Column:
@@ -92,7 +91,7 @@ def nested_extract(df: DataFrame, body: str, path: str, fields: Sequence[tuple[s
     found = df.withColumn("_node", F.try_variant_get(F.try_parse_json(F.col(body)), steps, "variant"))
     node = F.col("_node")
     items = F.coalesce(F.try_variant_get(node, "$", "array<variant>"), F.array(node))
-    objects = found.select(*keys, F.posexplode(_objects(items)).alias("pos", "_item"))
+    objects = explode_items(found, keys, _objects(items), "_item")
     out = [F.coalesce(json_path(F.col("_item"), source), F.lit("")).alias(target)
            for source, target in fields]
     return objects.select(*keys, "pos", *out)
@@ -124,13 +123,13 @@ def json_to_kv(df: DataFrame, body: str, keys: Sequence[str]) -> DataFrame:
     frame = df.select(*keys, F.filter(nodes, lambda n: _is_container(n["node"])).alias("_nodes"))
     for _ in range(depth):
         frame = frame.withColumn("_nodes", F.flatten(F.transform("_nodes", _open_node)))
-    leaf = frame.select(*keys, F.explode("_nodes").alias("_leaf"))
+    leaf = explode_items(frame, keys, F.col("_nodes"), "_leaf")
     value = F.coalesce(F.try_variant_get("_leaf.node", "$", "string"), F.lit(""))
     return leaf.select(*keys, F.col("_leaf.key").alias("key"), value.alias("value"))
 
 
 def _is_container(node: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(node).rlike(_CONTAINER), F.lit(False))
+    return F.to_json(node).rlike(r"^[{\[]")
 
 
 def _open_node(entry: Column) -> Column:
@@ -153,7 +152,7 @@ _COLLECTION = "struct<item:array<struct<response:array<struct<body:string>>>>>"
 def import_collection(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Key/value rows of every example response body in a request-collection document."""
     parsed = df.select(*keys, F.from_json(F.col(text), _COLLECTION).alias("_doc"))
-    items = parsed.select(*keys, F.posexplode("_doc.item").alias("item_no", "_item"))
-    bodies = items.select(*keys, "item_no", F.posexplode("_item.response").alias("response_no", "_r"))
-    bodies = bodies.select(*keys, "item_no", "response_no", F.col("_r.body").alias("_body"))
+    items = explode_items(parsed, keys, F.col("_doc.item"), "_item").withColumnRenamed("pos", "item_no")
+    bodies = explode_items(items, [*keys, "item_no"], F.col("_item.response"), "_r")
+    bodies = bodies.withColumnRenamed("pos", "response_no").select(*keys, "item_no", "response_no", F.col("_r.body").alias("_body"))
     return json_to_kv(bodies, "_body", [*keys, "item_no", "response_no"])

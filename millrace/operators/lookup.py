@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.json_ops import explode_items
+
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in ``order``. Every task trims its groups before the shuffle."""
@@ -58,7 +60,7 @@ def lookup_many(
 
     ``row_id`` is unique, so the regrouping key is never hot: a group is one row's array.
     """
-    slots = df.select(row_id, F.posexplode(F.array_distinct(ids)).alias("_pos", "_id"))
+    slots = explode_items(df, [row_id], F.array_distinct(ids), "_id").withColumnRenamed("pos", "_pos")
     side = right.select(F.col(right_key).alias("_k"), name.alias("_name"))
     found = slots.join(side, slots["_id"] == side["_k"], "inner").where(
         F.coalesce(F.col("_name"), F.lit("")) != "")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.json_ops import explode_items
+
 TEXT_TYPE = "VARCHAR(2000)"
 
 # How each database declares the generated id column; the first entry whose
@@ -111,5 +113,4 @@ def fit_schema(
 
 def split_rows(df: DataFrame, column: str, separator: str, keep: Sequence[str], out: str) -> DataFrame:
     """One row per part of a delimited text; ``separator`` is a regular expression."""
-    parts = F.posexplode(F.split(F.col(column), separator)).alias("pos", out)
-    return df.select(*keep, parts)
+    return explode_items(df, keep, F.split(F.col(column), separator), out)

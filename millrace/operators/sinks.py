@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.validate import drop_empty, split_good_bad
+from millrace.operators.validate import ERRORS, drop_empty
 
 
 def append(df: DataFrame, path: str, run_id: str) -> None:
@@ -26,11 +26,12 @@ def read_appended(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("run_id")
 
 
-def quarantine(df: DataFrame, good_path: str, bad_path: str) -> None:
-    """Write rows without errors and rows with errors to two tables."""
-    good, bad = split_good_bad(df)
-    good.write.mode("overwrite").parquet(good_path)
-    bad.write.mode("overwrite").parquet(bad_path)
+def quarantine(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write good and bad rows side by side in one pass; gives both parts as read back."""
+    flagged = df.withColumn("ok", F.size(ERRORS) == 0)
+    flagged.write.mode("overwrite").partitionBy("ok").parquet(path)
+    stored = df.sparkSession.read.schema(flagged.schema).parquet(path)
+    return stored.where("ok").drop("ok", ERRORS), stored.where("NOT ok").drop("ok")
 
 
 def push_params(df: DataFrame) -> Column:

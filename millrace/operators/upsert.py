@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.operators.lookup import first_per_key
-from millrace.workspace import fits_broadcast, materialise, read_if_present
+from millrace.workspace import fits_broadcast, flat_schema, materialise, one_row, read_if_present
 
 OVERWRITE = "overwrite"
 KEEP_TARGET_ON_NULL = "keep"
@@ -46,7 +45,8 @@ def merge(
     """The target after an upsert of ``batch``; the last row per key in ``seq`` order wins.
 
     Columns the batch lacks keep their target value. With ``nulls="keep"`` a null keeps
-    the target value too, and several rows per key fold column by column. Rows with a
+    the target value too, and several rows per key fold column by column. Without
+    ``seq`` the batch must hold each key once. Rows with a
     null key cannot match: they are inserted as they are, outside the join. A batch
     that was measured to be small updates the target by broadcast, without shuffling
     the target; otherwise both sides meet in a full outer join.
@@ -54,22 +54,28 @@ def merge(
     unknown = [c for c in batch.columns if c not in target.columns and c not in seq]
     if unknown:
         raise ValueError(f"columns not in the target: {unknown}")
+    fresh, loose = settle_batch(batch, key, seq, nulls)
+    given = [c for c in target.columns if c in batch.columns]
+    fresh = fresh.select(*given)
+    if fits_broadcast(batch.select(*given), broadcast_bytes):
+        merged = _merge_small(target, fresh, key, nulls)
+    else:
+        merged = _merge_outer(target, fresh, key, nulls)
+    return merged.unionByName(loose.select(*given), allowMissingColumns=True)
+
+
+def settle_batch(batch: DataFrame, key: Sequence[str], seq: Sequence[str], nulls: str
+                 ) -> tuple[DataFrame, DataFrame]:
+    """One row per key, and apart from them the rows without a key."""
     keyed = F.lit(True)
     for k in key:
         keyed = keyed & F.col(f"`{k}`").isNotNull()
-    loose = batch.where(~keyed)
     fresh = batch.where(keyed)
-    if nulls == KEEP_TARGET_ON_NULL:
+    if seq and nulls == KEEP_TARGET_ON_NULL:
         fresh = fold_last_non_null(fresh, key, seq)
     elif seq:
         fresh = dedupe_last(fresh, key, [F.desc(s) for s in seq])
-    given = [c for c in target.columns if c in batch.columns]
-    fresh = fresh.select(*given)
-    if fits_broadcast(fresh, broadcast_bytes):
-        merged = _merge_small(target, fresh, key, nulls)
-    else:
-        merged = _merge_outer(target, fresh, key, nulls)
-    return merged.unionByName(loose.select(*given), allowMissingColumns=True)
+    return fresh, batch.where(~keyed)
 
 
 def _renamed(batch: DataFrame) -> DataFrame:
@@ -127,7 +133,7 @@ def insert_missing(target: DataFrame, batch: DataFrame, key: Sequence[str], on_c
     raise ValueError(f"unknown conflict policy: {on_conflict}")
 
 
-_COMMITS = T.StructType.fromDDL("version bigint, data_path string, run_id string")
+_COMMITS = flat_schema(version="bigint", data_path="string", run_id="string")
 
 
 class SnapshotTable:
@@ -145,25 +151,29 @@ class SnapshotTable:
         commits = read_if_present(self.spark, f"{self.root}/commits", _COMMITS)
         return commits.orderBy(F.desc("version")).first()
 
-    def read(self, schema: T.StructType | None = None) -> DataFrame | None:
+    def read(self) -> DataFrame | None:
+        """The newest committed version, or None before the first."""
         newest = self._newest()
-        if newest is None:
-            return self.spark.createDataFrame([], schema) if schema else None
-        return self.spark.read.parquet(newest["data_path"])
+        return self.spark.read.parquet(newest["data_path"]) if newest else None
 
     def replace(self, df: DataFrame, run_id: str) -> None:
         newest = self._newest()
         version = (newest["version"] if newest else 0) + 1
         data_path = f"{self.root}/data/v{version}-{run_id}"
         df.write.mode("overwrite").parquet(data_path)
-        row = self.spark.createDataFrame([(version, data_path, run_id)], _COMMITS)
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        one_row(self.spark, _COMMITS, (version, data_path, run_id)).write.mode("append").parquet(f"{self.root}/commits")
 
     def upsert(self, batch: DataFrame, run_id: str, key: Sequence[str], seq: Sequence[str] = (),
-               nulls: str = OVERWRITE) -> None:
-        batch = materialise(batch, "batch")
-        current = self.read(batch.schema)
-        self.replace(merge(current, batch, key, seq, nulls), run_id)
+               nulls: str = OVERWRITE, stored: bool = False) -> None:
+        """Merge a batch. It is read several times, so it is stored first unless it already is."""
+        if not stored:
+            batch = materialise(batch, "batch")
+        current = self.read()
+        if current is None:
+            fresh, loose = settle_batch(batch, key, seq, nulls)
+            self.replace(fresh.unionByName(loose), run_id)
+        else:
+            self.replace(merge(current, batch, key, seq, nulls), run_id)
 
 
 def upsert_touched_partitions(

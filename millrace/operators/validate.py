@@ -64,7 +64,7 @@ def split_good_bad(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def error_summary(bad: DataFrame, key: str) -> DataFrame:
     """Rows per reason with the first and last failing key. The rows themselves stay in the bad table."""
-    return bad.select(key, F.explode(ERRORS).alias("reason")).groupBy("reason").agg(
+    return bad.select(key, F.explode_outer(ERRORS).alias("reason")).groupBy("reason").agg(
         F.count("*").alias("rows"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
 
 

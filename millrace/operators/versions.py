@@ -21,7 +21,9 @@ def rollback(history: DataFrame, key: str, key_value, to_version: int, version:
              ) -> DataFrame:
     """The history plus a new version of one key that repeats the content of an older one."""
     mine = history.where(F.col(key) == key_value)
-    newest = mine.agg(F.max(version).alias("_top"))
-    again = mine.where(F.col(version) == to_version).crossJoin(newest).withColumn(
-        version, (F.col("_top") + 1).cast(history.schema[version].dataType)).drop("_top")
-    return history.unionByName(again.select(*history.columns))
+    newest = mine.agg(F.max(version).alias("top")).first()["top"]
+    if newest is None:
+        raise ValueError(f"no versions of {key_value!r}")
+    following = F.lit(newest + 1).cast(history.schema[version].dataType)
+    again = mine.where(F.col(version) == to_version).withColumn(version, following)
+    return history.unionByName(again)

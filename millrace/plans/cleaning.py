@@ -135,10 +135,8 @@ def quarantine_split(spark: SparkSession, d: str) -> DataFrame:
     from millrace.operators.sinks import quarantine
     from millrace.workspace import scratch
 
-    root = scratch(spark, "quarantine")
-    quarantine(document_errors(spark, d), f"{root}/good", f"{root}/bad")
-    good = spark.read.parquet(f"{root}/good").select(F.lit("good").alias("part"), "doc_id", F.lit("").alias("errors"))
-    bad = spark.read.parquet(f"{root}/bad")
+    good, bad = quarantine(document_errors(spark, d), scratch(spark, "quarantine"))
+    good = good.select(F.lit("good").alias("part"), "doc_id", F.lit("").alias("errors"))
     return good.unionByName(bad.select(F.lit("bad").alias("part"), "doc_id",
                                        F.array_join("errors", ",").alias("errors")))
 

@@ -73,7 +73,7 @@ WITH numbered AS (
     row_number() OVER (PARTITION BY year(o_orderdate), o_orderstatus ORDER BY o_orderkey) AS n FROM orders)
 SELECT o_orderkey, entity_class, CAST(n AS VARCHAR) AS case_no FROM numbered WHERE o_totalprice >= 50000""")
 def case_number(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers are given first, so the skipped rows leave gaps. Small task limit: the ranged form runs."""
+    """Numbers are given first, so the skipped rows leave gaps."""
     orders = tables.parquet(spark, d, "orders").select(
         "o_orderkey", "o_totalprice",
         F.concat_ws("-", F.year("o_orderdate").cast("string"), "o_orderstatus").alias("entity_class"))
@@ -144,12 +144,9 @@ def dedupe_last(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("sort_two_keys", """
-SELECT n_regionkey, n_name, row_number() OVER (ORDER BY n_regionkey, n_name) - 1 AS place FROM nation""")
+SELECT n_regionkey, n_name FROM nation ORDER BY n_regionkey, n_name""")
 def sort_two_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The sorted nation table with each row's place, so that the order itself is checked."""
-    nation = tables.parquet(spark, d, "nation").select("n_regionkey", "n_name")
-    ordered = nation.repartitionByRange(1, "n_regionkey", "n_name").sortWithinPartitions("n_regionkey", "n_name")
-    return ordered.withColumn("place", F.monotonically_increasing_id())
+    return tables.parquet(spark, d, "nation").select("n_regionkey", "n_name").orderBy("n_regionkey", "n_name")
 
 
 @query("union_missing", """

@@ -51,7 +51,7 @@ UNION ALL SELECT event_id, 'a.b[1]', '' FROM events WHERE event_type <> 'error'
 UNION ALL SELECT event_id, 'a.b[2][0]', 'true' FROM events WHERE event_type <> 'error'
 UNION ALL SELECT event_id, 'a.s', '}{' FROM events WHERE event_type <> 'error'""")
 def json_to_kv(spark: SparkSession, d: str) -> DataFrame:
-    events = tables.parquet(spark, d, "events")
+    events = tables.spread(tables.parquet(spark, d, "events"))
     full = F.format_string('{"k": %s, "a": {"b": [{"c": "%s"}, null, [true]], "s": "}{", "e": {}}}',
                            F.get_json_object("props", "$.k"), "event_type")
     body = F.when(F.col("event_type") == "error", F.lit('{"k": ')).otherwise(full)
@@ -117,7 +117,8 @@ XML_FIELDS = xml_doc.XmlField.from_config([
 
 def archive_rows(spark: SparkSession, d: str) -> DataFrame:
     """Orders with their customer as archive records with two digital objects each."""
-    orders, customers = tables.parquet(spark, d, "orders"), tables.parquet(spark, d, "customer")
+    orders = tables.spread(tables.parquet(spark, d, "orders"))
+    customers = tables.parquet(spark, d, "customer")
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey").cast("string")
     objects = F.array(*[F.struct(F.concat(F.lit(prefix), key, F.lit(suffix)).alias("name"), F.lit(None).cast("string").alias("url"),
@@ -188,8 +189,8 @@ SELECT o_orderkey, length(c_name) > 0 AS named, 31 + 3 AS lines,
   '    <页数>1</页数>' AS page_line FROM orders JOIN customer ON o_custkey = c_custkey""")
 def metadata_xml_default(spark: SparkSession, d: str) -> DataFrame:
     """The built-in field list: one line per field, then the environment block."""
-    joined = tables.parquet(spark, d, "orders").join(tables.parquet(spark, d, "customer"),
-                                                     F.col("o_custkey") == F.col("c_custkey"))
+    orders = tables.spread(tables.parquet(spark, d, "orders"))
+    joined = orders.join(tables.parquet(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = joined.select("o_orderkey", F.col("c_name").alias("author"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("submissionDate"),
                          F.lit("1").alias("pdf_count"))
     none = F.array().cast("array<struct<name:string,format:string,size:bigint,md5:string>>")

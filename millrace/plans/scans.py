@@ -116,7 +116,7 @@ FROM events WHERE event_type IN ('click', 'view', 'purchase', 'signup')
 UNION ALL
 SELECT event_id, 1, -1, 0 FROM events WHERE event_type IN ('click', 'view', 'purchase')""")
 def response_rows(spark: SparkSession, d: str) -> DataFrame:
-    bodies = response_bodies(tables.parquet(spark, d, "events"))
+    bodies = response_bodies(tables.spread(tables.parquet(spark, d, "events")))
     return json_ops.response_rows(bodies, "body", "id bigint, k bigint", ["event_id"])
 
 
@@ -146,5 +146,5 @@ def json_list_column(spark: SparkSession, d: str) -> DataFrame:
                            F.col("event_type"), F.get_json_object("props", "$.k"))
     text = F.when(F.col("event_type") == "error", F.lit("[{broken")).otherwise(full)
     listed = json_ops.json_list(text, "struct<name:string,size:bigint>")
-    items = events.select("event_id", F.posexplode(listed).alias("pos", "item"))
+    items = json_ops.explode_items(events, ["event_id"], listed, "item")
     return items.where("item.name IS NOT NULL").select("event_id", "pos", "item.name", "item.size")

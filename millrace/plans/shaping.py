@@ -12,7 +12,7 @@ from millrace.functions.text import first_non_blank, render
 from millrace.operators import flatten, mapping, numbering, template, validate
 from millrace.operators.lookup import lookup
 from millrace.operators.upsert import SnapshotTable
-from millrace.plans.catalogue import query
+from millrace.plans.catalogue import middle, query
 from millrace.sources import tables
 from millrace.spec import AFTER_READ, BEFORE_WRITE, MAPPING, TEMPLATE
 from millrace.spec import ColumnSpec, FieldMapping, FlowSpec, Registry, Stage, Step, Strategy
@@ -36,9 +36,11 @@ def order_rules() -> list[validate.Rule]:
 
 
 @query("flow_run", """
-WITH numbered AS (
+WITH half AS (SELECT (min(o_orderkey) + max(o_orderkey)) // 2 AS k FROM orders),
+numbered AS (
   SELECT o.*, c.c_name, n.n_name, c.c_custkey IS NULL AS lost, year(o.o_orderdate) || '-' || o.o_orderstatus AS cls,
-    row_number() OVER (PARTITION BY year(o.o_orderdate), o.o_orderstatus ORDER BY o.o_orderkey) AS no
+    row_number() OVER (PARTITION BY o.o_orderkey > (SELECT k FROM half), year(o.o_orderdate), o.o_orderstatus
+                       ORDER BY o.o_orderkey) AS no
   FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON o.o_custkey = c.c_custkey
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)
 SELECT o_orderkey, c_name AS customer, c_name AS owner, n_name AS nation, lower(o_orderstatus) AS status,
@@ -47,7 +49,8 @@ FROM numbered WHERE NOT lost""")
 def flow_run(spark: SparkSession, d: str) -> DataFrame:
     """Read by id → lookups → rules → good/bad split → mapping → case number → upsert → bookmark.
 
-    The first run sees the older half of the orders, the second starts at its bookmark.
+    The first run sees the orders there were then, the second starts at its bookmark.
+    Case numbers restart with every run.
     """
     root = scratch(spark, "flow")
     orders = tables.parquet(spark, d, "orders")
@@ -75,17 +78,15 @@ def flow_run(spark: SparkSession, d: str) -> DataFrame:
             (("customer", "owner"), ("o_orderstatus", "status"), ("o_totalprice", "total")),
             (ColumnSpec("o_orderstatus", template="lower"),))})
     flow = FlowSpec(
-        408, "orders to case files", Strategy.INCREMENTAL_TIME, "o_orderdate", "DATETIME",
-        (Stage(AFTER_READ, "enrich", (Step(TEMPLATE, "enrich"), Step(TEMPLATE, "number"))),
+        408, "orders to case files", Strategy.INCREMENTAL_ID, "o_orderkey", "NUMERIC",
+        (Stage(AFTER_READ, "enrich", (Step(TEMPLATE, "number"), Step(TEMPLATE, "enrich"))),
          Stage(BEFORE_WRITE, "shape", (Step(TEMPLATE, "good"), Step(MAPPING, "order"),
                                        Step(TEMPLATE, "project")))),
         key=("o_orderkey",))
     sink = TableSink(f"{root}/target")
-    early = orders.where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
+    early = orders.where(F.col("o_orderkey") <= middle(orders, "o_orderkey"))
     run_flow(spark, flow, early, sink, f"{root}/state", registry, now=CLOCK)
-    # Numbers restart every run, as documented, so the class of a later run begins at its own year.
-    later = orders.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
-    run_flow(spark, flow, later, sink, f"{root}/state", registry, now=CLOCK)
+    run_flow(spark, flow, orders, sink, f"{root}/state", registry, now=CLOCK)
     return SnapshotTable(spark, f"{root}/target").read()
 
 
@@ -284,7 +285,8 @@ SELECT CASE WHEN u THEN 'P' || k ELSE 'u-' || k END AS id, 'u-' || k AS uuid, o_
 FROM (SELECT *, CAST(o_orderkey AS VARCHAR) AS k, o_orderpriority = '1-URGENT' AS u
       FROM orders JOIN customer ON o_custkey = c_custkey)""")
 def flatten_record(spark: SparkSession, d: str) -> DataFrame:
-    records = order_records(tables.parquet(spark, d, "orders"), tables.parquet(spark, d, "customer"))
+    orders = tables.spread(tables.parquet(spark, d, "orders"))
+    records = order_records(orders, tables.parquet(spark, d, "customer"))
     flat = flatten.flatten_record(records, "https://files.example")
     return flat.select(
         "id", "uuid", "pureId", "title", "portalUrl", "version", "prettyUrlIdentifiers", "author", "allAuthors",

@@ -12,6 +12,16 @@ def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work on a scan.
+
+    A scan with fewer splits than the cluster has cores (one row group, one gzip file)
+    gets one round-robin shuffle; a scan with more is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def default_table(spark: SparkSession) -> str:
     """First table of the catalog by name, for a source that names none."""
     names = sorted(t.name for t in spark.catalog.listTables())

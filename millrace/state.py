@@ -16,19 +16,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.workspace import read_if_present
+from millrace.workspace import flat_schema, one_row, read_if_present
 
-BOOKMARKS = T.StructType.fromDDL(
-    "flow_id bigint, seq bigint, epoch bigint, flow_name string, strategy string, "
-    "incremental_column string, last_value string, last_exec_time timestamp, "
-    "last_exec_status string, total_synced bigint")
-SYNCED = T.StructType.fromDDL("id string, flow_id bigint, epoch bigint, run_id string")
-RUNS = T.StructType.fromDDL(
-    "flow_id bigint, run_id string, flow_name string, strategy string, start_time timestamp, "
-    "end_time timestamp, duration_ms bigint, status string, read_count bigint, "
-    "success_count bigint, write_count bigint, fail_count bigint, bookmark_before string, "
-    "bookmark_after string, error_message string, "
-    "step_logs array<struct<timestamp:timestamp,level:string,message:string>>")
+BOOKMARKS = flat_schema(
+    flow_id="bigint", seq="bigint", epoch="bigint", flow_name="string", strategy="string",
+    incremental_column="string", last_value="string", last_exec_time="timestamp",
+    last_exec_status="string", total_synced="bigint")
+SYNCED = flat_schema(id="string", flow_id="bigint", epoch="bigint", run_id="string")
+STEP_LOG = flat_schema(timestamp="timestamp", level="string", message="string")
+RUNS = flat_schema(
+    flow_id="bigint", run_id="string", flow_name="string", strategy="string", start_time="timestamp",
+    end_time="timestamp", duration_ms="bigint", status="string", read_count="bigint",
+    success_count="bigint", write_count="bigint", fail_count="bigint", bookmark_before="string",
+    bookmark_after="string", error_message="string").add("step_logs", T.ArrayType(STEP_LOG))
 
 
 @dataclass(frozen=True)
@@ -68,8 +68,7 @@ class StateStore:
         """Append the next bookmark. Called after the sink has committed."""
         row = (before.flow_id, before.seq + 1, before.epoch if epoch is None else epoch, flow_name,
                strategy, column, last_value, at, "SUCCESS", total)
-        frame = self.spark.createDataFrame([row], BOOKMARKS)
-        frame.coalesce(1).write.mode("append").parquet(f"{self.root}/bookmarks")
+        one_row(self.spark, BOOKMARKS, row).write.mode("append").parquet(f"{self.root}/bookmarks")
 
     def reset(self, flow_id: int, at: dt.datetime) -> None:
         """Forget bookmark and synced ids: the next run is a full one."""
@@ -97,7 +96,7 @@ class RunLog:
 
     def write(self, **values) -> None:
         row = tuple(values.get(name) for name in RUNS.fieldNames())
-        self.spark.createDataFrame([row], RUNS).coalesce(1).write.mode("append").parquet(self.path)
+        one_row(self.spark, RUNS, row).write.mode("append").parquet(self.path)
 
     def read(self, flow_id: int | None = None) -> DataFrame:
         """Runs, newest first."""

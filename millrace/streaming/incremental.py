@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.sinks import append
-from millrace.operators.upsert import OVERWRITE, SnapshotTable, dedupe_last
+from millrace.operators.upsert import (
+    OVERWRITE,
+    SnapshotTable,
+    dedupe_last,
+    upsert_touched_partitions,
+)
 from millrace.workspace import read_if_present
 
 Shape = Callable[[DataFrame], DataFrame]
@@ -32,13 +37,20 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
 
 def stream_upsert(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str,
                   key: Sequence[str], seq: Sequence[str], shape: Shape | None = None,
-                  nulls: str = OVERWRITE) -> None:
-    """Upsert every micro-batch. A batch repeated after a failure gives the same table."""
+                  nulls: str = OVERWRITE, partition: str | None = None) -> None:
+    """Upsert every micro-batch. A batch repeated after a failure gives the same table.
+
+    With ``partition``, a column that follows from the key, only the partitions a batch
+    touches are rewritten; the target must exist. Without it the snapshot is replaced.
+    """
     table = SnapshotTable(spark, target)
 
     def handle(batch: DataFrame, number: int) -> None:
         rows = shape(batch) if shape else batch
-        table.upsert(rows, f"batch{number}", key, seq, nulls)
+        if partition:
+            upsert_touched_partitions(spark, target, rows, key, partition, seq, nulls)
+        else:
+            table.upsert(rows, f"batch{number}", key, seq, nulls)
 
     run_available(stream, handle, checkpoint)
 

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_FLAT_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "timestamp": T.TimestampType()}
+
+
+def flat_schema(**columns: str) -> T.StructType:
+    """A schema of plain columns; unlike DDL text it needs no running session."""
+    return T.StructType([T.StructField(name, _FLAT_TYPES[kind]) for name, kind in columns.items()])
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a local folder only in local mode without one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,9 +32,12 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder. Nothing is created until something is written."""
+    """A fresh path below the shared folder, removed by the file system when the session ends."""
     root = spark.conf.get("spark.millrace.localRoot", None) or shared_root(spark)
-    return f"{root}/millrace/{label}-{uuid.uuid4().hex}"
+    path = f"{root}/millrace/{label}-{uuid.uuid4().hex}"
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -37,9 +49,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether anything lies at ``path``, on whatever file system it names."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def read_if_present(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -49,6 +65,25 @@ def read_if_present(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).parquet(path)
 
 
+def one_row(spark: SparkSession, schema: T.StructType, values: Sequence) -> DataFrame:
+    """A frame of one row built from literals: no rows travel through Python workers."""
+    columns = [_literal(value, field.dataType).alias(field.name)
+               for value, field in zip(values, schema.fields)]
+    return spark.range(0, 1, 1, 1).select(*columns)
+
+
+def _literal(value, data_type: T.DataType) -> Column:
+    if value is None:
+        return F.lit(None).cast(data_type)
+    if isinstance(data_type, T.ArrayType):
+        if not value:
+            return F.array().cast(data_type)
+        return F.array(*[_literal(v, data_type.elementType) for v in value])
+    if isinstance(data_type, T.StructType):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, data_type.fields)])
+    return F.lit(value).cast(data_type)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Upper estimate of the in-memory size of ``df``, found by one aggregate over its rows."""
     per_row = F.lit(16 * len(df.columns)).cast("bigint")
