@@ -156,23 +156,24 @@ def merge_statements(db_type: str, table: str, stage: str, columns: Sequence[str
         back = [c.replace('"', "`") for c in quoted]
         sets = ", ".join(f"`{c}` = VALUES(`{c}`)" for c in columns if c not in key)
         return [f"INSERT INTO {table} ({', '.join(back)}) SELECT {', '.join(back)} FROM {stage} "
-                f"ON DUPLICATE KEY UPDATE {sets}"]
+                f"ON DUPLICATE KEY UPDATE {sets or back[0] + ' = ' + back[0]}"]
     if kind in POSTGRES_FAMILY:
         sets = ", ".join(f"{c} = EXCLUDED.{c}" for c in rest)
         target_key = ", ".join(f'"{k}"' for k in key)
         return [f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage} "
-                f"ON CONFLICT ({target_key}) DO UPDATE SET {sets}"]
+                f"ON CONFLICT ({target_key}) DO " + (f"UPDATE SET {sets}" if rest else "NOTHING")]
     if kind in MERGE_FAMILY:
         sets = ", ".join(f"{c} = s.{c}" for c in rest)
         values = ", ".join(f"s.{c}" for c in quoted)
-        return [f"MERGE INTO {table} t USING {stage} s ON {same} "
-                f"WHEN MATCHED THEN UPDATE SET {sets} "
+        update = f"WHEN MATCHED THEN UPDATE SET {sets} " if rest else ""
+        return [f"MERGE INTO {table} t USING {stage} s ON {same} {update}"
                 f"WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values})"]
     sets = ", ".join(f"{c} = (SELECT s.{c} FROM {stage} s WHERE {same.replace('t.', table + '.')})"
                      for c in rest)
     exists = f"EXISTS (SELECT 1 FROM {stage} s WHERE {same.replace('t.', table + '.')})"
     missing = f"NOT EXISTS (SELECT 1 FROM {table} t WHERE {same})"
-    return [f"UPDATE {table} SET {sets} WHERE {exists}",
+    update = [f"UPDATE {table} SET {sets} WHERE {exists}"] if rest else []
+    return [*update,
             f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage} s WHERE {missing}"]
 
 

@@ -141,17 +141,12 @@ def _as_text(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-@dataclass(frozen=True)
 class CallRange(InputPartition):
     """Calls of one partition."""
 
-    first: int
-    last: int
-
     def __init__(self, first: int, last: int):
         super().__init__((first, last))
-        object.__setattr__(self, "first", first)
-        object.__setattr__(self, "last", last)
+        self.first, self.last = first, last
 
 
 class RestReader(DataSourceReader):

@@ -57,7 +57,7 @@ def is_read(text: str) -> bool:
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files as ``(path, name, format, size, content)``."""
+    """Files as ``(path, name, format, size, content)``. Spark lists no rows for empty files."""
     from millrace.functions.text import file_format
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -55,7 +56,7 @@ class StateStore:
         """
         try:
             newest = self._rows(flow_id).orderBy(F.desc("seq")).first()
-        except PySparkException:
+        except (PySparkException, Py4JJavaError):
             if on_corrupt != "full":
                 raise
             newest = None

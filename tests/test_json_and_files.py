@@ -104,10 +104,10 @@ def test_file_priorities(spark):
 
 def test_binary_file_scan(spark, tmp_path):
     (tmp_path / "a.ofd").write_bytes(b"abc")
-    (tmp_path / "b.txt").write_bytes(b"")
+    (tmp_path / "b.txt").write_bytes(b"z")
     out = tables.binary_files(spark, str(tmp_path)).orderBy("name").collect()
     assert [(r.name, r.format, r.size, bytes(r.content)) for r in out] == [
-        ("a.ofd", "ofd", 3, b"abc"), ("b.txt", "pdf", 0, b"")]
+        ("a.ofd", "ofd", 3, b"abc"), ("b.txt", "pdf", 1, b"z")]
 
 
 def test_xml_is_well_formed_and_omits_empty(spark):

@@ -81,7 +81,7 @@ def test_snapshot_keeps_old_version_until_commit(spark, rows):
 def test_touched_partitions_only(spark, rows):
     path = scratch(spark, "p")
     spark.range(20).selectExpr("id", "'old' AS v", "id DIV 10 AS part").write.partitionBy("part").parquet(path)
-    untouched = {f for f in spark.read.parquet(path).where("part = 0").inputFiles()}
+    untouched = {f for f in spark.read.parquet(path).inputFiles() if "part=0" in f}
     batch = spark.createDataFrame([(11, "new", 1), (25, "new", 2)], "id long, v string, part long")
     upsert.upsert_touched_partitions(spark, path, batch, ["id"], "part")
     after = spark.read.parquet(path)
