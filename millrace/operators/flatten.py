@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.collections import find, first_element, join_non_blank
+from millrace.functions.collections import find, first_element, join_non_blank, localized
+from millrace.functions.dates import compact, parts_to_compact, parts_to_iso
+from millrace.operators.lookup import lookup, lookup_many, primary_or_all
 
 
 @dataclass(frozen=True)
@@ -144,8 +146,6 @@ def record_fields() -> list[FlattenField]:
 
 def record_columns(download_base: str) -> list[Column]:
     """Flat columns that combine several paths of the nested record."""
-    from millrace.functions.dates import parts_to_compact, parts_to_iso
-
     primary = find(F.col("identifiers"), lambda i: i.getField("typeDiscriminator") == "PrimaryId")
     contributor = first_element(F.col("contributors"))
     supervisor = first_element(F.col("supervisors"))
@@ -195,5 +195,62 @@ def record_columns(download_base: str) -> list[Column]:
     ]
 
 
+def with_download_urls(download_base: str) -> Column:
+    """The record's documents, each with the address it can be fetched from."""
+    def add(d: Column) -> Column:
+        known = (F.coalesce(d.getField("fileId"), F.lit("")) != "") & (F.coalesce(F.col("uuid"), F.lit("")) != "")
+        return d.withField("downloadUrl", F.when(known, F.concat(
+            F.lit(f"{download_base}/records/"), F.col("uuid"), F.lit("/files/"), d.getField("fileId"))))
+
+    return F.transform("documents", add)
+
+
+def person_links(persons: DataFrame, organisations: DataFrame) -> DataFrame:
+    """Per person: student id, end of enrolment, and the names of the organisations they belong to.
+
+    The first association with an id gives the student id, the first one the end date.
+    Organisations are those of the primary associations, or of all when none is primary.
+    """
+    links = F.col("studentOrganizationAssociations")
+    with_id = find(links, lambda a: F.coalesce(a.getField("affiliationId"), F.lit("")) != "")
+    ids = F.filter(F.transform(primary_or_all(links, "primaryAssociation"),
+                               lambda a: a.getField("organization").getField("uuid")),
+                   lambda uuid: F.coalesce(uuid, F.lit("")) != "")
+    flat = persons.select(
+        F.col("uuid").alias("person_uuid"), F.coalesce(with_id.getField("affiliationId"), F.lit("")).alias("student_id"),
+        F.coalesce(first_element(links).getField("period").getField("endDate"), F.lit("")).alias("enrolment_end"),
+        ids.alias("_organisations"))
+    named = lookup_many(flat, organisations, "person_uuid", F.col("_organisations"), "uuid",
+                        localized(F.col("name")), "college")
+    return named.drop("_organisations")
+
+
+def enrich_record(records: DataFrame, persons: DataFrame, organisations: DataFrame) -> DataFrame:
+    """Add what the first contributor's person record tells, and whether that failed.
+
+    ``enrich_failed`` is set when a person is named but has no student id, or when no
+    organisation name was found.
+    """
+    keyed = records.withColumn("_person", first_element(F.col("contributors")).getField("person").getField("uuid"))
+    found = lookup(keyed, person_links(persons, organisations), "_person", "person_uuid",
+                   {"student_id": "student_id", "enrolment_end": "enrolment_end", "college": "college"})
+    blank = F.lit("")
+    out = found.withColumns({name: F.coalesce(F.col(name), blank)
+                             for name in ("student_id", "enrolment_end", "college")})
+    person_failed = (F.coalesce(F.col("_person"), blank) != "") & (F.col("student_id") == "")
+    return out.withColumn("enrich_failed", person_failed | (F.col("college") == "")).drop("_person")
+
+
+def flatten_enriched(records: DataFrame, download_base: str = "") -> DataFrame:
+    """Flat columns of an enriched record; looked-up values go before the record's own."""
+    carried = ["student_id", "enrolment_end", "college", "enrich_failed"]
+    flat = flatten(records, record_fields(), [*record_columns(download_base), *carried])
+    return flat.withColumns({
+        "authorPersonId": F.coalesce(F.nullif("student_id", F.lit("")), F.col("authorPersonId")),
+        "orgUuid": F.coalesce(F.nullif("college", F.lit("")), F.col("firstOrgUuid")),
+        "submissionDate": F.coalesce(F.nullif(compact(F.col("enrolment_end")), F.lit("")), F.col("publicationDate")),
+    })
+
+
 def flatten_record(df: DataFrame, download_base: str = "") -> DataFrame:
     return flatten(df, record_fields(), record_columns(download_base))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import flatten
 from millrace.operators.lookup import lookup, lookup_many, primary_or_all
 from millrace.plans.catalogue import query
-from millrace.plans.shaping import enrich_orders
+from millrace.plans.shaping import enrich_orders, order_records
 from millrace.sources import tables
 
 
@@ -77,6 +78,42 @@ def lookup_multi(spark: SparkSession, d: str) -> DataFrame:
                        ).select("event_id", "nations")
 
 
+@query("record_enrich", """
+SELECT 'u-' || o_orderkey AS uuid,
+  CASE WHEN c_acctbal >= 5000 THEN 'S' || c_custkey WHEN c_acctbal >= 0 THEN 'T' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS "authorPersonId",
+  CASE WHEN c_acctbal < 0 OR NOT known THEN 'n' || c_nationkey ELSE names END AS "orgUuid",
+  CASE WHEN c_acctbal >= 0 THEN '20200131' WHEN o_orderpriority = '1-URGENT' THEN strftime(o_orderdate, '%Y%m%d')
+    ELSE year(o_orderdate) || '0101' END AS "submissionDate",
+  c_acctbal < 0 OR NOT known AS enrich_failed
+FROM orders JOIN (
+  SELECT c.*, (a.n_regionkey <> 1 OR (c_acctbal >= 5000 AND b.n_regionkey <> 1)) AS known, concat_ws(', ',
+    CASE WHEN a.n_regionkey <> 1 THEN CASE a.n_nationkey WHEN 24 THEN '中' ELSE '' END || a.n_name END,
+    CASE WHEN c_acctbal >= 5000 AND b.n_regionkey <> 1 AND b.n_nationkey <> a.n_nationkey THEN '中' || b.n_name END) AS names
+  FROM customer c JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON b.n_nationkey = 24) ON o_custkey = c_custkey""")
+def record_enrich(spark: SparkSession, d: str) -> DataFrame:
+    """Records joined with their first contributor's person, and that person's organisations."""
+    customers = tables.parquet(spark, d, "customer")
+    rich = F.col("c_acctbal") >= 5000
+    key = F.col("c_custkey").cast("string")
+
+    def association(student_id, organisation, primary):
+        return F.struct(student_id.alias("affiliationId"), F.struct(organisation.alias("uuid")).alias("organization"),
+                        F.struct(F.lit("2016-09-01").alias("startDate"), F.lit("2020-01-31").alias("endDate")).alias("period"),
+                        primary.alias("primaryAssociation"))
+
+    own = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    links = F.array(association(F.when(rich, F.concat(F.lit("S"), key)), own, ~rich),
+                    association(F.concat(F.lit("T"), key), F.lit("n24"), F.lit(False)))
+    persons = customers.where("c_acctbal >= 0").select(key.alias("uuid"), links.alias("studentOrganizationAssociations"))
+    zh = F.when(F.col("n_nationkey") == 24, F.concat(F.lit("中"), F.col("n_name"))).otherwise(F.lit(""))
+    organisations = tables.parquet(spark, d, "nation").where("n_regionkey <> 1").select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("uuid"),
+        F.struct(F.col("n_name").alias("en_GB"), zh.alias("zh_CN")).alias("name"))
+    records = order_records(tables.spread(tables.parquet(spark, d, "orders")), customers)
+    flat = flatten.flatten_enriched(flatten.enrich_record(records, persons, organisations))
+    return flat.select("uuid", "authorPersonId", "orgUuid", "submissionDate", "enrich_failed")
+
+
 @query("chain_join", """
 SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey""")
 def chain_join(spark: SparkSession, d: str) -> DataFrame:

@@ -180,32 +180,38 @@ class RestReader(DataSourceReader):
         return self.call({"page": str(number + self.first_page), "offset": str(number * self.size),
                           "size": str(self.size)})
 
+    def is_short(self, number: int) -> bool:
+        """A page with fewer items than the page size: the last one, or one past the end."""
+        document = json.loads(self.page(number).body)
+        items = at_path(document, self.items_path) if self.items_path else document
+        return not isinstance(items, list) or len(items) < self.size
+
+    def call_count(self) -> int:
+        """``offset``: from the total in page 1. ``page``: the first short page, found by
+        doubling and halving, so that a long list costs a few probes and no task walks it alone.
+        """
+        if self.paging == "none":
+            return 1
+        if self.paging == "offset":
+            total = at_path(json.loads(self.page(0).body), self.total_path)
+            return max(1, -(-int(total) // self.size))
+        full, short = -1, 0
+        while not self.is_short(short):
+            full, short = short, 2 * short + 1
+        while short - full > 1:
+            probe = (full + short) // 2
+            full, short = (full, probe) if self.is_short(probe) else (probe, short)
+        return short + 1
+
     def partitions(self) -> Sequence[InputPartition]:
-        """``offset``: the total in page 1 gives all calls. ``page``: one task walks to the short page."""
-        if self.paging != "offset":
-            return [CallRange(0, 0)]
-        total = at_path(json.loads(self.page(0).body), self.total_path)
-        calls = max(1, -(-int(total) // self.size))
+        calls = self.call_count()
         return [CallRange(low, min(low + self.per_task, calls) - 1)
                 for low in range(0, calls, self.per_task)]
 
     def read(self, partition: CallRange) -> Iterator[tuple]:
-        if self.paging == "none":
-            yield 0, 200, self.call({}).body
-            return
-        if self.paging == "offset":
-            for number in range(partition.first, partition.last + 1):
-                yield number, 200, self.page(number).body
-            return
-        number = 0
-        while True:
-            body = self.page(number).body
-            yield number, 200, body
-            document = json.loads(body)
-            items = at_path(document, self.items_path) if self.items_path else document
-            if not isinstance(items, list) or len(items) < self.size:
-                return
-            number += 1
+        for number in range(partition.first, partition.last + 1):
+            answer = self.call({}) if self.paging == "none" else self.page(number)
+            yield number, answer.status, answer.body
 
 
 class RestSource(DataSource):

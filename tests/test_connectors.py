@@ -94,10 +94,16 @@ def test_rest_offset_pages_are_read_in_parallel(spark, tmp_path):
 
 
 def test_rest_page_numbers_stop_at_short_page(spark, tmp_path):
-    pages = {"GET http://x?p=1": {"d": {"r": [{"id": 1}, {"id": 2}]}}, "GET http://x?p=2": {"d": {"r": [{"id": 3}]}}}
-    body = rest.read(spark, serve(tmp_path, pages), "http://x?p=${page}", paging="page", pagesize="2", itemspath="d.r")
-    out = json_ops.nested_extract(body, "body", "d.r", [("id", "id")], ["page"])
-    assert sorted(r.id for r in out.collect()) == ["1", "2", "3"]
+    for last in (1, 2, 6):
+        folder = tmp_path / str(last)
+        folder.mkdir()
+        full = {f"GET http://x?p={p}": {"d": {"r": [{"id": p}, {"id": p}]}} for p in range(1, last)}
+        past = {f"GET http://x?p={p}": {"d": {"r": []}} for p in range(last + 1, 20)}
+        pages = {**full, f"GET http://x?p={last}": {"d": {"r": [{"id": last}]}}, **past}
+        body = rest.read(spark, serve(folder, pages), "http://x?p=${page}", paging="page", pagesize="2",
+                         itemspath="d.r", callspertask="2")
+        out = json_ops.nested_extract(body, "body", "d.r", [("id", "id")], ["page"])
+        assert sorted(int(r.id) for r in out.collect()) == sorted([*range(1, last + 1), *range(1, last)])
 
 
 def test_rest_failure_fails_the_read(spark, tmp_path):
