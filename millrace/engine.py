@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.sinks import append
-from millrace.operators.upsert import KEEP_TARGET_ON_NULL, SnapshotTable
+from millrace.operators.upsert import KEEP_TARGET_ON_NULL, SnapshotTable, upsert_touched_partitions
 from millrace.spec import AFTER_WRITE, FlowSpec, Registry, Strategy
 from millrace.state import RunLog, StateStore
 from millrace.sync import high_water_mark, incremental, not_synced
@@ -28,14 +28,22 @@ class Sink(Protocol):
 
 @dataclass
 class TableSink:
-    """Parquet target: FULL appends, every other strategy upserts and keeps values on null."""
+    """Parquet target: FULL appends, every other strategy upserts and keeps values on null.
+
+    With ``partition``, a column that follows from the key, an upsert rewrites only the
+    partitions it touches; without it the table is replaced by a new snapshot.
+    """
 
     path: str
     nulls: str = KEEP_TARGET_ON_NULL
+    partition: str | None = None
 
     def write(self, df: DataFrame, flow: FlowSpec, run_id: str) -> None:
         if flow.strategy is Strategy.FULL:
             append(df, self.path, run_id)
+        elif self.partition:
+            upsert_touched_partitions(df.sparkSession, self.path, df, flow.key, self.partition,
+                                      flow.sequence, self.nulls)
         else:
             SnapshotTable(df.sparkSession, self.path).upsert(
                 df, run_id, flow.key, flow.sequence, self.nulls, stored=True)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ERROR_COLUMN = "_row_error"
 
@@ -41,6 +43,8 @@ def row_template(
 ) -> DataFrame:
     """Row function ``fn(row, params) -> row`` in Arrow batches, for what columns cannot express.
 
+    The function gives a dict, or JSON text of one; nothing means the input row.
+
     ``on_error="keep_input"`` passes the input row on, ``"quarantine"`` gives a row of
     nulls; both put the message in ``_row_error`` so that failures are counted.
     """
@@ -49,26 +53,29 @@ def row_template(
     packed = cloudpickle.dumps(fn)
     reports = on_error != "fail"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = T.StructType(list(schema.fields))
+    if reports:
+        out = out.add(ERROR_COLUMN, T.StringType())
+    arrow_schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = cloudpickle.loads(packed)
         for batch in batches:
             rows = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 error = None
                 try:
-                    made = call(dict(row), bound) or row
+                    made = call(dict(row), bound)
+                    made = (json.loads(made) if isinstance(made, str) else made) or row
                 except Exception as problem:
                     if on_error == "fail":
                         raise
                     error = f"{type(problem).__name__}: {problem}"
                     made = row if on_error == "keep_input" else {}
-                rows.append([made.get(n) for n in names] + ([error] if reports else []))
-            yield pd.DataFrame(rows, columns=names + ([ERROR_COLUMN] if reports else []), dtype=object)
+                rows.append({**{n: made.get(n) for n in names}, **({ERROR_COLUMN: error} if reports else {})})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
 
-    out = T.StructType(list(schema.fields))
-    if reports:
-        out = out.add(ERROR_COLUMN, T.StringType())
-    return df.mapInPandas(run, schema=out)
+    return df.mapInArrow(run, schema=out)
 
 
 def json_row_result(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.lookup import first_per_key
-from millrace.workspace import fits_broadcast, flat_schema, materialise, one_row, read_if_present
+from millrace.workspace import fits_broadcast, flat_schema, materialise, one_row, path_exists, read_if_present
 
 OVERWRITE = "overwrite"
 KEEP_TARGET_ON_NULL = "keep"
@@ -177,6 +177,14 @@ class SnapshotTable:
             self.replace(merge(current, batch, key, seq, nulls), run_id)
 
 
+def touched_part(spark: SparkSession, path: str, batch: DataFrame, partition: str) -> DataFrame:
+    """The partitions of a stored table that hold a partition value of the batch."""
+    values = [row[0] for row in batch.select(partition).distinct().collect()]
+    column = F.col(f"`{partition}`")
+    keep = column.isin([v for v in values if v is not None])
+    return spark.read.parquet(path).where(keep | column.isNull() if None in values else keep)
+
+
 def upsert_touched_partitions(
     spark: SparkSession,
     path: str,
@@ -189,12 +197,17 @@ def upsert_touched_partitions(
     """Upsert a partitioned parquet table, reading and rewriting only partitions the batch touches.
 
     ``partition`` is a column that follows from the key, such as a range of ids, so a key
-    never changes its partition. The merged partitions are staged first, then swapped
-    in by dynamic partition overwrite; a repeated run gives the same table.
+    never changes its partition. The touched values, a part of the partition list the
+    driver holds for any such table, become a static partition filter. The merged
+    partitions are staged first, then swapped in by dynamic partition overwrite; a
+    repeated run gives the same table.
     """
-    touched = batch.select(partition).distinct()
-    current = spark.read.parquet(path).join(touched, partition, "left_semi")
-    staged = materialise(merge(current, batch, key, seq, nulls), "partitions")
+    if path_exists(spark, path):
+        merged = merge(touched_part(spark, path, batch, partition), batch, key, seq, nulls)
+    else:
+        fresh, loose = settle_batch(batch, key, seq, nulls)
+        merged = fresh.unionByName(loose)
+    staged = materialise(merged, "partitions")
     (staged.repartition(partition, F.pmod(F.xxhash64(*key), F.lit(32)))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))

@@ -78,7 +78,7 @@ def flow_run(spark: SparkSession, d: str) -> DataFrame:
             (("customer", "owner"), ("o_orderstatus", "status"), ("o_totalprice", "total")),
             (ColumnSpec("o_orderstatus", template="lower"),))})
     flow = FlowSpec(
-        408, "orders to case files", Strategy.INCREMENTAL_ID, "o_orderkey", "NUMERIC",
+        10, "orders to case files", Strategy.INCREMENTAL_ID, "o_orderkey", "NUMERIC",
         (Stage(AFTER_READ, "enrich", (Step(TEMPLATE, "number"), Step(TEMPLATE, "enrich"))),
          Stage(BEFORE_WRITE, "shape", (Step(TEMPLATE, "good"), Step(MAPPING, "order"),
                                        Step(TEMPLATE, "project")))),

@@ -87,11 +87,12 @@ def _literal(value, data_type: T.DataType) -> Column:
 def measured_bytes(df: DataFrame) -> int:
     """Upper estimate of the in-memory size of ``df``, found by one aggregate over its rows."""
     per_row = F.lit(16 * len(df.columns)).cast("bigint")
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             per_row += F.coalesce(F.octet_length(column), F.lit(0))
-        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        elif not isinstance(field.dataType, fixed):
             as_text = F.to_json(F.struct(column.alias("v")))
             per_row += F.coalesce(4 * F.octet_length(as_text), F.lit(0))
     return df.agg(F.coalesce(F.sum(per_row), F.lit(0)).alias("bytes")).first()["bytes"]

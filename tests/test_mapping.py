@@ -73,6 +73,26 @@ def test_expression_template_binds_values_as_data(spark):
     assert out.first().o == "1); DROP TABLE x' || 'x"
 
 
+def test_row_template_keeps_types_and_reads_json(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, array('a'), map('k', 1.5D)), (NULL, NULL, NULL) AS t(n, a, m)")
+    same = template.row_template(df, lambda row, params: None, df.schema)
+    assert sorted(map(repr, same.collect())) == sorted(map(repr, df.collect()))
+    text = template.row_template(df, lambda row, params: '{"v": "%s"}' % row["n"], T.StructType.fromDDL("v string"))
+    assert sorted(r.v for r in text.collect()) == ["1", "None"]
+
+
+def test_pandas_function_as_column_function(spark):
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def shout(values: pd.Series) -> pd.Series:
+        return values.str.upper()
+
+    df = spark.createDataFrame([("a",), (None,)], "x string")
+    out = mapping.map_fields(df, [("x", "p")], {"x": shout}, keep_unmapped=False)
+    assert sorted((r.p or "") for r in out.collect()) == ["", "A"]
+
+
 def test_row_template_policies(spark):
     df = spark.createDataFrame([(1, "a"), (0, "b")], "n int, s string")
     schema = T.StructType.fromDDL("n int, s string")

@@ -97,6 +97,16 @@ def test_synced_set_runs_and_full_appends(spark):
     assert read_appended(spark, f"{root}/full").count() == 6
 
 
+def test_partitioned_target(spark):
+    root = scratch(spark, "e")
+    flow = FlowSpec(8, "f", Strategy.INCREMENTAL_ID, "id", "NUMERIC")
+    sink = TableSink(f"{root}/t", partition="part")
+    for high in (15, 25):
+        run_flow(spark, flow, ids(spark, 0, high).selectExpr("*", "id DIV 10 AS part"), sink, f"{root}/s", now=NOW)
+    stored = spark.read.parquet(f"{root}/t")
+    assert stored.count() == 25 and stored.select("id").distinct().count() == 25
+
+
 class BrokenSink:
     def write(self, df, flow, run_id):
         raise RuntimeError("target is down")

@@ -83,6 +83,8 @@ def test_touched_partitions_only(spark, rows):
     spark.range(20).selectExpr("id", "'old' AS v", "id DIV 10 AS part").write.partitionBy("part").parquet(path)
     untouched = {f for f in spark.read.parquet(path).inputFiles() if "part=0" in f}
     batch = spark.createDataFrame([(11, "new", 1), (25, "new", 2)], "id long, v string, part long")
+    part = upsert.touched_part(spark, path, batch, "part")
+    assert "PartitionFilters: [part#" in part._jdf.queryExecution().toString() and part.count() == 10
     upsert.upsert_touched_partitions(spark, path, batch, ["id"], "part")
     after = spark.read.parquet(path)
     assert after.count() == 21 and after.where("v = 'new'").count() == 2
