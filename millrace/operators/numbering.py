@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.workspace import scratch
+from millrace.workspace import fits_broadcast, materialise
 
 
 def running_number(
@@ -16,7 +16,7 @@ def running_number(
     group: Sequence[str],
     order: Sequence[str],
     out: str = "number",
-    max_group_rows: int = 2_000_000,
+    max_group_rows: int = 10_000_000,
 ) -> DataFrame:
     """1, 2, 3 … per group in the order given; ``order`` is unique within a group.
 
@@ -33,22 +33,23 @@ def running_number(
 
 
 def _ranged_number(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    spark = df.sparkSession
     keys = [*group, *order]
     place = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(
         "*", F.shiftright(place, 33).alias("_part"),
         place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
     # The ranges come from a sample, so they are fixed by writing them before they are used twice.
-    path = scratch(spark, "numbering")
-    ranged.write.parquet(path)
-    stored = spark.read.schema(ranged.schema).parquet(path)
+    stored = materialise(ranged, "numbering")
     runs = stored.groupBy("_part", *group).agg(F.min("_place").alias("_first"),
                                                F.count("*").alias("_rows"))
     earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1
     runs = runs.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
                        shift.alias("_shift"))
+    # One row per group and range. Written and measured, so that rows need no second shuffle if it is small.
+    runs = materialise(runs, "runs")
+    if fits_broadcast(runs):
+        runs = F.broadcast(runs)
     same = stored["_part"] == runs["_p"]
     for i, g in enumerate(group):
         same = same & stored[g].eqNullSafe(runs[f"_g{i}"])

@@ -58,8 +58,8 @@ def merge(
     given = [c for c in target.columns if c in batch.columns]
     fresh = fresh.select(*given)
     if fits_broadcast(batch.select(*given), broadcast_bytes):
-        # Used three times below and small, so it is settled once.
-        merged = _merge_small(target, materialise(fresh, "settled"), key, nulls)
+        # Used three times and small: a batch that had to be settled is settled once.
+        merged = _merge_small(target, materialise(fresh, "settled") if seq else fresh, key, nulls)
     else:
         merged = _merge_outer(target, fresh, key, nulls)
     return merged.unionByName(loose.select(*given), allowMissingColumns=True)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.lookup import first_per_key
 from millrace.operators.schema_fit import compat_type, create_table_ddl
+from millrace.sources.tables import is_read
 from millrace.spec import FlowSpec, Strategy
 
 # Database type (lower case) → URL form, default port, driver class.
@@ -98,52 +100,97 @@ def read(
     """A table, read in parallel over ranges of ``partition_column``.
 
     The range bounds are one min/max query at the database; filters and columns are
-    pushed down by Spark.
+    pushed down by Spark. Without a partition column one task reads the table, so a
+    large table needs one.
     """
     options = {**target.options(), "fetchsize": str(fetch_size)}
     if init_sql:
         options["sessionInitStatement"] = init_sql
-    reader = spark.read.format("jdbc").options(**options)
+    whole = spark.read.format("jdbc").options(**options).option("dbtable", table)
     if not partition_column or partitions < 2:
-        return reader.option("dbtable", table).load()
-    bounds = reader.option("dbtable", table).load().agg(
-        F.min(partition_column).alias("low"), F.max(partition_column).alias("high")).first()
-    if bounds["low"] is None:
-        return reader.option("dbtable", table).load()
-    return (reader.option("dbtable", table).option("partitionColumn", partition_column)
-            .option("lowerBound", str(bounds["low"])).option("upperBound", str(bounds["high"]))
-            .option("numPartitions", str(partitions)).load())
+        return whole.load()
+    ends = f"SELECT MIN({partition_column}) AS LOW, MAX({partition_column}) AS HIGH FROM {table}"
+    low, high = spark.read.format("jdbc").options(**options).option("query", ends).load().first()
+    if low is None:
+        return whole.load()
+    return (whole.option("partitionColumn", partition_column).option("lowerBound", str(low))
+            .option("upperBound", str(high)).option("numPartitions", str(partitions)).load())
 
 
 def append(df: DataFrame, target: JdbcTarget, table: str, batch_size: int = 5_000,
            writers: int = 16, mode: str = "append") -> None:
-    """Batched inserts; at most ``writers`` connections at a time."""
+    """Batched inserts; at most ``writers`` connections at a time.
+
+    Each task commits once. A task lost after its commit inserts its rows again when it is
+    retried, so a table that must not hold duplicates is written by ``upsert``.
+    """
     (df.write.format("jdbc").options(**target.options()).option("dbtable", table)
      .option("batchsize", str(batch_size)).option("numPartitions", str(writers)).mode(mode).save())
 
 
-def execute(spark: SparkSession, target: JdbcTarget, statements: Sequence[str]) -> int:
-    """Run statements in one transaction on one connection; gives the affected rows."""
+@contextmanager
+def connection_to(spark: SparkSession, target: JdbcTarget) -> Iterator:
+    """A driver-side connection for statements and metadata; rows never pass through it."""
     options = target.options()
     jvm = spark.sparkContext._jvm
     props = jvm.java.util.Properties()
     for name, value in options.items():
         if name not in ("url", "driver"):
             props.setProperty(name, value)
+    if "driver" in options:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
     connection = jvm.java.sql.DriverManager.getConnection(options["url"], props)
     try:
-        connection.setAutoCommit(False)
-        statement = connection.createStatement()
-        affected = sum(max(statement.executeUpdate(text), 0) for text in statements)
-        connection.commit()
-        return affected
-    except Exception:
-        connection.rollback()
-        raise
+        yield connection
     finally:
         connection.close()
 
 
+def list_tables(spark: SparkSession, target: JdbcTarget) -> list[str]:
+    """Names of the tables the database reports, in its order."""
+    with connection_to(spark, target) as connection:
+        kinds = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.String, 1)
+        kinds[0] = "TABLE"
+        found = connection.getMetaData().getTables(None, None, "%", kinds)
+        names = []
+        while found.next():
+            names.append(found.getString("TABLE_NAME"))
+        return names
+
+
+def table_exists(spark: SparkSession, target: JdbcTarget, table: str) -> bool:
+    """Whether the table exists as written, in upper case or in lower case."""
+    return bool({table, table.upper(), table.lower()} & set(list_tables(spark, target)))
+
+
+def default_table(spark: SparkSession, target: JdbcTarget) -> str:
+    names = list_tables(spark, target)
+    if not names:
+        raise ValueError("the database holds no table")
+    return names[0]
+
+
+def ad_hoc(spark: SparkSession, target: JdbcTarget, text: str) -> DataFrame | int:
+    """SQL text for the database: rows of a query, or the affected rows of a statement."""
+    if is_read(text):
+        return spark.read.format("jdbc").options(**target.options()).option("query", text).load()
+    return execute(spark, target, [text])
+
+
+def execute(spark: SparkSession, target: JdbcTarget, statements: Sequence[str]) -> int:
+    """Run statements in one transaction on one connection; gives the affected rows."""
+    with connection_to(spark, target) as connection:
+        connection.setAutoCommit(False)
+        try:
+            statement = connection.createStatement()
+            affected = sum(max(statement.executeUpdate(text), 0) for text in statements)
+            connection.commit()
+            return affected
+        except Exception:
+            connection.rollback()
+            raise
+
+
 def merge_statements(db_type: str, table: str, stage: str, columns: Sequence[str], key: Sequence[str]
                      ) -> list[str]:
     """SQL that folds a staging table into the target, in the form the database knows."""
@@ -202,12 +249,14 @@ def column_types(df: DataFrame) -> str:
 
 @dataclass
 class JdbcSink:
-    """Database target of a flow: FULL appends, other strategies upsert."""
+    """Database target of a flow: FULL appends, other strategies upsert. A missing table is created."""
 
     target: JdbcTarget
     table: str
 
     def write(self, df: DataFrame, flow: FlowSpec, run_id: str) -> None:
+        if not table_exists(df.sparkSession, self.target, self.table):
+            create_table(df.sparkSession, self.target, self.table, df)
         if flow.strategy is Strategy.FULL:
             append(df, self.target, self.table)
         else:

@@ -37,12 +37,16 @@ def test_jdbc_upsert_last_wins(spark, derby, rows):
 
 
 def test_jdbc_sink_in_a_flow(spark, derby):
-    jdbc.create_table(spark, derby, "F", spark.range(1))
     state = scratch(spark, "state")
+    assert not jdbc.table_exists(spark, derby, "f")
     flow = FlowSpec(1, "f", Strategy.INCREMENTAL_ID, "id", "NUMERIC")
     for high in (3, 5):
         run_flow(spark, flow, spark.range(high), jdbc.JdbcSink(derby, "F"), state)
     assert jdbc.read(spark, derby, "F").count() == 5
+    assert jdbc.table_exists(spark, derby, "f") and "F" in jdbc.list_tables(spark, derby)
+    assert jdbc.ad_hoc(spark, derby, 'SELECT max("id") AS m FROM F').first()[0] == 4
+    assert jdbc.ad_hoc(spark, derby, 'DELETE FROM F WHERE "id" < 2') == 2
+    assert jdbc.default_table(spark, derby) in jdbc.list_tables(spark, derby)
 
 
 def test_failed_statement_rolls_back(spark, derby):

@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__ as entry_points
 
 FOLDER = "/root/testdata/sf0.001"
+FORBIDDEN = ["CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas"]
 QUERIES, CHECKS = entry_points.queries(), entry_points.oracle_sql()
 
 
@@ -30,6 +31,11 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, database, name):
     df = QUERIES[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in FORBIDDEN), plan
+    lines = plan.splitlines()
+    gathers = [below for line, below in zip(lines, lines[1:]) if "Exchange SinglePartition" in line]
+    assert all("Aggregate" in below for below in gathers), "only partial aggregates may meet in one task"
     columns = sorted(df.columns)
     ours = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
     result = database.execute(CHECKS[name])
