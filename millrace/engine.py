@@ -37,6 +37,7 @@ class TableSink:
     path: str
     nulls: str = KEEP_TARGET_ON_NULL
     partition: str | None = None
+    appends_in_one_pass = True
 
     def write(self, df: DataFrame, flow: FlowSpec, run_id: str) -> None:
         if flow.strategy is Strategy.FULL:
@@ -60,6 +61,11 @@ class RunResult:
     messages: tuple[str, ...]
 
 
+def _reads_once(sink: Sink, flow: FlowSpec) -> bool:
+    """Whether the sink needs a single pass, so that the shaped rows need not be stored first."""
+    return flow.strategy is Strategy.FULL and getattr(sink, "appends_in_one_pass", False)
+
+
 def run_flow(
     spark: SparkSession,
     flow: FlowSpec,
@@ -76,6 +82,8 @@ def run_flow(
     A reader function is called once and its rows are stored, so an API is not asked
     twice. Row count and next bookmark come from one narrow aggregate over the source
     rows, before the stages run; the count after the stages is observed during the write.
+    A full load that only appends goes straight to its sink; other shaped rows are stored
+    first, because an upsert, state and later steps read them again.
     Any failure fails the run and leaves bookmark and synced ids untouched.
     """
     registry = registry or Registry()
@@ -108,16 +116,22 @@ def run_flow(
         for step in flow.compile(registry):
             rows = rows.transform(step)
         shaped = Observation()
-        staged = materialise(rows.observe(shaped, F.count(F.lit(1)).alias("rows")), "batch")
+        rows = rows.observe(shaped, F.count(F.lit(1)).alias("rows"))
+        after_write = flow.compile(registry, (AFTER_WRITE,))
+        once = _reads_once(sink, flow) and not after_write and not callbacks
+        if once:
+            sink.write(rows, flow, run_id)
+        else:
+            rows = materialise(rows, "batch")
         read_count, write_count = read["rows"], shaped.get["rows"]
         note("INFO", f"read {read_count} rows, {write_count} after the stages")
         if flow.cap and read_count >= flow.cap:
             note("WARN", f"read reached the cap of {flow.cap} rows; more may be waiting")
 
-        succeeded = sink.write(staged, flow, run_id) if write_count else None
+        succeeded = sink.write(rows, flow, run_id) if write_count and not once else None
         after = None
         if flow.strategy is Strategy.SYNCED_SET and write_count:
-            ids = staged.select(flow.key[0]) if succeeded is None else succeeded
+            ids = rows.select(flow.key[0]) if succeeded is None else succeeded
             state.add_synced(flow.flow_id, ids, run_id)
             write_count = write_count if succeeded is None else succeeded.count()
         if tracked:
@@ -126,10 +140,10 @@ def run_flow(
                 note("WARN", f"no value of {column} was read; the bookmark stays")
             else:
                 state.save(before, flow.name, flow.strategy.name, column, after, started, write_count)
-        for step in flow.compile(registry, (AFTER_WRITE,)):
-            step(staged).write.format("noop").mode("overwrite").save()
+        for step in after_write:
+            step(rows).write.format("noop").mode("overwrite").save()
         for callback in callbacks:
-            callback(staged)
+            callback(rows)
         finish("SUCCESS", read_count=read_count, success_count=shaped.get["rows"],
                write_count=write_count, bookmark_before=before.last_value, bookmark_after=after)
     except Exception as problem:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.lookup import first_per_key
 from millrace.workspace import fits_broadcast, flat_schema, materialise, one_row, path_exists, read_if_present
@@ -45,8 +46,7 @@ def merge(
     """The target after an upsert of ``batch``; the last row per key in ``seq`` order wins.
 
     Columns the batch lacks keep their target value. With ``nulls="keep"`` a null keeps
-    the target value too, and several rows per key fold column by column. Without
-    ``seq`` the batch must hold each key once. Rows with a
+    the target value too, and several rows per key fold column by column. Rows with a
     null key cannot match: they are inserted as they are, outside the join. A batch
     that was measured to be small updates the target by broadcast, without shuffling
     the target; otherwise both sides meet in a full outer join.
@@ -58,8 +58,8 @@ def merge(
     given = [c for c in target.columns if c in batch.columns]
     fresh = fresh.select(*given)
     if fits_broadcast(batch.select(*given), broadcast_bytes):
-        # Used three times and small: a batch that had to be settled is settled once.
-        merged = _merge_small(target, materialise(fresh, "settled") if seq else fresh, key, nulls)
+        # Used three times and small, so it is settled once.
+        merged = _merge_small(target, materialise(fresh, "settled"), key, nulls)
     else:
         merged = _merge_outer(target, fresh, key, nulls)
     return merged.unionByName(loose.select(*given), allowMissingColumns=True)
@@ -67,16 +67,29 @@ def merge(
 
 def settle_batch(batch: DataFrame, key: Sequence[str], seq: Sequence[str], nulls: str
                  ) -> tuple[DataFrame, DataFrame]:
-    """One row per key, and apart from them the rows without a key."""
+    """One row per key, and apart from them the rows without a key.
+
+    Without ``seq`` the winner among several rows of a key is fixed by a hash of the
+    row, so that a repeated run settles the same way.
+    """
     keyed = F.lit(True)
     for k in key:
         keyed = keyed & F.col(f"`{k}`").isNotNull()
     fresh = batch.where(keyed)
-    if seq and nulls == KEEP_TARGET_ON_NULL:
-        fresh = fold_last_non_null(fresh, key, seq)
-    elif seq:
-        fresh = dedupe_last(fresh, key, [F.desc(s) for s in seq])
-    return fresh, batch.where(~keyed)
+    if not seq:
+        fresh = fresh.withColumn("_order", _row_hash(batch))
+    order = list(seq) or ["_order"]
+    if nulls == KEEP_TARGET_ON_NULL:
+        fresh = fold_last_non_null(fresh, key, order)
+    else:
+        fresh = dedupe_last(fresh, key, [F.desc(s) for s in order])
+    return fresh.select(*batch.columns), batch.where(~keyed)
+
+
+def _row_hash(df: DataFrame) -> Column:
+    nested = (T.MapType, T.VariantType, T.StructType, T.ArrayType)
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, nested)
+                        else F.col(f"`{f.name}`") for f in df.schema])
 
 
 def _renamed(batch: DataFrame) -> DataFrame:
@@ -123,9 +136,10 @@ def _merge_small(target: DataFrame, batch: DataFrame, key: Sequence[str], nulls:
 
 def insert_missing(target: DataFrame, batch: DataFrame, key: Sequence[str], on_conflict: str = "skip"
                    ) -> DataFrame:
-    """Insert only: a key the target has is skipped, or fails the job."""
+    """Insert only: a key the target has is skipped, or fails the job. New keys come in once."""
     if on_conflict == "skip":
-        return target.unionByName(batch.join(target.select(*key), list(key), "left_anti"))
+        fresh, loose = settle_batch(batch.join(target.select(*key), list(key), "left_anti"), key, (), OVERWRITE)
+        return target.unionByName(fresh).unionByName(loose)
     if on_conflict == "error":
         clash = batch.join(target.select(*key), list(key), "left_semi").limit(1)
         if not clash.isEmpty():
@@ -154,11 +168,15 @@ class SnapshotTable:
 
     def read(self) -> DataFrame | None:
         """The newest committed version, or None before the first."""
-        newest = self._newest()
-        return self.spark.read.parquet(newest["data_path"]) if newest else None
+        return self._frame(self._newest())
+
+    def _frame(self, commit) -> DataFrame | None:
+        return self.spark.read.parquet(commit["data_path"]) if commit else None
 
     def replace(self, df: DataFrame, run_id: str) -> None:
-        newest = self._newest()
+        self._commit(df, run_id, self._newest())
+
+    def _commit(self, df: DataFrame, run_id: str, newest) -> None:
         version = (newest["version"] if newest else 0) + 1
         data_path = f"{self.root}/data/v{version}-{run_id}"
         df.write.mode("overwrite").parquet(data_path)
@@ -169,12 +187,13 @@ class SnapshotTable:
         """Merge a batch. It is read several times, so it is stored first unless it already is."""
         if not stored:
             batch = materialise(batch, "batch")
-        current = self.read()
+        newest = self._newest()
+        current = self._frame(newest)
         if current is None:
             fresh, loose = settle_batch(batch, key, seq, nulls)
-            self.replace(fresh.unionByName(loose), run_id)
+            self._commit(fresh.unionByName(loose), run_id, newest)
         else:
-            self.replace(merge(current, batch, key, seq, nulls), run_id)
+            self._commit(merge(current, batch, key, seq, nulls), run_id, newest)
 
 
 def touched_part(spark: SparkSession, path: str, batch: DataFrame, partition: str) -> DataFrame:

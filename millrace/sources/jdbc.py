@@ -253,6 +253,7 @@ class JdbcSink:
 
     target: JdbcTarget
     table: str
+    appends_in_one_pass = True
 
     def write(self, df: DataFrame, flow: FlowSpec, run_id: str) -> None:
         if not table_exists(df.sparkSession, self.target, self.table):

@@ -41,7 +41,7 @@ def stream_upsert(spark: SparkSession, stream: DataFrame, target: str, checkpoin
     """Upsert every micro-batch. A batch repeated after a failure gives the same table.
 
     With ``partition``, a column that follows from the key, only the partitions a batch
-    touches are rewritten; the target must exist. Without it the snapshot is replaced.
+    touches are rewritten. Without it the snapshot is replaced.
     """
     table = SnapshotTable(spark, target)
 

@@ -95,6 +95,7 @@ def test_synced_set_runs_and_full_appends(spark):
     for _ in range(2):
         run_flow(spark, full, ids(spark, 0, 3), TableSink(f"{root}/full"), f"{root}/s", now=NOW)
     assert read_appended(spark, f"{root}/full").count() == 6
+    assert RunLog(spark, f"{root}/s").latest(3).first().write_count == 3
 
 
 def test_partitioned_target(spark):

@@ -91,6 +91,17 @@ def test_touched_partitions_only(spark, rows):
     assert untouched <= set(after.inputFiles())
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_without_sequence_each_key_still_comes_once(spark, limit):
+    target, _ = frames(spark)
+    batch = spark.createDataFrame([(2, "p", "p"), (2, "q", "q"), (5, "r", None), (5, "s", None)], "id int, a string, b string")
+    first, again = (sorted(tuple(r) for r in upsert.merge(target, batch, broadcast_bytes=limit).select("id", "a").collect())
+                    for _ in range(2))
+    assert first == again and [r[0] for r in first] == [1, 2, 5]
+    inserted = upsert.insert_missing(target, batch, ["id"])
+    assert sorted(r.id for r in inserted.collect()) == [1, 2, 5]
+
+
 def test_conflict_policies(spark):
     target, batch = frames(spark)
     with pytest.raises(ValueError, match="already present"):
