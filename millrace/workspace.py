@@ -84,9 +84,12 @@ def _literal(value, data_type: T.DataType) -> Column:
     return F.lit(value).cast(data_type)
 
 
+_FIXED_BYTES = 16
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Upper estimate of the in-memory size of ``df``, found by one aggregate over its rows."""
-    per_row = F.lit(16 * len(df.columns)).cast("bigint")
+    per_row = F.lit(_FIXED_BYTES * len(df.columns)).cast("bigint")
     fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
@@ -99,5 +102,11 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = 32 * 1024 * 1024) -> bool:
-    """True when ``df`` was measured and is small enough to send to every executor."""
+    """True when ``df`` was measured and is small enough to send to every executor.
+
+    The row count alone rules out large frames; on stored tables it comes from the file
+    footers, so only a frame that may fit has its columns read.
+    """
+    if df.count() * _FIXED_BYTES * len(df.columns) > max_bytes:
+        return False
     return measured_bytes(df) <= max_bytes
