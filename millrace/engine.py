@@ -107,12 +107,12 @@ def run_flow(
         before = state.load(flow.flow_id)
         column = flow.incremental_column
         rows = materialise(source(flow.strategy, before.last_value), "read") if callable(source) else source
-        rows = incremental(rows, flow.strategy, column, before.last_value, flow.cap)
+        if flow.strategy is Strategy.SYNCED_SET:
+            rows = not_synced(rows, state.synced_ids(flow.flow_id), flow.key[0])
+        rows = incremental(rows, flow.strategy, column, before.last_value, flow.cap, flow.key[0])
         tracked = flow.strategy in (Strategy.INCREMENTAL_ID, Strategy.INCREMENTAL_TIME) and column
         mark = high_water_mark(column, flow.incremental_type) if tracked else F.lit(None).cast("string")
         read = rows.agg(F.count(F.lit(1)).alias("rows"), mark.alias("mark")).first()
-        if flow.strategy is Strategy.SYNCED_SET:
-            rows = not_synced(rows, state.synced_ids(flow.flow_id), flow.key[0])
         for step in flow.compile(registry):
             rows = rows.transform(step)
         shaped = Observation()

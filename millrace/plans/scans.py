@@ -42,8 +42,8 @@ def topk_incremental(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("catalog_tables", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM information_schema.columns "
-    f"WHERE table_name = '{t}') AS column_count, (SELECT count(*) FROM {t}) AS row_count"
+    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM (DESCRIBE {t})) AS column_count, "
+    f"(SELECT count(*) FROM {t}) AS row_count"
     for t in TABLES))
 def catalog_tables(spark: SparkSession, d: str) -> DataFrame:
     return catalog.inventory({t: tables.parquet(spark, d, t) for t in TABLES})

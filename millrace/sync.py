@@ -55,15 +55,19 @@ def high_water_mark(column: str, kind: str, compat: bool = False) -> Column:
     return value.cast("string")
 
 
-def incremental(df: DataFrame, strategy: Strategy, column: str | None, last, cap: int | None = None
-                ) -> DataFrame:
-    """The rows a run reads. Without a bookmark all rows; a cap always cuts in column order."""
-    if strategy in (Strategy.FULL, Strategy.SYNCED_SET) or not column:
-        return df
-    guarded(df, column)
-    newer = newer_by_id if strategy is Strategy.INCREMENTAL_ID else newer_by_time
-    out = newer(df, column, last)
-    return capped(out, column, cap) if cap else out
+def incremental(df: DataFrame, strategy: Strategy, column: str | None, last, cap: int | None = None,
+                key: str | None = None) -> DataFrame:
+    """The rows a run reads. Without a bookmark all rows.
+
+    A cap cuts in the order of the incremental column, or of the key where there is none.
+    """
+    out = df
+    if column and strategy in (Strategy.INCREMENTAL_ID, Strategy.INCREMENTAL_TIME):
+        guarded(df, column)
+        newer = newer_by_id if strategy is Strategy.INCREMENTAL_ID else newer_by_time
+        out = newer(df, column, last)
+    order = column or key
+    return capped(out, order, cap) if cap and order else out
 
 
 def reader_options(strategy: Strategy, column: str | None, last) -> dict[str, str]:

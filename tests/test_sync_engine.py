@@ -149,6 +149,22 @@ def test_reader_function_is_called_once_with_the_bookmark(spark):
     assert SnapshotTable(spark, f"{root}/t").read().count() == 4
 
 
+def test_cap_applies_to_every_strategy_and_reaches_the_end(spark):
+    root = scratch(spark, "e")
+    full = FlowSpec(11, "f", cap=2)
+    assert run_flow(spark, full, ids(spark, 0, 5), TableSink(f"{root}/f"), root, now=NOW).read_count == 2
+    once = FlowSpec(12, "o", Strategy.SYNCED_SET, cap=2)
+    reads = [run_flow(spark, once, ids(spark, 0, 5), TableSink(f"{root}/o"), root, now=NOW).read_count for _ in range(4)]
+    assert reads == [2, 2, 1, 0] and SnapshotTable(spark, f"{root}/o").read().count() == 5
+
+
+def test_reader_options():
+    assert sync.reader_options(Strategy.FULL, "c", "5") == {}
+    assert sync.reader_options(Strategy.INCREMENTAL_ID, "c", None) == {}
+    assert sync.reader_options(Strategy.INCREMENTAL_ID, "c", 5) == {
+        "strategy": "INCREMENTAL_ID", "watermark_column": "c", "watermark_lastValue": "5"}
+
+
 def test_older_fields_make_stages_and_params_are_replaced(spark):
     doc = {"id": 1, "preTemplateId": 3, "mappingTemplateId": 4, "postTemplateId": 5, "templateParams": {"p": "flow"}}
     flow = FlowSpec.from_json(json.dumps(doc))
