@@ -108,7 +108,8 @@ def run_flow(
         column = flow.incremental_column
         rows = materialise(source(flow.strategy, before.last_value), "read") if callable(source) else source
         if flow.strategy is Strategy.SYNCED_SET:
-            rows = not_synced(rows, state.synced_ids(flow.flow_id), flow.key[0])
+            fresh = not_synced(rows, state.synced_ids(flow.flow_id), flow.key[0])
+            rows = materialise(fresh, "fresh")  # the costly anti join runs once, for count and stages
         rows = incremental(rows, flow.strategy, column, before.last_value, flow.cap, flow.key[0])
         tracked = flow.strategy in (Strategy.INCREMENTAL_ID, Strategy.INCREMENTAL_TIME) and column
         mark = high_water_mark(column, flow.incremental_type) if tracked else F.lit(None).cast("string")
