@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from millrace.plans.catalogue import load_all
 
 FOLDER = "/root/testdata/sf0.001"
 FORBIDDEN = ["CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas"]
-QUERIES, CHECKS = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, CHECKS = load_all()
 
 
 @pytest.fixture(scope="module")
