@@ -192,8 +192,13 @@ def _first_and_later(h1, h2, sid, tag, at):
     fresh = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
     head = np.maximum.accumulate(np.where(fresh, np.arange(len(h1)), 0))
     later = (sid != sid[head]) | (tag != tag[head]) | (at != at[head])
-    yield pa.record_batch([pa.array(x[fresh]) for x in (h1, h2, sid, tag, at)]
-                          + [pa.array(np.zeros(int(fresh.sum()), dtype=np.int32))], schema=_arrow(WINDOW))
+    # In the order of the documents, where neighbouring rows differ in few bytes and so are small on disk.
+    kept = np.sort(order[fresh])
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    kept = back[kept]
+    yield pa.record_batch([pa.array(x[kept]) for x in (h1, h2, sid, tag, at)]
+                          + [pa.array(np.zeros(len(kept), dtype=np.int32))], schema=_arrow(WINDOW))
     if later.any():
         sid, tag, at = sid[later], tag[later], at[later]
         order = np.lexsort((at, tag, sid))
