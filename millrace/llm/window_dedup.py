@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.llm.common import document_key
+from millrace.llm.common import document_key, stored
 
 #: Multipliers of the two hashes: any odd numbers.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -124,7 +124,8 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
 
     ``docs`` has sid, tag and the text as binary. A task sends each hash it holds several times as one
     row with a count of 2, and its other positions, already known to repeat, under keys of their own: a
-    phrase in a third of all documents then gives one row per chunk for its key.
+    phrase in a third of all documents then gives one row per chunk for its key. Places of one text's copies
+    count once.
     """
     def find(batches):
         for batch in batches:
@@ -135,22 +136,44 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
                 row = np.array(rows)[words.owner[found]] if len(found) else found
                 at = found - words.starts[words.owner[found]] if len(found) else found
                 key = short[found].view(np.int64)
+                sids, tags, at = sid[row], tag[row], at.astype(np.int32)
+                order = np.lexsort((sids, at, tags, key))
+                key, sids, tags, at = key[order], sids[order], tags[order], at[order]
+                other = key[1:] != key[:-1]
+                fresh = np.concatenate([[True], other | (tags[1:] != tags[:-1]) | (at[1:] != at[:-1])])[:len(key)]
+                key, sids, tags, at, order = key[fresh], sids[fresh], tags[fresh], at[fresh], order[fresh]
                 _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 again = np.ones(len(key), dtype=bool)
                 again[first] = False
                 seen = np.minimum(count[inverse], 2).astype(np.int32)
                 key = np.where(again, np.arange(len(key)) * 0x10001, key)
-                yield pa.record_batch([pa.array(key), pa.array(seen), pa.array(sid[row]), pa.array(tag[row]),
-                                       pa.array(at.astype(np.int32))], schema=_arrow(ANCHOR))
+                # In the order of the documents, where neighbouring rows are alike and so small on disk.
+                order = np.argsort(order)
+                yield pa.record_batch([pa.array(x[order]) for x in (key, seen, sids, tags, at)], schema=_arrow(ANCHOR))
 
     found = docs.mapInArrow(find, ANCHOR)
-    total = F.sum("seen").over(Window.partitionBy("key"))
-    return found.withColumn("total", total).where("total > 1").select("sid", "tag", "at")
+    same, place = Window.partitionBy("key"), F.struct("tag", "at")
+    repeats = (F.max("seen").over(same) > 1) | (F.min(place).over(same) != F.max(place).over(same))
+    return found.withColumn("repeats", repeats).where("repeats").select("sid", "tag", "at")
+
+
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(sid, tag) of documents whose whole text a document of a smaller id has: all their windows are later ones."""
+    texts = docs.select("sid", "tag", F.octet_length("body").alias("n"), F.xxhash64("body").alias("h"))
+    first = (texts.groupBy("tag", "n", "h").agg(F.min("sid").alias("first"), F.max("sid").alias("last"))
+             .where("first < last").drop("last"))
+    found = texts.join(first, ["tag", "n", "h"]).where(F.col("sid") > F.col("first"))
+    return stored(found.select("sid", "tag").distinct(), "text_copies")
 
 
 def repeated_runs(docs: DataFrame, *, size: int) -> DataFrame:
-    """(sid, tag, runs): runs (at, length) of window starts whose windows also start earlier."""
-    known = anchors(docs.select("sid", "tag", "body"), size).groupBy("sid", "tag").agg(F.collect_list("at").alias("known"))
+    """(sid, tag, runs): runs of window starts whose windows also start earlier, as start + length * 2^32.
+
+    Copies of whole texts need no comparison: the first one has their windows.
+    """
+    copies = later_copies(docs)
+    known = (anchors(docs.select("sid", "tag", "body"), size).groupBy("sid", "tag").agg(F.collect_list("at").alias("known"))
+             .join(copies, ["sid", "tag"], "left_anti"))
     joined = (docs.join(known.withColumnsRenamed({"sid": "_sid", "tag": "_tag"}),
                         (F.col("sid") == F.col("_sid")) & (F.col("tag") == F.col("_tag")))
               .select("doc_id", "sid", "tag", "body", "known"))
@@ -181,8 +204,9 @@ def repeated_runs(docs: DataFrame, *, size: int) -> DataFrame:
     place = F.struct("sid", "tag", "at")
     first = F.min(place).over(Window.partitionBy("h1", "h2"))
     later = windows.withColumn("first", first).where((F.col("run") > 0) | (place != F.col("first")))
-    return later.groupBy("sid", "tag").agg(
-        F.collect_list(F.struct("at", F.greatest("run", F.lit(1)).alias("length"))).alias("runs"))
+    run = F.col("at") + F.greatest("run", F.lit(1)).cast("bigint") * 2 ** 32
+    whole = copies.select("sid", "tag", F.array(F.lit((2 ** 31 - 1) * 2 ** 32)).alias("runs"))
+    return later.groupBy("sid", "tag").agg(F.collect_list(run).alias("runs")).unionByName(whole)
 
 
 def _first_and_later(h1, h2, sid, tag, at):
@@ -217,12 +241,14 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType]) for f in schema.fields])
 
 
-def covered_words(count: int, runs: list[dict] | None, size: int) -> np.ndarray:
+def covered_words(count: int, runs: list[int] | None, size: int) -> np.ndarray:
     """Which of ``count`` words lie under a removed window: maximal intervals of merged runs."""
-    edge = np.zeros(count + 1, dtype=np.int64)
-    for run in runs or ():
-        edge[run["at"]] += 1
-        edge[min(count, run["at"] + run["length"] + size - 1)] -= 1
+    if not runs or count < size:
+        return np.zeros(count, dtype=bool)
+    packed = np.array(runs, dtype=np.int64)
+    begin, length = packed & 0xFFFFFFFF, packed >> 32
+    edge = np.bincount(begin, minlength=count + 1) - np.bincount(
+        np.minimum(count, begin + length + size - 1), minlength=count + 1)
     return np.cumsum(edge[:count]) > 0
 
 
@@ -259,7 +285,7 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
                 if found:
                     covered = covered_words(len(words), found, size)
                     gone.append(int(covered.sum()))
-                    words = [word for word, out in zip(words, covered.tolist()) if not out]
+                    words = [] if gone[-1] == len(words) else [word for word, out in zip(words, covered.tolist()) if not out]
                 else:
                     gone.append(0)
                 kept = b" ".join(words)
