@@ -155,8 +155,17 @@ def _best_configuration(sizes: list[int], prices: np.ndarray, capacity: int) ->
     return float(best[capacity]), column
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = 4096, *, groups: int = 40, large: int = 8) -> Plan:
-    """Pack a histogram of lengths.
+def plan_packing(histogram: dict[int, int], capacity: int = 4096, *, groups: int = 40,
+                 large: tuple[int, ...] = (2, 4, 8)) -> Plan:
+    """Pack a histogram of lengths: the plan of fewest sequences among those for each bound of what is large.
+
+    Rounding costs room where many lengths are large; the fewer are, the more is left to best fit.
+    """
+    return min((grouped_plan(histogram, capacity, groups, n) for n in large), key=lambda plan: plan.sequences)
+
+
+def grouped_plan(histogram: dict[int, int], capacity: int, groups: int, large: int) -> Plan:
+    """Pack a histogram of lengths by the linear grouping scheme.
 
     Full pieces stand alone. Lengths above ``capacity / large`` are sorted, longest first, and dealt into
     ``groups`` groups of equal cardinality whose lengths are rounded up to the group's longest; the few

@@ -1,0 +1,458 @@
+"""The operators against brute force on small tables, with nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import os
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from millrace.llm import queries as llm
+from millrace.llm.bitsliced_topk import BitSlicedIndex, exact_top
+from millrace.llm.components import connected
+from millrace.llm.cotraining import co_train, keep_good, score_documents
+from millrace.llm.encoding import WordEncoder
+from millrace.llm.graph_search import nearest
+from millrace.llm.length_histogram import at_limits, length_table
+from millrace.llm.line_windows import drop_repeated_lines
+from millrace.llm.mixing import mix_sources, mixed_documents
+from millrace.llm.packing import grouped_plan, pack, plan_packing
+from millrace.llm.secret_crf import base_spans, find_secrets, viterbi
+from millrace.llm.simhash_groups import BKTree, Linker, near_groups, one_of_each, shard_masks
+from millrace.llm.window_dedup import remove_repeats
+
+FOLDER = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, score int, taken int, sid int"
+LONG = " ".join(f"w{i}" for i in range(30_000))
+A, B = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(25))
+EDGES = [(None, None), (1, None), (2, ""), (3, " \n\t "), (4, A), (5, f"x {A} y"), (5, f"x {A} y"), (6, A), (7, "foo " * 45),
+         (8, B), (9, "one\ntwo\nthree\nfour"), (10, "zero\none\n\ntwo\nthree\nfive"), (11, LONG), (None, A), (None, A),
+         (12, "é ÉÉ <|endoftext|> Σ\x1c's"), (13, f"{B} {B}"), (13, "another text of one id")]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en" if i != 9 else None, None if i in (4, None) else f"s{i % 2}", 7, 1, 1, 1, 1)
+                                  for i, t in rows], DOCS)
+
+
+def table(spark, name):
+    return spark.read.parquet(f"{FOLDER}/{name}.parquet")
+
+
+def documents(spark):
+    return [(r["doc_id"], r["text"]) for r in table(spark, "documents").select("doc_id", "text").collect()]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return frame(spark, EDGES).cache()
+
+
+@pytest.mark.parametrize("name", sorted(llm.CHECKS))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for part in os.listdir(FOLDER):
+        con.execute(f"CREATE VIEW {part[:-8]} AS SELECT * FROM '{FOLDER}/{part}'")
+    df = llm.QUERIES[name](spark, FOLDER)
+    result = con.execute(llm.CHECKS[name])
+    names = [c[0] for c in result.description]
+    assert sorted(names) == sorted(df.columns)
+    tidy = lambda row: tuple(round(v, 6) if isinstance(v, float) else v for v in row)
+    assert sorted(map(tidy, result.fetchall())) == sorted(tidy(r[c] for c in names) for r in df.collect())
+
+
+@pytest.mark.parametrize("name", ["op2_mix_sources", "op10_line_windows"])
+def test_native_plans_hold_no_python(spark, name):
+    plan = llm.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_empty_tables_pass_through(spark):
+    docs = frame(spark, [])
+    vectors = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    for result in (length_table(docs), mix_sources(docs), mixed_documents(docs), near_groups(docs), one_of_each(docs), pack(docs),
+                   score_documents(docs, labels), find_secrets(docs), remove_repeats(docs), drop_repeated_lines(docs),
+                   exact_top(vectors), nearest(vectors)):
+        assert result.count() == 0
+
+
+# 1 token counts, 6 packing
+
+def test_encoder_equals_the_tokenizer(spark):
+    encoder = WordEncoder(most=100)
+    texts = [t for _, t in documents(spark)[:60]] + [t or "" for _, t in EDGES] + ["a b", "İ ΑΣ ﬁ", "日本 ４５", "x" * 5000, "\x85a​b"]
+    want = [encoder.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode([t.encode() for t in texts])] == want
+
+
+def test_length_table_sums(spark, edges):
+    encoder = WordEncoder()
+    lengths = [len(encoder.whole.encode(t or "", add_special_tokens=False).ids) for _, t in EDGES]
+    rows = {r["length"]: r for r in length_table(edges).collect()}
+    assert {n: r["documents"] for n, r in rows.items()} == Counter(lengths)
+    for n, r in rows.items():
+        assert r["tokens_from"] == sum(x for x in lengths if x >= n) and r["documents_from"] == sum(x >= n for x in lengths)
+        assert r["tokens_cut"] == sum(min(x, n) for x in lengths) and r["quantile"] == sum(x <= n for x in lengths) / len(lengths)
+    for r in at_limits(length_table(edges), [10, 10 ** 6]).collect():
+        assert r["tokens_kept"] == sum(min(x, r["context"]) for x in lengths)
+        assert r["documents_within"] == sum(x <= r["context"] for x in lengths)
+
+
+def check_packing(rows, docs, capacity):
+    encoder = WordEncoder()
+    want = Counter()
+    for i, t in docs:
+        ids = encoder.whole.encode(t or "", add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), capacity):
+            part = ids[k:k + capacity]
+            want[i, k // capacity, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for members in bins.values():
+        end = 0
+        for offset, length in sorted(members):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    total = sum(r["length"] for r in rows)
+    return len(bins), -(-total // capacity)
+
+
+def test_packing_is_whole_and_tight(spark, edges):
+    docs = table(spark, "documents")
+    used, least = check_packing(pack(docs).collect(), documents(spark), 4096)
+    assert used <= 1.05 * least + 1
+    check_packing(pack(edges, capacity=64, block_rows=3).collect(), EDGES, 64)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plans_cover_every_piece_once(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 513, rng.integers(1, 4000))
+    histogram = {int(a): int(b) for a, b in zip(*np.unique(lengths, return_counts=True))}
+    plan = plan_packing(histogram, 512)
+    for each in (plan, grouped_plan(histogram, 512, 12, 8)):
+        check_plan(each, histogram)
+    assert plan.sequences <= 1.02 * lengths.sum() / 512 + 2
+
+
+def check_plan(plan, histogram):
+    seen, fill = Counter(), np.zeros(plan.sequences)
+    for length, first, stop, each, sequence, _ in plan.segments:
+        assert first == seen[length]
+        seen[length] = stop
+        np.add.at(fill, sequence + np.arange(stop - first) // each, length)
+    assert seen == histogram and fill.max() <= 512 and fill.min() > 0
+
+
+# 2 mixing
+
+def test_mixing_meets_targets_on_edges(spark, edges):
+    rows = mix_sources(edges).collect()
+    assert len(rows) == len(EDGES)
+    assert sorted(r["size"] for r in rows) == sorted(len(WORD.findall(t or "")) for _, t in EDGES)
+    for source in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == source]
+        assert sum(r["taken"] for r in own) == int(own[0]["target"]) <= 2 * own[0]["source_size"]
+        assert all(r["taken"] <= 2 * r["size"] for r in own)
+    assert abs(sum({r["source"]: r["target"] for r in rows}.values()) - 1.5 * sum(r["size"] for r in rows)) < 1
+    assert sorted(rows, key=repr) == sorted(mix_sources(edges.repartition(5)).collect(), key=repr)
+
+
+def test_mixed_documents_repeat_and_cut(spark):
+    docs = table(spark, "documents")
+    taken = {r["doc_id"]: r["taken"] for r in mix_sources(docs).collect()}
+    words, texts = Counter(), dict(documents(spark))
+    for r in mixed_documents(docs).collect():
+        got = WORD.findall(r["text"])
+        assert got == WORD.findall(texts[r["doc_id"]])[:len(got)] and r["n_chars"] is not None
+        words[r["doc_id"]] += len(got)
+    assert words == Counter({i: n for i, n in taken.items() if n})
+    assert mixed_documents(docs).columns == docs.columns
+
+
+# 3 and 4 vector searches
+
+VECTORS = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(5).normal(size=(300, 6)))]
+VECTORS += [(i, [0.5] * 6) for i in range(300, 420)] + [(400, [0.5] * 6), (400, [0.25] * 6), (420, None), (440, [1.0, None, 0.0, 0.0, 0.0, 0.0]),
+            (460, [float("nan")] * 6), (480, [float("inf")] * 6), (None, [1.0] * 6), (500, [0.0] * 6), (600, [1.0, 2.0]), (601, [3.0, 4.0]), (620, [])]
+
+
+def usable(rows, zero):
+    return [(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and (zero or any(v))]
+
+
+def brute(rows, every, k, score, order):
+    want = set()
+    for q in {r for r in rows if r[0] % every == 0}:
+        own = rows.index(q)
+        others = [(score(q[1], v), i) for n, (i, v) in enumerate(rows) if n != own and len(v) == len(q[1])]
+        others.sort(key=lambda x: (order * x[0], x[1]))
+        want |= {(q[0], n + 1, i, s) for n, (s, i) in enumerate(others[:k])}
+    return want
+
+
+def test_exact_top_on_edges(spark):
+    rows = usable(VECTORS, True)
+    df = spark.createDataFrame(VECTORS, "vec_id bigint, embedding array<double>").withColumn("rank", F.lit(1))
+    whole = [(i, tuple(int(np.floor(64 * x)) for x in v)) for i, v in rows]
+    want = brute(whole, 20, 20, lambda a, b: sum(x * y for x, y in zip(a, b)), -1)
+    for blocks in (16_384, 70):
+        got = {tuple(r) for r in exact_top(df, block_rows=blocks, query_rows=5).collect()}
+        assert got == want
+
+
+def test_bit_slices_add_exactly():
+    rng = np.random.default_rng(0)
+    rows, weights = rng.integers(-900, 900, (777, 9)), rng.integers(-70, 70, 9)
+    index = BitSlicedIndex(rows)
+    slices, constant = index.sums(weights)
+    assert [v + constant for v in index.values(slices, np.arange(777))] == (rows @ weights).tolist()
+
+
+def test_nearest_recall_and_scores(spark):
+    df = table(spark, "embeddings")
+    rows = [(r["vec_id"], tuple(map(float, r["embedding"]))) for r in df.collect()]
+    far = lambda a, b: float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum()))
+    want = brute(rows, 100, 10, far, 1)
+    got = {tuple(r) for r in nearest(df, shard_rows=200).collect()}
+    assert len(got) == len(want)
+    assert len({(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
+    edge = usable(VECTORS, False)
+    found = {tuple(r) for r in nearest(spark.createDataFrame(VECTORS, "vec_id bigint, embedding array<double>"), shard_rows=150, every=100).collect()}
+    close = brute(edge, 100, 10, far, 1)
+    assert len(found) == len(close) and len({x[:3] for x in found} & {x[:3] for x in close}) >= 0.9 * len(close)
+
+
+# 5 near copies
+
+def simhash(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    found = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in found) > len(found))
+
+
+def groups_of(values, radius=4):
+    parent = {v: v for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+    listed = list(parent)
+    for n, a in enumerate(listed):
+        for b in listed[:n]:
+            if (a ^ b).bit_count() <= radius:
+                parent[root(a)] = root(b)
+    return {v: root(v) for v in listed}
+
+
+@pytest.mark.parametrize("source", ["documents", "edges"])
+def test_near_groups_equal_brute_force(spark, edges, source):
+    docs, rows = (table(spark, "documents"), documents(spark)) if source == "documents" else (edges, EDGES)
+    prints = [(i, simhash(t)) for i, t in rows]
+    group = groups_of({p for _, p in prints})
+    lows = {}
+    for i, p in prints:
+        if i is not None:
+            lows[group[p]] = min(i, lows.get(group[p], i))
+    want = sorted(((i, f"{p:016x}", lows.get(group[p])) for i, p in prints), key=repr)
+    assert sorted(map(tuple, near_groups(docs).collect()), key=repr) == want
+    kept = one_of_each(docs).collect()
+    assert len(kept) == len(set(group.values()))
+    assert sorted((r["doc_id"] for r in kept if r["doc_id"] is not None)) == sorted(lows.values())
+
+
+def test_linker_and_tree_equal_brute_force():
+    rng = np.random.default_rng(3)
+    values = set()
+    for _ in range(12):
+        seed = int(rng.integers(0, 2 ** 63))
+        for _ in range(60):
+            flips = rng.choice(64, rng.integers(0, 9), replace=False)
+            values.add(seed ^ sum(1 << int(b) for b in flips))
+    linker, tree = Linker(4), BKTree()
+    for v in values:
+        linker.meet(v, True)
+        tree.add(v)
+    want = groups_of(values)
+    pairs = {(linker.root(v), want[v]) for v in values}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    some = next(iter(values))
+    assert sorted(tree.values[n] for _, n in tree.within(some, 7)) == sorted(v for v in values if (v ^ some).bit_count() <= 7)
+    masks = shard_masks(4)
+    for _ in range(200):
+        change = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+        assert any(not change & m for m in masks)
+
+
+def test_hot_shards_are_dealt_into_chunks(spark):
+    from millrace.llm.simhash_groups import links
+    values = spark.range(300).select(F.expr("id * 1").alias("fp"))
+    found = {frozenset((r["a"], r["b"])) for r in links(values, radius=4, shard_rows=40).collect()}
+    assert all((a ^ b).bit_count() <= 300 for a, b in map(tuple, found))
+    assert connected(spark.createDataFrame([tuple(x) for x in found], "a bigint, b bigint")).select("component").distinct().count() == 1
+
+
+def test_components_of_a_long_chain_and_a_hub(spark):
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 200)]
+    found = {r["node"]: r["component"] for r in connected(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert all(found[i] == 0 for i in range(41)) and all(found[100 + i] == 100 for i in range(200))
+
+
+# 7 quality
+
+def test_cotraining_scores_held_out_rows(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    train = labels.where("doc_id % 2 = 0")
+    rows = score_documents(docs, train).collect()
+    assert len(rows) == docs.count()
+    held = [(r["keep"], truth[r["doc_id"]] == 1) for r in rows if r["doc_id"] in truth and r["doc_id"] % 2]
+    assert np.mean([a == b for a, b in held]) >= 0.95
+    assert np.mean([a for a, b in held if b]) >= 0.98
+    assert keep_good(docs, train).columns == docs.columns
+
+
+def test_cotraining_on_edges_and_one_sided_labels(spark, edges):
+    labels = spark.createDataFrame([(4, 1), (6, 1), (None, 0), (8, None)], "doc_id bigint, quality int")
+    assert [r["keep"] for r in score_documents(edges, labels).collect()] == [True] * len(EDGES)
+    mixed = spark.createDataFrame([(i, i % 2) for i in range(14)], "doc_id bigint, quality int")
+    rows = score_documents(edges, mixed).collect()
+    assert len(rows) == len(EDGES) and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_views_teach_each_other():
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 3000)
+    text, page = y[:, None] * 3 + rng.normal(size=(3000, 4)), y[:, None] * 3 + rng.normal(size=(3000, 3))
+    known = np.where(rng.random(3000) < 0.05, y, -1)
+    model = co_train(text, page, known)
+    assert sum(map(sum, model.rounds)) > 100 and model.held_out > 0.9
+    assert ((model.scores(text, page)[:, 0] > 0.5) == y).mean() > 0.95
+
+
+# 8 secrets
+
+def test_base_spans_follow_the_contract():
+    text = ('password=token=abcdefghijkl TOKEN: short secret : token: "abcdefghijklmno" apikey="AbC-._/+=1234" ' "Passwd':'x" + "y" * 11
+            + " AKIA12345678901234 AKIA123 deadbeefdeadbeef " + "0123456789abcdef" * 3)
+    found = [(k, text[a:b]) for a, _, k, b in base_spans(text)]
+    assert found == [("assign", "password=token=abcdefghijkl"), ("assign", 'apikey="AbC-._/+=1234'),
+                     ("assign", "Passwd':'x" + "y" * 11), ("access", "AKIA12345678901234"), ("hex", "deadbeefdeadbeef"),
+                     ("hex", "0123456789abcdef" * 3)]
+
+
+def test_secrets_in_whole_texts(spark, edges):
+    docs = table(spark, "documents")
+    rows = find_secrets(docs).collect()
+    texts, added = dict(documents(spark)), 0
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = base_spans(texts[r["doc_id"]])
+        listed = ",".join(f"{k}:{a}:{b}" for a, _, k, b in base)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(filter(None, listed.split(","))) <= set(r["spans"].split(","))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(b[2] == k for b in base) for k in ("assign", "access", "hex"))
+        added += r["n_crf"]
+    assert added < 0.05 * len(rows)
+    assert find_secrets(edges).count() == len(EDGES)
+
+
+def test_field_finds_secrets_without_a_base_match(spark):
+    docs = table(spark, "documents").select("doc_id", "text", "lang")
+    filler = "the thing on the nation was " * 20
+    new = [(10_001, f"{filler} password b7db7aa4a5fcc78305e1 {filler}"), (10_002, filler), (10_003, f"{filler} AKIAX {filler}")]
+    both = docs.unionByName(spark.createDataFrame([(i, t, "en") for i, t in new], docs.schema))
+    got = {r["doc_id"]: r["n_crf"] + r["n_hex"] for r in find_secrets(both).where("doc_id > 10000").collect()}
+    assert got[10_001] >= 1 and got[10_002] == 0
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(2)
+    scores, moves = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
+    import itertools
+    best = max(itertools.product(range(3), repeat=5), key=lambda p: sum(scores[i, t] for i, t in enumerate(p))
+               + sum(moves[a, b] for a, b in zip((0, *p), (*p, 0))))
+    assert tuple(viterbi(scores, moves)) == best
+
+
+# 9 and 10 repeated passages
+
+def windows_brute(rows, size=20):
+    """Equal rows count as one document; rows without an id come last, one document per text."""
+    split = {(i is None, i or 0, t or ""): WORD.findall(t or "") for i, t in rows}
+    first, gone = {}, defaultdict(set)
+    for key in sorted(split):
+        for at in range(len(split[key]) - size + 1):
+            window = tuple(split[key][at:at + size])
+            if first.setdefault(window, (key, at)) != (key, at):
+                gone[key] |= set(range(at, at + size))
+    out = []
+    for i, t in rows:
+        key = (i is None, i or 0, t or "")
+        kept = [w for n, w in enumerate(split[key]) if n not in gone[key]]
+        out.append((i, len(split[key]), len(gone[key]), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_window_dedup_equals_brute_force(spark, edges, monkeypatch):
+    rows = [r for r in EDGES if r[0] != 13] + [(13, f"{B} {B}"), (14, f"{A} {LONG}"), (15, "p q " * 30), (16, "q p " * 30)]
+    want = windows_brute(rows)
+    assert sorted(map(tuple, remove_repeats(frame(spark, rows)).collect()), key=repr) == want
+    from millrace.llm import window_dedup
+    monkeypatch.setattr(window_dedup, "CHUNK_WORDS", 30)
+    assert sorted(map(tuple, remove_repeats(frame(spark, rows).repartition(7)).collect()), key=repr) == want
+    assert remove_repeats(edges, with_text=True).where("n_removed = 0 and size(split(kept_text, ' ')) <> n_words and n_words > 0").count() == 0
+
+
+def test_line_windows_on_edges(spark):
+    rows = [(1, "a\nb\nc\nd"), (2, "x\n a \n\nb\nc\n\ne"), (3, "a\nb\nc\nd"), (None, "a\nb\nc"), (4, None), (5, ""), (6, "a\nb"), (7, "z\nz\nz\nz\nz"),
+            (8, "\n\nb\nc\nd\ntail")]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in drop_repeated_lines(frame(spark, rows)).collect()}
+    assert got == {1: ("a\nb\nc\nd", 4, 0), 2: ("x\ne", 5, 3), 3: ("", 4, 4), None: ("", 3, 3), 4: (None, 0, 0), 5: ("", 0, 0),
+                   6: ("a\nb", 2, 0), 7: ("z", 5, 4), 8: ("tail", 4, 3)}
+
+
+# the pipeline
+
+def test_pipeline_stages(spark):
+    docs = table(spark, "documents")
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "mix", "pack"]
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, FOLDER).cache()
+        assert docs.columns == columns, name
+        ids = {r["doc_id"] for r in docs.collect()}
+        assert ids and ids <= {r["doc_id"] for r in before.collect()}
+        assert docs.where("n_chars <> length(text)").count() == before.where("n_chars <> length(text)").count() == 0
+        if name == "near":
+            group = groups_of({simhash(r["text"]) for r in before.collect()})
+            assert docs.count() == len(set(group.values()))
+        if name == "lines":
+            assert docs.where("trim(text) = ''").count() == 0
+    rows = corpus_pipeline.run(spark, FOLDER).collect()
+    used, least = check_packing(rows, [(r["doc_id"], r["text"]) for r in docs.collect()], 4096)
+    assert used <= 1.1 * least + 1
+
+
+def test_pipeline_takes_nulls_repeats_and_empty_tables(spark, tmp_path):
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    labels = table(spark, "labels")
+    for rows in (EDGES, []):
+        folder = str(tmp_path / str(len(rows)))
+        frame(spark, rows).select(*names).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        assert (corpus_pipeline.run(spark, folder).count() > 0) == bool(rows)
