@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import kept_in_worker
+from millrace.llm.encoding import in_chunks
 
 # Kinds in the order they are listed, their patterns, groups and least lengths.
 KINDS = [
@@ -22,7 +22,6 @@ KINDS = [
 ]
 #: Runs of hexadecimal digits are whole either way, so the least length can be part of this one pattern.
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: Score of a transition that makes no sense: inside after outside.
 NEVER = -12.0
@@ -37,6 +36,8 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     """(start, rank of the kind, kind, end) of all base matches, sorted; matches that fail are dropped."""
     found = []
     for rank, (kind, pattern, group, least) in enumerate(KINDS):
+        if kind == "assign" and "=" not in text and ":" not in text:
+            continue
         for match in (_LONG_HEX if kind == "hex" else pattern).finditer(text):
             if match.end(group) - match.start(group) >= least:
                 found.append((match.start(), rank, kind, match.end()))
@@ -45,28 +46,65 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
 
 #: Features of a word's shape; each is one weight per tag.
 SHAPE = ["always", "keyword", "ends in = or :", "only = or :", "holds = or :", "quoted", "prefix of a key", "has @",
-         "has ://", "8 to 15 long", "16 to 31 long", "32 long or more", "digits and letters", "half digits", "upper and lower",
+         "has /", "8 to 15 long", "16 to 31 long", "32 long or more", "digits and letters", "half digits", "upper and lower",
          "only upper and digits", "only hexadecimal", "key characters only", "has a dot", "many changes of class", "not ASCII"]
-_KEYWORD = re.compile(r"password|passwd|pwd|secret|token|api_?key|credential|private|bearer|auth", re.I)
-_PREFIX = re.compile(r"[\"'=:]?(AKIA|ASIA|sk-|pk-|sk_|ghp_|gho_|github_pat_|xox[abp]-|eyJ|AIza|-----BEGIN)")
-_CHANGES = re.compile(r"[a-z][0-9]|[0-9][a-z]|[A-Z][0-9]|[0-9][A-Z]|[a-z][A-Z]")
-_KEYLIKE = re.compile(r"[A-Za-z0-9+/_.=:\"',-]+")
-_HEX = re.compile(r"[0-9a-f]+")
-
-
-def shape(word: str) -> np.ndarray:
-    """The features of one word, 0 or 1 each."""
-    core = word.strip("\"'`,;.()[]{}<>")
-    value = re.split(r"[=:]", core)[-1].strip("\"'")
-    size, digits = len(value), sum(c.isdigit() for c in value)
-    letters = any(c.isalpha() for c in value)
-    lower, upper = any(c.islower() for c in value), any(c.isupper() for c in value)
-    return np.array([
-        1, bool(_KEYWORD.search(word)), word[-1] in "=:", word in ("=", ":"), "=" in word[:-1] or ":" in word[:-1],
-        word[0] in "\"'" or word[-1] in "\"'", bool(_PREFIX.match(core)), "@" in word, "://" in word,
-        8 <= size < 16, 16 <= size < 32, size >= 32, bool(digits) and letters, 2 * digits >= size > 0, lower and upper,
-        bool(size) and not lower and upper and value.isalnum(), size >= 8 and bool(_HEX.fullmatch(value)),
-        bool(_KEYLIKE.fullmatch(word)), "." in value, len(_CHANGES.findall(value)) >= 4, not word.isascii()], dtype=np.float64)
+_KEYWORD = re.compile(rb"password|passwd|pwd|secret|token|api_?key|credential|private|bearer|auth", re.I)
+_PREFIX = re.compile(rb"AKIA|ASIA|sk-|pk-|sk_|ghp_|gho_|github_pat_|xox[abp]-|eyJ|AIza|-----BEGIN")
+
+
+def _marked(*groups: bytes) -> np.ndarray:
+    """A table of 256 entries that is True for the bytes of the groups."""
+    table = np.zeros(256, dtype=bool)
+    table[list(b"".join(groups))] = True
+    return table
+
+
+_DIGITS, _LOWER, _UPPER = b"0123456789", bytes(range(97, 123)), bytes(range(65, 91))
+_SPACE = _marked(b" \t\n\r\x0b\x0c")
+#: A class of each byte, whose changes are counted: digits, lower, upper, others.
+_CLASS = (_marked(_DIGITS) + 2 * _marked(_LOWER) + 3 * _marked(_UPPER)).astype(np.uint8)
+_TABLES = {"digit": _marked(_DIGITS), "lower": _marked(_LOWER), "upper": _marked(_UPPER), "assign": _marked(b"=:"), "at": _marked(b"@"),
+           "slash": _marked(b"/"), "dot": _marked(b"."), "hex": _marked(_DIGITS, b"abcdef"),
+           "key": _marked(_DIGITS, _LOWER, _UPPER, b"+/_.=:\"',-"), "wide": _marked(bytes(range(128, 256)))}
+
+
+def shapes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, features) of every word, from running counts over the bytes."""
+    raw = np.frombuffer(text, dtype=np.uint8)
+    edge = np.diff(_SPACE[raw].astype(np.int8), prepend=np.int8(1), append=np.int8(1))
+    first, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    size = end - first
+    out = np.zeros((len(first), len(SHAPE)), dtype=np.float32)
+    if not len(first):
+        return first, end, out
+
+    def counted(marks: np.ndarray) -> np.ndarray:
+        running = np.concatenate([[0], np.cumsum(marks, dtype=np.int32)])
+        return running[end] - running[first]
+
+    n = {name: counted(table[raw]) for name, table in _TABLES.items()}
+    kinds = _CLASS[raw]
+    turns = np.concatenate([[False], (kinds[1:] != kinds[:-1]) & (kinds[1:] > 0) & (kinds[:-1] > 0)])
+    turns[first] = False
+    head, tail = raw[first], raw[end - 1]
+    quote, assign = _marked(b"\"'"), _TABLES["assign"]
+    letters = n["lower"] + n["upper"]
+    inner = n["assign"] - assign[tail]
+    values = {
+        "always": np.ones(len(first), dtype=bool), "ends in = or :": assign[tail], "only = or :": (size == 1) & assign[head],
+        "holds = or :": inner > 0, "quoted": quote[head] | quote[tail], "has @": n["at"] > 0, "has /": n["slash"] > 0,
+        "8 to 15 long": (size >= 8) & (size < 16), "16 to 31 long": (size >= 16) & (size < 32), "32 long or more": size >= 32,
+        "digits and letters": (n["digit"] > 0) & (letters > 0), "half digits": 2 * n["digit"] >= size,
+        "upper and lower": (n["lower"] > 0) & (n["upper"] > 0),
+        "only upper and digits": (n["upper"] > 0) & (n["upper"] + n["digit"] == size),
+        "only hexadecimal": (n["hex"] >= 8) & (n["hex"] == letters + n["digit"]), "key characters only": n["key"] == size,
+        "has a dot": n["dot"] > 0, "many changes of class": counted(turns) >= 4, "not ASCII": n["wide"] > 0}
+    for name, value in values.items():
+        out[:, SHAPE.index(name)] = value
+    for name, pattern in (("keyword", _KEYWORD), ("prefix of a key", _PREFIX)):
+        hits = [match.start() for match in pattern.finditer(text)]
+        out[np.searchsorted(first, hits, side="right") - 1, SHAPE.index(name)] = 1
+    return first, end, out
 
 
 def file_features(words: int, lang: str | None, text_size: int) -> np.ndarray:
@@ -156,121 +194,123 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
 
 
 class Decoder:
-    """Decodes whole documents: a word's scores are kept by word, up to a number of words."""
-
-    def __init__(self, field: Field, most: int = 300_000):
-        self.field, self.moves, self.most = field, field.transitions(), most
-        # A word whose score outside leads by more than any two transitions can make good is outside.
-        self.lead = 2 * (self.moves.max() - self.moves.min())
-        self.numbers: dict[bytes, int] = {}
-        self.scores = np.zeros((1024, 9))
-
-    def _number(self, words: list[bytes]) -> np.ndarray:
-        known = self.numbers
-        if len(known) > self.most:
-            known.clear()
-        found = list(map(known.get, words))
-        if None in found:
-            for i, word in enumerate(words):
-                if found[i] is None:
-                    at = known.get(word)
-                    if at is None:
-                        at = known[word] = len(known)
-                        if at == len(self.scores):
-                            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                        features = shape(word.decode("utf-8", "surrogatepass"))
-                        self.scores[at] = np.concatenate([features @ self.field.own, features @ self.field.before,
-                                                          features @ self.field.after])
-                    found[i] = at
-        return np.array(found, dtype=np.int64)
-
-    def spans(self, text: str, lang: str | None) -> list[tuple[int, int]]:
-        """Character spans of the secrets in a whole text."""
-        words = text.encode("utf-8", "surrogatepass").split()
-        if not words:
-            return []
-        numbers = self._number(words)
-        table = self.scores[numbers]
-        scores = table[:, :3] + file_features(len(words), lang, len(text)) @ self.field.file
-        scores[1:] += table[:-1, 3:6]
-        scores[:-1] += table[1:, 6:9]
-        unsure = np.flatnonzero(scores[:, OUTSIDE] - scores[:, 1:].max(axis=1) <= self.lead)
-        if not len(unsure):
-            return []
-        return self._located(text, self._decoded(scores, unsure))
-
-    def _decoded(self, scores: np.ndarray, unsure: np.ndarray) -> list[tuple[int, int]]:
-        """(first, last) words of each secret, from the runs of words that are not surely outside."""
-        out = []
-        for part in np.split(unsure, np.flatnonzero(np.diff(unsure) > 1) + 1):
-            tags = viterbi(scores[part[0]:part[-1] + 1], self.moves)
-            begin = None
-            for at, tag in enumerate([*tags, OUTSIDE], int(part[0])):
-                if begin is not None and tag != INSIDE:
-                    out.append((begin, at - 1))
-                    begin = None
-                if tag != OUTSIDE and begin is None:
-                    begin = at
+    """Decodes whole documents, many at a time."""
+
+    def __init__(self, field: Field):
+        self.field = field
+        self.weights = np.concatenate([field.own, field.before, field.after], axis=1).astype(np.float32)
+        # Every word has one move to it and one from it, so a part of a move that depends on one end only
+        # can count as the word's score. What is left in the moves has a small range.
+        self.moves, self.shift = field.transitions(), np.zeros(3)
+        allowed = np.ones((3, 3), dtype=bool)
+        allowed[OUTSIDE, INSIDE] = False
+        for _ in range(50):
+            for axis in (0, 1):
+                high = np.where(allowed, self.moves, -np.inf).max(axis=axis)
+                low = np.where(allowed, self.moves, np.inf).min(axis=axis)
+                self.shift += (high + low) / 2
+                self.moves -= np.expand_dims((high + low) / 2, axis)
+        used = self.moves[allowed]
+        self.lead = 2 * (used.max() - used.min())
+
+    def _open(self, scores: np.ndarray) -> np.ndarray:
+        """Words that may be in a secret. A word is surely outside if its score outside leads by more than two moves can
+        make good, and by more than the word after it would lose if it had to begin a secret instead of being inside."""
+        lead = scores[:, OUTSIDE] - scores[:, 1:].max(axis=1)
+        lead[:-1] -= np.maximum(0, scores[1:, INSIDE] - scores[1:, BEGIN])
+        return np.flatnonzero(lead <= self.lead)
+
+    def spans(self, texts: list[bytes], langs: list[str | None]) -> list[list[tuple[int, int]]]:
+        """Byte spans of the secrets in each of some whole texts."""
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        begins = np.cumsum([0, *(len(text) + 1 for text in texts)])
+        first, end, features = shapes(b" ".join(texts))
+        if not len(first):
+            return out
+        owner = np.searchsorted(begins, first, side="right") - 1
+        counts = np.bincount(owner, minlength=len(texts))
+        facts = np.stack([file_features(int(n), lang, len(text)) for n, lang, text in zip(counts, langs, texts)])
+        table = features @ self.weights
+        scores = table[:, :3].astype(np.float64) + (facts @ self.field.file)[owner]
+        beside = owner[1:] == owner[:-1]
+        scores[1:][beside] += table[:-1, 3:6][beside]
+        scores[:-1][beside] += table[1:, 6:9][beside]
+        scores += self.shift
+        unsure = self._open(scores)
+        if len(unsure):
+            apart = (np.diff(unsure) > 1) | (np.diff(owner[unsure]) > 0)
+            for part in np.split(unsure, np.flatnonzero(apart) + 1):
+                for low, high in _secrets(viterbi(scores[part[0]:part[-1] + 1], self.moves)):
+                    document = int(owner[part[0]])
+                    out[document].append((int(first[part[0] + low] - begins[document]), int(end[part[0] + high] - begins[document])))
         return out
 
-    @staticmethod
-    def _located(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        if not found:
-            return []
-        places = [match.span() for match in _WORD.finditer(text)]
-        return [(places[first][0], places[last][1]) for first, last in found]
+
+def _secrets(tags: list[int]) -> list[tuple[int, int]]:
+    """(first, last) of each begin with the insides after it."""
+    out, begin = [], None
+    for at, tag in enumerate([*tags, OUTSIDE]):
+        if begin is not None and tag != INSIDE:
+            out.append((begin, at - 1))
+            begin = None
+        if tag != OUTSIDE and begin is None:
+            begin = at
+    return out
 
 
 def training_windows(texts: list[tuple[str, str | None]], around: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of words about base matches, tagged by them, and as many windows elsewhere."""
-    shapes, files, tags = [], [], []
+    views, files, tags = [], [], []
     width = 2 * around + 4
     for text, lang in texts:
-        places = [match.span() for match in _WORD.finditer(text)]
-        if len(places) < width:
+        body = text.encode("utf-8", "replace")
+        starts, _, features = shapes(body)
+        if len(starts) < width:
             continue
-        marks = np.zeros(len(places), dtype=np.int64)
-        starts = np.array([a for a, _ in places])
+        marks = np.zeros(len(starts), dtype=np.int64)
         centres = []
         for start, _, _, end in base_spans(text):
-            first = int(np.searchsorted(starts, start, side="right")) - 1
-            last = int(np.searchsorted(starts, end, side="left")) - 1
+            low, high = (len(text[:at].encode("utf-8", "replace")) for at in (start, end))
+            first, last = int(np.searchsorted(starts, low, side="right")) - 1, int(np.searchsorted(starts, high, side="left")) - 1
             if marks[first:last + 1].any():
                 continue
             marks[first], marks[first + 1:last + 1] = BEGIN, INSIDE
             centres.append(first)
-        centres += [(len(places) * (i + 1)) // (len(centres) + 3) for i in range(len(centres) + 2)]
-        facts = file_features(len(places), lang, len(text))
+        centres += [(len(starts) * (i + 1)) // (len(centres) + 3) for i in range(len(centres) + 2)]
+        facts = file_features(len(starts), lang, len(body))
         for centre in centres:
-            low = max(0, min(centre - around, len(places) - width))
-            shapes.append([shape(text[a:b]) for a, b in places[low:low + width]])
+            low = max(0, min(centre - around, len(starts) - width))
+            views.append(features[low:low + width])
             files.append(facts)
             tags.append(marks[low:low + width])
-    return np.array(shapes), np.array(files), np.array(tags)
+    return np.array(views, dtype=np.float64), np.array(files), np.array(tags)
 
 
 def fit(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang",
         sample: int = 1500, most_chars: int = 20_000) -> Field:
-    """Train the field on base matches in a bounded sample of documents, half of which hold one.
+    """Train the field on base matches in a bounded sample of documents, up to half of which hold one.
 
-    The sample is the documents of the smallest id hashes, at most ``sample``, among those of up to
-    ``most_chars`` characters; only training leaves longer ones out. Without documents all weights are
-    zero but that nothing is a secret.
+    The sample is at most ``sample`` documents of the smallest hashes, among those of up to ``most_chars``
+    characters; only training leaves longer ones out. Documents are drawn by hash before their texts are
+    looked at, at a rate that makes the rows sent to the driver as many at any size. Without documents
+    all weights are zero but that nothing is a secret.
     """
     text = F.col(text_column)
     lang = F.col(lang_column) if lang_column else F.lit(None).cast("string")
-    eligible = docs.where(F.length(text) <= most_chars).select(text.alias("text"), lang.alias("lang"),
-                                                              F.xxhash64(F.col(id_column), text).alias("h"))
+    hashed = docs.select(text.alias("text"), lang.alias("lang"), F.xxhash64(F.col(id_column)).alias("h")).where(F.length("text") <= most_chars)
+    total = max(1, docs.count())
     marked = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
     rows = []
-    for part in (eligible.where(marked), eligible.where(~marked)):
-        rows += [(r["text"], r["lang"]) for r in part.orderBy("h", "text").limit(sample // 2).collect()]
-    shapes, files, tags = training_windows(rows)
-    if not len(shapes):
+    for part, drawn in ((marked, 16 * sample), (~marked, sample)):
+        rate = min(1_000_000, -(-1_000_000 * drawn // total))
+        some = hashed.where(F.pmod("h", F.lit(1_000_000)) < rate).where(part)
+        rows += [(r["text"], r["lang"]) for r in some.orderBy("h", "text").limit(sample // 2).collect()]
+    views, files, tags = training_windows(rows)
+    if not len(views):
         field = Field.zeros()
         field.own[0, OUTSIDE] = 1000.0
         return field
-    return train(shapes, files, tags)
+    return train(views, files, tags)
 
 
 def find_secrets(docs: DataFrame, field: Field | None = None, *, id_column: str = "doc_id", text_column: str = "text",
@@ -287,27 +327,32 @@ def find_secrets(docs: DataFrame, field: Field | None = None, *, id_column: str
     empty table gives no rows; a missing language counts as unknown; other columns are not read.
     """
     field = field or fit(docs, id_column=id_column, text_column=text_column, lang_column=lang_column)
-    mark = hashlib.sha256(b"".join(p.tobytes() for p in field.parts())).hexdigest()
     kinds = [kind for kind, *_ in KINDS]
 
     def scan(batches):
-        decoder = kept_in_worker(f"secrets:{mark}", lambda: Decoder(field))
+        decoder = Decoder(field)
         for batch in batches:
             counts, digests, spans, added = [], [], [], []
-            for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                base = base_spans(text)
-                more = [(start, len(kinds), "crf", end) for start, end in decoder.spans(text, lang)
-                        if not any(start < b[3] and b[0] < end for b in base)]
-                counts.append([sum(b[2] == kind for b in base) for kind in kinds])
-                digests.append(hashlib.sha256(_listed(base).encode()).hexdigest())
-                spans.append(_listed(sorted(base + more)))
-                added.append(len(more))
+            langs = batch.column(2).to_pylist()
+            for begin, chunk in in_chunks(batch.column(1).to_pylist(), 1 << 19):
+                found = decoder.spans(chunk, langs[begin:begin + len(chunk)])
+                for body, extra in zip(chunk, found):
+                    text = body.decode("utf-8", "replace")
+                    base = base_spans(text)
+                    if extra and not text.isascii():
+                        extra = [tuple(len(body[:at].decode("utf-8", "replace")) for at in span) for span in extra]
+                    more = [(start, len(kinds), "crf", end) for start, end in extra
+                            if not any(start < b[3] and b[0] < end for b in base)]
+                    counts.append([sum(b[2] == kind for b in base) for kind in kinds])
+                    digests.append(hashlib.sha256(_listed(base).encode()).hexdigest())
+                    spans.append(_listed(sorted(base + more)))
+                    added.append(len(more))
             each = zip(*counts) if counts else [[]] * len(kinds)
             yield pa.record_batch([batch.column(0), *[pa.array(c, pa.int64()) for c in each], pa.array(digests, pa.string()),
                                    pa.array(spans, pa.string()), pa.array(added, pa.int64())], names=RESULT.names)
 
     lang = F.col(lang_column).cast("string") if lang_column else F.lit(None).cast("string")
-    return docs.select(F.col(id_column).cast("bigint"), F.coalesce(F.col(text_column), F.lit("")), lang).mapInArrow(scan, RESULT)
+    return docs.select(F.col(id_column).cast("bigint"), F.coalesce(F.col(text_column), F.lit("")).cast("binary"), lang).mapInArrow(scan, RESULT)
 
 
 def _listed(spans: list[tuple[int, int, str, int]]) -> str:
