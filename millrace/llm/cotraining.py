@@ -34,11 +34,12 @@ def text_features(text: bytes) -> np.ndarray:
         float(not len(words))])
 
 
-def page_features(lang: str | None, source: str | None, chars: float) -> np.ndarray:
+def page_features(lang: str | None, source: str | None, chars: float | None) -> np.ndarray:
     """The metadata view: source and language by hashed name, and the recorded length."""
     out = np.zeros(2 * NAME_BUCKETS + 3)
     out[_bucket(source)] = 1.0
     out[NAME_BUCKETS + _bucket(lang)] = 1.0
+    chars = float("nan") if chars is None else chars
     known = chars == chars
     out[-3:] = (np.log1p(max(0.0, chars)) / 10 if known else 0.0, float(known and chars < 100), float(not known))
     return out
@@ -160,7 +161,7 @@ def co_train(text: np.ndarray, page: np.ndarray, labels: np.ndarray, *, rounds:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 12_000, max_open: int = 12_000,
+def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 6_000, max_open: int = 6_000,
         label_column: str = "quality") -> CoTrained | None:
     """Train on at most ``max_labelled`` labelled and ``max_open`` unlabelled documents, by id hash.
 
@@ -173,22 +174,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 12_000, max_o
     chosen = [known.where(part).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
               for part, most in (("label is not null", max_labelled), ("label is null", max_open))]
     picked = chosen[0].union(chosen[1]).withColumn("label", F.coalesce("label", F.lit(-1)))
-    kind = T.StructType([T.StructField("view", T.ArrayType(T.DoubleType())), T.StructField("page", T.ArrayType(T.DoubleType()))])
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def features(text: pd.Series) -> pd.Series:
+        return pd.Series([text_features(t) for t in text])
 
-    @F.pandas_udf(kind)
-    def features(text: pd.Series, lang: pd.Series, source: pd.Series, chars: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"view": [text_features(t) for t in text],
-                             "page": [page_features(*row) for row in zip(lang, source, chars.astype("float64"))]})
-
-    # At most max_labelled + max_open ids.
+    # At most max_labelled + max_open ids go out, and as many rows of a few numbers come back, as Arrow batches.
     sample = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", *inputs(docs))
-    rows = (sample.select("doc_id", "label", features("body", "lang", "source", "chars").alias("f"))
-            .select("doc_id", "label", "f.*").toPandas().drop_duplicates("doc_id").sort_values("doc_id"))
-    marks = rows["label"].to_numpy(dtype=np.int64) if len(rows) else np.zeros(0)
+    found = sample.select("doc_id", "label", features("body").alias("view"), "lang", "source", "chars").toArrow()
+    ids, first = np.unique(found["doc_id"].to_numpy(), return_index=True)
+    rows = found.take(first)
+    marks = rows["label"].to_numpy().astype(np.int64)
     if (marks == 0).sum() < 3 or (marks == 1).sum() < 3:
         return None
-    order = np.random.default_rng(0).permutation(len(rows))
-    view, page = np.stack(rows["view"].to_list())[order], np.stack(rows["page"].to_list())[order]
+    order = np.random.default_rng(0).permutation(len(ids))
+    view = rows["view"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
+    page = np.stack([page_features(*row) for row in zip(*(rows[name].to_pylist() for name in ("lang", "source", "chars")))])[order]
     return co_train(view, page, marks[order])
 
 
