@@ -15,7 +15,7 @@ from millrace.operators.sinks import append
 from millrace.operators.upsert import KEEP_TARGET_ON_NULL, SnapshotTable, upsert_touched_partitions
 from millrace.spec import AFTER_WRITE, FlowSpec, Registry, Strategy
 from millrace.state import RunLog, StateStore
-from millrace.sync import high_water_mark, incremental, not_synced
+from millrace.sync import next_bookmark, incremental, not_synced
 from millrace.workspace import materialise
 
 Reader = Callable[[Strategy, "str | None"], DataFrame]
@@ -110,9 +110,9 @@ def run_flow(
         if flow.strategy is Strategy.SYNCED_SET:
             fresh = not_synced(rows, state.synced_ids(flow.flow_id), flow.key[0])
             rows = materialise(fresh, "fresh")  # the costly anti join runs once, for count and stages
-        rows = incremental(rows, flow.strategy, column, before.last_value, flow.cap, flow.key[0])
+        rows = incremental(rows, flow.strategy, column, before.last_value, flow.cap, flow.key[0], flow.incremental_type)
         tracked = flow.strategy in (Strategy.INCREMENTAL_ID, Strategy.INCREMENTAL_TIME) and column
-        mark = high_water_mark(column, flow.incremental_type) if tracked else F.lit(None).cast("string")
+        mark = next_bookmark(rows, column, flow.incremental_type) if tracked else F.lit(None).cast("string")
         read = rows.agg(F.count(F.lit(1)).alias("rows"), mark.alias("mark")).first()
         for step in flow.compile(registry):
             rows = rows.transform(step)
@@ -149,7 +149,7 @@ def run_flow(
                write_count=write_count, bookmark_before=before.last_value, bookmark_after=after)
     except Exception as problem:
         finish("FAILED", read_count=0, success_count=0, write_count=0,
-               error_message=str(problem)[:4000])
+               error_message=str(problem))
         raise
     return RunResult(run_id, read_count, shaped.get["rows"], write_count, before.last_value, after,
                      tuple(f"{level} {message}" for _, level, message in notes))

@@ -31,14 +31,16 @@ def lookup(
     flag: str | None = None,
     first_by: Sequence[Column] | None = None,
     how: str = "left",
+    unique: bool = False,
 ) -> DataFrame:
     """Left join that adds ``fields`` (``{right column: new name}``) and a found flag.
 
-    Missing keys leave nulls. ``right`` has one row per key, or ``first_by`` says which
-    of several rows counts.
+    Missing keys leave nulls. Of several rows of a key the first counts, by ``first_by`` or
+    else by the fields themselves, so rows never multiply. ``unique`` promises one row per
+    key and saves the step.
     """
-    if first_by is not None:
-        right = first_per_key(right, [right_key], first_by)
+    if first_by is not None or not unique:
+        right = first_per_key(right, [right_key], first_by or [F.col(c) for c in fields] or [F.lit(0)])
     side = right.select(F.col(right_key).alias("_k"),
                         *[F.col(c).alias(n) for c, n in fields.items()],
                         *([F.lit(True).alias(flag)] if flag else []))
@@ -55,13 +57,17 @@ def lookup_many(
     name: Column,
     out: str,
     separator: str = ", ",
+    unique: bool = False,
 ) -> DataFrame:
     """Look up every distinct id of an array column; join the names found, in encounter order.
 
+    Of several rows of an id the smallest name counts; ``unique`` promises that there are none.
     ``row_id`` is unique, so the regrouping key is never hot: a group is one row's array.
     """
     slots = explode_items(df, [row_id], F.array_distinct(ids), "_id").withColumnRenamed("pos", "_pos")
     side = right.select(F.col(right_key).alias("_k"), name.alias("_name"))
+    if not unique:
+        side = side.groupBy("_k").agg(F.min("_name").alias("_name"))
     found = slots.join(side, slots["_id"] == side["_k"], "inner").where(
         F.coalesce(F.col("_name"), F.lit("")) != "")
     ordered = F.sort_array(F.collect_list(F.struct("_pos", "_name")))

@@ -196,12 +196,29 @@ class SnapshotTable:
             self._commit(merge(current, batch, key, seq, nulls), run_id, newest)
 
 
+def partitioned(spark: SparkSession, path: str, batch: DataFrame, partition: str) -> DataFrame:
+    """A stored table with its partition column typed as in the batch.
+
+    Folder names are text; without a schema they are read as numbers or dates where they look so.
+    """
+    fields = [T.StructField(f.name, batch.schema[partition].dataType) if f.name == partition else f
+              for f in spark.read.parquet(path).schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def touched_part(spark: SparkSession, path: str, batch: DataFrame, partition: str) -> DataFrame:
     """The partitions of a stored table that hold a partition value of the batch."""
     values = [row[0] for row in batch.select(partition).distinct().collect()]
     column = F.col(f"`{partition}`")
     keep = column.isin([v for v in values if v is not None])
-    return spark.read.parquet(path).where(keep | column.isNull() if None in values else keep)
+    return partitioned(spark, path, batch, partition).where(keep | column.isNull() if None in values else keep)
+
+
+def moved_keys(spark: SparkSession, path: str, batch: DataFrame, key: Sequence[str], partition: str) -> DataFrame:
+    """Keys of the batch that a stored table holds in another partition; only key columns are read."""
+    stored = partitioned(spark, path, batch, partition).select(*key, F.col(f"`{partition}`").alias("_there"))
+    here = batch.select(*key, F.col(f"`{partition}`").alias("_here"))
+    return stored.join(here, list(key)).where(~F.col("_there").eqNullSafe(F.col("_here"))).select(*key)
 
 
 def upsert_touched_partitions(
@@ -212,16 +229,20 @@ def upsert_touched_partitions(
     partition: str,
     seq: Sequence[str] = (),
     nulls: str = OVERWRITE,
+    trust: bool = False,
 ) -> None:
     """Upsert a partitioned parquet table, reading and rewriting only partitions the batch touches.
 
-    ``partition`` is a column that follows from the key, such as a range of ids, so a key
-    never changes its partition. The touched values, a part of the partition list the
+    ``partition`` is a column that follows from the key, such as a range of ids. A key that the
+    table holds in another partition fails the upsert, since it would be kept twice; ``trust``
+    skips that check, which reads the key columns of the whole table. The touched values, a part of the partition list the
     driver holds for any such table, become a static partition filter. The merged
     partitions are staged first, then swapped in by dynamic partition overwrite; a
     repeated run gives the same table.
     """
     if path_exists(spark, path):
+        if not trust and not (moved := moved_keys(spark, path, batch, key, partition).limit(1)).isEmpty():
+            raise ValueError(f"a key changes its partition: {moved.first()}")
         merged = merge(touched_part(spark, path, batch, partition), batch, key, seq, nulls)
     else:
         fresh, loose = settle_batch(batch, key, seq, nulls)

@@ -74,8 +74,8 @@ def lookup_multi(spark: SparkSession, d: str) -> DataFrame:
     events = tables.parquet(spark, d, "events").select("event_id", links.alias("links"))
     ids = F.transform(primary_or_all(F.col("links"), "primary"), lambda x: x["id"])
     nations = tables.parquet(spark, d, "nation").where("n_regionkey <> 0")
-    return lookup_many(events, nations, "event_id", ids, "n_nationkey", F.col("n_name"), "nations"
-                       ).select("event_id", "nations")
+    return lookup_many(events, nations, "event_id", ids, "n_nationkey", F.col("n_name"), "nations",
+                       unique=True).select("event_id", "nations")
 
 
 @query("record_enrich", """

@@ -24,9 +24,9 @@ CLOCK = dt.datetime(2025, 6, 1, 12, 0, 0)
 def enrich_orders(df: DataFrame, customers: DataFrame, nations: DataFrame) -> DataFrame:
     """Customer and nation of each order, and whether a lookup failed."""
     with_customer = lookup(df, customers, "o_custkey", "c_custkey",
-                           {"c_name": "customer", "c_nationkey": "nation_key"}, flag="has_customer")
+                           {"c_name": "customer", "c_nationkey": "nation_key"}, flag="has_customer", unique=True)
     with_nation = lookup(with_customer, nations, "nation_key", "n_nationkey", {"n_name": "nation"},
-                         flag="has_nation")
+                         flag="has_nation", unique=True)
     return with_nation.withColumn("enrich_failed", ~(F.col("has_customer") & F.col("has_nation")))
 
 

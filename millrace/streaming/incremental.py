@@ -57,7 +57,7 @@ def stream_upsert(spark: SparkSession, stream: DataFrame, target: str, checkpoin
 
 def stream_not_synced(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str, key: str,
                       seq: Sequence[str], schema: T.StructType) -> None:
-    """Append only the first row of each id that the target has not seen.
+    """Append only the first row of each id that the target has not seen, and every row without an id.
 
     The batch number names the appended part, and the part of a repeated batch is left
     out of what counts as seen, so repeating a batch writes the same rows again in place.
@@ -66,9 +66,10 @@ def stream_not_synced(spark: SparkSession, stream: DataFrame, target: str, check
 
     def handle(batch: DataFrame, number: int) -> None:
         run_id = f"batch{number:012d}"
-        fresh = dedupe_last(batch, [key], [F.asc(s) for s in seq])
+        named = F.col(key).isNotNull()
+        fresh = dedupe_last(batch.where(named), [key], [F.asc(s) for s in seq])
         seen = read_if_present(spark, target, stored).where(F.col("run_id") < run_id).select(key)
-        append(fresh.join(seen, key, "left_anti"), target, run_id)
+        append(fresh.join(seen, key, "left_anti").unionByName(batch.where(~named)), target, run_id)
 
     run_available(stream, handle, checkpoint)
 

@@ -6,9 +6,12 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.spec import Strategy
 
+#: The type in which numbers kept as text are compared.
+EXACT = "decimal(38,9)"
 COLUMN_NAME = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 
 
@@ -19,10 +22,19 @@ def guarded(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
-def newer_by_id(df: DataFrame, column: str, last) -> DataFrame:
-    """``column > last``."""
-    value = F.lit(last).cast(df.schema[column].dataType) if last is not None else None
-    return df if value is None else df.where(guarded(df, column) > value)
+def numeric_text(df: DataFrame, column: str, kind: str | None) -> bool:
+    """Whether the column holds numbers as text, so that "10" must count as more than "9"."""
+    return kind == "NUMERIC" and isinstance(df.schema[column].dataType, T.StringType)
+
+
+def newer_by_id(df: DataFrame, column: str, last, kind: str | None = None) -> DataFrame:
+    """``column > last``; numbers kept as text are compared as numbers."""
+    if last is None:
+        return df
+    value = guarded(df, column)
+    if numeric_text(df, column, kind):
+        return df.where(value.try_cast(EXACT) > F.lit(str(last)).cast(EXACT))
+    return df.where(value > F.lit(last).cast(df.schema[column].dataType))
 
 
 def newer_by_time(df: DataFrame, column: str, last) -> DataFrame:
@@ -35,10 +47,12 @@ def capped(df: DataFrame, column: str, rows: int) -> DataFrame:
     """The first ``rows`` rows by ``column`` and every row tied with the last of them.
 
     The cut-off value comes from a top-k over one column, so nothing is sorted as a whole.
+    Rows without a value are read first, all of them: no cap leaves them out.
     """
     cutoff = df.select(column).where(F.col(column).isNotNull()).orderBy(column).limit(rows).agg(
         F.max(column).alias("cutoff")).first()["cutoff"]
-    return df.where(F.col(column) <= F.lit(cutoff)) if cutoff is not None else df.limit(0)
+    unplaced = F.col(column).isNull()
+    return df.where(unplaced | (F.col(column) <= F.lit(cutoff))) if cutoff is not None else df.where(unplaced)
 
 
 def not_synced(df: DataFrame, synced: DataFrame, key: str, synced_key: str = "id") -> DataFrame:
@@ -55,17 +69,33 @@ def high_water_mark(column: str, kind: str, compat: bool = False) -> Column:
     return value.cast("string")
 
 
+def next_bookmark(df: DataFrame, column: str, kind: str | None) -> Column:
+    """Aggregate for the bookmark a flow saves: the text of the largest value.
+
+    Times carry their offset, so a run in another session time zone reads on from the same
+    moment; numbers kept as text are compared as numbers.
+    """
+    if numeric_text(df, column, kind):
+        return F.max_by(column, F.col(column).try_cast(EXACT))
+    if isinstance(df.schema[column].dataType, T.TimestampType):
+        return F.date_format(F.max(column), "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
+    return high_water_mark(column, kind)
+
+
 def incremental(df: DataFrame, strategy: Strategy, column: str | None, last, cap: int | None = None,
-                key: str | None = None) -> DataFrame:
+                key: str | None = None, kind: str | None = None) -> DataFrame:
     """The rows a run reads. Without a bookmark all rows.
 
-    A cap cuts in the order of the incremental column, or of the key where there is none.
+    A cap cuts in the order of the incremental column, or of the key where there is none. A full
+    read takes no cap: nothing would move it on, so every run would read the same rows.
     """
+    if cap and strategy is Strategy.FULL:
+        raise ValueError("a full read takes no cap: use an incremental strategy or a synced set")
     out = df
     if column and strategy in (Strategy.INCREMENTAL_ID, Strategy.INCREMENTAL_TIME):
         guarded(df, column)
-        newer = newer_by_id if strategy is Strategy.INCREMENTAL_ID else newer_by_time
-        out = newer(df, column, last)
+        out = (newer_by_id(df, column, last, kind) if strategy is Strategy.INCREMENTAL_ID
+               else newer_by_time(df, column, last))
     order = column or key
     return capped(out, order, cap) if cap and order else out
 
