@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +11,20 @@ from millrace.workspace import materialise
 
 
 def descend(edges: DataFrame, roots: DataFrame, node: str = "id", parent: str = "parent_id",
-            max_depth: int = 64) -> DataFrame:
+            max_depth: int | None = None) -> DataFrame:
     """Every node at or below ``roots`` as ``(id, depth, path)``; ``path`` is the ids from the root.
 
     One join per level, each level written to the shared folder so that the plan stays
-    one join deep. A node met again on its own path is a cycle and fails the job.
+    one join deep. A node met again on its own path is a cycle and fails the job, so
+    the loop ends without a limit; a caller may set one, and a deeper tree then fails.
     """
     links = edges.select(F.col(node).alias("id"), F.col(parent).alias("parent"))
     level = materialise(roots.select(F.col(node).alias("id"), F.lit(0).alias("depth"),
                                      F.array(node).alias("path")), "level")
     found = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"hierarchy is deeper than {max_depth} levels")
         below = links.join(level.select(F.col("id").alias("parent"), "path"), "parent").select(
             "id", F.lit(depth).alias("depth"),
             F.when(F.array_contains("path", F.col("id")),
@@ -29,7 +34,6 @@ def descend(edges: DataFrame, roots: DataFrame, node: str = "id", parent: str =
         if level.isEmpty():
             return found
         found = found.unionByName(level)
-    raise ValueError(f"hierarchy is deeper than {max_depth} levels")
 
 
 def in_subtree(rows: DataFrame, category: str, edges: DataFrame, roots: DataFrame) -> DataFrame:
