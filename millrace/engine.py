@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.sinks import append
-from millrace.operators.upsert import KEEP_TARGET_ON_NULL, SnapshotTable, upsert_touched_partitions
+from millrace.operators.bucketed import BucketedTable
+from millrace.operators.upsert import KEEP_TARGET_ON_NULL, upsert_touched_partitions
 from millrace.spec import AFTER_WRITE, FlowSpec, Registry, Strategy
 from millrace.state import RunLog, StateStore
 from millrace.sync import next_bookmark, incremental, not_synced
@@ -31,7 +32,7 @@ class TableSink:
     """Parquet target: FULL appends, every other strategy upserts and keeps values on null.
 
     With ``partition``, a column that follows from the key, an upsert rewrites only the
-    partitions it touches; without it the table is replaced by a new snapshot.
+    partitions it touches; without it, only the key-hash buckets it touches.
     """
 
     path: str
@@ -46,7 +47,7 @@ class TableSink:
             upsert_touched_partitions(df.sparkSession, self.path, df, flow.key, self.partition,
                                       flow.sequence, self.nulls)
         else:
-            SnapshotTable(df.sparkSession, self.path).upsert(
+            BucketedTable(df.sparkSession, self.path).upsert(
                 df, run_id, flow.key, flow.sequence, self.nulls, stored=True)
 
 

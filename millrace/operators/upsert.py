@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.lookup import first_per_key
-from millrace.workspace import fits_broadcast, flat_schema, materialise, one_row, path_exists, read_if_present
+from millrace.workspace import fits_broadcast, materialise, path_exists
 
 OVERWRITE = "overwrite"
 KEEP_TARGET_ON_NULL = "keep"
+#: A partition is written by as many tasks as the staged rows fill files of this many rows.
+FILE_ROWS = 1_000_000
 
 
 def dedupe_last(df: DataFrame, key: Sequence[str], seq: Sequence[Column]) -> DataFrame:
@@ -65,6 +67,14 @@ def merge(
     return merged.unionByName(loose.select(*given), allowMissingColumns=True)
 
 
+def has_key(key: Sequence[str]) -> Column:
+    """Whether every key column has a value."""
+    keyed = F.lit(True)
+    for k in key:
+        keyed = keyed & F.col(f"`{k}`").isNotNull()
+    return keyed
+
+
 def settle_batch(batch: DataFrame, key: Sequence[str], seq: Sequence[str], nulls: str
                  ) -> tuple[DataFrame, DataFrame]:
     """One row per key, and apart from them the rows without a key.
@@ -72,12 +82,10 @@ def settle_batch(batch: DataFrame, key: Sequence[str], seq: Sequence[str], nulls
     Without ``seq`` the winner among several rows of a key is fixed by a hash of the
     row, so that a repeated run settles the same way.
     """
-    keyed = F.lit(True)
-    for k in key:
-        keyed = keyed & F.col(f"`{k}`").isNotNull()
+    keyed = has_key(key)
     fresh = batch.where(keyed)
     if not seq:
-        fresh = fresh.withColumn("_order", _row_hash(batch))
+        fresh = fresh.withColumn("_order", row_hash(batch))
     order = list(seq) or ["_order"]
     if nulls == KEEP_TARGET_ON_NULL:
         fresh = fold_last_non_null(fresh, key, order)
@@ -86,7 +94,8 @@ def settle_batch(batch: DataFrame, key: Sequence[str], seq: Sequence[str], nulls
     return fresh.select(*batch.columns), batch.where(~keyed)
 
 
-def _row_hash(df: DataFrame) -> Column:
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, nested values by their JSON text."""
     nested = (T.MapType, T.VariantType, T.StructType, T.ArrayType)
     return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, nested)
                         else F.col(f"`{f.name}`") for f in df.schema])
@@ -148,54 +157,6 @@ def insert_missing(target: DataFrame, batch: DataFrame, key: Sequence[str], on_c
     raise ValueError(f"unknown conflict policy: {on_conflict}")
 
 
-_COMMITS = flat_schema(version="bigint", data_path="string", run_id="string")
-
-
-class SnapshotTable:
-    """A parquet table replaced as a whole by each upsert.
-
-    Every version is written to its own path, then one commit row names it. Readers use
-    the newest commit, so they see the old version until the new one is complete, and a
-    run that dies before its commit leaves no trace in the table. One writer at a time.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _newest(self):
-        commits = read_if_present(self.spark, f"{self.root}/commits", _COMMITS)
-        return commits.orderBy(F.desc("version")).first()
-
-    def read(self) -> DataFrame | None:
-        """The newest committed version, or None before the first."""
-        return self._frame(self._newest())
-
-    def _frame(self, commit) -> DataFrame | None:
-        return self.spark.read.parquet(commit["data_path"]) if commit else None
-
-    def replace(self, df: DataFrame, run_id: str) -> None:
-        self._commit(df, run_id, self._newest())
-
-    def _commit(self, df: DataFrame, run_id: str, newest) -> None:
-        version = (newest["version"] if newest else 0) + 1
-        data_path = f"{self.root}/data/v{version}-{run_id}"
-        df.write.mode("overwrite").parquet(data_path)
-        one_row(self.spark, _COMMITS, (version, data_path, run_id)).write.mode("append").parquet(f"{self.root}/commits")
-
-    def upsert(self, batch: DataFrame, run_id: str, key: Sequence[str], seq: Sequence[str] = (),
-               nulls: str = OVERWRITE, stored: bool = False) -> None:
-        """Merge a batch. It is read several times, so it is stored first unless it already is."""
-        if not stored:
-            batch = materialise(batch, "batch")
-        newest = self._newest()
-        current = self._frame(newest)
-        if current is None:
-            fresh, loose = settle_batch(batch, key, seq, nulls)
-            self._commit(fresh.unionByName(loose), run_id, newest)
-        else:
-            self._commit(merge(current, batch, key, seq, nulls), run_id, newest)
-
-
 def partitioned(spark: SparkSession, path: str, batch: DataFrame, partition: str) -> DataFrame:
     """A stored table with its partition column typed as in the batch.
 
@@ -240,6 +201,7 @@ def upsert_touched_partitions(
     partitions are staged first, then swapped in by dynamic partition overwrite; a
     repeated run gives the same table.
     """
+    batch = materialise(batch, "batch")  # read for its values, its size, its keys and the merge
     if path_exists(spark, path):
         if not trust and not (moved := moved_keys(spark, path, batch, key, partition).limit(1)).isEmpty():
             raise ValueError(f"a key changes its partition: {moved.first()}")
@@ -248,6 +210,7 @@ def upsert_touched_partitions(
         fresh, loose = settle_batch(batch, key, seq, nulls)
         merged = fresh.unionByName(loose)
     staged = materialise(merged, "partitions")
-    (staged.repartition(partition, F.pmod(F.xxhash64(*key), F.lit(32)))
+    salts = max(1, staged.count() // FILE_ROWS)
+    (staged.repartition(partition, F.pmod(F.xxhash64(*key), F.lit(salts)))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))

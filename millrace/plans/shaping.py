@@ -11,7 +11,7 @@ from millrace.engine import TableSink, run_flow
 from millrace.functions.text import first_non_blank, render
 from millrace.operators import flatten, mapping, numbering, template, validate
 from millrace.operators.lookup import lookup
-from millrace.operators.upsert import SnapshotTable
+from millrace.operators.bucketed import BucketedTable
 from millrace.plans.catalogue import middle, query
 from millrace.sources import tables
 from millrace.spec import AFTER_READ, BEFORE_WRITE, MAPPING, TEMPLATE
@@ -87,7 +87,7 @@ def flow_run(spark: SparkSession, d: str) -> DataFrame:
     early = orders.where(F.col("o_orderkey") <= middle(orders, "o_orderkey"))
     run_flow(spark, flow, early, sink, f"{root}/state", registry, now=CLOCK)
     run_flow(spark, flow, orders, sink, f"{root}/state", registry, now=CLOCK)
-    return SnapshotTable(spark, f"{root}/target").read()
+    return BucketedTable(spark, f"{root}/target").read()
 
 
 @query("map_fields", """

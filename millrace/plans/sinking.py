@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import schema_fit, sinks, upsert
+from millrace.operators import bucketed, schema_fit, sinks, upsert
 from millrace.plans.catalogue import middle, query
 from millrace.sources import tables
 from millrace.workspace import scratch
@@ -38,8 +38,8 @@ SELECT c_custkey, c_name, c_nationkey, c_mktsegment,
   CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_acctbal ELSE 0.5 END AS c_acctbal FROM customer""")
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     target, batch = customer_halves(spark, d)
-    table = upsert.SnapshotTable(spark, scratch(spark, "upsert"))
-    table.replace(target, "load")
+    table = bucketed.BucketedTable(spark, scratch(spark, "upsert"), bucket_rows=1000)
+    table.replace(target, "load", ["c_custkey"])
     table.upsert(batch, "batch", ["c_custkey"], ["seq"])
     return table.read()
 

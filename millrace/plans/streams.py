@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.upsert import SnapshotTable
+from millrace.operators.bucketed import BucketedTable
 from millrace.plans.catalogue import query
 from millrace.sources import tables
 from millrace.streaming import incremental
@@ -36,7 +36,7 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
         stream = incremental.file_stream(spark, f"{root}/in", schema)
         incremental.stream_upsert(spark, stream, f"{root}/target", f"{root}/checkpoint", ["user_id"], ["ts", "event_id"],
                                   lambda df: df.drop("props"))
-    return SnapshotTable(spark, f"{root}/target").read()
+    return BucketedTable(spark, f"{root}/target").read()
 
 
 @query("stream_synced", "SELECT event_id, user_id, event_type, value, ts FROM events")

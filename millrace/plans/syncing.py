@@ -11,7 +11,7 @@ from millrace import sync
 from millrace.engine import TableSink, run_flow
 from millrace.operators import validate
 from millrace.operators.sinks import read_appended
-from millrace.operators.upsert import SnapshotTable
+from millrace.operators.bucketed import BucketedTable
 from millrace.plans.catalogue import middle, query
 from millrace.plans.scans import TIME_MARK
 from millrace.sources import tables
@@ -110,7 +110,7 @@ def two_run_converge(spark: SparkSession, d: str) -> DataFrame:
     early = orders.where(F.col("o_orderdate") <= F.lit("1998-01-01").cast("timestamp_ntz"))
     run_flow(spark, flow, early, sink, f"{root}/state", now=CLOCK)
     run_flow(spark, flow, orders, sink, f"{root}/state", now=CLOCK)
-    return SnapshotTable(spark, f"{root}/target").read()
+    return BucketedTable(spark, f"{root}/target").read()
 
 
 @query("runlog_latest", """

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.bucketed import BucketedTable
 from millrace.operators.sinks import append
 from millrace.operators.upsert import (
     OVERWRITE,
-    SnapshotTable,
     dedupe_last,
     upsert_touched_partitions,
 )
@@ -41,9 +41,9 @@ def stream_upsert(spark: SparkSession, stream: DataFrame, target: str, checkpoin
     """Upsert every micro-batch. A batch repeated after a failure gives the same table.
 
     With ``partition``, a column that follows from the key, only the partitions a batch
-    touches are rewritten. Without it the snapshot is replaced.
+    touches are rewritten; without it, only the key-hash buckets it touches.
     """
-    table = SnapshotTable(spark, target)
+    table = BucketedTable(spark, target)
 
     def handle(batch: DataFrame, number: int) -> None:
         rows = shape(batch) if shape else batch

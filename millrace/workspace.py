@@ -53,6 +53,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete what this library wrote at ``path``."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
 def _file_system(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place

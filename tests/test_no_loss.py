@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from millrace import sync
 from millrace.engine import TableSink, run_flow
 from millrace.operators.lookup import lookup, lookup_many
-from millrace.operators.upsert import SnapshotTable, upsert_touched_partitions
+from millrace.operators.bucketed import BucketedTable
+from millrace.operators.upsert import upsert_touched_partitions
 from millrace.sources.tables import pages_of
 from millrace.spec import FlowSpec, Strategy
 from millrace.streaming.incremental import file_stream, stream_not_synced
@@ -46,7 +47,7 @@ def test_bookmark_is_a_moment_in_any_session_zone(spark):
         assert run_flow(spark, flow, source(1, 2, 4), TableSink(f"{root}/t"), root, now=NOW).read_count == 2
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
-    assert SnapshotTable(spark, f"{root}/t").read().count() == 3
+    assert BucketedTable(spark, f"{root}/t").read().count() == 3
 
 
 def test_partition_values_stay_text_and_moved_keys_fail(spark, rows):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace import sync
 from millrace.engine import TableSink, run_flow
 from millrace.operators.sinks import read_appended
-from millrace.operators.upsert import SnapshotTable
+from millrace.operators.bucketed import BucketedTable
 from millrace.spec import AFTER_WRITE, COLUMN_TYPES, ColumnSpec, FieldMapping, FlowSpec, Registry, Stage, Step
 from millrace.spec import Strategy, column_schema
 from millrace.state import RunLog, StateStore, retained
@@ -79,7 +79,7 @@ def test_two_runs_by_id(spark):
     second = run_flow(spark, flow, ids(spark, 0, 8), sink, f"{root}/s", now=NOW)
     assert (first.read_count, second.read_count) == (5, 3)
     assert (second.bookmark_before, second.bookmark_after) == ("4", "7")
-    assert SnapshotTable(spark, f"{root}/t").read().count() == 8
+    assert BucketedTable(spark, f"{root}/t").read().count() == 8
     idle = run_flow(spark, flow, ids(spark, 0, 8), sink, f"{root}/s", now=NOW)
     assert idle.read_count == 0 and StateStore(spark, f"{root}/s").load(1).last_value == "7"
 
@@ -146,7 +146,7 @@ def test_reader_function_is_called_once_with_the_bookmark(spark):
     assert first.read_count == 2 and any("cap" in m for m in first.messages)
     run_flow(spark, flow, reader, TableSink(f"{root}/t"), root, now=NOW)
     assert calls == [("INCREMENTAL_ID", None), ("INCREMENTAL_ID", "1")]
-    assert SnapshotTable(spark, f"{root}/t").read().count() == 4
+    assert BucketedTable(spark, f"{root}/t").read().count() == 4
 
 
 def test_cap_applies_to_every_strategy_and_reaches_the_end(spark):
@@ -155,7 +155,7 @@ def test_cap_applies_to_every_strategy_and_reaches_the_end(spark):
         run_flow(spark, FlowSpec(11, "f", cap=2), ids(spark, 0, 5), TableSink(f"{root}/f"), root, now=NOW)
     once = FlowSpec(12, "o", Strategy.SYNCED_SET, cap=2)
     reads = [run_flow(spark, once, ids(spark, 0, 5), TableSink(f"{root}/o"), root, now=NOW).read_count for _ in range(4)]
-    assert reads == [2, 2, 1, 0] and SnapshotTable(spark, f"{root}/o").read().count() == 5
+    assert reads == [2, 2, 1, 0] and BucketedTable(spark, f"{root}/o").read().count() == 5
 
 
 def test_reader_options():

@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.operators import upsert
+from millrace.operators import bucketed, upsert
 from millrace.workspace import scratch
 
 SCHEMA = "id int, a string, b string, seq int"
@@ -67,10 +67,10 @@ def test_merge_equals_ordered_row_upserts_and_is_idempotent(spark, changes, keep
 
 
 def test_snapshot_keeps_old_version_until_commit(spark, rows):
-    table = upsert.SnapshotTable(spark, scratch(spark, "t"))
+    table = bucketed.BucketedTable(spark, scratch(spark, "t"))
     assert table.read() is None
     target, batch = frames(spark)
-    table.replace(target, "r1")
+    table.replace(target, "r1", ["id"])
     before = table.read()
     table.upsert(batch.where("id IS NOT NULL"), "r2", ["id"], ["seq"])
     assert len(rows(before)) == 2 and len(rows(table.read())) == 3
@@ -78,6 +78,36 @@ def test_snapshot_keeps_old_version_until_commit(spark, rows):
     assert len(rows(table.read())) == 3
 
 
+def test_bucketed_upsert_leaves_untouched_buckets(spark, rows):
+    table = bucketed.BucketedTable(spark, scratch(spark, "b"), bucket_rows=10)
+    table.replace(spark.range(100).selectExpr("cast(id AS string) AS id", "'old' AS v"), "load", ["id"])
+    before = set(table.read().inputFiles())
+    for run in ("r1", "r2", "r3"):
+        change = spark.createDataFrame([("7", run), ("new", run), (None, run)], "id string, v string")
+        table.upsert(change, run, ["id"])
+    after = table.read()
+    assert len(before & set(after.inputFiles())) >= 8
+    assert after.count() == 104 and after.where("v = 'old'").count() == 99
+    assert rows(after.where("id IS NULL"), "v") == [("r1",), ("r2",), ("r3",)]
+    assert rows(after.where("id IN ('7', 'new')"), "id", "v") == [("7", "r3"), ("new", "r3")]
+
+
+def test_bucketed_table_deals_anew_when_it_grows(spark, rows):
+    table = bucketed.BucketedTable(spark, scratch(spark, "g"), bucket_rows=10)
+    for run in range(5):
+        change = spark.range(run * 20, run * 20 + 30).selectExpr("CAST(id AS int) AS id", f"{run} AS v")
+        table.upsert(change.union(spark.createDataFrame([(None, run)], "id int, v int")), f"r{run}", ["id"])
+    out = table.read()
+    assert sorted((r.id, r.v) for r in out.where("id IS NOT NULL").collect()) == [(i, min(i // 20, 4)) for i in range(110)]
+    assert out.where("id IS NULL").count() == 5 and table._state().buckets > 3
+
+
+def test_bucketed_table_replaced_by_nothing_is_empty(spark):
+    table = bucketed.BucketedTable(spark, scratch(spark, "e"))
+    table.replace(spark.createDataFrame([], "id int, v string"), "r", ["id"])
+    assert table.read().columns == ["id", "v"] and table.read().count() == 0
+
+
 def test_touched_partitions_only(spark, rows):
     path = scratch(spark, "p")
     spark.range(20).selectExpr("id", "'old' AS v", "id DIV 10 AS part").write.partitionBy("part").parquet(path)
