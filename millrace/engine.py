@@ -97,7 +97,7 @@ def run_flow(
         notes.append((dt.datetime.now(), level, message))
 
     entry = {"flow_id": flow.flow_id, "run_id": run_id, "flow_name": flow.name,
-             "strategy": flow.strategy.name, "start_time": started, "fail_count": 0}
+             "strategy": flow.strategy.name, "start_time": started}
 
     def finish(status: str, **values) -> None:
         ended = dt.datetime.now()
@@ -131,12 +131,18 @@ def run_flow(
             note("WARN", f"read reached the cap of {flow.cap} rows; more may be waiting")
 
         succeeded = sink.write(rows, flow, run_id) if write_count and not once else None
-        after = None
+        after, failed = None, 0
         if flow.strategy is Strategy.SYNCED_SET and write_count:
             ids = rows.select(flow.key[0]) if succeeded is None else succeeded
             state.add_synced(flow.flow_id, ids, run_id)
-            write_count = write_count if succeeded is None else succeeded.count()
-        if tracked:
+        if succeeded is not None:
+            done = succeeded.count()
+            failed, write_count = write_count - done, done
+        if failed:
+            note("WARN", f"{failed} rows failed at the target")
+        if tracked and failed:
+            note("WARN", "the bookmark stays, so that the failed rows are read again")
+        elif tracked:
             after = read["mark"]
             if after is None:
                 note("WARN", f"no value of {column} was read; the bookmark stays")
@@ -147,9 +153,10 @@ def run_flow(
         for callback in callbacks:
             callback(rows)
         finish("SUCCESS", read_count=read_count, success_count=shaped.get["rows"],
-               write_count=write_count, bookmark_before=before.last_value, bookmark_after=after)
+               write_count=write_count, fail_count=failed, bookmark_before=before.last_value,
+               bookmark_after=after)
     except Exception as problem:
-        finish("FAILED", read_count=0, success_count=0, write_count=0,
+        finish("FAILED", read_count=0, success_count=0, write_count=0, fail_count=0,
                error_message=str(problem))
         raise
     return RunResult(run_id, read_count, shaped.get["rows"], write_count, before.last_value, after,

@@ -114,10 +114,11 @@ def json_to_kv(df: DataFrame, body: str, keys: Sequence[str]) -> DataFrame:
     """Every leaf as ``(key, value)`` with keys like ``a.b[0].c``; null leaves become blank.
 
     Text that does not parse, and scalar roots, give no rows. Levels are opened by
-    column expressions; their number is the deepest nesting found in the data, so no
-    document is cut. Leaves stay in the row's array until one final explode.
+    column expressions; their number is the deepest nesting of any text that parses, so
+    no document is cut and broken text adds no level. Leaves stay in the row's array until one final explode.
     """
-    depth = df.agg(F.max(nesting_depth(F.col(body))).alias("d")).first()["d"] or 0
+    parses = F.try_parse_json(F.col(body)).isNotNull()
+    depth = df.agg(F.max(F.when(parses, nesting_depth(F.col(body)))).alias("d")).first()["d"] or 0
     root = F.try_parse_json(F.col(body))
     nodes = F.array(F.struct(F.lit("").alias("key"), root.alias("node")))
     frame = df.select(*keys, F.filter(nodes, lambda n: _is_container(n["node"])).alias("_nodes"))

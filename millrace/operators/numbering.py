@@ -8,32 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.upsert import row_hash
 from millrace.workspace import fits_broadcast, materialise
 
 
-def running_number(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    out: str = "number",
-    max_group_rows: int = 10_000_000,
-) -> DataFrame:
-    """1, 2, 3 … per group in the order given; ``order`` is unique within a group.
+def running_number(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "number") -> DataFrame:
+    """1, 2, 3 … per group in the order given; rows that tie are put in order by their content.
 
-    Group sizes are counted first (combined before the shuffle). While the largest fits
-    one task a window numbers them. Beyond that, rows are range-partitioned by group and
-    order, written once with their place inside the partition, and shifted by the rows
-    the same group has in earlier partitions. No task then holds more than one range.
+    Rows are range-partitioned by group and order, written once with their place inside the
+    partition, and shifted by the rows the same group has in earlier partitions. No task holds
+    more than one range, however large a group is.
     """
-    largest = df.groupBy(*group).count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if largest <= max_group_rows:
-        window = W.partitionBy(*group).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(window).cast("bigint"))
-    return _ranged_number(df, group, order, out)
-
-
-def _ranged_number(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    keys = [*group, *order]
+    keys = [*group, *order, row_hash(df)]
     place = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(
         "*", F.shiftright(place, 33).alias("_part"),
@@ -63,12 +49,12 @@ def group_to_list(
     order: Sequence[str],
     item: Column,
     default_group: str,
-    page_rows: int = 100_000,
+    page_rows: int,
 ) -> DataFrame:
     """Ordered list of items per group; blank groups take the default name.
 
-    A list longer than ``page_rows`` continues on the next page, so an array never
-    outgrows a row while every item is kept.
+    Lists come in pages of the length the caller asks for, so an array never outgrows a
+    row while every item is kept.
     """
     named = df.select(F.coalesce(F.nullif(group, F.lit("")), F.lit(default_group)).alias("group"),
                       *order, item.alias("_item"))

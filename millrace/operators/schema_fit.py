@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from millrace.operators.json_ops import explode_items
 
 TEXT_TYPE = "VARCHAR(2000)"
+KEY_TEXT_TYPE = "VARCHAR(255)"
+#: Databases that quote names with backticks.
+MYSQL_FAMILY = ("mysql", "mariadb", "tidb", "oceanbase")
 
 # How each database declares the generated id column; the first entry whose
 # name occurs in the database type applies, else the SQL standard form.
@@ -64,11 +67,20 @@ def id_column(db_type: str | None) -> str:
     return ID_COLUMN_STANDARD
 
 
-def create_table_ddl(table: str, schema: T.StructType, db_type: str | None = None) -> str:
-    """CREATE TABLE text; the generated id is added unless the rows bring one."""
-    parts = [f'"{f.name}" {compat_type(f.dataType)}' for f in schema.fields]
+def create_table_ddl(table: str, schema: T.StructType, db_type: str | None = None, key: Sequence[str] = ()) -> str:
+    """CREATE TABLE text; the generated id is added unless the rows bring one.
+
+    The columns of ``key`` are declared unique together, as an upsert at the database needs it;
+    text among them is short enough to be indexed.
+    """
+    quote = "`" if (db_type or "").lower() in MYSQL_FAMILY else '"'
+    kinds = {f.name: compat_type(f.dataType) for f in schema.fields}
+    parts = [f"{quote}{name}{quote} {KEY_TEXT_TYPE if name in key and kind == TEXT_TYPE else kind}"
+             for name, kind in kinds.items()]
     if not any(f.name.lower() == "id" for f in schema.fields):
         parts.insert(0, id_column(db_type))
+    if key:
+        parts.append(f"UNIQUE ({', '.join(quote + k + quote for k in key)})")
     return f"CREATE TABLE {table} ({', '.join(parts)})"
 
 

@@ -24,6 +24,7 @@ OBJECT_TAG = "数字对象"
 OBJECT_FIELDS = ["数字对象标识", "格式信息", "计算机文件名", "计算机文件大小", "数字摘要"]
 OBJECT_LABEL = "文档"
 DEFAULT_CATEGORY = "JX16"
+CASE_FIELD = "案卷号"
 
 # The built-in fields, in document order: tag, source columns by priority, default.
 DEFAULT_FIELDS = [
@@ -183,9 +184,11 @@ def _block(tag: str, inner: Column) -> Column:
 
 
 def archive_manifest(df: DataFrame, record_id: Column, files: Column, class_no: Column, case_no: Column,
-                     xml: Column) -> DataFrame:
-    """One manifest row per record; a record without id or files is marked failed with the reason."""
-    error = F.when(F.coalesce(record_id, F.lit("")) == "", F.lit("no identifier")).when(
+                     xml: Column, failed: Column | None = None) -> DataFrame:
+    """One manifest row per record; a record without id or files, or that failed before, has the reason."""
+    before = F.lit(False) if failed is None else failed
+    error = F.when(before, F.lit("enrichment failed")).when(
+        F.coalesce(record_id, F.lit("")) == "", F.lit("no identifier")).when(
         F.size(files) == 0, F.lit("no files"))
     return df.select(record_id.alias("id"), class_no.alias("entity_class"), case_no.alias("case_no"),
                      F.when(error.isNull(), xml).alias("metadata_xml"), files.alias("files"),

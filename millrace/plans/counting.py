@@ -50,7 +50,8 @@ def group_to_list(spark: SparkSession, d: str) -> DataFrame:
     nation = tables.parquet(spark, d, "nation")
     region = tables.parquet(spark, d, "region").where("r_name <> 'ASIA'")
     named = nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left")
-    lists = numbering.group_to_list(named, F.col("r_name"), ["n_nationkey"], F.col("n_name"), "default")
+    lists = numbering.group_to_list(named, F.col("r_name"), ["n_nationkey"], F.col("n_name"), "default",
+                                    page_rows=1000)
     return lists.select("group", "page", F.array_join("items", ",").alias("items"))
 
 
@@ -84,10 +85,10 @@ def case_number(spark: SparkSession, d: str) -> DataFrame:
 @query("running_number_ranged", """
 SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS number FROM events""")
 def running_number_ranged(spark: SparkSession, d: str) -> DataFrame:
-    """The same numbering when a group is too large for one task."""
+    """Numbers within groups that are large."""
     events = tables.parquet(spark, d, "events").select("event_id", "event_type", "ts")
-    return numbering.running_number(events, ["event_type"], ["ts", "event_id"], max_group_rows=10
-                                    ).select("event_id", "event_type", "number")
+    return numbering.running_number(events, ["event_type"], ["ts", "event_id"]).select(
+        "event_id", "event_type", "number")
 
 
 def order_history(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -10,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.lookup import first_per_key
-from millrace.operators.schema_fit import compat_type, create_table_ddl
+from millrace.operators.schema_fit import MYSQL_FAMILY, compat_type, create_table_ddl
+from millrace.operators.upsert import KEEP_TARGET_ON_NULL, settle_batch
 from millrace.sources.tables import is_read
 from millrace.spec import FlowSpec, Strategy
 
 # Database type (lower case) → URL form, default port, driver class.
+# For trino and presto, db names the catalog, or catalog/schema.
 DIALECTS = {
     "mysql": ("jdbc:mysql://{host}:{port}/{db}", 3306, "com.mysql.cj.jdbc.Driver"),
-    "mariadb": ("jdbc:mysql://{host}:{port}/{db}", 3306, "org.mariadb.jdbc.Driver"),
+    "mariadb": ("jdbc:mariadb://{host}:{port}/{db}", 3306, "org.mariadb.jdbc.Driver"),
     "tidb": ("jdbc:mysql://{host}:{port}/{db}", 3306, "com.mysql.cj.jdbc.Driver"),
     "oceanbase": ("jdbc:mysql://{host}:{port}/{db}", 3306, "com.mysql.cj.jdbc.Driver"),
     "postgresql": ("jdbc:postgresql://{host}:{port}/{db}", 5432, "org.postgresql.Driver"),
@@ -30,8 +33,8 @@ DIALECTS = {
     "clickhouse": ("jdbc:clickhouse://{host}:{port}/{db}", 8123,
                    "com.clickhouse.jdbc.ClickHouseDriver"),
     "db2": ("jdbc:db2://{host}:{port}/{db}", 50000, "com.ibm.db2.jcc.DB2Driver"),
-    "trino": ("jdbc:trino://{host}:{port}/catalog/{db}", 8080, "io.trino.jdbc.TrinoDriver"),
-    "presto": ("jdbc:trino://{host}:{port}/catalog/{db}", 8080, "com.facebook.presto.jdbc.PrestoDriver"),
+    "trino": ("jdbc:trino://{host}:{port}/{db}", 8080, "io.trino.jdbc.TrinoDriver"),
+    "presto": ("jdbc:presto://{host}:{port}/{db}", 8080, "com.facebook.presto.jdbc.PrestoDriver"),
     "derby": ("jdbc:derby:{db};create=true", None, "org.apache.derby.iapi.jdbc.AutoloadedDriver"),
     "hsqldb": ("jdbc:hsqldb:hsql://{host}:{port}/{db}", 9001, "org.hsqldb.jdbc.JDBCDriver"),
     "tdengine": ("jdbc:TAOS://{host}:{port}/{db}", 6030, "com.taosdata.jdbc.TSDBDriver"),
@@ -43,7 +46,6 @@ DIALECTS = {
     "snowflake": ("jdbc:snowflake://{host}.snowflakecomputing.com/?db={db}&schema=PUBLIC", None,
                   "net.snowflake.client.jdbc.SnowflakeDriver"),
 }
-MYSQL_FAMILY = ("mysql", "mariadb", "tidb", "oceanbase")
 MYSQL_PARAMS = ("useUnicode=true&characterEncoding={charset}&useSSL=false&serverTimezone={zone}"
                 "&allowPublicKeyRetrieval=true")
 POSTGRES_FAMILY = ("postgresql", "greenplum")
@@ -191,9 +193,15 @@ def execute(spark: SparkSession, target: JdbcTarget, statements: Sequence[str])
             raise
 
 
-def merge_statements(db_type: str, table: str, stage: str, columns: Sequence[str], key: Sequence[str]
-                     ) -> list[str]:
-    """SQL that folds a staging table into the target, in the form the database knows."""
+def merge_statements(db_type: str, table: str, stage: str, columns: Sequence[str], key: Sequence[str],
+                     nulls: str = KEEP_TARGET_ON_NULL) -> list[str]:
+    """SQL that folds a staging table into the target, in the form the database knows.
+
+    With ``nulls="keep"`` a null leaves the target's value.
+    """
+    def value(new: str, old: str) -> str:
+        return f"COALESCE({new}, {old})" if nulls == KEEP_TARGET_ON_NULL else new
+
     quoted = [f'"{c}"' for c in columns]
     names = ", ".join(quoted)
     rest = [f'"{c}"' for c in columns if c not in key]
@@ -201,42 +209,52 @@ def merge_statements(db_type: str, table: str, stage: str, columns: Sequence[str
     kind = db_type.lower()
     if kind in MYSQL_FAMILY:
         back = [c.replace('"', "`") for c in quoted]
-        sets = ", ".join(f"`{c}` = VALUES(`{c}`)" for c in columns if c not in key)
+        sets = ", ".join(f"`{c}` = {value(f'VALUES(`{c}`)', f'{table}.`{c}`')}" for c in columns if c not in key)
         return [f"INSERT INTO {table} ({', '.join(back)}) SELECT {', '.join(back)} FROM {stage} "
                 f"ON DUPLICATE KEY UPDATE {sets or back[0] + ' = ' + back[0]}"]
     if kind in POSTGRES_FAMILY:
-        sets = ", ".join(f"{c} = EXCLUDED.{c}" for c in rest)
+        sets = ", ".join(f"{c} = {value(f'EXCLUDED.{c}', f'{table}.{c}')}" for c in rest)
         target_key = ", ".join(f'"{k}"' for k in key)
         return [f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage} "
                 f"ON CONFLICT ({target_key}) DO " + (f"UPDATE SET {sets}" if rest else "NOTHING")]
     if kind in MERGE_FAMILY:
-        sets = ", ".join(f"{c} = s.{c}" for c in rest)
+        sets = ", ".join(f"{c} = {value(f's.{c}', f't.{c}')}" for c in rest)
         values = ", ".join(f"s.{c}" for c in quoted)
         update = f"WHEN MATCHED THEN UPDATE SET {sets} " if rest else ""
         return [f"MERGE INTO {table} t USING {stage} s ON {same} {update}"
                 f"WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values})"]
-    sets = ", ".join(f"{c} = (SELECT s.{c} FROM {stage} s WHERE {same.replace('t.', table + '.')})"
-                     for c in rest)
-    exists = f"EXISTS (SELECT 1 FROM {stage} s WHERE {same.replace('t.', table + '.')})"
+    here = " AND ".join(f'{table}."{k}" = s."{k}"' for k in key)
+    sets = ", ".join(f"{c} = {value(f'(SELECT s.{c} FROM {stage} s WHERE {here})', c)}" for c in rest)
+    exists = f"EXISTS (SELECT 1 FROM {stage} s WHERE {here})"
     missing = f"NOT EXISTS (SELECT 1 FROM {table} t WHERE {same})"
     update = [f"UPDATE {table} SET {sets} WHERE {exists}"] if rest else []
     return [*update,
             f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage} s WHERE {missing}"]
 
 
-def upsert(df: DataFrame, target: JdbcTarget, table: str, key: Sequence[str], seq: Sequence[str] = ()
-           ) -> int:
-    """Write a staging table in parallel, then fold it in with one statement at the database."""
-    if seq:
-        df = first_per_key(df, key, [F.desc(s) for s in seq])
-    stage = f"{table}_stage"
-    append(df, target, stage, mode="overwrite")
+def upsert(df: DataFrame, target: JdbcTarget, table: str, key: Sequence[str], seq: Sequence[str] = (),
+           nulls: str = KEEP_TARGET_ON_NULL) -> int:
+    """Write a staging table in parallel, then fold it in with one statement at the database.
+
+    The batch is settled to one row per key first. The staging table has a name of its own and
+    goes in the end. Rows without a key cannot match and are inserted.
+    """
     spark = df.sparkSession
-    return execute(spark, target, merge_statements(target.db_type, table, stage, df.columns, key))
+    fresh, loose = settle_batch(df, key, seq, nulls)
+    stage = f"{table}_s{uuid.uuid4().hex[:12]}"
+    try:
+        append(fresh, target, stage, mode="overwrite")
+        affected = execute(spark, target, merge_statements(target.db_type, table, stage, df.columns, key, nulls))
+    finally:
+        if table_exists(spark, target, stage):
+            execute(spark, target, [f"DROP TABLE {stage}"])
+    if not loose.isEmpty():
+        append(loose, target, table)
+    return affected
 
 
-def create_table(spark: SparkSession, target: JdbcTarget, table: str, df: DataFrame) -> str:
-    ddl = create_table_ddl(table, df.schema, target.db_type)
+def create_table(spark: SparkSession, target: JdbcTarget, table: str, df: DataFrame, key: Sequence[str] = ()) -> str:
+    ddl = create_table_ddl(table, df.schema, target.db_type, key)
     execute(spark, target, [ddl])
     return ddl
 
@@ -257,7 +275,8 @@ class JdbcSink:
 
     def write(self, df: DataFrame, flow: FlowSpec, run_id: str) -> None:
         if not table_exists(df.sparkSession, self.target, self.table):
-            create_table(df.sparkSession, self.target, self.table, df)
+            key = () if flow.strategy is Strategy.FULL else flow.key
+            create_table(df.sparkSession, self.target, self.table, df, key)
         if flow.strategy is Strategy.FULL:
             append(df, self.target, self.table)
         else:

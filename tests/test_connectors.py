@@ -36,6 +36,16 @@ def test_jdbc_upsert_last_wins(spark, derby, rows):
     assert rows(jdbc.read(spark, derby, "U").selectExpr("id", "a")) == [(1, "b"), (2, "c")]
 
 
+def test_jdbc_upsert_settles_keeps_values_and_drops_its_stage(spark, derby, rows):
+    shape = spark.createDataFrame([], "id long, a string, b string")
+    assert jdbc.create_table(spark, derby, "V", shape, ["id"]).endswith('UNIQUE ("id"))')
+    batch = spark.createDataFrame([(1, "a", None), (1, None, "b"), (2, "c", "d")], shape.schema)
+    jdbc.upsert(batch, derby, "V", ["id"])
+    jdbc.upsert(spark.createDataFrame([(2, None, "e"), (None, "n", "n")], shape.schema), derby, "V", ["id"])
+    assert rows(jdbc.read(spark, derby, "V").select("id", "a", "b")) == [(1, "a", "b"), (2, "c", "e"), (None, "n", "n")]
+    assert [t for t in jdbc.list_tables(spark, derby) if t.upper().startswith("V_S")] == []
+
+
 def test_jdbc_sink_in_a_flow(spark, derby):
     state = scratch(spark, "state")
     assert not jdbc.table_exists(spark, derby, "f")
@@ -63,9 +73,18 @@ def test_merge_statement_forms(kind, start):
     assert jdbc.merge_statements(kind, "t", "s", ["id", "a"], ["id"])[0].startswith(start)
 
 
+@pytest.mark.parametrize("kind, kept", [
+    ("MySQL", "`a` = COALESCE(VALUES(`a`), t.`a`)"), ("PostgreSQL", '"a" = COALESCE(EXCLUDED."a", t."a")'),
+    ("Oracle", '"a" = COALESCE(s."a", t."a")'), ("SQLite", '"a" = COALESCE((SELECT s."a" FROM s s WHERE t."id" = s."id"), "a")')])
+def test_merge_statements_keep_values_on_null(kind, kept):
+    assert kept in jdbc.merge_statements(kind, "t", "s", ["id", "a"], ["id"])[0]
+    assert "COALESCE" not in jdbc.merge_statements(kind, "t", "s", ["id", "a"], ["id"], "overwrite")[0]
+
+
 @pytest.mark.parametrize("kind, url", [
     ("PostgreSQL", "jdbc:postgresql://h:5432/d"), ("Oracle", "jdbc:oracle:thin:@h:1521:d"),
-    ("H2", "jdbc:h2:d;MODE=MySQL"), ("Trino", "jdbc:trino://h:8080/catalog/d"),
+    ("H2", "jdbc:h2:d;MODE=MySQL"), ("Trino", "jdbc:trino://h:8080/d"),
+    ("Presto", "jdbc:presto://h:8080/d"), ("MariaDB", "jdbc:mariadb://h:3306/d"),
     ("Other", "jdbc:other://h:9/d"), ("Drill", "jdbc:drill:drillbit=h:31010")])
 def test_urls(kind, url):
     port = 9 if kind == "Other" else None

@@ -30,10 +30,15 @@ def test_primary_or_all(spark):
     assert [r[0] for r in out] == [[2], [1, 2]]
 
 
-@pytest.mark.parametrize("limit", [10**6, 3])
-def test_running_number_with_one_hot_group(spark, limit):
+def test_running_number_settles_ties_by_content(spark):
+    df = spark.createDataFrame([("g", 1, v) for v in "abcdef"], "g string, t int, v string")
+    first, again = ({r.v: r.number for r in numbering.running_number(df.orderBy(o), ["g"], ["t"]).collect()} for o in ("v", F.desc("v")))
+    assert first == again and sorted(first.values()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_running_number_with_one_hot_group(spark):
     df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN 'hot' WHEN id % 2 = 0 THEN NULL ELSE concat('g', id) END AS g")
-    out = numbering.running_number(df, ["g"], ["id"], max_group_rows=limit).collect()
+    out = numbering.running_number(df, ["g"], ["id"]).collect()
     seen, bad = {}, 0
     for row in sorted(out, key=lambda r: r.id):
         seen[row.g] = seen.get(row.g, 0) + 1
