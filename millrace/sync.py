@@ -28,12 +28,17 @@ def numeric_text(df: DataFrame, column: str, kind: str | None) -> bool:
 
 
 def newer_by_id(df: DataFrame, column: str, last, kind: str | None = None) -> DataFrame:
-    """``column > last``; numbers kept as text are compared as numbers."""
+    """``column > last``; numbers kept as text are compared as numbers.
+
+    Text that is no number has no place before or after the bookmark: it is read again and absorbed
+    by the upsert.
+    """
     if last is None:
         return df
     value = guarded(df, column)
     if numeric_text(df, column, kind):
-        return df.where(value.try_cast(EXACT) > F.lit(str(last)).cast(EXACT))
+        number = value.try_cast(EXACT)
+        return df.where((number > F.lit(str(last)).cast(EXACT)) | (value.isNotNull() & number.isNull()))
     return df.where(value > F.lit(last).cast(df.schema[column].dataType))
 
 
@@ -43,16 +48,17 @@ def newer_by_time(df: DataFrame, column: str, last) -> DataFrame:
     return df if value is None else df.where(guarded(df, column) >= value)
 
 
-def capped(df: DataFrame, column: str, rows: int) -> DataFrame:
+def capped(df: DataFrame, column: str, rows: int, kind: str | None = None) -> DataFrame:
     """The first ``rows`` rows by ``column`` and every row tied with the last of them.
 
-    The cut-off value comes from a top-k over one column, so nothing is sorted as a whole.
-    Rows without a value are read first, all of them: no cap leaves them out.
+    The cut-off value comes from a top-k over one column, so nothing is sorted as a whole. Numbers kept
+    as text are put in order as numbers, like the bookmark. Rows without a value, or with text that is
+    no number, are read first, all of them: no cap leaves them out.
     """
-    cutoff = df.select(column).where(F.col(column).isNotNull()).orderBy(column).limit(rows).agg(
-        F.max(column).alias("cutoff")).first()["cutoff"]
-    unplaced = F.col(column).isNull()
-    return df.where(unplaced | (F.col(column) <= F.lit(cutoff))) if cutoff is not None else df.where(unplaced)
+    place = F.col(column).try_cast(EXACT) if numeric_text(df, column, kind) else F.col(column)
+    cutoff = df.select(place.alias("place")).where("place is not null").orderBy("place").limit(rows).agg(
+        F.max("place").alias("cutoff")).first()["cutoff"]
+    return df.where(place.isNull() | (place <= F.lit(cutoff))) if cutoff is not None else df.where(place.isNull())
 
 
 def not_synced(df: DataFrame, synced: DataFrame, key: str, synced_key: str = "id") -> DataFrame:
@@ -97,7 +103,9 @@ def incremental(df: DataFrame, strategy: Strategy, column: str | None, last, cap
         out = (newer_by_id(df, column, last, kind) if strategy is Strategy.INCREMENTAL_ID
                else newer_by_time(df, column, last))
     order = column or key
-    return capped(out, order, cap) if cap and order else out
+    if not (cap and order):
+        return out
+    return capped(out, order, cap, kind if strategy is Strategy.INCREMENTAL_ID else None)
 
 
 def reader_options(strategy: Strategy, column: str | None, last) -> dict[str, str]:

@@ -35,6 +35,18 @@ def test_numbers_kept_as_text_are_compared_as_numbers(spark):
     assert (first.bookmark_after, second.bookmark_after, second.read_count) == ("10", "100", 2)
 
 
+def test_capped_numbers_kept_as_text_all_arrive(spark):
+    root = scratch(spark, "c")
+    flow = FlowSpec(3, "f", Strategy.INCREMENTAL_ID, "id", "NUMERIC", key=("id",), cap=3)
+    def source(*names):
+        return spark.createDataFrame([(n,) for n in names], "id string")
+    wanted = [str(n) for n in range(1, 13)] + ["none"]
+    marks = [run_flow(spark, flow, source(*wanted), TableSink(f"{root}/t"), root, now=NOW).bookmark_after for _ in range(4)]
+    assert marks == ["3", "6", "9", "12"]
+    run_flow(spark, flow, source(*wanted, "later", "13"), TableSink(f"{root}/t"), root, now=NOW)
+    assert {r["id"] for r in BucketedTable(spark, f"{root}/t").read().collect()} == {*wanted, "later", "13"}
+
+
 def test_bookmark_is_a_moment_in_any_session_zone(spark):
     root = scratch(spark, "z")
     flow = FlowSpec(2, "f", Strategy.INCREMENTAL_TIME, "at", "TIME", key=("id",))
