@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from millrace.llm import cotraining
 from millrace.llm import queries as llm
 from millrace.llm.bitsliced_topk import BitSlicedIndex, exact_top
 from millrace.llm.components import connected
@@ -426,6 +427,14 @@ def test_line_windows_on_edges(spark):
                    6: ("a\nb", 2, 0), 7: ("z", 5, 4), 8: ("tail", 4, 3)}
 
 
+def test_cotraining_sample_is_not_cut_below_12_000_of_either_kind(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(cotraining, "co_train", lambda view, page, marks: seen.append(Counter((marks >= 0).tolist())))
+    docs = spark.range(14_000).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    cotraining.fit(docs, spark.range(7_000).selectExpr("id AS doc_id", "id % 2 AS quality"))
+    assert seen == [{True: 7_000, False: 7_000}]
+
+
 # the pipeline
 
 def test_pipeline_stages(spark):
