@@ -178,16 +178,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 12_000, max_o
     def features(text: pd.Series) -> pd.Series:
         return pd.Series([text_features(t) for t in text])
 
-    # At most max_labelled + max_open ids go out, and as many rows of a few numbers come back, as Arrow batches.
+    # At most max_labelled + max_open ids go out. Rows of one id become one, the least, before they come back:
+    # as many rows of a few numbers, as Arrow batches.
     sample = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", *inputs(docs))
-    found = sample.select("doc_id", "label", features("body").alias("view"), "lang", "source", "chars").toArrow()
-    ids, first = np.unique(found["doc_id"].to_numpy(), return_index=True)
-    rows = found.take(first)
+    viewed = sample.select("doc_id", F.struct("label", features("body").alias("view"), "lang", "source", "chars").alias("row"))
+    rows = viewed.groupBy("doc_id").agg(F.min("row").alias("row")).select("doc_id", "row.*").toArrow().sort_by("doc_id")
     marks = rows["label"].to_numpy().astype(np.int64)
     if (marks == 0).sum() < 3 or (marks == 1).sum() < 3:
         return None
-    order = np.random.default_rng(0).permutation(len(ids))
-    view = rows["view"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
+    order = np.random.default_rng(0).permutation(len(rows))
+    view = rows["view"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)[order]
     page = np.stack([page_features(*row) for row in zip(*(rows[name].to_pylist() for name in ("lang", "source", "chars")))])[order]
     return co_train(view, page, marks[order])
 

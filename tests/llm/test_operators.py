@@ -435,6 +435,15 @@ def test_cotraining_sample_is_not_cut_below_12_000_of_either_kind(spark, monkeyp
     assert seen == [{True: 7_000, False: 7_000}]
 
 
+def test_cotraining_brings_one_row_of_an_id_to_the_driver(spark, monkeypatch):
+    kind, sizes = type(spark.range(1)), []
+    collect = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: sizes.append((found := collect(self)).num_rows) or found)
+    docs = spark.range(900).selectExpr("if(id % 3 = 0, 0, id) AS doc_id", "concat('word ', id % 7) AS text")
+    cotraining.fit(docs, spark.range(300).selectExpr("id AS doc_id", "id % 2 AS quality"))
+    assert sizes == [601]
+
+
 # the pipeline
 
 def test_pipeline_stages(spark):
