@@ -292,8 +292,9 @@ def fit(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
 
     The sample is at most ``sample`` documents of the smallest hashes, among those of up to ``most_chars``
     characters; only training leaves longer ones out. Documents are drawn by hash before their texts are
-    looked at, at a rate that makes the rows sent to the driver as many at any size. Without documents
-    all weights are zero but that nothing is a secret.
+    looked at: first about 16 times ``sample``, then, until either half is full or all documents have been
+    looked at, 16 times as many a round. Rare secrets are so found at any size, and at most ``sample`` rows
+    reach the driver. Without documents all weights are zero but that nothing is a secret.
     """
     text = F.col(text_column)
     lang = F.col(lang_column) if lang_column else F.lit(None).cast("string")
@@ -302,9 +303,13 @@ def fit(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     marked = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
     rows = []
     for part, drawn in ((marked, 16 * sample), (~marked, sample)):
-        rate = min(1_000_000, -(-1_000_000 * drawn // total))
-        some = hashed.where(F.pmod("h", F.lit(1_000_000)) < rate).where(part)
-        rows += [(r["text"], r["lang"]) for r in some.orderBy("h", "text").limit(sample // 2).collect()]
+        low, high, wanted = 0, -(-1_000_000 * drawn // total), sample // 2
+        while wanted and low < 1_000_000:
+            place = F.pmod("h", F.lit(1_000_000))
+            some = hashed.where((place >= low) & (place < high)).where(part)
+            found = some.orderBy("h", "text").limit(wanted).collect()
+            rows += [(r["text"], r["lang"]) for r in found]
+            low, high, wanted = high, 16 * high, wanted - len(found)
     views, files, tags = training_windows(rows)
     if not len(views):
         field = Field.zeros()

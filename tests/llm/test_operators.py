@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import cotraining
+from millrace.llm import cotraining, secret_crf
 from millrace.llm import queries as llm
 from millrace.llm.bitsliced_topk import BitSlicedIndex, exact_top
 from millrace.llm.components import connected
@@ -381,6 +381,14 @@ def test_field_finds_secrets_without_a_base_match(spark):
     assert got[10_001] >= 1 and got[10_002] == 0
 
 
+def test_rare_secrets_fill_their_half_of_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(secret_crf, "training_windows", lambda rows: seen.extend(rows) or (np.zeros((0, 1)),) * 3)
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "concat('word ', id, if(id % 100 = 0, ' password: x', '')) AS text", "'en' AS lang")
+    secret_crf.fit(docs, sample=40)
+    assert Counter("password" in text for text, _ in seen) == {True: 20, False: 20}
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     scores, moves = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
