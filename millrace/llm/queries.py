@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bitsliced_topk import exact_top
+from millrace.llm.conversation_trie import numbered_turns, prefix_trie, with_shared_heads
 from millrace.llm.cotraining import score_documents
 from millrace.llm.graph_search import nearest
 from millrace.llm.length_histogram import length_table
 from millrace.llm.line_windows import drop_repeated_lines
 from millrace.llm.mixing import mix_sources
 from millrace.llm.packing import pack
+from millrace.llm.phrase_mining import mine_phrases
 from millrace.llm.secret_crf import find_secrets
 from millrace.llm.simhash_groups import near_groups
+from millrace.llm.url_filter import judge_urls
+from millrace.llm.url_labels import RULES, labelled_urls
 from millrace.llm.window_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +170,94 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return drop_repeated_lines(_table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_removed").cast("bigint").alias("n_removed"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+PHRASE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, doc, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+q AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, piece, unnest(range(1, CAST(len(w) AS BIGINT) + 1)) AS pos, unnest(w) AS a FROM q),
+s AS (SELECT lang, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d, lead(a, 4) OVER o AS e
+      FROM t WINDOW o AS (PARTITION BY piece ORDER BY pos)),
+g AS (
+  SELECT lang, 1 AS size, a AS phrase, count(*) AS f FROM s GROUP BY ALL
+  UNION ALL SELECT lang, 2, a || ' ' || b AS phrase, count(*) FROM s WHERE b IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c AS phrase, count(*) FROM s WHERE c IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, a || ' ' || b || ' ' || c || ' ' || d AS phrase, count(*) FROM s WHERE d IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 5, a || ' ' || b || ' ' || c || ' ' || d || ' ' || e AS phrase, count(*) FROM s WHERE e IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE size > 1 AND f >= 100),
+x AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, max(a) AS a
+  FROM c, (SELECT unnest([1, 2, 3, 4]) AS i), (SELECT unnest([2, 3, 4]) AS k) WHERE i + k - 1 <= size AND k < size GROUP BY ALL),
+v AS (SELECT c.* FROM c LEFT JOIN x ON x.lang = c.lang AND x.phrase = c.phrase WHERE x.a IS NULL OR 100 * x.a < 100 * c.a),
+h AS (SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS head, array_to_string(list_slice(w, k + 1, size), ' ') AS tail
+      FROM v, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k < size),
+k AS (
+  SELECT h.lang, h.phrase, h.a, k, l.f AS l, r.f AS r, n.n,
+         CAST(1000 * CAST(h.a AS HUGEINT) * n.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM h JOIN g l ON l.lang = h.lang AND l.phrase = head JOIN g r ON r.lang = h.lang AND r.phrase = tail JOIN n ON n.lang = h.lang),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM k)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS "rank", phrase, CAST(a AS BIGINT) AS a,
+       CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+FROM m WHERE nth = 1 QUALIFY "rank" <= 2000
+"""
+
+
+@_query("op11_phrase_mining", PHRASE_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return mine_phrases(_table(spark, folder, "documents"))
+
+
+@_query("op12_url_filter")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(_table(spark, folder, "pages"), labelled_urls(spark), RULES)
+
+
+TRIE_SQL = r"""
+WITH t AS (
+  SELECT conv_id, ('0x' || substr(d, 1, 15))::BIGINT AS k1, ('0x' || substr(d, 16, 15))::BIGINT AS k2, turn, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+        FROM conversations WHERE conv_id IS NOT NULL)),
+p AS (
+  SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k1, k2) AS BIGINT) AS pos, role, text,
+         CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words
+  FROM t),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+           lambda crc, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END,
+                                      xor(crc, b)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM p)),
+r AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text, words FROM c JOIN p ON p.conv_id = c.base AND p.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text, words FROM c JOIN p ON p.conv_id = c.conv_id AND p.pos > c.h),
+b AS (SELECT conv_id, CAST(row_number() OVER o AS BIGINT) AS pos, words,
+             list(struct_pack(role := role, text := text)) OVER (o ROWS UNBOUNDED PRECEDING) AS path
+      FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY part, pos)),
+m AS (SELECT conv_id, pos AS depth, words, md5(CAST(path AS VARCHAR)) AS node FROM b
+      UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+l AS (SELECT conv_id, max(depth) AS len FROM m GROUP BY conv_id),
+n AS (
+  SELECT node, m.depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         coalesce(string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) FILTER (WHERE len = m.depth), '') AS ends
+  FROM m JOIN l USING (conv_id) GROUP BY node, m.depth),
+u AS (SELECT n.*, q.conv_id AS parent_conv_id, q.node AS up
+      FROM n LEFT JOIN m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1 LEFT JOIN n q ON q.node = m.node),
+k AS (SELECT up AS node, count(*) AS n_children FROM u WHERE up IS NOT NULL GROUP BY up),
+v AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k USING (node)),
+s AS (
+  SELECT a.node, sum((v.n_children = 0)::BIGINT) AS n_leaves, sum((v.n_convs - 1) * v.words) AS saved_tokens
+  FROM v JOIN m a ON a.conv_id = v.conv_id AND a.depth <= v.depth GROUP BY a.node)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM v JOIN s USING (node)
+"""
+
+
+@_query("op13_conversation_trie", TRIE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(*with_shared_heads(numbered_turns(_table(spark, folder, "conversations"))))
