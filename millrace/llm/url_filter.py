@@ -71,12 +71,9 @@ def hashed_grams(host: Column, path: Column, sizes: Sequence[int], buckets: int)
     return F.array_distinct(F.transform(hashes, lambda h: (F.pmod(h, F.lit(buckets - 1)) + 1).cast("int")))
 
 
-def _weights(values: dict[int, float], buckets: int) -> Column:
+def _constant(weights: Sequence[float]) -> Column:
     """The weights as one constant array, which the optimizer folds into a literal."""
-    text = ["0"] * buckets
-    for bucket, value in values.items():
-        text[bucket] = repr(value)
-    return F.split(F.lit(",".join(text)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
 
 
 def _logit(grams: Column, weights: Column) -> Column:
@@ -86,14 +83,14 @@ def _logit(grams: Column, weights: Column) -> Column:
 
 
 def train(labelled: DataFrame, *, sizes: Sequence[int] = (3, 4), buckets: int = 2 ** 14, rounds: int = 30,
-          rate: float = 4.0, decay: float = 1e-4, momentum: float = 0.9, most: int = 10_000) -> dict[int, float]:
-    """Weights of the model by bucket; bucket 0 is the bias, and a positive logit means block.
+          rate: float = 4.0, decay: float = 1e-4, momentum: float = 0.9, most: int = 10_000) -> list[float]:
+    """The weight of each bucket; bucket 0 is the bias, and a positive logit means block.
 
     ``labelled`` has url and label (``allow`` or ``block``). It is meant to be small: the ``most`` rows of
     smallest hash take part, repeated rows once; rows without a URL or with another label take none. Both
-    labels weigh the same in total. Each round is one aggregate over the labelled rows (full gradient,
-    Nesterov's momentum); only the weights, at most ``buckets`` numbers, come to the driver. Sums are
-    of integers, so reruns give the same model. No labelled row gives no weights.
+    labels weigh the same in total. Each round is one stored step of full gradient with Nesterov's
+    momentum: its weights are one row, which the next round reads as a scalar subquery. Sums are of
+    integers, so reruns give the same model. Without labelled rows all weights are 0.
     """
     rows = (labelled.select("url", "label").where("url IS NOT NULL AND label IN ('allow', 'block')").distinct()
             .orderBy(F.xxhash64("url", "label"), "url", "label").limit(most))
@@ -101,23 +98,26 @@ def train(labelled: DataFrame, *, sizes: Sequence[int] = (3, 4), buckets: int =
     rows = stored(rows.select((F.col("label") == "block").cast("int").alias("y"), grams.alias("grams")), "url_labelled")
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return {}
+        return [0.0] * buckets
     share = F.when(F.col("y") == 1, 1 / (2 * counts.get(1, 1))).otherwise(1 / (2 * counts.get(0, 1)))
-    ahead, last = {}, {}
+    zeros = F.array_repeat(F.lit(0.0), buckets)
+    state = labelled.sparkSession.range(0, 1, 1, 1).select(zeros.alias("ahead"), zeros.alias("last"))
     for _ in range(rounds):
-        at, before = _weights(ahead, buckets), _weights(last, buckets)
-        residual = 1 / (1 + F.exp(-_logit(F.col("grams"), at))) - F.col("y")
+        at = rows.withColumn("ahead", state.select("ahead").scalar())
+        residual = 1 / (1 + F.exp(-_logit(F.col("grams"), F.col("ahead")))) - F.col("y")
         scale = 1 / F.sqrt(F.greatest(F.size("grams"), F.lit(1)).cast("double"))
-        entries = rows.select((residual * share).alias("r"), scale.alias("scale"),
-                              F.explode(F.concat(F.array(F.lit(0)), F.col("grams"))).alias("bucket"))
+        entries = at.select((residual * share).alias("r"), scale.alias("scale"),
+                            F.explode(F.concat(F.array(F.lit(0)), F.col("grams"))).alias("bucket"))
         part = F.when(F.col("bucket") == 0, F.col("r")).otherwise(F.col("r") * F.col("scale"))
         gradient = entries.groupBy("bucket").agg(F.sum(F.round(part * PARTS).cast("bigint")).alias("g"))
-        here = F.get(at, F.col("bucket"))
-        moved = here - rate * (F.col("g") / PARTS + decay * here)
-        stepped = gradient.select("bucket", moved.alias("w"), (moved + momentum * (moved - F.get(before, F.col("bucket")))).alias("ahead"))
-        found = stepped.collect()
-        last, ahead = {r["bucket"]: r["w"] for r in found}, {r["bucket"]: r["ahead"] for r in found}
-    return last
+        # As many rows as buckets, whatever the tables' size.
+        old = state.select(F.posexplode(F.arrays_zip("ahead", "last")).alias("bucket", "w")).select("bucket", "w.*")
+        moved = old.join(gradient, "bucket", "left").select("bucket", "last", (
+            F.col("ahead") - rate * (F.coalesce("g", F.lit(0)) / PARTS + decay * F.col("ahead"))).alias("moved"))
+        ordered = F.array_sort(F.collect_list(F.struct("bucket", "moved", (
+            F.col("moved") + momentum * (F.col("moved") - F.col("last"))).alias("ahead")))).alias("w")
+        state = stored(moved.agg(ordered).select(F.col("w.ahead").alias("ahead"), F.col("w.moved").alias("last")), "url_weights")
+    return state.first()["last"]
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str]] = (), *,
@@ -130,7 +130,7 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str,
     read whole; repeated rows stay repeated; an empty table gives no rows; without labelled rows the logit
     is 0 and the verdict allow. Other columns are not read. Returns page_id, host, path, rule, logit, verdict.
     """
-    weights = _weights(train(labelled, sizes=sizes, buckets=buckets, **training), buckets)
+    weights = _constant(train(labelled, sizes=sizes, buckets=buckets, **training))
     split = pages.select(F.col(id_column).alias("page_id"), F.coalesce(host_of(F.col(url_column)), F.lit("")).alias("host"),
                          F.coalesce(path_of(F.col(url_column)), F.lit("")).alias("path"))
     host, path = F.col("host"), F.col("path")
