@@ -17,6 +17,7 @@ from millrace.operators.upsert import KEEP_TARGET_ON_NULL, upsert_touched_partit
 from millrace.spec import AFTER_WRITE, FlowSpec, Registry, Strategy
 from millrace.state import RunLog, StateStore
 from millrace.sync import next_bookmark, incremental, not_synced
+from millrace.synced import SyncedBuckets
 from millrace.workspace import materialise
 
 Reader = Callable[[Strategy, "str | None"], DataFrame]
@@ -77,6 +78,7 @@ def run_flow(
     callbacks: Sequence[Callable[[DataFrame], None]] = (),
     now: dt.datetime | None = None,
     run_id: str | None = None,
+    synced: SyncedBuckets | None = None,
 ) -> RunResult:
     """Read by strategy, apply the stages as one plan, write, then save state and log the run.
 
@@ -85,6 +87,7 @@ def run_flow(
     rows, before the stages run; the count after the stages is observed during the write.
     A full load that only appends goes straight to its sink; other shaped rows are stored
     first, because an upsert, state and later steps read them again.
+    ``synced`` keeps the ids of a synced set in buckets instead of the state folder.
     Any failure fails the run and leaves bookmark and synced ids untouched.
     """
     registry = registry or Registry()
@@ -109,7 +112,9 @@ def run_flow(
         column = flow.incremental_column
         rows = materialise(source(flow.strategy, before.last_value), "read") if callable(source) else source
         if flow.strategy is Strategy.SYNCED_SET:
-            fresh = not_synced(rows, state.synced_ids(flow.flow_id), flow.key[0])
+            bucketed = synced.at(before.epoch) if synced else None
+            fresh = (bucketed.missing(rows, flow.key[0]) if bucketed
+                     else not_synced(rows, state.synced_ids(flow.flow_id), flow.key[0]))
             rows = materialise(fresh, "fresh")  # the costly anti join runs once, for count and stages
         rows = incremental(rows, flow.strategy, column, before.last_value, flow.cap, flow.key[0], flow.incremental_type)
         tracked = flow.strategy in (Strategy.INCREMENTAL_ID, Strategy.INCREMENTAL_TIME) and column
@@ -134,7 +139,10 @@ def run_flow(
         after, failed = None, 0
         if flow.strategy is Strategy.SYNCED_SET and write_count:
             ids = rows.select(flow.key[0]) if succeeded is None else succeeded
-            state.add_synced(flow.flow_id, ids, run_id)
+            if bucketed:
+                bucketed.add(ids)
+            else:
+                state.add_synced(flow.flow_id, ids, run_id)
         if succeeded is not None:
             done = succeeded.count()
             failed, write_count = write_count - done, done

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,7 @@ from millrace.outputs import FILES, ApiSink, ArchiveSink
 from millrace.plans.catalogue import middle, query
 from millrace.plans.documents import CLOCK, archive_rows
 from millrace.sources import tables
-from millrace.sources.rest import Request, Response
+from millrace.sources.rest import Request, Response, write
 from millrace.spec import FieldMapping, FlowSpec, Registry, Strategy
 from millrace.state import SYNCED, RunLog, StateStore
 from millrace.workspace import materialise, scratch
@@ -43,6 +46,41 @@ def flow_push(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(SYNCED).parquet(f"{root}/state/synced").select("id", "run_id")
 
 
+@dataclass(frozen=True)
+class IdempotentServer:
+    """An API that keeps one result per idempotency key, below a shared folder, and breaks down once at ``breaks_at``."""
+
+    root: str
+    breaks_at: str
+
+    def __call__(self, request: Request) -> Response:
+        folder = self.root.removeprefix("file://")
+        os.makedirs(folder, exist_ok=True)
+        if request.url.endswith(f"/{self.breaks_at}") and not os.path.exists(f"{folder}/_broken"):
+            open(f"{folder}/_broken", "w").close()
+            raise ConnectionError("the server went away")
+        place = f"{folder}/{request.headers['Idempotency-Key'].replace('/', '_').replace(':', '_')}.json"
+        draft = f"{folder}/.{uuid.uuid4().hex}"
+        with open(draft, "w", encoding="utf-8") as body:
+            body.write(request.body)
+        os.replace(draft, place)
+        return Response(200, "")
+
+
+@query("push_writer", """
+SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, (SELECT count(*) FROM supplier) AS committed FROM supplier""")
+def push_writer(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers to an API that breaks down in the middle of a task: the write is repeated, each row counts once."""
+    root = scratch(spark, "push-writer")
+    suppliers = tables.parquet(spark, d, "supplier").select("s_suppkey", "s_name")
+    broken = suppliers.selectExpr("max(s_suppkey) div 2").first()[0]
+    write(suppliers.repartition(4, "s_suppkey"), IdempotentServer(f"{root}/server", str(broken)), "s_suppkey", "api://suppliers/${s_suppkey}", "run1",
+          attempts="1", commiturl="api://suppliers/done", headers={"Accept": "application/json"})
+    kept = spark.read.schema("s_suppkey string, s_name string, rows bigint").json(f"{root}/server/*.json")
+    done = kept.where("rows IS NOT NULL").select("rows").scalar()
+    return kept.where("s_suppkey IS NOT NULL").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), done.alias("committed"))
+
+
 _ARCHIVED = """
 SELECT '{run}' AS run_id, CAST(o_orderkey AS VARCHAR) AS id, year(o_orderdate) || '-' || cat AS entity_class,
   CAST(row_number() OVER (PARTITION BY year(o_orderdate), cat ORDER BY o_orderkey) AS VARCHAR) AS case_no,

@@ -17,7 +17,8 @@ from millrace.plans.scans import TIME_MARK
 from millrace.sources import tables
 from millrace.spec import FlowSpec, Strategy
 from millrace.state import RunLog, StateStore
-from millrace.workspace import scratch
+from millrace.synced import SyncedBuckets
+from millrace.workspace import materialise, scratch
 
 CLOCK = dt.datetime(2025, 6, 1, 12, 0, 0)
 
@@ -67,6 +68,20 @@ def synced_union(spark: SparkSession, d: str) -> DataFrame:
     return state.synced_ids(7).distinct()
 
 
+@query("synced_buckets", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'run1' WHEN o_orderpriority = '1-URGENT' THEN 'run2' ELSE 'run3' END AS run
+FROM orders""")
+def synced_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs over growing parts of the orders; each takes what the set of ids does not hold yet."""
+    orders = tables.parquet(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    synced, taken = SyncedBuckets(spark, scratch(spark, "synced"), buckets=8, compact_at=1), []
+    for run, offered in enumerate(("o_orderstatus = 'F'", "o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'", "true"), 1):
+        fresh = materialise(synced.missing(orders.where(offered), "o_orderkey").select("o_orderkey", F.lit(f"run{run}").alias("run")), "taken")
+        synced.add(fresh)
+        taken.append(fresh)
+    return taken[0].unionByName(taken[1]).unionByName(taken[2])
+
+
 class CheckingSink:
     """A target that accepts only rows of a positive balance and says which it took."""
 

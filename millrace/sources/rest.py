@@ -7,15 +7,26 @@ tokens and time-outs. ``FileTransport`` answers from files and is what the tests
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark import cloudpickle
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    DataSourceStreamWriter,
+    DataSourceWriter,
+    InputPartition,
+    WriterCommitMessage,
+)
 
 from millrace.operators.sinks import push_params
 
@@ -180,11 +191,15 @@ class RestReader(DataSourceReader):
         return self.call({"page": str(number + self.first_page), "offset": str(number * self.size),
                           "size": str(self.size)})
 
-    def is_short(self, number: int) -> bool:
-        """A page with fewer items than the page size: the last one, or one past the end."""
+    def items(self, number: int) -> list:
+        """The items of a page; a body without a list has none."""
         document = json.loads(self.page(number).body)
         items = at_path(document, self.items_path) if self.items_path else document
-        return not isinstance(items, list) or len(items) < self.size
+        return items if isinstance(items, list) else []
+
+    def is_short(self, number: int) -> bool:
+        """A page with fewer items than the page size: the last one, or one past the end."""
+        return len(self.items(number)) < self.size
 
     def call_count(self) -> int:
         """``offset``: from the total in page 1. ``page``: the first short page, found by
@@ -195,13 +210,17 @@ class RestReader(DataSourceReader):
         if self.paging == "offset":
             total = at_path(json.loads(self.page(0).body), self.total_path)
             return max(1, -(-int(total) // self.size))
-        full, short = -1, 0
+        return self.first_short() + 1
+
+    def first_short(self, start: int = 0) -> int:
+        """The first short page from ``start`` on, all pages before which are full."""
+        full, short = start - 1, start
         while not self.is_short(short):
-            full, short = short, 2 * short + 1
+            full, short = short, 2 * short - start + 1
         while short - full > 1:
             probe = (full + short) // 2
             full, short = (full, probe) if self.is_short(probe) else (probe, short)
-        return short + 1
+        return short
 
     def partitions(self) -> Sequence[InputPartition]:
         calls = self.call_count()
@@ -214,17 +233,178 @@ class RestReader(DataSourceReader):
             yield number, answer.status, answer.body
 
 
+class ItemRange(InputPartition):
+    """Pages of one task, and the positions of the items that the batch takes from them."""
+
+    def __init__(self, first: int, last: int, start: int, end: int):
+        super().__init__((first, last, start, end))
+        self.first, self.last, self.start, self.end = first, last, start, end
+
+
+class RestStreamReader(DataSourceStreamReader):
+    """One row ``(position, page, item)`` per item of a paged list that grows at its end.
+
+    The offset is the number of items read, so the checkpoint is the bookmark: a run that finds the last
+    page fuller than before takes only what is new on it, and a repeated batch asks for the same items. Pages are
+    counted on the driver, by the total (``offset`` paging) or by probing for the first short page
+    from the one seen last; tasks fetch them. A list that lost items since it was counted fails the
+    batch: nothing is skipped.
+    """
+
+    def __init__(self, options: Mapping[str, str]):
+        self.calls = RestReader(options)
+        if self.calls.paging not in ("page", "offset"):
+            raise ValueError("a stream of items needs paging by page or offset")
+        self.start_at = int(options.get("startat", "0"))
+        self.seen = 0
+
+    def initialOffset(self) -> dict:
+        return {"items": self.start_at}
+
+    def item_count(self) -> int:
+        calls = self.calls
+        if calls.paging == "offset":
+            return int(at_path(json.loads(calls.page(0).body), calls.total_path) or 0)
+        last = calls.first_short(self.seen // calls.size)
+        return last * calls.size + len(calls.items(last))
+
+    def latestOffset(self) -> dict:
+        self.seen = max(self.start_at, self.item_count())
+        return {"items": self.seen}
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        first, last, size, step = start["items"], end["items"], self.calls.size, self.calls.per_task
+        if last < first:
+            raise RuntimeError(f"the list shrank from {first} to {last} items")
+        if last == first:
+            return []
+        pages = range(first // size, (last - 1) // size + 1)
+        return [ItemRange(low, min(low + step, pages.stop) - 1, first, last) for low in pages[::step]]
+
+    def read(self, partition: ItemRange) -> Iterator[tuple]:
+        size = self.calls.size
+        for number in range(partition.first, partition.last + 1):
+            items, base = self.calls.items(number), number * size
+            low, high = max(partition.start, base), min(partition.end, base + size)
+            if len(items) < high - base:
+                raise RuntimeError(f"page {number} has {len(items)} items, fewer than when it was counted")
+            for position in range(low, high):
+                yield position, number, json.dumps(items[position - base], ensure_ascii=False)
+
+    def commit(self, end: dict) -> None:
+        """The offset in the checkpoint is all there is to remember."""
+
+    def stop(self) -> None:
+        """Nothing is held open between calls."""
+
+
+@dataclass
+class Sent(WriterCommitMessage):
+    """What one task sent: numbers only, so that the driver's share does not grow with the rows."""
+
+    rows: int
+
+
+class RestSender:
+    """Sends rows ``(key, params)``, one call each, under an idempotency key made of write, row key and content.
+
+    A task that Spark runs again, and a write or micro-batch that is repeated, calls with the same keys, so an API that
+    honours them keeps one result per row; equal rows under one key are one. A call that fails is tried
+    ``attempts`` times and then fails its task. When all tasks are done, ``commiturl`` (if given) is called
+    with the number of rows; after a failure ``aborturl``.
+    """
+
+    def __init__(self, options: Mapping[str, str]):
+        self.transport: Transport = cloudpickle.loads(base64.b64decode(options["transport"]))
+        self.url, self.method = options["url"], options.get("method", "POST")
+        self.headers = json.loads(options.get("headers", "{}"))
+        self.auth, self.auth_config = options.get("auth", "NONE"), json.loads(options.get("authconfig", "{}"))
+        self.attempts = int(options.get("attempts", "3"))
+        self.header = options.get("idempotencyheader", "Idempotency-Key")
+        self.write_id = options["writeid"]
+        self.commit_url, self.abort_url = options.get("commiturl"), options.get("aborturl")
+
+    def call(self, url: str, body: str, idempotency: str) -> None:
+        request = authorised(Request(url, self.method, {**self.headers, self.header: idempotency}, body), self.auth, self.auth_config)
+        for attempt in range(1, self.attempts + 1):
+            try:
+                answer = self.transport(request)
+                if answer.ok:
+                    return
+                problem = RuntimeError(f"HTTP {answer.status} from {self.method} call")
+            except Exception as failure:
+                problem = failure
+            if attempt == self.attempts:
+                raise problem
+
+    def send(self, rows: Iterator) -> Sent:
+        count = 0
+        for key, params in rows:
+            digest = hashlib.sha256("\0".join([self.write_id, key or "", params]).encode()).hexdigest()
+            self.call(fill(self.url, json.loads(params)), params, digest)
+            count += 1
+        return Sent(count)
+
+    def close(self, url: str | None, label: str, messages: Sequence[Sent | None]) -> None:
+        if url:
+            rows = sum(m.rows for m in messages if m is not None)
+            self.call(url, json.dumps({"write": label, "rows": rows}), f"{label}:{'commit' if url == self.commit_url else 'abort'}")
+
+
+class RestWriter(DataSourceWriter):
+    def __init__(self, options: Mapping[str, str]):
+        self.sender = RestSender(options)
+
+    def write(self, iterator: Iterator) -> Sent:
+        return self.sender.send(iterator)
+
+    def commit(self, messages: Sequence[Sent | None]) -> None:
+        self.sender.close(self.sender.commit_url, self.sender.write_id, messages)
+
+    def abort(self, messages: Sequence[Sent | None]) -> None:
+        self.sender.close(self.sender.abort_url, self.sender.write_id, messages)
+
+
+class RestStreamWriter(DataSourceStreamWriter):
+    """The same for micro-batches; commit and abort name the batch."""
+
+    def __init__(self, options: Mapping[str, str]):
+        self.sender = RestSender(options)
+
+    def write(self, iterator: Iterator) -> Sent:
+        return self.sender.send(iterator)
+
+    def commit(self, messages: Sequence[Sent | None], batchId: int) -> None:
+        self.sender.close(self.sender.commit_url, f"{self.sender.write_id}/{batchId}", messages)
+
+    def abort(self, messages: Sequence[Sent | None], batchId: int) -> None:
+        self.sender.close(self.sender.abort_url, f"{self.sender.write_id}/{batchId}", messages)
+
+
 class RestSource(DataSource):
+    """Calls of an API: a batch of answers, a stream of items, or an output that makes a call per row."""
+
     @classmethod
     def name(cls) -> str:
         return "rest"
 
     def schema(self) -> str:
+        if self.options.get("rows") == "items":
+            return "position bigint, page bigint, item string"
         return "page int, status int, body string"
 
     def reader(self, schema) -> DataSourceReader:
         return RestReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return RestStreamReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return RestWriter(self.options)
+
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:
+        return RestStreamWriter(self.options)
+
 
 def packed(transport: Transport) -> str:
     return base64.b64encode(cloudpickle.dumps(transport)).decode()
@@ -237,6 +417,39 @@ def read(spark: SparkSession, transport: Transport, url: str, **options: str) ->
     return spark.read.format("rest").options(transport=packed(transport), url=url, **texts).load()
 
 
+def read_stream(spark: SparkSession, transport: Transport, url: str, **options: str) -> DataFrame:
+    """Items of a paged list as they are added; see ``RestStreamReader``."""
+    spark.dataSource.register(RestSource)
+    texts = {k: v if isinstance(v, str) else json.dumps(v) for k, v in options.items()}
+    return spark.readStream.format("rest").options(transport=packed(transport), url=url, rows="items", **texts).load()
+
+
+def _sending(df: DataFrame, transport: Transport, key: str, url: str, write_id: str, options: Mapping) -> tuple[DataFrame, dict]:
+    df.sparkSession.dataSource.register(RestSource)
+    rows = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.to_json(push_params(df)).alias("params"))
+    texts = {k: v if isinstance(v, str) else json.dumps(v) for k, v in options.items()}
+    return rows, dict(transport=packed(transport), url=url, writeid=write_id, **texts)
+
+
+def write(df: DataFrame, transport: Transport, key: str, url: str, write_id: str, tries: int = 2, **options: str) -> None:
+    """One call per row, all or fail; see ``RestSender``. A write that failed is repeated under the same keys."""
+    rows, texts = _sending(df, transport, key, url, write_id, options)
+    for left in reversed(range(tries)):
+        try:
+            rows.write.format("rest").options(**texts).mode("append").save()
+            return
+        except (PySparkException, Py4JJavaError):
+            if not left:
+                raise
+
+
+def write_stream(stream: DataFrame, transport: Transport, key: str, url: str, write_id: str, checkpoint: str, **options: str) -> None:
+    """The same for what has arrived on a stream since the last call."""
+    rows, texts = _sending(stream, transport, key, url, write_id, options)
+    (rows.writeStream.format("rest").options(**texts).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+     .start().awaitTermination())
+
+
 def push(df: DataFrame, transport: Transport, key: str, url: str, method: str = "POST",
          headers: Mapping[str, str] | None = None, auth: str = "NONE",
          auth_config: Mapping[str, str] | None = None) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.operators.bucketed import BucketedTable
 from millrace.operators.sinks import append
@@ -77,3 +79,61 @@ def stream_not_synced(spark: SparkSession, stream: DataFrame, target: str, check
 def stream_drop_duplicates(stream: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
     """Bounded state: an id is remembered for ``delay`` of event time."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+
+
+class FirstOfEach(StatefulProcessor):
+    """The first row of a key, by ``seq``; later rows of it go until its state expires."""
+
+    def __init__(self, key: str, seq: Sequence[str], remember_ms: int):
+        self.key, self.seq, self.remember_ms = key, list(seq), remember_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "taken boolean", self.remember_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if key[0] is None:
+            yield from rows
+        elif not self.seen.exists():
+            self.seen.update((True,))
+            yield min(rows, key=lambda row: [(row[name] is not None, row[name]) if row[name] is not None else (False,) for name in self.seq])
+
+    def close(self) -> None:
+        """Nothing is held but the state."""
+
+
+#: Rows without an id are dealt to as many groups, so that they do not meet in one task.
+_SALTS = 256
+
+
+#: Keyed state lies in RocksDB. Batches without rows are off: state that expires by the clock would ask for them without end.
+_STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
+
+@contextmanager
+def _keyed_state(spark: SparkSession):
+    before = {name: spark.conf.get(name) for name in _STATE_SETTINGS}
+    try:
+        for name, value in _STATE_SETTINGS.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def stream_synced_state(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str, key: str,
+                        seq: Sequence[str], remember_ms: int) -> None:
+    """Append only the first row of each id, and every row without an id; no batch reads the target.
+
+    Seen ids are keyed state, one flag each, kept with the checkpoint and forgotten ``remember_ms`` after they came in:
+    state is bounded by the ids of that span, not by the target. No row is late: an id that comes again after
+    the span is taken once more. The file sink writes each micro-batch once.
+    """
+    salt = "_salt" + "_" * max(map(len, stream.columns))
+    dealt = stream.withColumn(salt, F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*stream.columns), F.lit(_SALTS))).otherwise(F.lit(0)))
+    with _keyed_state(spark):
+        first = dealt.groupBy(key, salt).transformWithState(FirstOfEach(key, seq, remember_ms), dealt.schema, "append", "processingTime")
+        (first.drop(salt).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start().awaitTermination())
