@@ -11,14 +11,14 @@ from typing import Protocol
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.sinks import append
+from millrace.operators.sinks import append, read_appended
 from millrace.operators.bucketed import BucketedTable
-from millrace.operators.upsert import KEEP_TARGET_ON_NULL, upsert_touched_partitions
+from millrace.operators.upsert import KEEP_TARGET_ON_NULL, dedupe_last, has_key, upsert_touched_partitions
 from millrace.spec import AFTER_WRITE, FlowSpec, Registry, Strategy
 from millrace.state import RunLog, StateStore
 from millrace.sync import next_bookmark, incremental, not_synced
 from millrace.synced import SyncedBuckets
-from millrace.workspace import materialise
+from millrace.workspace import folders, materialise, path_exists, remove_path
 
 Reader = Callable[[Strategy, "str | None"], DataFrame]
 
@@ -30,10 +30,13 @@ class Sink(Protocol):
 
 @dataclass
 class TableSink:
-    """Parquet target: FULL appends, every other strategy upserts and keeps values on null.
+    """Parquet target of all strategies: FULL appends, every other one upserts and keeps values on null.
 
-    With ``partition``, a column that follows from the key, an upsert rewrites only the
-    partitions it touches; without it, only the key-hash buckets it touches.
+    One path is one table. A target that has only taken full loads holds them side by side; the first upsert
+    takes them in, of each key the row of the newest load, and from then on it is a keyed table, into which a full
+    load is merged like any batch. With ``partition``, a column that follows from the key, an upsert rewrites
+    only the partitions it touches, and such a target takes no full loads; without it, only the
+    key-hash buckets it touches. ``read`` gives the table whichever way it is kept.
     """
 
     path: str
@@ -41,15 +44,44 @@ class TableSink:
     partition: str | None = None
     appends_in_one_pass = True
 
+    def _full_loads(self, spark: SparkSession) -> list[str]:
+        return folders(spark, f"{self.path}/run_id=*")
+
+    def _keyed(self, spark: SparkSession) -> bool:
+        return path_exists(spark, f"{self.path}/commits")
+
     def write(self, df: DataFrame, flow: FlowSpec, run_id: str) -> None:
-        if flow.strategy is Strategy.FULL:
+        spark = df.sparkSession
+        keyed = self._keyed(spark)
+        if flow.strategy is Strategy.FULL and not keyed:
+            if self.partition and folders(spark, f"{self.path}/{self.partition}=*"):
+                raise ValueError(f"{self.path} is kept by {self.partition}; a full load cannot be put beside it")
             append(df, self.path, run_id)
-        elif self.partition:
-            upsert_touched_partitions(df.sparkSession, self.path, df, flow.key, self.partition,
-                                      flow.sequence, self.nulls)
-        else:
-            BucketedTable(df.sparkSession, self.path).upsert(
-                df, run_id, flow.key, flow.sequence, self.nulls, stored=True)
+            return
+        loads = self._full_loads(spark)
+        if self.partition and not keyed:
+            if loads:
+                raise ValueError(f"{self.path} holds full loads; it cannot be kept by {self.partition}")
+            upsert_touched_partitions(spark, self.path, df, flow.key, self.partition, flow.sequence, self.nulls)
+            return
+        table = BucketedTable(spark, self.path)
+        if loads and not keyed:
+            table.upsert(self._settled(spark, flow), f"{run_id}-loads", flow.key, nulls=self.nulls)
+        for load in loads:  # the rows are in the table, or were before a run died here
+            remove_path(spark, load)
+        table.upsert(df, run_id, flow.key, flow.sequence, self.nulls, stored=flow.strategy is not Strategy.FULL)
+
+    def _settled(self, spark: SparkSession, flow: FlowSpec) -> DataFrame:
+        """Of all full loads, the newest row of each key, and every row without a key."""
+        rows = spark.read.option("mergeSchema", "true").parquet(self.path).withColumn("_loaded", F.col("_metadata.file_modification_time"))
+        named = has_key(flow.key)
+        newest = [F.desc("_loaded"), F.desc("run_id"), *[F.desc(c) for c in flow.sequence]]
+        settled = dedupe_last(rows.where(named), flow.key, newest) if flow.key else rows.limit(0)
+        return settled.unionByName(rows.where(~named) if flow.key else rows).drop("_loaded", "run_id")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The rows of the target."""
+        return BucketedTable(spark, self.path).read() if self._keyed(spark) else read_appended(spark, self.path)
 
 
 @dataclass(frozen=True)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_STRING_LITERAL = r'"(?:\\.|[^"\\])*"'
+from millrace.workspace import path_exists, scratch
 
 
 def json_path(text: Column, path: str) -> Column:
@@ -97,54 +98,35 @@ def nested_extract(df: DataFrame, body: str, path: str, fields: Sequence[tuple[s
     return objects.select(*keys, "pos", *out)
 
 
-def nesting_depth(text: Column) -> Column:
-    """Deepest bracket level of a JSON text, brackets inside string values not counted."""
-    marks = F.regexp_replace(F.regexp_replace(text, _STRING_LITERAL, ""), r"[^\[\]{}]", "")
-
-    def step(state: Column, mark: Column) -> Column:
-        now = state.getField("now") + F.when(mark.isin("{", "["), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(now, state.getField("top")).alias("top"))
-
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-    return F.when(F.length(marks) == 0, 0).otherwise(
-        F.aggregate(F.split(marks, ""), start, step, lambda state: state.getField("top")))
-
-
 def json_to_kv(df: DataFrame, body: str, keys: Sequence[str]) -> DataFrame:
     """Every leaf as ``(key, value)`` with keys like ``a.b[0].c``; null leaves become blank.
 
-    Text that does not parse, and scalar roots, give no rows. Levels are opened by
-    column expressions; their number is the deepest nesting of any text that parses, so
-    no document is cut and broken text adds no level. Leaves stay in the row's array until one final explode.
+    Text that does not parse, and scalar roots, give no rows; empty containers vanish. Each level is one
+    lateral explode of the containers that the level before left, written to the shared folder with leaves and
+    containers apart, until no container is left: no document is cut, leaves are stored once, a deep document costs
+    the others nothing, and the plan is as long for 100 levels as for one.
     """
-    parses = F.try_parse_json(F.col(body)).isNotNull()
-    depth = df.agg(F.max(F.when(parses, nesting_depth(F.col(body)))).alias("d")).first()["d"] or 0
-    root = F.try_parse_json(F.col(body))
-    nodes = F.array(F.struct(F.lit("").alias("key"), root.alias("node")))
-    frame = df.select(*keys, F.filter(nodes, lambda n: _is_container(n["node"])).alias("_nodes"))
-    for _ in range(depth):
-        frame = frame.withColumn("_nodes", F.flatten(F.transform("_nodes", _open_node)))
-    leaf = explode_items(frame, keys, F.col("_nodes"), "_leaf")
-    value = F.coalesce(F.try_variant_get("_leaf.node", "$", "string"), F.lit(""))
-    return leaf.select(*keys, F.col("_leaf.key").alias("key"), value.alias("value"))
+    spark, root = df.sparkSession, scratch(df.sparkSession, "json")
+    nodes = df.select(*keys, F.lit("").alias("_key"), F.try_parse_json(F.col(body)).alias("_node"))
+    level = nodes.where(_is_container(F.col("_node")))
+    schema = level.schema.add("_open", T.BooleanType())
+    for number in count():
+        inside = spark.tvf.variant_explode(F.col("_node").outer()).toDF("_pos", "_name", "_value")
+        prefix = F.when(F.col("_key") == "", F.lit("")).otherwise(F.concat("_key", F.lit(".")))
+        name = F.coalesce(F.concat(prefix, F.col("_name")), F.concat("_key", F.lit("["), F.col("_pos").cast("string"), F.lit("]")))
+        opened = level.lateralJoin(inside).select(*keys, name.alias("_key"), F.col("_value").alias("_node"),
+                                                  _is_container(F.col("_value")).alias("_open"))
+        opened.write.partitionBy("_open").parquet(f"{root}/_level={number}")
+        if not path_exists(spark, f"{root}/_level={number}/_open=true"):
+            break
+        level = spark.read.schema(schema).parquet(f"{root}/_level={number}").where("_open")
+    leaves = spark.read.schema(schema.add("_level", T.IntegerType())).parquet(root).where("NOT _open")
+    value = F.coalesce(F.try_variant_get("_node", "$", "string"), F.lit(""))
+    return leaves.select(*keys, F.col("_key").alias("key"), value.alias("value"))
 
 
 def _is_container(node: Column) -> Column:
-    return F.to_json(node).rlike(r"^[{\[]")
-
-
-def _open_node(entry: Column) -> Column:
-    """Members of an object or elements of an array; a leaf stays. Empty containers vanish."""
-    prefix, node = entry.getField("key"), entry.getField("node")
-    inner = F.when(prefix == "", prefix).otherwise(F.concat(prefix, F.lit(".")))
-    members = F.transform(
-        F.map_entries(F.try_variant_get(node, "$", "map<string,variant>")),
-        lambda e: F.struct(F.concat(inner, e.getField("key")).alias("key"), e.getField("value").alias("node")))
-    elements = F.transform(
-        F.try_variant_get(node, "$", "array<variant>"),
-        lambda v, i: F.struct(F.concat(prefix, F.lit("["), i.cast("string"), F.lit("]")).alias("key"),
-                              v.alias("node")))
-    return F.coalesce(members, elements, F.array(entry))
+    return F.coalesce(F.left(F.to_json(node), F.lit(1)).isin("{", "["), F.lit(False))
 
 
 _COLLECTION = "struct<item:array<struct<response:array<struct<body:string>>>>>"

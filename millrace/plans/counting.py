@@ -189,3 +189,25 @@ def hierarchy_paths(spark: SparkSession, d: str) -> DataFrame:
     edges = category_edges(spark, d)
     tree = hierarchy.descend(edges, edges.where("parent_id = '0'").select("id"))
     return tree.select("id", "depth", F.array_join("path", "/").alias("path"))
+
+
+_CHAIN = """
+WITH RECURSIVE n AS (
+  SELECT c_custkey AS id, c_name AS name, c_acctbal AS sort, c_custkey % 260 AS i FROM customer),
+e AS (SELECT *, CASE WHEN i = 0 THEN NULL WHEN i % 5 = 4 THEN id - 4 WHEN i % 5 = 0 THEN id - 2 ELSE id - 1 END AS up FROM n),
+t AS (
+  SELECT id AS root, id, name, 0 AS depth, [{'s': sort, 'id': id}] AS way, CAST(id AS VARCHAR) AS path, name AS trail FROM e WHERE up IS NULL
+  UNION ALL SELECT t.root, e.id, e.name, t.depth + 1, list_append(t.way, {'s': e.sort, 'id': e.id}), t.path || '/' || e.id,
+                   t.trail || ' > ' || e.name
+  FROM t JOIN e ON e.up = t.id)"""
+
+
+@query("tree_ordered", _CHAIN + """
+SELECT root, row_number() OVER (PARTITION BY root ORDER BY way) AS place, id, name, depth, path, trail FROM t""")
+def tree_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as trees of up to 208 levels, in which every fourth node of a chain has a second child."""
+    i = F.expr("c_custkey % 260")
+    up = F.when(i == 0, None).when(i % 5 == 4, F.col("c_custkey") - 4).when(i % 5 == 0, F.col("c_custkey") - 2).otherwise(F.col("c_custkey") - 1)
+    nodes = tables.parquet(spark, d, "customer").withColumn("up", up)
+    tree = hierarchy.ordered_tree(nodes, F.col("up").isNull(), "c_custkey", "up", "c_name", "c_acctbal")
+    return tree.select("root", "place", "id", "name", "depth", F.array_join("path", "/").alias("path"), F.array_join("names", " > ").alias("trail"))

@@ -58,6 +58,17 @@ def json_to_kv(spark: SparkSession, d: str) -> DataFrame:
     return json_ops.json_to_kv(events.withColumn("body", body), "body", ["event_id"])
 
 
+@query("json_to_kv_deep", """
+SELECT event_id, repeat('a.', CAST(event_id % 40 AS INTEGER)) || 'a' AS key, CAST(event_id AS VARCHAR) AS value FROM events
+UNION ALL SELECT event_id, repeat('a.', CAST(event_id % 40 AS INTEGER)) || 'z[1]', event_type FROM events""")
+def json_to_kv_deep(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of 1 to 40 levels, mixed by row: a level is opened only for the rows that have it."""
+    depth = F.expr("int(event_id % 40)")
+    inner = F.format_string('{"a": %s, "z": [{}, "%s"]}', F.col("event_id").cast("string"), "event_type")
+    body = F.concat(F.repeat(F.lit('{"a": '), depth), inner, F.repeat(F.lit("}"), depth))
+    return json_ops.json_to_kv(tables.parquet(spark, d, "events").withColumn("body", body), "body", ["event_id"])
+
+
 def page_files(spark: SparkSession, d: str) -> DataFrame:
     """Pages with their files given in one of four ways, by language of the page."""
     pages = tables.parquet(spark, d, "pages").withColumn("lang", F.regexp_extract("html", 'lang="([a-z]+)"', 1))

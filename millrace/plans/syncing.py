@@ -128,6 +128,52 @@ def two_run_converge(spark: SparkSession, d: str) -> DataFrame:
     return BucketedTable(spark, f"{root}/target").read()
 
 
+def _in_two_runs(spark: SparkSession, rows: DataFrame, strategy: Strategy, column: str, first: str) -> DataFrame:
+    """What the target holds after a run over the rows of ``first`` and one over all rows."""
+    root = scratch(spark, "text-marks")
+    flow = FlowSpec(31, "numbers as text", strategy, column, "NUMERIC", key=("id",))
+    for run, offered in enumerate((rows.where(first), rows), 1):
+        run_flow(spark, flow, offered.withColumn("run", F.lit(run)), TableSink(f"{root}/target"), f"{root}/state", now=CLOCK, run_id=f"run{run}")
+    return TableSink(f"{root}/target").read(spark)
+
+
+@query("incr_time_text", """
+SELECT event_id AS id, CAST(event_id AS VARCHAR) AS at, CASE WHEN event_id < m AND NOT event_id = m - 1 THEN 1 ELSE 2 END AS run
+FROM events, (SELECT max(event_id) // 2 AS m FROM events)""")
+def incr_time_text(spark: SparkSession, d: str) -> DataFrame:
+    """Moments kept as text of a number, as many digits as they need: the second run goes on behind the first."""
+    events = tables.parquet(spark, d, "events").selectExpr("event_id AS id", "string(event_id) AS at")
+    return _in_two_runs(spark, events, Strategy.INCREMENTAL_TIME, "at", f"id < {middle_of(events)}")
+
+
+@query("incr_decimal_text", """
+SELECT event_id AS id, '1.' || lpad(CAST(event_id AS VARCHAR), 20, '0') AS at, CASE WHEN event_id < m THEN 1 ELSE 2 END AS run
+FROM events, (SELECT max(event_id) // 2 AS m FROM events)""")
+def incr_decimal_text(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers as text that differ only in their 20th decimal."""
+    events = tables.parquet(spark, d, "events").selectExpr("event_id AS id", "concat('1.', lpad(string(event_id), 20, '0')) AS at")
+    return _in_two_runs(spark, events, Strategy.INCREMENTAL_ID, "at", f"id < {middle_of(events)}")
+
+
+def middle_of(rows: DataFrame) -> int:
+    return rows.selectExpr("max(id) div 2").first()[0]
+
+
+@query("flow_strategy_change", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'full again' WHEN o_orderkey % 2 = 0 THEN 'newer' ELSE 'full' END AS told FROM orders""")
+def flow_strategy_change(spark: SparkSession, d: str) -> DataFrame:
+    """A target filled by two full loads, then by id, then in full once more, stays one table."""
+    root = scratch(spark, "strategies")
+    orders = tables.parquet(spark, d, "orders").select("o_orderkey")
+    steps = [(Strategy.FULL, "o_orderkey % 5 = 0", "stale"), (Strategy.FULL, "true", "full"),
+             (Strategy.INCREMENTAL_ID, "o_orderkey % 2 = 0", "newer"), (Strategy.FULL, "o_orderkey % 3 = 0", "full again")]
+    sink = TableSink(f"{root}/target")
+    for number, (strategy, rows, told) in enumerate(steps):
+        flow = FlowSpec(32, "orders", strategy, "o_orderkey", "NUMERIC", key=("o_orderkey",))
+        run_flow(spark, flow, orders.where(rows).withColumn("told", F.lit(told)), sink, f"{root}/state", now=CLOCK, run_id=f"run{number}")
+    return sink.read(spark)
+
+
 @query("runlog_latest", """
 SELECT 'orders by status' AS flow_name, 'SUCCESS' AS status, count(*) AS read_count,
   count(*) AS write_count FROM orders WHERE o_orderstatus = 'P'""")

@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 
 from millrace.spec import Strategy
 
-#: The type in which numbers kept as text are compared.
+#: The type in which numbers with an exponent, kept as text, are compared.
 EXACT = "decimal(38,9)"
+#: Digits of the fraction by which numbers kept as text are told apart.
+_FRACTION = 37
 COLUMN_NAME = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 
 
@@ -27,25 +29,52 @@ def numeric_text(df: DataFrame, column: str, kind: str | None) -> bool:
     return kind == "NUMERIC" and isinstance(df.schema[column].dataType, T.StringType)
 
 
+def number_place(text: Column) -> Column:
+    """Where a number kept as text stands among others: (whole part, fraction), up to 38 and 37 digits.
+
+    Null for text that is no number and for numbers of more digits: they have no place, and nothing
+    is decided by cutting their digits off.
+    """
+    plain = F.regexp_extract(F.btrim(text), r"^([+-]?)([0-9]*)(?:\.([0-9]*))?$", 0) != ""
+    part = lambda n: F.regexp_extract(F.btrim(text), r"^([+-]?)([0-9]*)(?:\.([0-9]*))?$", n)
+    sign = F.when(part(1) == "-", F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
+    fraction = F.rtrim(part(3), F.lit("0"))
+    whole = (F.concat(F.lit("0"), F.ltrim(part(2), F.lit("0"))).try_cast("decimal(38,0)") * sign).cast("decimal(38,0)")
+    rest = (F.when(F.length(fraction) <= _FRACTION, F.concat(F.lit("0."), fraction, F.lit("0"))).try_cast(f"decimal(38,{_FRACTION})") * sign)
+    digits = F.length(part(2)) + F.length(part(3)) > 0
+    # Numbers with an exponent: whole part towards zero, and what is left.
+    other = text.try_cast(EXACT)
+    cut = F.when(other < 0, F.ceil(other)).otherwise(F.floor(other)).cast("decimal(38,0)")
+    whole = F.when(plain, F.when(digits, whole)).otherwise(cut)
+    rest = F.when(plain, rest.cast(f"decimal(38,{_FRACTION})")).otherwise((other - cut).cast(f"decimal(38,{_FRACTION})"))
+    return F.when(whole.isNotNull() & rest.isNotNull(), F.struct(whole.alias("whole"), rest.alias("rest")))
+
+
+def _newer(df: DataFrame, column: str, last, kind: str | None, ties: bool) -> DataFrame:
+    value = guarded(df, column)
+    if numeric_text(df, column, kind):
+        place, mark = number_place(value), number_place(F.lit(str(last)))
+        after = place >= mark if ties else place > mark
+        return df.where(after | (value.isNotNull() & place.isNull()) | mark.isNull())
+    mark = F.lit(last).cast(df.schema[column].dataType)
+    return df.where(value >= mark if ties else value > mark)
+
+
 def newer_by_id(df: DataFrame, column: str, last, kind: str | None = None) -> DataFrame:
-    """``column > last``; numbers kept as text are compared as numbers.
+    """``column > last``; numbers kept as text are compared as numbers, to the last digit.
 
     Text that is no number has no place before or after the bookmark: it is read again and absorbed
     by the upsert.
     """
-    if last is None:
-        return df
-    value = guarded(df, column)
-    if numeric_text(df, column, kind):
-        number = value.try_cast(EXACT)
-        return df.where((number > F.lit(str(last)).cast(EXACT)) | (value.isNotNull() & number.isNull()))
-    return df.where(value > F.lit(last).cast(df.schema[column].dataType))
+    return df if last is None else _newer(df, column, last, kind, ties=False)
 
 
-def newer_by_time(df: DataFrame, column: str, last) -> DataFrame:
-    """``column >= last``: rows at the bookmark are read again and absorbed by the upsert."""
-    value = F.lit(last).cast(df.schema[column].dataType) if last is not None else None
-    return df if value is None else df.where(guarded(df, column) >= value)
+def newer_by_time(df: DataFrame, column: str, last, kind: str | None = None) -> DataFrame:
+    """``column >= last``: rows at the bookmark are read again and absorbed by the upsert.
+
+    Numbers kept as text (epoch times, say) are compared as numbers, as in ``newer_by_id``.
+    """
+    return df if last is None else _newer(df, column, last, kind, ties=True)
 
 
 def capped(df: DataFrame, column: str, rows: int, kind: str | None = None) -> DataFrame:
@@ -55,10 +84,17 @@ def capped(df: DataFrame, column: str, rows: int, kind: str | None = None) -> Da
     as text are put in order as numbers, like the bookmark. Rows without a value, or with text that is
     no number, are read first, all of them: no cap leaves them out.
     """
-    place = F.col(column).try_cast(EXACT) if numeric_text(df, column, kind) else F.col(column)
+    as_number = numeric_text(df, column, kind)
+    place = number_place(F.col(column)) if as_number else F.col(column)
     cutoff = df.select(place.alias("place")).where("place is not null").orderBy("place").limit(rows).agg(
         F.max("place").alias("cutoff")).first()["cutoff"]
-    return df.where(place.isNull() | (place <= F.lit(cutoff))) if cutoff is not None else df.where(place.isNull())
+    if cutoff is None:
+        return df.where(place.isNull())
+    mark = F.lit(cutoff)
+    if as_number:
+        mark = F.struct(F.lit(cutoff["whole"]).cast("decimal(38,0)").alias("whole"),
+                        F.lit(cutoff["rest"]).cast(f"decimal(38,{_FRACTION})").alias("rest"))
+    return df.where(place.isNull() | (place <= mark))
 
 
 def not_synced(df: DataFrame, synced: DataFrame, key: str, synced_key: str = "id") -> DataFrame:
@@ -82,7 +118,7 @@ def next_bookmark(df: DataFrame, column: str, kind: str | None) -> Column:
     moment; numbers kept as text are compared as numbers.
     """
     if numeric_text(df, column, kind):
-        return F.max_by(column, F.col(column).try_cast(EXACT))
+        return F.max_by(column, number_place(F.col(column)))
     if isinstance(df.schema[column].dataType, T.TimestampType):
         return F.date_format(F.max(column), "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
     return high_water_mark(column, kind)
@@ -101,11 +137,11 @@ def incremental(df: DataFrame, strategy: Strategy, column: str | None, last, cap
     if column and strategy in (Strategy.INCREMENTAL_ID, Strategy.INCREMENTAL_TIME):
         guarded(df, column)
         out = (newer_by_id(df, column, last, kind) if strategy is Strategy.INCREMENTAL_ID
-               else newer_by_time(df, column, last))
+               else newer_by_time(df, column, last, kind))
     order = column or key
     if not (cap and order):
         return out
-    return capped(out, order, cap, kind if strategy is Strategy.INCREMENTAL_ID else None)
+    return capped(out, order, cap, kind if column else None)
 
 
 def reader_options(strategy: Strategy, column: str | None, last) -> dict[str, str]:

@@ -53,6 +53,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a glob pattern, on whatever file system it names."""
+    files, place = _file_system(spark, pattern)
+    return sorted(status.getPath().toString() for status in files.globStatus(place) or ())
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete what this library wrote at ``path``."""
     files, place = _file_system(spark, path)

@@ -72,6 +72,35 @@ def test_hierarchy(spark, rows):
         hierarchy.descend(edges, root, max_depth=1)
 
 
+def test_descend_follows_every_way_and_nested_roots(spark, rows):
+    edges = spark.createDataFrame([(2, 1), (3, 1), (4, 2), (4, 3), (5, 4), (7, 8), (8, 7)], "id int, parent_id int")
+    roots = spark.createDataFrame([(1,), (4,)], "id int")
+    assert rows(hierarchy.descend(edges, roots), "id", "path") == [
+        (1, [1]), (2, [1, 2]), (3, [1, 3]), (4, [1, 2, 4]), (4, [1, 3, 4]), (4, [4]), (5, [1, 2, 4, 5]), (5, [1, 3, 4, 5]), (5, [4, 5])]
+    assert rows(hierarchy.descend(edges.limit(0), roots), "id") == [(1,), (4,)]
+
+
+def test_long_chain_takes_few_joins(spark, monkeypatch):
+    rounds = []
+    store = hierarchy.materialise
+    monkeypatch.setattr(hierarchy, "materialise", lambda df, label: (rounds.append(label), store(df, label))[1])
+    edges = spark.range(1, 500).selectExpr("id", "id - 1 AS parent_id")
+    tree = hierarchy.descend(edges, spark.range(1))
+    assert {(r.id, r.depth) for r in tree.collect()} == {(i, i) for i in range(500)}
+    assert len(rounds) <= 10
+
+
+def test_ordered_tree(spark):
+    data = [(1, None, "root", 0), (2, 1, "b", 2), (3, 1, "a", 1), (4, 2, "b2", None), (5, 2, "b1", 7), (6, 3, None, 1), (7, 1, "tie", 2),
+            (8, 99, "lost", 0), (9, 10, "round", 0), (10, 9, "and round", 0), (11, None, "other", 0)]
+    nodes = spark.createDataFrame(data, "id int, parent_id int, name string, sort int")
+    tree = hierarchy.ordered_tree(nodes, F.col("parent_id").isNull()).orderBy("root", "place").collect()
+    assert [(r.root, r.place, r.id, r.name, r.depth) for r in tree] == [
+        (1, 1, 1, "root", 0), (1, 2, 3, "a", 1), (1, 3, 6, None, 2), (1, 4, 2, "b", 1), (1, 5, 4, "b2", 2), (1, 6, 5, "b1", 2), (1, 7, 7, "tie", 1),
+        (11, 1, 11, "other", 0)]
+    assert tree[5].path == [1, 2, 5] and tree[5].names == ["root", "b", "b1"]
+
+
 def test_versions(spark, rows):
     history = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "x")], "id int, version int, content string")
     back = versions.rollback(history, "id", 1, 1)

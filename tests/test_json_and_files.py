@@ -139,3 +139,18 @@ def test_identifier_is_repeatable(spark):
     chosen = files.identifier([F.col("a"), F.col("b")], [F.col("z")])
     first, again = ([r[0] for r in df.select(chosen).collect()] for _ in range(2))
     assert first == again and first[1:] == ["d", "c"] and len(first[0]) == 32
+
+
+def test_json_to_kv_plan_is_as_long_for_any_depth(spark):
+    def plan(depth):
+        df = spark.createDataFrame([(1, '{"a":' * depth + "1" + "}" * depth), (2, '{"b": 2}')], "id int, body string")
+        out = json_ops.json_to_kv(df, "body", ["id"])
+        assert {(r.id, r.key, r.value) for r in out.collect()} == {(1, ".".join("a" * depth), "1"), (2, "b", "2")}
+        return len(out._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert plan(1) == plan(25)
+
+
+def test_json_to_kv_without_rows(spark):
+    assert json_ops.json_to_kv(spark.createDataFrame([], "id int, body string"), "body", ["id"]).collect() == []
+    scalars = spark.createDataFrame([(1, "5"), (2, "{}"), (3, None)], "id int, body string")
+    assert json_ops.json_to_kv(scalars, "body", ["id"]).collect() == []

@@ -87,3 +87,32 @@ def test_lookups_never_multiply_rows(spark, rows):
     right = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "z")], "k string, name string")
     assert rows(lookup(left, right, "k", "k", {"name": "name"}, flag="hit"), "id", "name", "hit") == [(1, "x", True), (2, None, False)]
     assert rows(lookup_many(left, right, "id", F.col("ks"), "k", F.col("name"), "names"), "id", "names") == [(1, "x, z"), (2, "")]
+
+
+def test_numeric_text_by_time_reads_on(spark):
+    root = scratch(spark, "tt")
+    flow = FlowSpec(5, "f", Strategy.INCREMENTAL_TIME, "at", "NUMERIC", key=("at",))
+    def read(*names):
+        return run_flow(spark, flow, spark.createDataFrame([(n,) for n in names], "at string"), TableSink(f"{root}/t"), root, now=NOW).read_count
+    assert [read("8", "9"), read("8", "9", "10", "11"), read("11", "100", "2")] == [2, 3, 2]
+    assert {r["at"] for r in BucketedTable(spark, f"{root}/t").read().collect()} == {"8", "9", "10", "11", "100"}
+
+
+@pytest.mark.parametrize("strategy", [Strategy.INCREMENTAL_ID, Strategy.INCREMENTAL_TIME])
+def test_long_numbers_kept_as_text(spark, strategy):
+    root = scratch(spark, "long")
+    flow = FlowSpec(6, "f", strategy, "n", "NUMERIC", key=("n",), cap=2)
+    texts = ["1.0000000001", "1.0000000002", "1.0000000003", "-0.5", "-0.25", "12345678901234567890123456789012345678", "+7", "007.50", "1e3", "1" * 45, "x"]
+    for _ in range(8):
+        run_flow(spark, flow, spark.createDataFrame([(t,) for t in texts], "n string"), TableSink(f"{root}/t"), root, now=NOW)
+    assert {r["n"] for r in BucketedTable(spark, f"{root}/t").read().collect()} == set(texts)
+
+
+def test_number_places_are_in_order(spark):
+    texts = ["-12", "-1.5", "-1.4999999999999", "-0.5", "0", "0.0000000000001", ".5", "1.", "1.0000000001", "1.1", "9", "10", "1e3", "12345678901234567890.5"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("p", sync.number_place(F.col("t")))
+    assert [r.i for r in df.repartition(3).orderBy("p").collect()] == list(range(len(texts)))
+    odd = spark.createDataFrame([(t,) for t in ["", "-", ".", "x", "1.2.3", None, "9" * 39, "0." + "1" * 38]], "t string")
+    assert odd.select(sync.number_place(F.col("t")).alias("p")).where("p IS NOT NULL").count() == 0
+    same = spark.createDataFrame([("1", "01.00"), ("-0", "0"), ("+2.50", "2.5")], "a string, b string")
+    assert same.where(sync.number_place(F.col("a")) == sync.number_place(F.col("b"))).count() == 3

@@ -204,3 +204,34 @@ def test_retention(spark):
                                  "flow_id long, run_id string, start_time timestamp")
     kept = retained(runs, dt.datetime(2025, 1, 10), days=5, max_rows=3)
     assert sorted(r.run_id for r in kept.collect()) == ["r10", "r8", "r9"]
+
+
+def test_full_loads_are_taken_in_by_the_first_upsert(spark, tmp_path):
+    sink = TableSink(str(tmp_path / "t"))
+    def run(strategy, run_id, *given):
+        flow = FlowSpec(1, "f", strategy, "v", "NUMERIC", key=("k",))
+        sink.write(spark.createDataFrame(list(given), "k int, v int"), flow, run_id)
+        return sorted(map(tuple, sink.read(spark).collect()), key=repr)
+    assert run(Strategy.FULL, "b", (1, 1), (2, 1), (None, 5)) == [(1, 1), (2, 1), (None, 5)]
+    assert run(Strategy.FULL, "a", (2, 2), (3, 2)) == [(1, 1), (2, 1), (2, 2), (3, 2), (None, 5)]
+    merged = [(1, 1), (2, 2), (3, 9), (4, 9), (None, 5)]
+    assert run(Strategy.INCREMENTAL_ID, "c", (3, 9), (4, 9)) == merged
+    assert not list((tmp_path / "t").glob("run_id=*"))
+    # A run that died between its commit and the clearing leaves old loads behind: they are not taken in again.
+    spark.createDataFrame([(1, 0)], "k int, v int").write.parquet(str(tmp_path / "t" / "run_id=dead"))
+    assert run(Strategy.FULL, "d", (5, 1)) == merged[:-1] + [(5, 1), (None, 5)]
+    assert run(Strategy.INCREMENTAL_ID, "e", (5, 2)) == merged[:-1] + [(5, 2), (None, 5)]
+    assert not list((tmp_path / "t").glob("run_id=*"))
+
+
+def test_partitioned_target_and_full_loads_do_not_mix(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x")], "k int, p string")
+    sink = TableSink(str(tmp_path / "t"), partition="p")
+    upsert, full = (FlowSpec(1, "f", s, key=("k",)) for s in (Strategy.SYNCED_SET, Strategy.FULL))
+    sink.write(rows, upsert, "a")
+    with pytest.raises(ValueError, match="kept by p"):
+        sink.write(rows, full, "b")
+    other = TableSink(str(tmp_path / "u"), partition="p")
+    other.write(rows, full, "a")
+    with pytest.raises(ValueError, match="full loads"):
+        other.write(rows, upsert, "b")
