@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.prefix import prefix_sums
 from millrace.operators.validate import ERRORS, drop_empty
+from millrace.workspace import materialise
 
 
 def append(df: DataFrame, path: str, run_id: str) -> None:
@@ -69,10 +71,44 @@ def _pair(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.url_encode(F.lit(name)), F.lit("="), F.url_encode(value)))
 
 
-def write_files(df: DataFrame, path: str, fmt: str, max_rows_per_file: int | None = None,
-                **options: str) -> None:
-    """CSV, JSON or XML files, cut by row count."""
+def write_files(df: DataFrame, path: str, fmt: str, max_rows_per_file: int | None = None, max_bytes_per_file: int | None = None,
+                order: Sequence[Column] = (), **options: str) -> None:
+    """CSV, JSON or XML files, cut by row count, or (CSV and JSON) by bytes."""
+    if max_bytes_per_file:
+        df = _cut_by_bytes(df, fmt, max_bytes_per_file, order, options)
     writer = df.write.mode("overwrite").format(fmt).options(**options)
-    if max_rows_per_file:
+    if max_bytes_per_file:
+        writer = writer.partitionBy("_file")
+    elif max_rows_per_file:
         writer = writer.option("maxRecordsPerFile", max_rows_per_file)
     writer.save(path)
+
+
+def encoded_bytes(df: DataFrame, fmt: str, options: Mapping[str, str]) -> Column:
+    """Bytes of a row as the file writer encodes it, with its line end."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    if fmt == "json":
+        text = F.to_json(row, dict(options))
+    elif fmt == "csv":
+        text = F.to_csv(row, dict(options))
+    else:
+        raise ValueError(f"{fmt} files cannot be cut by bytes")
+    return (F.octet_length(text) + F.octet_length(F.lit(options.get("lineSep", "\n")))).cast("bigint")
+
+
+def _cut_by_bytes(df: DataFrame, fmt: str, limit: int, order: Sequence[Column], options: Mapping[str, str]) -> DataFrame:
+    """Add the name of each row's file, so that no file holds more than ``limit`` bytes unless one row does.
+
+    A running total of encoded sizes, taken over ranges, is cut at the limit less the largest row that shares a file;
+    a row of more than half the limit has a file of its own. Rows of one file go to one task.
+    """
+    if str(options.get("header", "false")).lower() == "true":
+        limit -= len(",".join(df.columns).encode()) + 1 + 2 * len(df.columns)
+    small = F.col("_size") <= max(limit, 0) // 2
+    sized = df.withColumn("_size", encoded_bytes(df, fmt, options))
+    placed = prefix_sums(sized, F.when(small, F.col("_size")).otherwise(F.lit(0)), "_before", order)
+    placed = materialise(placed.withColumn("_row", F.monotonically_increasing_id()), "files")
+    most = placed.where(small).agg(F.max("_size")).first()[0] or 0
+    shared = F.concat(F.lit("f"), F.floor(F.col("_before") / F.lit(limit - most + 1)))
+    return (placed.withColumn("_file", F.when(small, shared).otherwise(F.concat(F.lit("row"), "_row")))
+            .select(*df.columns, "_file").repartition("_file"))

@@ -275,3 +275,19 @@ def import_collection(spark: SparkSession, d: str) -> DataFrame:
     items = F.array_repeat(item, (1 + F.col("c_custkey") % 2).cast("int"))
     documents = customers.select("c_custkey", F.to_json(F.struct(items.alias("item"))).alias("document"))
     return json_ops.import_collection(documents, "document", ["c_custkey"])
+
+
+@query("file_by_bytes", """
+SELECT fmt, o_orderkey, o_clerk, true AS within FROM (
+  SELECT o_orderkey, 'clerk-' || repeat('é', CAST(o_orderkey % 50 AS INTEGER)) AS o_clerk FROM orders), (SELECT unnest(['csv', 'json']) AS fmt)""")
+def file_by_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in files of at most 10,000 bytes, as CSV and JSON; each row says whether its file kept the limit."""
+    root = scratch(spark, "by-bytes")
+    clerk = F.concat(F.lit("clerk-"), F.repeat(F.lit("é"), F.expr("int(o_orderkey % 50)")))
+    orders = tables.parquet(spark, d, "orders").select("o_orderkey", clerk.alias("o_clerk"))
+    read = []
+    for fmt, options in (("csv", {"header": "true"}), ("json", {})):
+        sinks.write_files(orders, f"{root}/{fmt}", fmt, max_bytes_per_file=10_000, order=[F.col("o_orderkey")], **options)
+        rows = spark.read.schema(orders.schema).options(**options).format(fmt).load(f"{root}/{fmt}")
+        read.append(rows.select(F.lit(fmt).alias("fmt"), "o_orderkey", "o_clerk", (F.col("_metadata.file_size") <= 10_000).alias("within")))
+    return read[0].unionByName(read[1])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace import sync
 from millrace.operators import json_ops
 from millrace.plans.catalogue import TABLES, middle, query
-from millrace.sources import catalog, tables
+from millrace.sources import catalog, ranges, scripts, sketches, tables
+from millrace.workspace import flat_schema, materialise, scratch
 
 TIME_MARK = "2024-01-15 00:00:00"
 DATE_MARK = "1998-01-01 00:00:00"
@@ -148,3 +152,83 @@ def json_list_column(spark: SparkSession, d: str) -> DataFrame:
     listed = json_ops.json_list(text, "struct<name:string,size:bigint>")
     items = json_ops.explode_items(events, ["event_id"], listed, "item")
     return items.where("item.name IS NOT NULL").select("event_id", "pos", "item.name", "item.size")
+
+
+@query("range_cuts", """
+SELECT 'number' AS kind, l_orderkey, l_linenumber, true AS balanced FROM lineitem
+UNION ALL SELECT 'text', l_orderkey, l_linenumber, true FROM lineitem""")
+def range_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows read by eight ranges of a key whose values are spread unevenly, as a number and as text."""
+    items = tables.parquet(spark, d, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey * l_partkey * l_partkey AS skewed", "concat('o''', string(l_partkey * l_partkey)) AS code")
+    read = []
+    for kind, key in (("number", "skewed"), ("text", "code")):
+        counts = items.groupBy(key).agg(F.count("*").alias("n"))
+        cut = ranges.predicates(key, ranges.cut_points(counts, key, "n", 8))
+        parts = reduce(DataFrame.unionByName, [items.where(condition).withColumn("part", F.lit(i)) for i, condition in enumerate(cut)])
+        sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+        even = sizes.agg((F.max("n") * len(cut) <= 2 * F.sum("n")).alias("even")).select("even").scalar()
+        read.append(parts.select(F.lit(kind).alias("kind"), "l_orderkey", "l_linenumber", (even & F.lit(len(cut) == 8)).alias("balanced")))
+    return read[0].unionByName(read[1])
+
+
+_SKETCHED = {"o_orderkey": "number", "o_custkey": "number", "o_totalprice": "number", "o_orderstatus": "text", "o_orderpriority": "text"}
+
+
+def _sketch_sql(column: str, kind: str) -> str:
+    low = f"CAST(min({column}) AS DOUBLE)" if kind == "number" else "CAST(NULL AS DOUBLE)"
+    high = f"max({column})" if kind == "text" else "CAST(NULL AS VARCHAR)"
+    return f"""
+SELECT '{column}' AS column_name, count(*) AS rows, count(*) FILTER (WHERE {column} IS NULL) AS null_count, true AS distinct_within,
+  true AS quartiles_within, {low} AS min_number, {high} AS max_text FROM orders"""
+
+
+@query("profile_sketches", " UNION ALL ".join(_sketch_sql(*item) for item in _SKETCHED.items()))
+def profile_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """State of two deliveries merged; distinct counts within 5 % and quartiles within 2 % of rank of the exact ones."""
+    path = scratch(spark, "sketches")
+    orders = tables.parquet(spark, d, "orders").select(*_SKETCHED)
+    for part, rows in (("early", "o_orderkey % 3 = 0"), ("late", "o_orderkey % 3 <> 0")):
+        sketches.add(orders.where(rows), path, part)
+    merged = materialise(sketches.profile(spark, path), "profile")
+    found = {r["column_name"]: r for r in merged.collect()}  # a row per column
+    shares = {c: [F.avg((F.col(c) <= F.lit(q)).cast("double")) - F.lit(rank) for q, rank in zip(r["quartiles"] or (), sketches.QUARTILES)]
+              for c, r in found.items()}
+    cells = [F.struct(F.lit(c).alias("name"),
+                      (F.abs(F.count_distinct(c) - F.lit(r["distinct_count"])) <= 0.05 * r["distinct_count"]).alias("distinct_within"),
+                      reduce(Column.__and__, [F.abs(gap) <= 0.02 for gap in shares[c]], F.lit(True)).alias("quartiles_within"))
+             for c, r in found.items()]
+    held = orders.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    return merged.join(held, F.col("column_name") == F.col("name")).select(
+        "column_name", "rows", "null_count", "distinct_within", "quartiles_within", "min_number", "max_text")
+
+
+def _session_schema(options, given) -> T.StructType:
+    return flat_schema(user_id="bigint", event_id="bigint", **{options["out"]: "bigint"})
+
+
+def _session_each(row, options, memory):
+    if "last" not in memory or (row["ts"] - memory["last"]).total_seconds() > options["gap"]:
+        memory["session"] = memory.get("session", 0) + 1
+    memory["last"] = row["ts"]
+    yield row["user_id"], row["event_id"], memory["session"]
+
+
+_SESSIONS = """
+SELECT '{way}' AS way, user_id, event_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM (
+  SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch(ts) - epoch(lag(ts) OVER w) > {gap} THEN 1 ELSE 0 END AS fresh
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+
+
+@query("udtf_source", _SESSIONS.format(way="sql", gap=86400) + " UNION ALL " + _SESSIONS.format(way="frame", gap=3600))
+def udtf_source(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of each user by a script: called from SQL with its own grouping, and on a frame with the caller's."""
+    events = tables.parquet(spark, d, "events").select("user_id", "event_id", "ts")
+    script = scripts.Script(_session_schema, _session_each)
+    scripts.register(spark, "user_sessions", script, ["user_id"], ["ts", "event_id"])
+    by_sql = spark.sql("SELECT 'sql' AS way, * FROM user_sessions(TABLE({events}), :options)", {"options": '{"gap": 86400, "out": "session"}'},
+                       events=events)
+    call = scripts.table_function(script)
+    by_frame = call(events.asTable().partitionBy("user_id").orderBy("ts", "event_id"), F.lit('{"gap": 3600, "out": "session"}'))
+    # Stored, so that what reads the result does not run the script again.
+    return materialise(by_sql.unionByName(by_frame.select(F.lit("frame").alias("way"), "*")), "sessions")
