@@ -9,7 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.upsert import row_hash
-from millrace.workspace import fits_broadcast, materialise
+from millrace.workspace import materialise, measured_bytes
+
+#: Runs of more bytes than this are joined by a shuffle.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def running_number(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "number") -> DataFrame:
@@ -32,9 +35,9 @@ def running_number(df: DataFrame, group: Sequence[str], order: Sequence[str], ou
     shift = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1
     runs = runs.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
                        shift.alias("_shift"))
-    # One row per group and range. Written and measured, so that rows need no second shuffle if it is small.
-    runs = materialise(runs, "runs")
-    if fits_broadcast(runs):
+    # One row per group and range. Measured by an aggregate over two columns of the stored rows, so that these need no second
+    # shuffle if it is small.
+    if measured_bytes(runs) <= BROADCAST_BYTES:
         runs = F.broadcast(runs)
     same = stored["_part"] == runs["_p"]
     for i, g in enumerate(group):

@@ -59,6 +59,33 @@ def compat_type(data_type: T.DataType) -> str:
     return "DOUBLE" if isinstance(data_type, T.NumericType) else TEXT_TYPE
 
 
+#: Where a database has no type of the standard name: first entry whose name occurs in the database type.
+_OTHER_TYPES = [
+    (("mysql", "mariadb", "tidb", "oceanbase"), {"DOUBLE PRECISION": "DOUBLE", "TIMESTAMP": "DATETIME(6)", "BOOLEAN": "TINYINT(1)", "CLOB": "LONGTEXT", "BLOB": "LONGBLOB"}),
+    (("postgre", "greenplum"), {"CLOB": "TEXT", "BLOB": "BYTEA"}),
+    (("sql server", "sqlserver"), {"DOUBLE PRECISION": "FLOAT(53)", "TIMESTAMP": "DATETIME2(6)", "BOOLEAN": "BIT", "CLOB": "NVARCHAR(MAX)", "BLOB": "VARBINARY(MAX)"}),
+    (("oracle",), {"BIGINT": "NUMBER(19)", "INTEGER": "NUMBER(10)", "SMALLINT": "NUMBER(5)", "BOOLEAN": "NUMBER(1)"}),
+    (("derby",), {"DOUBLE PRECISION": "DOUBLE"}),
+    (("clickhouse",), {"DOUBLE PRECISION": "Float64", "TIMESTAMP": "DateTime64(6)", "CLOB": "String", "BLOB": "String", "BOOLEAN": "Bool"}),
+    (("sqlite",), {"CLOB": "TEXT"}),
+]
+
+
+def full_type(data_type: T.DataType, db_type: str | None = None) -> str:
+    """The column type that keeps every value of a Spark type: numbers with all digits, moments as moments, text uncut.
+
+    Nested values are kept as their JSON text.
+    """
+    if isinstance(data_type, T.DecimalType):
+        return f"DECIMAL({data_type.precision},{data_type.scale})"
+    names = [((T.ByteType, T.ShortType), "SMALLINT"), ((T.IntegerType,), "INTEGER"), ((T.LongType,), "BIGINT"), ((T.FloatType, T.DoubleType), "DOUBLE PRECISION"),
+             ((T.BooleanType,), "BOOLEAN"), ((T.DateType,), "DATE"), ((T.TimestampType, T.TimestampNTZType), "TIMESTAMP"), ((T.BinaryType,), "BLOB")]
+    name = next((name for kinds, name in names if isinstance(data_type, kinds)), "CLOB")
+    lowered = (db_type or "").lower()
+    other = next((types for kinds, types in _OTHER_TYPES if any(kind in lowered for kind in kinds)), {})
+    return other.get(name, name)
+
+
 def id_column(db_type: str | None) -> str:
     lowered = (db_type or "").lower()
     for names, ddl in ID_COLUMN:
@@ -67,16 +94,17 @@ def id_column(db_type: str | None) -> str:
     return ID_COLUMN_STANDARD
 
 
-def create_table_ddl(table: str, schema: T.StructType, db_type: str | None = None, key: Sequence[str] = ()) -> str:
+def create_table_ddl(table: str, schema: T.StructType, db_type: str | None = None, key: Sequence[str] = (), full: bool = False) -> str:
     """CREATE TABLE text; the generated id is added unless the rows bring one.
 
-    The columns of ``key`` are declared unique together, as an upsert at the database needs it;
-    text among them is short enough to be indexed.
+    ``full`` gives every column the type that keeps its values; otherwise the three-way rule holds. The columns of
+    ``key`` are declared unique together, as an upsert at the database needs it; text among them is
+    short enough to be indexed.
     """
     quote = "`" if (db_type or "").lower() in MYSQL_FAMILY else '"'
-    kinds = {f.name: compat_type(f.dataType) for f in schema.fields}
-    parts = [f"{quote}{name}{quote} {KEY_TEXT_TYPE if name in key and kind == TEXT_TYPE else kind}"
-             for name, kind in kinds.items()]
+    kinds = {f.name: full_type(f.dataType, db_type) if full else compat_type(f.dataType) for f in schema.fields}
+    texts = {f.name for f in schema.fields if isinstance(f.dataType, T.StringType) or not full and kinds[f.name] == TEXT_TYPE}
+    parts = [f"{quote}{name}{quote} {KEY_TEXT_TYPE if name in key and name in texts else kind}" for name, kind in kinds.items()]
     if not any(f.name.lower() == "id" for f in schema.fields):
         parts.insert(0, id_column(db_type))
     if key:

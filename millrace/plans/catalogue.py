@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 MODULES = ["scans", "syncing", "shaping", "cleaning", "joining", "counting", "documents", "functions",
-           "sinking", "streams", "fitting", "flows"]
+           "sinking", "streams", "fitting", "flows", "apis"]
 
 _QUERIES: dict[str, Query] = {}
 _CHECKS: dict[str, str] = {}

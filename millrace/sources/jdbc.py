@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,21 +149,55 @@ def connection_to(spark: SparkSession, target: JdbcTarget) -> Iterator:
         connection.close()
 
 
+@dataclass(frozen=True)
+class TableInfo:
+    """A table or view as the database reports it."""
+
+    name: str
+    kind: str = "TABLE"
+    schema: str | None = None
+    remarks: str | None = None
+
+
+def reported(metadata, kinds, catalog: str | None = None, schema: str | None = None, name: str = "%") -> list[TableInfo]:
+    """What a connection's metadata lists."""
+    found, out = metadata.getTables(catalog, schema, name, kinds), []
+    while found.next():
+        out.append(TableInfo(*(found.getString(c) for c in ("TABLE_NAME", "TABLE_TYPE", "TABLE_SCHEM", "REMARKS"))))
+    return out
+
+
+def _kinds(spark: SparkSession, *names: str):
+    kinds = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.String, len(names))
+    for i, name in enumerate(names):
+        kinds[i] = name
+    return kinds
+
+
+def describe_tables(spark: SparkSession, target: JdbcTarget, views: bool = True, schema: str | None = None) -> list[TableInfo]:
+    """Tables, and views if asked for, with schema, type and remarks, in the order of the database."""
+    with connection_to(spark, target) as connection:
+        return reported(connection.getMetaData(), _kinds(spark, "TABLE", *(["VIEW"] if views else [])), schema=schema)
+
+
 def list_tables(spark: SparkSession, target: JdbcTarget) -> list[str]:
     """Names of the tables the database reports, in its order."""
-    with connection_to(spark, target) as connection:
-        kinds = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.String, 1)
-        kinds[0] = "TABLE"
-        found = connection.getMetaData().getTables(None, None, "%", kinds)
-        names = []
-        while found.next():
-            names.append(found.getString("TABLE_NAME"))
-        return names
+    return [t.name for t in describe_tables(spark, target, views=False)]
+
+
+def is_reported(found: Sequence[TableInfo], table: str) -> bool:
+    """Whether ``table``, alone or as ``schema.table``, quoted or not, is among them as written, in upper or in lower case."""
+    parts = [part.strip('"`[]') for part in table.split(".")]
+    for case in (str, str.upper, str.lower):
+        *above, name = (case(part) for part in parts)
+        if any(t.name == name and (not above or case(t.schema or "") == above[-1]) for t in found):
+            return True
+    return False
 
 
 def table_exists(spark: SparkSession, target: JdbcTarget, table: str) -> bool:
-    """Whether the table exists as written, in upper case or in lower case."""
-    return bool({table, table.upper(), table.lower()} & set(list_tables(spark, target)))
+    """Whether a table or view of this name exists, with its schema where the name has one."""
+    return is_reported(describe_tables(spark, target), table)
 
 
 def default_table(spark: SparkSession, target: JdbcTarget) -> str:
@@ -236,24 +272,39 @@ def upsert(df: DataFrame, target: JdbcTarget, table: str, key: Sequence[str], se
     """Write a staging table in parallel, then fold it in with one statement at the database.
 
     The batch is settled to one row per key first. The staging table has a name of its own and
-    goes in the end. Rows without a key cannot match and are inserted.
+    goes in the end. Rows without a key cannot match; they are inserted in the same transaction, so a
+    run that failed before its commit has inserted none of them.
     """
     spark = df.sparkSession
     fresh, loose = settle_batch(df, key, seq, nulls)
-    stage = f"{table}_s{uuid.uuid4().hex[:12]}"
+    stage, spare = (f"{table}_s{uuid.uuid4().hex[:12]}" for _ in range(2))
+    statements = merge_statements(target.db_type, table, stage, df.columns, key, nulls)
     try:
         append(fresh, target, stage, mode="overwrite")
-        affected = execute(spark, target, merge_statements(target.db_type, table, stage, df.columns, key, nulls))
+        if not loose.isEmpty():
+            append(loose, target, spare, mode="overwrite")
+            statements.append(insert_all(target.db_type, table, spare, df.columns))
+        return execute(spark, target, statements)
     finally:
-        if table_exists(spark, target, stage):
-            execute(spark, target, [f"DROP TABLE {stage}"])
-    if not loose.isEmpty():
-        append(loose, target, table)
-    return affected
+        for name in (stage, spare):
+            _drop(spark, target, name)
+
+
+def insert_all(db_type: str, table: str, stage: str, columns: Sequence[str]) -> str:
+    quote = "`" if db_type.lower() in MYSQL_FAMILY else '"'
+    names = ", ".join(f"{quote}{c}{quote}" for c in columns)
+    return f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage}"
+
+
+def _drop(spark: SparkSession, target: JdbcTarget, table: str) -> None:
+    """Drop a staging table that may not have been made, whatever its name looks like in the metadata."""
+    with contextlib.suppress(Py4JJavaError):
+        execute(spark, target, [f"DROP TABLE {table}"])
 
 
-def create_table(spark: SparkSession, target: JdbcTarget, table: str, df: DataFrame, key: Sequence[str] = ()) -> str:
-    ddl = create_table_ddl(table, df.schema, target.db_type, key)
+def create_table(spark: SparkSession, target: JdbcTarget, table: str, df: DataFrame, key: Sequence[str] = (), compat: bool = False) -> str:
+    """Create the table with full column types, or by the three-way rule (``compat``)."""
+    ddl = create_table_ddl(table, df.schema, target.db_type, key, full=not compat)
     execute(spark, target, [ddl])
     return ddl
 
@@ -270,12 +321,13 @@ class JdbcSink:
 
     target: JdbcTarget
     table: str
+    compat_types: bool = False
     appends_in_one_pass = True
 
     def write(self, df: DataFrame, flow: FlowSpec, run_id: str) -> None:
         if not table_exists(df.sparkSession, self.target, self.table):
             key = () if flow.strategy is Strategy.FULL else flow.key
-            create_table(df.sparkSession, self.target, self.table, df, key)
+            create_table(df.sparkSession, self.target, self.table, df, key, self.compat_types)
         if flow.strategy is Strategy.FULL:
             append(df, self.target, self.table)
         else:

@@ -210,7 +210,9 @@ class RestReader(DataSourceReader):
         if self.paging == "offset":
             total = at_path(json.loads(self.page(0).body), self.total_path)
             return max(1, -(-int(total) // self.size))
-        return self.first_short() + 1
+        last = self.first_short()
+        # A list that fills its last page ends with an empty one, which has no rows to give.
+        return last + 1 if last == 0 or self.items(last) else last
 
     def first_short(self, start: int = 0) -> int:
         """The first short page from ``start`` on, all pages before which are full."""

@@ -185,3 +185,57 @@ def test_repeated_stream_batch_writes_the_same(spark, tmp_path):
         stream = incremental.file_stream(spark, str(tmp_path / "in"), schema)
         incremental.stream_not_synced(spark, stream, str(tmp_path / "t"), str(tmp_path / f"c{n}"), "id", ["at"], schema)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == list(range(6))
+
+
+class Listing:
+    """Rows of a metadata listing, as a database's driver hands them over."""
+
+    def __init__(self, *tables):
+        self.tables, self.at = tables, -1
+
+    def getTables(self, catalog, schema, name, kinds):
+        self.tables = [t for t in self.tables if t[1] in kinds]
+        return self
+
+    def next(self):
+        self.at += 1
+        return self.at < len(self.tables)
+
+    def getString(self, column):
+        return self.tables[self.at][["TABLE_NAME", "TABLE_TYPE", "TABLE_SCHEM", "REMARKS"].index(column)]
+
+
+def test_views_schemas_and_remarks_are_listed():
+    listing = [("ORDERS", "TABLE", "SALES", "all orders"), ("open", "VIEW", None, None), ("T", "TABLE", "APP", "")]
+    found = jdbc.reported(Listing(*listing), ["TABLE", "VIEW"])
+    assert found[0] == jdbc.TableInfo("ORDERS", "TABLE", "SALES", "all orders") and [t.kind for t in found] == ["TABLE", "VIEW", "TABLE"]
+    assert [t.name for t in jdbc.reported(Listing(*listing), ["TABLE"])] == ["ORDERS", "T"]
+    there = ["orders", "ORDERS", "sales.orders", "SALES.ORDERS", '"SALES"."ORDERS"', "open", "app.t"]
+    assert all(jdbc.is_reported(found, name) for name in there)
+    assert not any(jdbc.is_reported(found, name) for name in ["app.orders", "order", "sales", "x.open"])
+
+
+@pytest.mark.parametrize("kind, types", [
+    ("PostgreSQL", ["INTEGER", "BIGINT", "DECIMAL(20,4)", "DOUBLE PRECISION", "BOOLEAN", "DATE", "TIMESTAMP", "TEXT", "BYTEA", "TEXT"]),
+    ("MySQL", ["INTEGER", "BIGINT", "DECIMAL(20,4)", "DOUBLE", "TINYINT(1)", "DATE", "DATETIME(6)", "LONGTEXT", "LONGBLOB", "LONGTEXT"]),
+    ("Oracle", ["NUMBER(10)", "NUMBER(19)", "DECIMAL(20,4)", "DOUBLE PRECISION", "NUMBER(1)", "DATE", "TIMESTAMP", "CLOB", "BLOB", "CLOB"]),
+])
+def test_full_column_types(kind, types):
+    from pyspark.sql import types as T
+
+    from millrace.operators.schema_fit import create_table_ddl, full_type
+    kinds = [T.IntegerType(), T.LongType(), T.DecimalType(20, 4), T.DoubleType(), T.BooleanType(), T.DateType(), T.TimestampType(), T.StringType(),
+             T.BinaryType(), T.ArrayType(T.StringType())]
+    assert [full_type(t, kind) for t in kinds] == types
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("k", T.StringType()), T.StructField("t", T.TimestampType())])
+    ddl = create_table_ddl("t", schema, kind, ["k"], full=True)
+    assert "VARCHAR(255)" in ddl and types[6] in ddl and types[1] in ddl
+
+
+def test_rows_without_a_key_are_inserted_in_the_same_transaction(spark, monkeypatch):
+    ran = []
+    monkeypatch.setattr(jdbc, "append", lambda df, target, table, **options: ran.append(("stage", df.count())))
+    monkeypatch.setattr(jdbc, "execute", lambda spark, target, statements: ran.append([text.split(" ")[0] for text in statements]))
+    batch = spark.createDataFrame([(1, "a"), (None, "b"), (None, "b")], "id long, v string")
+    jdbc.upsert(batch, jdbc.JdbcTarget("PostgreSQL", "d"), "s.t", ["id"])
+    assert ran == [("stage", 1), ("stage", 2), ["INSERT", "INSERT"], ["DROP"], ["DROP"]]
