@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.upsert import row_hash
-from millrace.workspace import materialise, measured_bytes
+from millrace.workspace import materialise, row_bytes
 
 #: Runs of more bytes than this are joined by a shuffle.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -27,17 +27,21 @@ def running_number(df: DataFrame, group: Sequence[str], order: Sequence[str], ou
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(
         "*", F.shiftright(place, 33).alias("_part"),
         place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
-    # The ranges come from a sample, so they are fixed by writing them before they are used twice.
-    stored = materialise(ranged, "numbering")
+    # The ranges come from a sample, so they are fixed by writing them before they are used twice. On the way it is seen
+    # how many groups there are, about, and how long their keys get.
+    seen = Observation()
+    widest = F.max(row_bytes(df, group) + 32)
+    stored = materialise(ranged.observe(seen, F.approx_count_distinct(F.xxhash64(*group)).alias("groups"), widest.alias("bytes")), "numbering")
     runs = stored.groupBy("_part", *group).agg(F.min("_place").alias("_first"),
                                                F.count("*").alias("_rows"))
     earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1
     runs = runs.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
                        shift.alias("_shift"))
-    # One row per group and range. Measured by an aggregate over two columns of the stored rows, so that these need no second
-    # shuffle if it is small.
-    if measured_bytes(runs) <= BROADCAST_BYTES:
+    # A group goes on from one range into the next, so there are at most as many runs as groups and ranges together. Twice
+    # the estimate is far outside its error; what may be larger is joined by a shuffle.
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if (2 * seen.get["groups"] + ranges) * (seen.get["bytes"] or 0) <= BROADCAST_BYTES:
         runs = F.broadcast(runs)
     same = stored["_part"] == runs["_p"]
     for i, g in enumerate(group):

@@ -99,18 +99,24 @@ def _literal(value, data_type: T.DataType) -> Column:
 _FIXED_BYTES = 16
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of the in-memory size of ``df``, found by one aggregate over its rows."""
-    per_row = F.lit(_FIXED_BYTES * len(df.columns)).cast("bigint")
+def row_bytes(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """Upper estimate of the in-memory size of a row of ``df``, or of some of its columns."""
+    names = df.columns if columns is None else columns
+    per_row = F.lit(_FIXED_BYTES * len(names)).cast("bigint")
     fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    for field in df.schema.fields:
+    for field in (df.schema[name] for name in names):
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             per_row += F.coalesce(F.octet_length(column), F.lit(0))
         elif not isinstance(field.dataType, fixed):
             as_text = F.to_json(F.struct(column.alias("v")))
             per_row += F.coalesce(4 * F.octet_length(as_text), F.lit(0))
-    return df.agg(F.coalesce(F.sum(per_row), F.lit(0)).alias("bytes")).first()["bytes"]
+    return per_row
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Upper estimate of the in-memory size of ``df``, found by one aggregate over its rows."""
+    return df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = 32 * 1024 * 1024) -> bool:
