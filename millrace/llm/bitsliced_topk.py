@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import bounded_blocks, stored
 from millrace.llm.vectors import best, matrix, questions, usable
 
-#: Quantised components beyond this have no place in the index: their scores may not fit a long.
-MOST = 2 ** 26
+#: Quantised components of this size and more do not fit a long.
+MOST = 2.0 ** 63
 SCHEMA = "query_id bigint, vh bigint, vec_id bigint, score bigint"
 
 
@@ -143,14 +143,19 @@ def exact_top(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: s
     returns at most ``k`` rows per query. A query's own row doesn't count.
 
     Returns query_id, rank, vec_id, score. Null vectors, those with a null or non-finite component, without
-    components or an id, take no part, nor do those with a quantised component beyond 2^26; vectors of
+    components or an id, take no part, nor do those with a quantised component that does not fit a long; sums
+    are of any width, and a score among the best that does not fit a long fails the job. Vectors of
     different lengths never meet. A repeated row is a candidate as often as it occurs but one query; rows
     of one id with different vectors are queries of their own. An empty table gives no rows.
     """
     whole = F.transform("vector", lambda x: F.floor(x * scale))
-    inside = F.forall("vector", lambda x: F.abs(x * scale) <= MOST)
+    inside = F.forall("vector", lambda x: F.abs(x * scale) < MOST)
     rows = stored(usable(vectors, id_column, vector_column, zero=True).where(inside)
-                  .select("vec_id", whole.cast("array<int>").alias("q"), "dim"), "slices")
+                  .select("vec_id", whole.cast("array<bigint>").alias("q"), "dim"), "slices")
+    # Components are shuffled as narrow as all of them allow.
+    low, high = rows.agg(F.min(F.array_min("q")), F.max(F.array_max("q"))).first()
+    if max(-(low or 0), high or 0) < 2 ** 31:
+        rows = rows.withColumn("q", F.col("q").cast("array<int>"))
     asked = stored(questions(rows, every, F.col("q")), "slice_queries")
     blocks, groups = bounded_blocks(rows.count(), block_rows), bounded_blocks(asked.count(), query_rows)
     left = rows.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),

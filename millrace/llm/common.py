@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from millrace.workspace import materialise as stored
 
-__all__ = ["WORD", "bounded_blocks", "document_key", "kept_in_worker", "prefix_sums", "runs", "stored", "word_count"]
+__all__ = ["WORD", "apart", "bounded_blocks", "document_key", "kept_in_worker", "prefix_sums", "renamed", "runs", "stored", "word_count"]
 
 #: A word: a run of anything but space and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +35,20 @@ def document_key(id_column: Column, text: Column) -> list[Column]:
             F.hash(F.coalesce(text, F.lit(""))).alias("tag")]
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns in0, in1, …, and the new name of each: an operator's own names begin otherwise, so none can clash."""
+    names = {name: f"in{i}" for i, name in enumerate(docs.columns)}
+    return docs.select(*[F.col("`" + name.replace("`", "``") + "`").alias(new) for name, new in names.items()]), names
+
+
+def apart(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores behind it until no column is called so in any case."""
+    taken = {column.lower() for column in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], label: str) -> DataFrame:
     """Add, for each name in ``sums``, the sum over all earlier rows in ``order`` (own row excluded).
 

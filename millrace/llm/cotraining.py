@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import apart
+
 #: Buckets into which the names of sources and languages are hashed.
 NAME_BUCKETS = 64
 
@@ -233,5 +235,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs`` that ``score_documents`` keeps, unchanged."""
     model = fit(docs, labels, **options)
-    return (docs.select("*", quality(docs, model).alias("_quality")).where(F.col("_quality.score") >= threshold)
-            .drop("_quality"))
+    name = apart("_quality", docs.columns)
+    return docs.select("*", quality(docs, model).alias(name)).where(F.col(name)["score"] >= threshold).drop(name)

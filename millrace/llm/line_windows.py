@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import document_key, stored
+from millrace.llm.common import document_key, renamed, stored
 
 
 def _lines(text: Column) -> Column:
@@ -53,12 +53,14 @@ def drop_repeated_lines(docs: DataFrame, *, id_column: str = "doc_id", text_colu
     is. A null or empty text has no lines; a text of fewer than ``size`` filled lines keeps them all;
     a repeated row counts as the same document, so none of its rows loses lines to another; rows without
     an id come after all others; an empty table gives none. Columns of ``docs`` under
-    those names are replaced.
+    the names in ``counts`` are replaced; all others stay, whatever they are called.
     """
-    names = [name for name in docs.columns if name not in counts]
+    docs, own = renamed(docs)
+    names = {name: new for name, new in own.items() if name not in counts}
+    id_column, text_column = own[id_column], own[text_column]
     windows = repeated_windows(docs, id_column=id_column, text_column=text_column, size=size)
     sid, tag = document_key(F.col(id_column), F.col(text_column))
-    joined = (docs.select(*names, sid.alias("_sid"), tag.alias("_tag"))
+    joined = (docs.select(*names.values(), sid.alias("_sid"), tag.alias("_tag"))
               .join(windows.withColumnsRenamed({"sid": "_wsid", "tag": "_wtag", "starts": "_starts"}),
                     (F.col("_sid") == F.col("_wsid")) & (F.col("_tag") == F.col("_wtag")), "left"))
     split = joined.withColumn("_lines", _lines(F.col(text_column)))
@@ -81,6 +83,6 @@ def drop_repeated_lines(docs: DataFrame, *, id_column: str = "doc_id", text_colu
     kept = F.array_join(F.transform("_gaps", passage), "\n")
     left = F.aggregate("_gaps", F.lit(0), lambda total, gap: total + gap["b"] - gap["a"])
     text = F.when(F.col("_starts").isNotNull(), kept).otherwise(F.col(text_column))
-    return edged.select(*[text.alias(name) if name == text_column else F.col(name) for name in names],
+    return edged.select(*[(text if new == text_column else F.col(new)).alias(name) for name, new in names.items()],
                         F.col("_n").alias(counts[0]),
                         F.when(F.col("_starts").isNotNull(), F.col("_n") - left).otherwise(F.lit(0)).alias(counts[1]))

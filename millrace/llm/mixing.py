@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, prefix_sums, stored, word_count
+from millrace.llm.common import WORD, prefix_sums, renamed, stored, word_count
 
 
 def random_key(id_column: Column, text: Column, seed: str) -> Column:
@@ -79,17 +79,18 @@ def mixed_documents(docs: DataFrame, *, seed: str = "mix", **options) -> DataFra
     """
     taken = (mix_sources(docs, seed=seed, **options).groupBy("key", "source", "size")
              .agg(F.ceil(F.sum("taken") / F.count("*")).alias("_taken")).where("_taken > 0"))
-    keyed = docs.select(*docs.columns, word_count(F.col("text")).alias("_size"),
-                        random_key(F.col("doc_id"), F.col("text"), seed).alias("_key"))
+    plain, own = renamed(docs)
+    text, source = own["text"], own["source"]
+    keyed = plain.select("*", word_count(F.col(text)).alias("_size"), random_key(F.col(own["doc_id"]), F.col(text), seed).alias("_key"))
     pairs = keyed.join(taken.withColumnsRenamed({"key": "_k", "source": "_s", "size": "_n"}),
                        (F.col("_key") == F.col("_k")) & (F.col("_size") == F.col("_n"))
-                       & F.col("source").eqNullSafe(F.col("_s")))
+                       & F.col(source).eqNullSafe(F.col("_s")))
     last = F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1
     copies = pairs.withColumn("_copy", F.explode(F.sequence(F.lit(0), last)))
     words = F.least(F.col("_size"), F.col("_taken") - F.col("_copy") * F.col("_size"))
-    whole = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    whole = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     cut = F.array_join(F.slice(whole, F.lit(1), words.cast("int")), " ")
-    changed = copies.withColumn("text", F.when(words < F.col("_size"), cut).otherwise(F.col("text")))
+    changed = copies.withColumn(text, F.when(words < F.col("_size"), cut).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+        changed = changed.withColumn(own["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return changed.select(*[F.col(new).alias(name) for name, new in own.items()])

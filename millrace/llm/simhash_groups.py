@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import NO_ID, document_key, runs, stored
+from millrace.llm.common import NO_ID, document_key, renamed, runs, stored
 from millrace.llm.components import connected
 
 BITS = 64
@@ -238,6 +238,8 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     groups = marked_groups(docs, id_column=id_column, text_column=text_column, shingle=shingle, radius=radius)
     sid = F.coalesce("doc_id", F.lit(NO_ID))
     kept = groups.groupBy("component").agg(F.min(F.struct(sid.alias("_ksid"), F.col("tag").alias("_ktag"))).alias("k"))
-    keyed = docs.select("*", *[c.alias(f"_{n}") for n, c in zip(("sid", "tag"), document_key(F.col(id_column), F.col(text_column)))])
+    plain, own = renamed(docs)
+    key = document_key(F.col(own[id_column]), F.col(own[text_column]))
+    keyed = plain.select("*", *[c.alias(f"_{n}") for n, c in zip(("sid", "tag"), key)])
     joined = keyed.join(kept.select("k.*"), (F.col("_sid") == F.col("_ksid")) & (F.col("_tag") == F.col("_ktag")))
-    return joined.dropDuplicates(["_sid", "_tag"]).select(*docs.columns)
+    return joined.dropDuplicates(["_sid", "_tag"]).select(*[F.col(new).alias(name) for name, new in own.items()])

@@ -483,3 +483,36 @@ def test_pipeline_takes_nulls_repeats_and_empty_tables(spark, tmp_path):
         frame(spark, rows).select(*names).write.parquet(f"{folder}/documents.parquet")
         labels.write.parquet(f"{folder}/labels.parquet")
         assert (corpus_pipeline.run(spark, folder).count() > 0) == bool(rows)
+
+
+CLASHING = ["_n", "_at", "_lines", "_edges", "_gaps", "_starts", "_sid", "_tag", "_wsid", "_size", "_key", "_k", "_copy", "_taken", "_quality",
+            "_lines_seen", "_lines_gone", "in0", "a`b", "a.b", "sid", "tag", "starts", "component"]
+
+
+def test_columns_of_the_input_keep_their_values_whatever_they_are_called(spark):
+    rows = [(i, f"one\ntwo\nthree\nline {i}" if i % 2 else f"text of {i} " * (i + 1), "en", f"s{i % 2}", 5) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    wide = docs.select("*", *[(F.col("doc_id") * 100 + k).alias(name) for k, name in enumerate(CLASHING)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id bigint, quality int")
+    for stage in (drop_repeated_lines, one_of_each, mixed_documents, lambda d: keep_good(d, labels)):
+        out, plain = stage(wide), stage(docs)
+        assert [c for c in out.columns if c in CLASHING] == CLASHING
+        for r in out.collect():
+            assert [r[name] for name in CLASHING] == [r["doc_id"] * 100 + k for k in range(len(CLASHING))]
+        assert sorted(tuple(r) for r in out.select(*plain.columns).collect()) == sorted(tuple(r) for r in plain.collect())
+
+
+@pytest.mark.parametrize("size", [2e6, 2.0 ** 40, 2.0 ** 50])
+def test_wide_vectors_take_part_in_exact_search(spark, size):
+    data = [(20, [size, 1.0]), (1, [1.0, 1.0]), (2, [-size / 2 ** 52, 3.0]), (40, [0.5, -1.0]), (3, [size / 2 ** 52, -7.25]), (4, [1e300, 0.0])]
+    found = exact_top(spark.createDataFrame(data, "vec_id bigint, embedding array<double>"))
+    q = {i: [int(np.floor(64 * x)) for x in v] for i, v in data if abs(64 * v[0]) < 2.0 ** 63}
+    want = {(a, n + 1, b, s) for a in (20, 40) for n, (s, b) in enumerate(sorted(
+        ((sum(x * y for x, y in zip(q[a], q[b])), b) for b in q if b != a), key=lambda p: (-p[0], p[1])))}
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_scores_that_fit_no_long_fail(spark):
+    data = [(20, [2.0 ** 50, 1.0]), (1, [2.0 ** 50, 1.0])]
+    with pytest.raises(Exception, match="Overflow|too large|too big"):
+        exact_top(spark.createDataFrame(data, "vec_id bigint, embedding array<double>")).collect()
