@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import apart, stored
 from millrace.llm.cotraining import keep_good
 from millrace.llm.line_windows import drop_repeated_lines
 from millrace.llm.mixing import mixed_documents
@@ -34,9 +34,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = drop_repeated_lines(docs, counts=("_lines_seen", "_lines_gone"))
-    left = cut.where((F.col("_lines_gone") == 0) | (F.col("_lines_gone") < F.col("_lines_seen")))
-    changed = F.when(F.col("_lines_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+    seen, gone = apart("_lines_seen", docs.columns), apart("_lines_gone", docs.columns)
+    cut = drop_repeated_lines(docs, counts=(seen, gone))
+    left = cut.where((F.col(gone) == 0) | (F.col(gone) < F.col(seen)))
+    changed = F.when(F.col(gone) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.withColumn("n_chars", F.coalesce(changed, F.col("n_chars"))).select(*docs.columns)
 
 
