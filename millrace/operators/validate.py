@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.truth import is_set
+from millrace.operators.numbering import group_to_list
 
 ERRORS = "errors"
 
@@ -68,6 +69,12 @@ def error_summary(bad: DataFrame, key: str) -> DataFrame:
         F.count("*").alias("rows"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
 
 
+def error_items(bad: DataFrame, key: str, page_rows: int) -> DataFrame:
+    """The failing keys of each reason in order, in lists of at most ``page_rows``: ``(reason, page, items)``."""
+    items = bad.select(F.col(key).alias("item"), F.explode(ERRORS).alias("reason"))
+    return group_to_list(items, F.col("reason"), ["item"], F.col("item"), "", page_rows).withColumnRenamed("group", "reason")
+
+
 def drop_empty(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Drop rows in which every (named) column is null."""
     return df.dropna(how="all", subset=list(columns) if columns else None)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators import mapping, schema_fit
+from millrace.operators import mapping, parsing, schema_fit, validate
 from millrace.plans.catalogue import query
 from millrace.sources import tables
 from millrace.state import retained
@@ -54,8 +54,8 @@ def schema_fit_query(spark: SparkSession, d: str) -> DataFrame:
 SELECT o_orderkey, o_custkey AS customer, o_orderstatus AS status, 'a,b' AS note FROM orders""")
 def parse_csv_column(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat_ws(",", F.col("o_custkey").cast("string"), "o_orderstatus", F.lit('"a,b"'))
-    parsed = F.from_csv(line, "customer bigint, status string, note string").alias("row")
-    return tables.parquet(spark, d, "orders").select("o_orderkey", parsed).select("o_orderkey", "row.*")
+    orders = tables.parquet(spark, d, "orders").withColumn("line", line)
+    return parsing.csv_columns(orders, "line", "customer bigint, status string, note string", ["o_orderkey"])
 
 
 @query("parse_xml_column", """
@@ -63,8 +63,8 @@ SELECT c_custkey, c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM
 def parse_xml_column(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("<r><id>"), F.col("c_custkey"), F.lit("</id><name>"), F.col("c_name"), F.lit("</name><segment>"),
                     F.col("c_mktsegment"), F.lit("</segment></r>"))
-    parsed = F.from_xml(body, "id bigint, name string, segment string").alias("row")
-    return tables.parquet(spark, d, "customer").select("c_custkey", parsed).select("c_custkey", "row.*")
+    customers = tables.parquet(spark, d, "customer").withColumn("body", body)
+    return parsing.xml_columns(customers, "body", "id bigint, name string, segment string", ["c_custkey"])
 
 
 @query("parse_html_list", """
@@ -87,3 +87,47 @@ def runlog_retention(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_id").cast("string").alias("run_id"), F.col("user_id").alias("flow_id"), F.col("ts").alias("start_time"))
     kept = retained(runs, dt.datetime(2024, 1, 30), 10, 5)
     return kept.select(F.col("run_id").cast("bigint").alias("event_id"), F.col("flow_id").alias("user_id"))
+
+
+@query("aggregate_spec", """
+SELECT l_returnflag, count(*) AS lines, count(*) FILTER (WHERE l_quantity > 25) AS large, count(DISTINCT l_suppkey) AS suppliers,
+  max(l_shipdate) AS latest FROM lineitem GROUP BY l_returnflag HAVING count(*) > 10""")
+def aggregate_spec(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregation template as configuration."""
+    template = {"groupBy": ["l_returnflag"], "having": "lines > 10", "measures": [
+        {"as": "lines", "fn": "count"}, {"as": "large", "fn": "count", "where": "l_quantity > 25"},
+        {"as": "suppliers", "fn": "count_distinct", "of": "l_suppkey"}, {"as": "latest", "fn": "max", "of": "l_shipdate"}]}
+    return parsing.aggregate(tables.parquet(spark, d, "lineitem"), template)
+
+
+@query("csv_lines", """
+SELECT o_orderkey, 0 AS pos, o_custkey AS customer, o_orderstatus AS note FROM orders
+UNION ALL SELECT o_orderkey, 1, NULL, 'a,b' FROM orders""")
+def csv_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A CSV text with a header and two records in each row."""
+    text = F.concat(F.lit("customer,note\n"), F.col("o_custkey"), F.lit(","), F.col("o_orderstatus"), F.lit('\r\n\nnone,"a,b"\n'))
+    orders = tables.parquet(spark, d, "orders").withColumn("body", text)
+    return parsing.csv_lines(orders, "body", "customer bigint, note string", ["o_orderkey"], header=True)
+
+
+@query("html_table_rows", """
+SELECT c_custkey, 0 AS table_no, 0 AS row_no, 'name|balance' AS names, c_name || '|' || CAST(c_nationkey AS VARCHAR) AS cells FROM customer
+UNION ALL SELECT c_custkey, 0, 1, 'name|balance', 'a & b|' FROM customer""")
+def html_table_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a table inside an HTML text."""
+    page = F.concat(F.lit('<p>x</p><TABLE class="t"><tr><th>name</th><th>balance</th></tr>\n<tr><td><b>'), F.col("c_name"), F.lit("</b></td><td>"),
+                    F.col("c_nationkey"), F.lit("</td></tr><tr><td>a &amp; b</td><td></td></tr></TABLE><table></table>"))
+    found = parsing.html_tables(tables.parquet(spark, d, "customer").withColumn("page", page), "page", ["c_custkey"])
+    return found.select("c_custkey", "table_no", "row_no", F.array_join("names", "|").alias("names"), F.array_join("cells", "|").alias("cells"))
+
+
+@query("error_items", """
+SELECT reason, page, list(o_orderkey ORDER BY n) AS items FROM (
+  SELECT *, (row_number() OVER (PARTITION BY reason ORDER BY o_orderkey) - 1) // 100 AS page, row_number() OVER (PARTITION BY reason ORDER BY o_orderkey) AS n
+  FROM (SELECT 'large' AS reason, o_orderkey FROM orders WHERE o_totalprice > 200000
+        UNION ALL SELECT 'failed', o_orderkey FROM orders WHERE o_orderstatus = 'F')) GROUP BY reason, page""")
+def error_items(spark: SparkSession, d: str) -> DataFrame:
+    """The failing keys of each reason, in lists of at most 100."""
+    reasons = F.array_compact(F.array(F.when(F.col("o_totalprice") > 200000, F.lit("large")), F.when(F.col("o_orderstatus") == "F", F.lit("failed"))))
+    bad = tables.parquet(spark, d, "orders").withColumn(validate.ERRORS, reasons).where(F.size(validate.ERRORS) > 0)
+    return validate.error_items(bad, "o_orderkey", 100)
