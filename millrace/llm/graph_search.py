@@ -23,30 +23,64 @@ def _squares(points: np.ndarray, rows: np.ndarray, queries: np.ndarray) -> np.nd
 class PrunedGraph:
     """A directed graph over points whose edges keep what greedy searches need.
 
-    Points are added in batches. A beam search from the entry proposes neighbours; robust pruning keeps the
-    nearest one and drops others that lie closer to it than 1/``relax`` of their distance, and so on, so
-    that edges go near and far. Backward edges are added, and pruned again where they are too many.
+    Points are added in batches. A beam search from the entries, which are sampled points, proposes neighbours; robust
+    pruning keeps the nearest one and drops others that lie closer to it than 1/``relax`` of their distance, and
+    so on, so that edges go near and far. Backward edges are added, and pruned again where they are too many.
+    Pruning may cut the last way to a point: in the end such points get an edge from a near one that is reached.
     """
 
-    def __init__(self, points: np.ndarray, degree: int = 24, beam: int = 48, relax: float = 1.2):
+    def __init__(self, points: np.ndarray, degree: int = 24, beam: int = 64, relax: float = 1.2, entries: int = 256):
         # Distances are compared in single precision about the centre; answers are scored elsewhere.
         scale = np.abs(points).max() or 1.0
         centred = points / scale
         self.points = (centred - centred.mean(axis=0)).astype(np.float32)
         self.degree, self.beam, self.relax = degree, beam, relax ** 2
         self.near = np.full((len(points), degree), -1, dtype=np.int32)
-        self.entry = int(np.argmin(np.einsum("nd,nd->n", self.points, self.points)))
+        self.count = min(entries, len(points))
+        self.entries = np.zeros(0, dtype=np.int64)
 
     def build(self, seed: int = 0, batch: int = 256) -> None:
         order = np.random.default_rng(seed).permutation(len(self.points))
-        order = np.concatenate([[self.entry], order[order != self.entry]])
         done = 1
         while done < len(order):
+            self.entries = order[:min(done, self.count)]
             rows = order[done:done + min(batch, done)]
             found, distance = self.search(self.points[rows], self.beam)
             self.near[rows] = self._prune(rows, found, distance)
             self._link_back(rows)
             done += len(rows)
+        self.entries = order[:self.count]
+        self._connect()
+
+    def reached(self) -> np.ndarray:
+        """Which points a walk from the entries can come to."""
+        seen = np.zeros(len(self.points), dtype=bool)
+        front = self.entries
+        while len(front):
+            seen[front] = True
+            near = np.unique(self.near[front])
+            front = near[near >= 0]
+            front = front[~seen[front]]
+        return seen
+
+    def _connect(self) -> None:
+        """Give points that no walk reaches an edge from their nearest reached point, one a round and point, until all are reached."""
+        while not (seen := self.reached()).all():
+            inside, outside = np.flatnonzero(seen), np.flatnonzero(~seen)
+            closest, away = np.zeros(len(outside), dtype=np.int64), np.zeros(len(outside), dtype=np.float32)
+            norms = np.einsum("nd,nd->n", self.points[inside], self.points[inside])
+            for low in range(0, len(outside), 256):
+                part = self.points[outside[low:low + 256]]
+                gap = norms[None, :] - 2 * part @ self.points[inside].T
+                closest[low:low + 256] = inside[gap.argmin(axis=1)]
+                away[low:low + 256] = gap.min(axis=1) + np.einsum("nd,nd->n", part, part)
+            order = np.lexsort((away, closest))
+            first = np.flatnonzero(np.append(True, closest[order][1:] != closest[order][:-1]))
+            source, target = closest[order][first], outside[order][first]
+            slot = (self.near[source] >= 0).sum(axis=1)
+            if slot.max() == self.near.shape[1]:
+                self.near = np.concatenate([self.near, np.full((len(self.near), 1), -1, dtype=np.int32)], axis=1)
+            self.near[source, slot] = target
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, squared distances), nearest first, -1 where a beam holds fewer, for all queries at once."""
@@ -55,8 +89,13 @@ class PrunedGraph:
         distance = np.full((count, beam), np.inf, dtype=np.float32)
         open_ = np.zeros((count, beam), dtype=bool)
         seen = np.zeros((count, len(self.points)), dtype=bool)
-        rows[:, 0], open_[:, 0], seen[:, self.entry] = self.entry, True, True
-        distance[:, 0] = _squares(self.points, rows[:, :1], queries)[:, 0]
+        start = np.broadcast_to(self.entries.astype(np.int32), (count, len(self.entries)))
+        away = _squares(self.points, start, queries)
+        nearest_first = np.argsort(away, axis=1, kind="stable")[:, :beam]
+        size = nearest_first.shape[1]
+        rows[:, :size] = np.take_along_axis(start, nearest_first, axis=1)
+        distance[:, :size] = np.take_along_axis(away, nearest_first, axis=1)
+        open_[:, :size], seen[:, self.entries] = True, True
         active = np.arange(count)
         while len(active):
             first = np.argmax(open_[active], axis=1)  # beams are sorted
@@ -129,15 +168,17 @@ def build_graphs(rows: DataFrame, shards: int, *, k: int, degree: int, beam: int
         graph.build()
         ids = pd.Series(shard["vec_id"].to_numpy()).groupby(node.ravel()).apply(lambda v: np.sort(v.to_numpy())[:k + 1])
         return pd.DataFrame({"dim": key[0], "shard": key[1], "node": np.arange(len(points)),
-                             "entry": np.arange(len(points)) == graph.entry, "ids": ids.to_list(),
+                             "entry": np.isin(np.arange(len(points)), graph.entries), "ids": ids.to_list(),
                              "vector": list(points), "near": [n[n >= 0] for n in graph.near]})
 
-    return stored(dealt.groupBy("dim", "shard").applyInPandas(build, GRAPH), "graph")
+    # As many tasks as shards: small shards on disk are much work, so they are not merged by their size.
+    spread = dealt.repartition(shards, "dim", "shard")
+    return stored(spread.groupBy("dim", "shard").applyInPandas(build, GRAPH), "graph")
 
 
 def nearest(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 10,
-            every: int = 100, shard_rows: int = 4096, query_rows: int = 1024, degree: int = 24, beam: int = 48,
-            search_beam: int = 64, relax: float = 1.2) -> DataFrame:
+            every: int = 100, shard_rows: int = 4096, query_rows: int = 1024, degree: int = 24, beam: int = 64,
+            search_beam: int = 128, relax: float = 1.2) -> DataFrame:
     """Each query's ``k`` nearest rows, as beam searches of all shards find them.
 
     Rows are dealt by id into shards; each builds its graph and is stored. Queries (ids divisible by
@@ -167,9 +208,10 @@ def nearest(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str
             points, ids = matrix(nodes["vector"], np.float64), nodes["ids"].to_list()
             queries = matrix(asked["vector"], np.float64)
             graph = PrunedGraph(points, degree)
+            graph.near = np.full((len(points), max(1, max(map(len, nodes["near"])))), -1, dtype=np.int32)
             for i, near in enumerate(nodes["near"]):
                 graph.near[i, :len(near)] = near
-            graph.entry = int(np.flatnonzero(nodes["entry"])[0])
+            graph.entries = np.flatnonzero(nodes["entry"])
             scale = np.abs(points).max() or 1.0
             shifted = (queries / scale - (points / scale).mean(axis=0)).astype(np.float32)
             found, _ = graph.search(shifted, max(search_beam, k + 1))

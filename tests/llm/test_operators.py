@@ -19,7 +19,7 @@ from millrace.llm.bitsliced_topk import BitSlicedIndex, exact_top
 from millrace.llm.components import connected
 from millrace.llm.cotraining import co_train, keep_good, score_documents
 from millrace.llm.encoding import WordEncoder
-from millrace.llm.graph_search import nearest
+from millrace.llm.graph_search import PrunedGraph, nearest
 from millrace.llm.length_histogram import at_limits, length_table
 from millrace.llm.line_windows import drop_repeated_lines
 from millrace.llm.mixing import mix_sources, mixed_documents
@@ -221,6 +221,45 @@ def test_bit_slices_add_exactly():
     assert [v + constant for v in index.values(slices, np.arange(777))] == (rows @ weights).tolist()
 
 
+def spots(kind, count, seed=5):
+    """Vectors of 64 numbers: one cloud, or 40 clouds far from each other."""
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(40, 64)) * 20 if kind == "clusters" else np.zeros((40, 64))
+    return middle[rng.integers(0, 40, count)] + rng.normal(size=(count, 64))
+
+
+@pytest.mark.parametrize("kind", ["cloud", "clusters"])
+def test_graph_reaches_every_point(kind):
+    graph = PrunedGraph(spots(kind, 2500))
+    graph.build()
+    assert graph.reached().all() and len(graph.entries) == 256
+    lone = PrunedGraph(np.ones((1, 3)))
+    lone.build()
+    assert lone.reached().all() and lone.search(np.ones((2, 3), dtype=np.float32), 4)[0][:, 0].tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("kind, count", [("shared", 2000), ("cloud", 6000), ("clusters", 6000)])
+def test_nearest_recall_at_production_size(spark, kind, count):
+    if kind == "shared":
+        df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+        points = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()], dtype=np.float64)
+        ids = [r["vec_id"] for r in df.orderBy("vec_id").collect()]
+    else:
+        points, ids = spots(kind, count), list(range(count))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, points)], "vec_id bigint, embedding array<double>")
+    hits = asked = 0
+    found = defaultdict(set)
+    for r in nearest(df).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    for at, i in enumerate(ids):
+        if i % 100 == 0:
+            away = ((points - points[at]) ** 2).sum(axis=1)
+            away[at] = np.inf
+            want = {ids[j] for j in np.argsort(away, kind="stable")[:10]}
+            hits, asked = hits + len(want & found[i]), asked + 10
+    assert len(found) * 10 == asked and hits >= 0.95 * asked
+
+
 def test_nearest_recall_and_scores(spark):
     df = table(spark, "embeddings")
     rows = [(r["vec_id"], tuple(map(float, r["embedding"]))) for r in df.collect()]
