@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import bounded_blocks, stored
-from millrace.llm.vectors import best, matrix, questions, usable
+from millrace.llm.vectors import best, questions, usable
 
 #: Quantised components of this size and more do not fit a long.
 MOST = 2.0 ** 63
@@ -134,13 +136,61 @@ def _rippled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, kind, ids, vh, vectors) of rows that lie together, out of sorted batches."""
+    for batch in batches:
+        dim, block, part, kind = (batch.column(name).to_numpy() for name in ("dim", "block", "part", "kind"))
+        change = np.ones(batch.num_rows, dtype=bool)
+        for column in (dim, block, part, kind):
+            change[1:] &= column[1:] == column[:-1]
+        change[1:] = ~change[1:]
+        starts = np.flatnonzero(change)
+        for low, high in zip(starts, np.append(starts[1:], batch.num_rows)):
+            piece = batch.slice(low, high - low)
+            vectors = piece.column("q").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(high - low, dim[low])
+            yield (dim[low], block[low], part[low]), int(kind[low]), piece.column("vec_id").to_numpy(), piece.column("vh").to_numpy(), vectors
+
+
+def _answers(k: int):
+    """Index each block when its first query comes, and answer its queries one after the other."""
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, gathered, index = None, [], None
+        for here, kind, its_ids, hashes, vectors in _segments(batches):
+            if here != place:
+                place, gathered, index = here, [], None
+            if kind == 0:
+                gathered.append((its_ids, vectors))
+                continue
+            if not gathered:
+                continue
+            if index is None:
+                ids, q = (np.concatenate(parts) for parts in zip(*gathered))
+                index = BitSlicedIndex(q)
+            columns = [[], [], [], []]
+            for query_id, vh, weights in zip(its_ids.tolist(), hashes.tolist(), vectors):
+                others = index.everyone.copy()
+                for at in range(*np.searchsorted(ids, [query_id, query_id + 1])):
+                    if (q[at] == weights).all():
+                        others[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
+                        break
+                slices, constant = index.sums(weights)
+                found = index.top(slices, k, others)
+                scores = [v + constant for v in index.values(slices, found)]
+                for column, values in zip(columns, ([query_id] * len(found), [vh] * len(found), ids[found].tolist(), scores)):
+                    column += values
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [part.split()[0] for part in SCHEMA.split(", ")])
+    return search
+
+
 def exact_top(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 20,
-              every: int = 20, scale: int = 64, block_rows: int = 16_384, query_rows: int = 512) -> DataFrame:
+              every: int = 20, scale: int = 64, block_rows: int = 16_384, query_rows: int | None = None) -> DataFrame:
     """Each query's ``k`` rows of greatest integer inner product, exactly.
 
-    Components become floor(scale * x). Rows are dealt by id into blocks, each indexed by bit slices;
-    queries (ids divisible by ``every``) are dealt into blocks too, and each pair of blocks is a task that
-    returns at most ``k`` rows per query. A query's own row doesn't count.
+    Components become floor(scale * x). Rows are dealt by id into blocks, each indexed once by bit slices; the
+    queries (ids divisible by ``every``) go to every block and stream through its index, which gives at most
+    ``k`` rows per query. A task holds one block and one batch of queries. Only where there are fewer blocks than
+    cores, or ``query_rows`` asks for parts of so many queries, is a block indexed for several parts of
+    them. A query's own row doesn't count.
 
     Returns query_id, rank, vec_id, score. Null vectors, those with a null or non-finite component, without
     components or an id, take no part, nor do those with a quantised component that does not fit a long; sums
@@ -157,33 +207,16 @@ def exact_top(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: s
     if max(-(low or 0), high or 0) < 2 ** 31:
         rows = rows.withColumn("q", F.col("q").cast("array<int>"))
     asked = stored(questions(rows, every, F.col("q")), "slice_queries")
-    blocks, groups = bounded_blocks(rows.count(), block_rows), bounded_blocks(asked.count(), query_rows)
-    left = rows.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
-                       F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    right = asked.select("*", F.pmod(F.xxhash64("vec_id", "vh"), F.lit(groups)).cast("int").alias("part"),
-                         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    keys = ["dim", "block", "part"]
-
-    def search(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vh": [], "vec_id": [], "score": []}
-        if len(candidates) and len(asked):
-            candidates = candidates.sort_values("vec_id", kind="stable")
-            ids, q = candidates["vec_id"].to_numpy(), matrix(candidates["q"], np.int64)
-            index = BitSlicedIndex(q)
-            for query_id, vh, weights in zip(asked["vec_id"], asked["vh"], asked["q"]):
-                weights = np.asarray(weights, dtype=np.int64)
-                others = index.everyone.copy()
-                for at in range(*np.searchsorted(ids, [query_id, query_id + 1])):
-                    if (q[at] == weights).all():
-                        others[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
-                        break
-                slices, constant = index.sums(weights)
-                found = index.top(slices, k, others)
-                out["query_id"] += [query_id] * len(found)
-                out["vh"] += [vh] * len(found)
-                out["vec_id"] += ids[found].tolist()
-                out["score"] += [v + constant for v in index.values(slices, found)]
-        return pd.DataFrame(out).astype("int64")
-
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, SCHEMA)
+    blocks = bounded_blocks(rows.count(), block_rows)
+    parts = bounded_blocks(2 * vectors.sparkSession.sparkContext.defaultParallelism, blocks)
+    if query_rows:
+        parts = max(parts, bounded_blocks(asked.count(), query_rows))
+    columns = ["dim", "block", "part", "kind", "vec_id", "vh", "q"]
+    left = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
+                       F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "vec_id",
+                       F.lit(0).cast("bigint").alias("vh"), "q")
+    right = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+                         F.pmod(F.xxhash64("vec_id", "vh"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "vec_id", "vh", "q")
+    dealt = left.select(columns).unionByName(right.select(columns)).repartition(blocks * parts, "dim", "block", "part")
+    found = dealt.sortWithinPartitions("dim", "block", "part", "kind", "vec_id").mapInArrow(_answers(k), SCHEMA)
     return best(found, k, F.desc("score"))
