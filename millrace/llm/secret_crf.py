@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,7 +48,10 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
 #: Features of a word's shape; each is one weight per tag.
 SHAPE = ["always", "keyword", "ends in = or :", "only = or :", "holds = or :", "quoted", "prefix of a key", "has @",
          "has /", "8 to 15 long", "16 to 31 long", "32 long or more", "digits and letters", "half digits", "upper and lower",
-         "only upper and digits", "only hexadecimal", "key characters only", "has a dot", "many changes of class", "not ASCII"]
+         "only upper and digits", "only hexadecimal", "key characters only", "has a dot", "many changes of class", "not ASCII",
+         "holds :", "letters only", "digits, upper and lower", "hexadecimal digits and letters, 10 or more",
+         "upper and digits, 12 or more", "six changes of class, 12 or more long", "joined by - or _", "a long word of the three classes", "no letters",
+         "digits joined by dots"]
 _KEYWORD = re.compile(rb"password|passwd|pwd|secret|token|api_?key|credential|private|bearer|auth", re.I)
 _PREFIX = re.compile(rb"AKIA|ASIA|sk-|pk-|sk_|ghp_|gho_|github_pat_|xox[abp]-|eyJ|AIza|-----BEGIN")
 
@@ -65,7 +69,8 @@ _SPACE = _marked(b" \t\n\r\x0b\x0c")
 _CLASS = (_marked(_DIGITS) + 2 * _marked(_LOWER) + 3 * _marked(_UPPER)).astype(np.uint8)
 _TABLES = {"digit": _marked(_DIGITS), "lower": _marked(_LOWER), "upper": _marked(_UPPER), "assign": _marked(b"=:"), "at": _marked(b"@"),
            "slash": _marked(b"/"), "dot": _marked(b"."), "hex": _marked(_DIGITS, b"abcdef"),
-           "key": _marked(_DIGITS, _LOWER, _UPPER, b"+/_.=:\"',-"), "wide": _marked(bytes(range(128, 256)))}
+           "key": _marked(_DIGITS, _LOWER, _UPPER, b"+/_.=:\"',-"), "wide": _marked(bytes(range(128, 256))),
+           "colon": _marked(b":"), "join": _marked(b"-_")}
 
 
 def shapes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +95,7 @@ def shapes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     quote, assign = _marked(b"\"'"), _TABLES["assign"]
     letters = n["lower"] + n["upper"]
     inner = n["assign"] - assign[tail]
+    n_turns, mixed = counted(turns), (n["digit"] > 0) & (n["upper"] > 0) & (n["lower"] > 0)
     values = {
         "always": np.ones(len(first), dtype=bool), "ends in = or :": assign[tail], "only = or :": (size == 1) & assign[head],
         "holds = or :": inner > 0, "quoted": quote[head] | quote[tail], "has @": n["at"] > 0, "has /": n["slash"] > 0,
@@ -98,7 +104,13 @@ def shapes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         "upper and lower": (n["lower"] > 0) & (n["upper"] > 0),
         "only upper and digits": (n["upper"] > 0) & (n["upper"] + n["digit"] == size),
         "only hexadecimal": (n["hex"] >= 8) & (n["hex"] == letters + n["digit"]), "key characters only": n["key"] == size,
-        "has a dot": n["dot"] > 0, "many changes of class": counted(turns) >= 4, "not ASCII": n["wide"] > 0}
+        "has a dot": n["dot"] > 0, "many changes of class": n_turns >= 4, "not ASCII": n["wide"] > 0,
+        "holds :": n["colon"] - (tail == ord(":")) > 0, "letters only": letters == size, "digits, upper and lower": mixed,
+        "hexadecimal digits and letters, 10 or more": (n["hex"] >= 10) & (n["hex"] == letters + n["digit"]) & (n["digit"] > 0) & (letters > 0),
+        "upper and digits, 12 or more": (n["upper"] + n["digit"] >= 12) & (n["lower"] == 0) & (n["upper"] > 0) & (n["digit"] > 0),
+        "six changes of class, 12 or more long": (n_turns >= 6) & (size >= 12), "joined by - or _": n["join"] > 0,
+        "a long word of the three classes": mixed & (n["key"] == size) & (size >= 12), "no letters": letters + n["wide"] == 0,
+        "digits joined by dots": (letters + n["wide"] == 0) & (n["dot"] > 0) & (n["digit"] > 0)}
     for name, value in values.items():
         out[:, SHAPE.index(name)] = value
     for name, pattern in (("keyword", _KEYWORD), ("prefix of a key", _PREFIX)):
@@ -130,24 +142,12 @@ class Field:
     def parts(self) -> list[np.ndarray]:
         return [self.own, self.before, self.after, self.file, self.moves]
 
-    def emissions(self, shapes: np.ndarray, file: np.ndarray) -> np.ndarray:
-        """Scores (..., words, tags) of words in a row; ``file`` has the leading shape of ``shapes``."""
-        scores = shapes @ self.own
-        scores[..., 1:, :] += shapes[..., :-1, :] @ self.before
-        scores[..., :-1, :] += shapes[..., 1:, :] @ self.after
-        return scores + (file @ self.file)[..., None, :]
-
     def transitions(self) -> np.ndarray:
         moves = self.moves.copy()
         moves[OUTSIDE, INSIDE] = NEVER
         return moves
 
 
-def _log_sum(values: np.ndarray, axis: int) -> np.ndarray:
-    top = values.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(values - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def train(shapes: np.ndarray, files: np.ndarray, tags: np.ndarray, steps: int = 150, rate: float = 0.1,
           ridge: float = 1e-3) -> Field:
     """Fit the field to windows of words (windows, words, features) by gradient ascent with adaptive steps."""
@@ -155,21 +155,32 @@ def train(shapes: np.ndarray, files: np.ndarray, tags: np.ndarray, steps: int =
     count, length = tags.shape
     truth = np.eye(3)[tags]
     pairs = np.einsum("nta,ntb->ab", truth[:, :-1], truth[:, 1:])
+    flat = np.ascontiguousarray(shapes.reshape(count * length, -1), dtype=np.float32)
     mean, square = [np.zeros_like(p) for p in field.parts()], [np.zeros_like(p) for p in field.parts()]
     for step in range(1, steps + 1):
-        scores, moves = field.emissions(shapes, files), field.transitions()
-        forward, backward = np.empty_like(scores), np.zeros_like(scores)
-        forward[:, 0] = scores[:, 0]
+        # One product scores each word for itself, for the word after it and for the word before it.
+        table = (flat @ np.concatenate([field.own, field.before, field.after], axis=1).astype(np.float32)).reshape(count, length, 9).astype(float)
+        scores, moves = table[..., :3] + (files @ field.file)[:, None, :], field.transitions()
+        scores[:, 1:] += table[:, :-1, 3:6]
+        scores[:, :-1] += table[:, 1:, 6:]
+        # Forward and backward sums over the tags, scaled to a sum of 1 at each word.
+        here, move = np.exp(scores - scores.max(axis=2, keepdims=True)), np.exp(moves)
+        forward, backward = np.empty_like(here), np.ones_like(here)
+        forward[:, 0] = here[:, 0]
         for t in range(1, length):
-            forward[:, t] = scores[:, t] + _log_sum(forward[:, t - 1, :, None] + moves, 1)
+            ahead = (forward[:, t - 1] @ move) * here[:, t]
+            forward[:, t] = ahead / ahead.sum(axis=1, keepdims=True)
         for t in range(length - 2, -1, -1):
-            backward[:, t] = _log_sum(moves + (scores[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-        total = _log_sum(forward[:, -1], 1)
-        gap = truth - np.exp(forward + backward - total[:, None, None])
-        joint = np.exp(forward[:, :-1, :, None] + moves + (scores[:, 1:] + backward[:, 1:])[:, :, None, :]
-                       - total[:, None, None, None]).sum(axis=(0, 1))
-        slopes = [np.einsum("ntf,nta->fa", shapes, gap), np.einsum("ntf,nta->fa", shapes[:, :-1], gap[:, 1:]),
-                  np.einsum("ntf,nta->fa", shapes[:, 1:], gap[:, :-1]), np.einsum("nf,nta->fa", files, gap), pairs - joint]
+            behind = (here[:, t + 1] * backward[:, t + 1]) @ move.T
+            backward[:, t] = behind / behind.sum(axis=1, keepdims=True)
+        shares = forward * backward
+        gap = truth - shares / shares.sum(axis=2, keepdims=True)
+        left, right = forward[:, :-1].reshape(-1, 3), (here[:, 1:] * backward[:, 1:]).reshape(-1, 3)
+        joint = move * (left.T @ (right / ((left @ move) * right).sum(axis=1, keepdims=True)))
+        wide = np.zeros((count, length, 9), dtype=np.float32)
+        wide[..., :3], wide[:, :-1, 3:6], wide[:, 1:, 6:] = gap, gap[:, 1:], gap[:, :-1]
+        slope = (flat.T @ wide.reshape(count * length, 9)).astype(float)
+        slopes = [slope[:, :3], slope[:, 3:6], slope[:, 6:], files.T @ gap.sum(axis=1), pairs - joint]
         for i, (part, slope) in enumerate(zip(field.parts(), slopes)):
             slope = slope / count - ridge * part
             mean[i] = 0.9 * mean[i] + 0.1 * slope
@@ -258,43 +269,141 @@ def _secrets(tags: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+#: What may stand before a secret that no mark gives away; the last word is the nearest.
+_LEADS = ["password", "passwd", "Password is", "secret", "the secret key", "token", "Token is", "api key", "api_key is", "apikey",
+          "access key", "credential", "bearer", "auth token", "private key"]
+_OPENINGS = ["sk-", "pk-", "sk_", "ghp_", "gho_", "xoxb-", "AIza"]
+_TERMS = ["password", "token", "secret", "api key", "keyword", "access", "bearer", "the token", "a password"]
+
+
+def _drawn(rng: np.random.Generator, letters: str, low: int, high: int) -> str:
+    return "".join(letters[i] for i in rng.integers(0, len(letters), rng.integers(low, high + 1)))
+
+
+def _hidden_secret(rng: np.random.Generator) -> tuple[list[str], str]:
+    """(words before, secret): a secret as one word, without the separators or lengths the base patterns ask for."""
+    lead = _LEADS[rng.integers(len(_LEADS))].split()
+    kind = rng.integers(6)
+    if kind == 0:
+        word = _drawn(rng, _ALNUM, 3, 10) + "-"[:rng.integers(2)] + _drawn(rng, _ALNUM, 6, 16) + str(rng.integers(10)) + "aZ"
+    elif kind == 1:
+        opening = _OPENINGS[rng.integers(len(_OPENINGS))] if rng.integers(2) else _drawn(rng, _ALNUM[26:52], 2, 6) + "-_"[rng.integers(2)]
+        word = opening + _drawn(rng, _ALNUM + "_", 16, 40)
+    elif kind == 2:
+        word = ".".join(_drawn(rng, _ALNUM + "_-", *size) for size in ((12, 36), (16, 60), (16, 43)))
+    elif kind == 3:
+        word = ("AKIA" if rng.integers(2) else _drawn(rng, _ALNUM[:26], 4, 4)) + _drawn(rng, _ALNUM[:26] + _ALNUM[52:], 9, 13) + "7"
+    elif kind == 4:
+        word = _drawn(rng, "0123456789abcdef", 8, 13) + "b4"
+    else:
+        word = _drawn(rng, _ALNUM + "+/", 16, 44) + "="[:rng.integers(2)]
+    if kind in (1, 2, 3) and rng.integers(3) == 0:
+        lead = []
+    quote = ["", "", "", '"', "'"][rng.integers(5)]
+    return lead, quote + word + quote + ["", "", "", ".", ","][rng.integers(5)]
+
+
+def _innocent(rng: np.random.Generator, plain: str) -> list[str]:
+    """Words that look a little like a secret and are none: addresses, dates, numbers, names, mentions of the keywords."""
+    small = _ALNUM[26:52]
+    year, month, day, hour = rng.integers(1990, 2030), rng.integers(1, 13), rng.integers(1, 29), rng.integers(0, 24)
+    kind, junk = rng.integers(12), ["", "", ".", ",", "&&&", "###", ")", "%"][rng.integers(8)]
+    if kind == 0:
+        return [f"{_drawn(rng, small, 3, 10)}.{rng.integers(100)}@{_drawn(rng, small, 3, 9)}{rng.integers(10)}.example.com{junk}"]
+    if kind == 1:
+        return [f"https://{_drawn(rng, small, 4, 12)}.org/{_drawn(rng, small, 3, 12)}/{_drawn(rng, small, 2, 9)}-{rng.integers(10**6)}.html{junk}"]
+    if kind == 2:
+        return [f"{year}-{month:02}-{day:02}T{hour:02}:{rng.integers(60):02}:00Z" if rng.integers(2) else f"{year}-{month:02}-{day:02}"]
+    if kind == 3:
+        return [f"+{rng.integers(1, 99)}-{rng.integers(100, 999)}-{rng.integers(100, 999)}-{rng.integers(1000, 9999)}{junk}"]
+    if kind == 4:
+        numbers = ".".join(str(n) for n in rng.integers(0, 256, rng.integers(2, 5)))
+        return [numbers + junk if rng.integers(2) else f"v{numbers}-beta{rng.integers(9)}"]
+    if kind == 5:
+        return [_drawn(rng, "0123456789", 1, 13) + junk]
+    if kind == 6:
+        return [_drawn(rng, small, 4, 9).capitalize() + _drawn(rng, small, 4, 9).capitalize() + _drawn(rng, small, 0, 9).capitalize()]
+    if kind == 7:
+        return [_drawn(rng, _ALNUM[:26], 2, 4) + "-" + _drawn(rng, "0123456789", 2, 6)]
+    if kind == 8:
+        return [f"{_drawn(rng, small, 3, 8)}_{_drawn(rng, small, 3, 9)}_{rng.integers(100)}.py"]
+    if kind == 9:
+        return [_drawn(rng, small, 8, 30)] if rng.integers(2) else [_drawn(rng, _ALNUM[:26], 5, 20)]
+    return [*_TERMS[rng.integers(len(_TERMS))].split(), *["is"][:rng.integers(2)], plain]
+
+
 def training_windows(texts: list[tuple[str, str | None]], around: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of words about base matches, tagged by them, and as many windows elsewhere."""
+    """Windows of words and their tags.
+
+    Windows about base matches are tagged by them, and those elsewhere are outside. The same passages stand
+    in again with the patterns' own marks hidden: the match gives way to a drawn secret that no base pattern
+    finds (no separator before it, or too short), after a keyword or alone, so that shape and neighbours
+    carry the tag. Plain passages take such secrets too, and look-alikes that are none, which are tagged
+    outside. Draws depend on the text only.
+    """
     views, files, tags = [], [], []
     width = 2 * around + 4
     for text, lang in texts:
         body = text.encode("utf-8", "replace")
-        starts, _, features = shapes(body)
+        starts, ends, features = shapes(body)
         if len(starts) < width:
             continue
+        rng = np.random.default_rng(zlib.crc32(body))
         marks = np.zeros(len(starts), dtype=np.int64)
-        centres = []
+        matches = []
         for start, _, _, end in base_spans(text):
             low, high = (len(text[:at].encode("utf-8", "replace")) for at in (start, end))
             first, last = int(np.searchsorted(starts, low, side="right")) - 1, int(np.searchsorted(starts, high, side="left")) - 1
             if marks[first:last + 1].any():
                 continue
             marks[first], marks[first + 1:last + 1] = BEGIN, INSIDE
-            centres.append(first)
-        centres += [(len(starts) * (i + 1)) // (len(centres) + 3) for i in range(len(centres) + 2)]
+            matches.append((first, last))
+        plain = [(len(starts) * (i + 1)) // (len(matches) + 3) for i in range(len(matches) + 2)]
         facts = file_features(len(starts), lang, len(body))
-        for centre in centres:
-            low = max(0, min(centre - around, len(starts) - width))
-            views.append(features[low:low + width])
+
+        def add(rows: np.ndarray, tagged: np.ndarray, centre: int) -> None:
+            low = max(0, min(centre - around, len(rows) - width))
+            views.append(rows[low:low + width])
             files.append(facts)
-            tags.append(marks[low:low + width])
-    return np.array(views, dtype=np.float64), np.array(files), np.array(tags)
+            tags.append(tagged[low:low + width])
+
+        def stand_in(first: int, last: int, words: list[str], secret: bool) -> None:
+            """The passage about the words ``first`` to ``last``, with others in their place."""
+            left, right = max(0, first - width), min(len(starts), last + 1 + width)
+            new = [word.encode() for word in words]
+            begin = [body[starts[i]:ends[i]] for i in range(left, first)]
+            after = [body[starts[i]:ends[i]] for i in range(last + 1, right)]
+            at = first - left + len(new) - 1
+            tagged = np.concatenate([marks[left:first], np.zeros(len(new), dtype=np.int64), marks[last + 1:right]])
+            tagged[at] = BEGIN if secret else OUTSIDE
+            add(shapes(b" ".join(begin + new + after))[2], tagged, at)
+
+        for first, last in matches:
+            add(features, marks, first)
+            lead, word = _hidden_secret(rng)
+            stand_in(first, last, [*lead, word], True)
+        for centre in plain:
+            add(features, marks, centre)
+            if not marks[centre]:
+                word = body[starts[centre]:ends[centre]].decode("utf-8", "replace")
+                for _ in range(2):
+                    stand_in(centre, centre, _innocent(rng, word), False)
+                lead, secret = _hidden_secret(rng)
+                stand_in(centre, centre, [*lead, secret], True)
+    return np.array(views, dtype=np.float32), np.array(files), np.array(tags)
 
 
 def fit(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang",
         sample: int = 1500, most_chars: int = 20_000) -> Field:
-    """Train the field on base matches in a bounded sample of documents, up to half of which hold one.
+    """Train the field on a bounded sample of documents, up to half of which hold a base match: on these, and on
+    secrets and look-alikes that ``training_windows`` draws into the same passages.
 
     The sample is at most ``sample`` documents of the smallest hashes, among those of up to ``most_chars``
     characters; only training leaves longer ones out. Documents are drawn by hash before their texts are
     looked at: first about 16 times ``sample``, then, until either half is full or all documents have been
     looked at, 16 times as many a round. Rare secrets are so found at any size, and at most ``sample`` rows
-    reach the driver. Without documents all weights are zero but that nothing is a secret.
+    reach the driver. Without texts of 16 words all weights are zero but that nothing is a secret.
     """
     text = F.col(text_column)
     lang = F.col(lang_column) if lang_column else F.lit(None).cast("string")
