@@ -323,9 +323,11 @@ def _innocent(rng: np.random.Generator, plain: str) -> list[str]:
     if kind == 5:
         return [_drawn(rng, "0123456789", 1, 13) + junk]
     if kind == 6:
-        return [_drawn(rng, small, 4, 9).capitalize() + _drawn(rng, small, 4, 9).capitalize() + _drawn(rng, small, 0, 9).capitalize()]
+        name = _drawn(rng, small, 1, 7) + _drawn(rng, small, 3, 9).capitalize()
+        tail = ["", str(rng.integers(3000)), f"{rng.integers(100)}{_drawn(rng, small, 0, 4).capitalize()}"][rng.integers(3)]
+        return [(name.capitalize() if rng.integers(2) else name) + tail + junk]
     if kind == 7:
-        return [_drawn(rng, _ALNUM[:26], 2, 4) + "-" + _drawn(rng, "0123456789", 2, 6)]
+        return [_drawn(rng, _ALNUM[:26], 2, 4) + "-"[:rng.integers(2)] + _drawn(rng, "0123456789", 2, 6) + junk]
     if kind == 8:
         return [f"{_drawn(rng, small, 3, 8)}_{_drawn(rng, small, 3, 9)}_{rng.integers(100)}.py"]
     if kind == 9:
