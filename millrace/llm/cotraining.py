@@ -85,11 +85,13 @@ class Logistic:
         return np.clip(self.slope * self.raw(x) + self.shift, -30, 30)
 
 
-def _newton(z: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> np.ndarray:
-    weights = np.zeros(z.shape[1])
+def _newton(z: np.ndarray, y: np.ndarray, ridge: float, steps: int, centre: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic regression that the ridge draws to ``centre``, or to zero."""
+    centre = np.zeros(z.shape[1]) if centre is None else centre
+    weights = centre.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ weights, -30, 30)))
-        slope = z.T @ (p - y) + ridge * weights
+        slope = z.T @ (p - y) + ridge * (weights - centre)
         curve = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(weights))
         move = np.linalg.solve(curve, slope)
         weights = weights - move
@@ -100,36 +102,67 @@ def _newton(z: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> np.ndarra
 
 @dataclass
 class CoTrained:
-    """Both views after their rounds, the share of good documents, and the held-out accuracy."""
+    """Both views after their rounds, how they combine (weights of either logit and a shift), and the held-out accuracy."""
 
     text: Logistic
     page: Logistic
-    prior: float
+    mix: np.ndarray
     held_out: float
     rounds: list[tuple[int, int]] = field(default_factory=list)
 
     def scores(self, text: np.ndarray, page: np.ndarray) -> np.ndarray:
-        """Probability of good quality: calibrated evidence of both views, the prior counted once."""
-        logit = self.text.logit(text) + self.page.logit(page) - self.prior
-        return np.stack([_probability(logit), _probability(self.text.logit(text)), _probability(self.page.logit(page))], axis=1)
+        """Probability of good quality: by both views, by the text alone, by the page alone."""
+        views = np.stack([self.text.logit(text), self.page.logit(page)], axis=1)
+        return _probability(np.concatenate([(views @ self.mix[:2] + self.mix[2])[:, None], views], axis=1))
 
 
 def _probability(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def _surest(p: np.ndarray, right: np.ndarray, precise: float) -> float:
+    """The least p such that held-out rows of at least that p are right often enough; above 1 if there is none.
+
+    The share of right rows is taken as (right + 1) / (rows + 2), so a few lucky rows are not enough.
+    """
+    order = np.argsort(-p, kind="stable")
+    share = (np.cumsum(right[order]) + 1) / (np.arange(len(p)) + 3)
+    last = np.append(p[order][1:] < p[order][:-1], True)[:len(p)]  # equal scores stand or fall together
+    good = np.flatnonzero(last & (share >= precise))
+    return float(p[order][good[-1]]) if len(good) else 2.0
+
+
+def _tells_apart(p: np.ndarray, fine: np.ndarray, least: float = 2.5) -> bool:
+    """Whether scores rank good held-out rows above bad ones, by more than ``least`` standard errors of chance (rank sums)."""
+    n, m = int(fine.sum()), int((~fine).sum())
+    _, place, times = np.unique(p, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(times) - (times - 1) / 2)[place]
+    return bool(rank[fine].sum() - n * (n + m + 1) / 2 > least * np.sqrt(n * m * (n + m + 1) / 12))
+
+
+def _combined(views: np.ndarray, y: np.ndarray, good: float, ridge: float = 1.0) -> np.ndarray:
+    """Weights of both logits and a shift. They start from independent views, whose logits add up with the prior
+    counted once, and rows move them from there."""
+    line = np.concatenate([views, np.ones((len(views), 1))], axis=1)
+    return _newton(line, y, ridge, 25, np.array([1.0, 1.0, -np.log(good / (1 - good))]))
+
+
 def co_train(text: np.ndarray, page: np.ndarray, labels: np.ndarray, *, rounds: int = 3, share: float = 0.1,
              confident: float = 0.95) -> CoTrained:
     """Train both views on labelled rows (0 or 1) and on each other's confident guesses for the rest (-1).
 
-    A third of the labelled rows is held out for calibration and accuracy. Each round, either view labels
-    up to ``share`` of the open rows for the other: the most certain ones, above ``confident`` on
-    their side, good and bad in the proportion of the labels.
+    A third of the labelled rows is held out for calibration, for the combination and for how sure a view may
+    be. Each round, either view labels up to ``share`` of the open rows for the other: its most certain
+    ones, good and bad in the proportion of the labels, beyond the score from which held-out rows are
+    right at a share of ``confident``. A view whose scores do not tell the held-out rows apart teaches nothing.
+    ``held_out`` is the accuracy of combinations that are fitted to one half of the held-out rows and
+    judged on the other.
     """
     labelled = np.flatnonzero(labels >= 0)
     held, seen = labelled[::3], np.setdiff1d(labelled, labelled[::3])
     open_ = np.flatnonzero(labels < 0)
     good = float(np.clip(labels[labelled].mean(), 1e-3, 1 - 1e-3))
+    fine_held = labels[held] == 1
     views = {"text": text, "page": page}
     known = {name: labels.astype(float).copy() for name in views}
     taught = {name: seen for name in views}
@@ -146,21 +179,25 @@ def co_train(text: np.ndarray, page: np.ndarray, labels: np.ndarray, *, rounds:
         counts = []
         for name, other in (("text", "page"), ("page", "text")):
             rest = np.setdiff1d(open_, taught[other])
-            p = _probability(models[name].logit(views[name][rest]))
-            most = int(share * len(open_))
+            p, sure = (_probability(models[name].logit(views[name][rows])) for rows in (rest, held))
+            most = int(share * len(open_)) if _tells_apart(sure, fine_held) else 0
             order = np.argsort(p, kind="stable")
             bad = order[:int(most * (1 - good))]
             fine = order[::-1][:int(most * good)]
-            bad, fine = bad[p[bad] < 1 - confident], fine[p[fine] > confident]
+            bad = bad[1 - p[bad] >= _surest(1 - sure, ~fine_held, confident)]
+            fine = fine[p[fine] >= _surest(sure, fine_held, confident)]
             known[other][rest[bad]], known[other][rest[fine]] = 0.0, 1.0
             taught[other] = np.concatenate([taught[other], rest[bad], rest[fine]])
             counts.append(len(bad) + len(fine))
         history.append(tuple(counts))
         fit_all()
-    model = CoTrained(models["text"], models["page"], float(np.log(good / (1 - good))), 0.0, history)
-    guess = model.scores(text[held], page[held])[:, 0] >= 0.5
-    model.held_out = float((guess == (labels[held] == 1)).mean())
-    return model
+    logits = np.stack([models["text"].logit(text[held]), models["page"].logit(page[held])], axis=1)
+    y, half = labels[held].astype(float), np.arange(len(held)) % 2 == 0
+    right = 0
+    for part in (half, ~half):
+        mix = _combined(logits[part], y[part], good)
+        right += ((logits[~part] @ mix[:2] + mix[2] >= 0) == fine_held[~part]).sum()
+    return CoTrained(models["text"], models["page"], _combined(logits, y, good), float(right / max(1, len(held))), history)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 12_000, max_open: int = 12_000,

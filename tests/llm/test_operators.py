@@ -384,6 +384,49 @@ def test_views_teach_each_other():
     assert ((model.scores(text, page)[:, 0] > 0.5) == y).mean() > 0.95
 
 
+def parts_of(model, text, page, y):
+    return ((model.scores(text, page) >= 0.5) == (y == 1)[:, None]).mean(axis=0)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_two_informed_views_teach_and_combine(seed):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, 6000)
+    text, page = y[:, None] * 1.2 + rng.normal(size=(6000, 3)), y[:, None] + rng.normal(size=(6000, 3))
+    model = co_train(text, page, np.where(rng.random(6000) < 0.1, y, -1))
+    taught = np.array(model.rounds).sum(axis=0)
+    assert (taught > 200).all()
+    combined, by_text, by_page = parts_of(model, text, page, y)
+    assert combined > by_text + 0.02 and combined > by_page + 0.02
+    assert abs(model.held_out - combined) < 0.06
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_an_uninformed_view_teaches_nothing_and_does_no_harm(seed):
+    rng = np.random.default_rng(seed)
+    y = (rng.random(6000) < 0.86).astype(int)
+    text, page = y[:, None] * 3 + rng.normal(size=(6000, 4)), rng.normal(size=(6000, 20))
+    model = co_train(text, page, np.where(rng.random(6000) < 0.1, y, -1))
+    assert sum(by_page for _, by_page in model.rounds) == 0
+    combined, by_text, _ = parts_of(model, text, page, y)
+    assert combined >= by_text - 0.005
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5])
+def test_combined_views_are_at_least_as_right_as_either_on_the_shared_table(share):
+    rows = duckdb.sql("""SELECT coalesce(text, ''), lang, source, n_chars, coalesce(quality, -1) FROM '/root/testdata/sf0.1/documents.parquet'
+                         LEFT JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) ORDER BY doc_id""").fetchall()
+    y = np.array([r[4] for r in rows])
+    text = np.stack([cotraining.text_features(r[0].encode()) for r in rows])
+    page = np.stack([cotraining.page_features(*r[1:4]) for r in rows])
+    for seed in range(3):
+        seen = np.random.default_rng(seed).random(len(y)) < share
+        test = (y >= 0) & ~seen
+        model = co_train(text, page, np.where(seen, y, -1))
+        combined, by_text, by_page = parts_of(model, text[test], page[test], y[test])
+        assert combined >= max(by_text, by_page) - 0.001 and combined > 0.98
+
+
 # 8 secrets
 
 def test_base_spans_follow_the_contract():
