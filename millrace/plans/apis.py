@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import re
 from dataclasses import dataclass
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import json_ops
+from millrace.plans.bodies import body_of, write_bodies
 from millrace.plans.catalogue import query
 from millrace.sources import rest, tables
 from millrace.sources.rest import Request, Response, run_chain
@@ -21,7 +21,7 @@ PAGE = 50
 
 @dataclass(frozen=True)
 class Answers:
-    """An API over a folder of bodies, one per page; pages are asked for by ``page`` or by ``offset`` and ``size``."""
+    """An API over the bodies of pages; pages are asked for by ``page`` or by ``offset`` and ``size``."""
 
     root: str
     token: str | None = None
@@ -32,11 +32,8 @@ class Answers:
         number = re.search(r"page=(\d+)", request.url)
         offset = re.search(r"offset=(\d+)&size=(\d+)", request.url)
         page = int(number.group(1)) if number else int(offset.group(1)) // int(offset.group(2)) if offset else 0
-        parts = glob.glob(f"{self.root.removeprefix('file://')}/page={page}/part-*")
-        if not parts:
-            return Response(200, json.dumps({"count": 0, "items": []}))
-        with open(parts[0], encoding="utf-8") as body:
-            return Response(200, body.read())
+        body = body_of(self.root, page)
+        return Response(200, json.dumps({"count": 0, "items": []}) if body is None else body)
 
 
 def served(spark: SparkSession, rows: DataFrame, key: str, page: int | None = PAGE) -> str:
@@ -44,9 +41,7 @@ def served(spark: SparkSession, rows: DataFrame, key: str, page: int | None = PA
     root = scratch(spark, "api")
     total = rows.agg(F.count("*").alias("n")).select("n").scalar()
     number = F.expr(f"{key} div {page}") if page else F.lit(0).cast("bigint")
-    items = F.sort_array(F.collect_list(F.struct(key, *[c for c in rows.columns if c != key])))
-    bodies = rows.groupBy(number.alias("page")).agg(items.alias("items"))
-    bodies.select("page", F.to_json(F.struct(total.alias("count"), "items")).alias("value")).write.partitionBy("page").text(root)
+    write_bodies(rows, number, F.struct(key, *[c for c in rows.columns if c != key]), root, count=total)
     return root
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import re
 from dataclasses import dataclass
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.bucketed import BucketedTable
+from millrace.plans.bodies import body_of, write_bodies
 from millrace.plans.catalogue import query
 from millrace.sources import rest, tables
 from millrace.sources.rest import Request, Response
@@ -59,17 +59,14 @@ def stream_synced(spark: SparkSession, d: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class PageFolder:
-    """An API whose pages lie in a folder, one body per page number; a page past the end is an empty list."""
+    """An API over the bodies of pages; a page past the end is an empty list."""
 
     root: str
 
     def __call__(self, request: Request) -> Response:
         number = re.search(r"page=(\d+)", request.url).group(1)
-        parts = glob.glob(f"{self.root.removeprefix('file://')}/page={number}/part-*")
-        if not parts:
-            return Response(200, json.dumps({"items": []}))
-        with open(parts[0], encoding="utf-8") as body:
-            return Response(200, body.read())
+        body = body_of(self.root, int(number))
+        return Response(200, json.dumps({"items": []}) if body is None else body)
 
 
 @query("stream_rest", "SELECT page_id, url, CAST(page_id AS BIGINT) AS position FROM pages")
@@ -79,9 +76,7 @@ def stream_rest(spark: SparkSession, d: str) -> DataFrame:
     listed = tables.parquet(spark, d, "pages").select("page_id", "url")
     half = listed.selectExpr("max(page_id) div 2").first()[0]
     for delivery in (listed.where(F.col("page_id") <= half), listed):
-        items = F.sort_array(F.collect_list(F.struct("page_id", "url")))
-        bodies = delivery.groupBy(F.expr("page_id div 20").alias("page")).agg(F.to_json(F.struct(items.alias("items"))).alias("value"))
-        bodies.write.mode("overwrite").partitionBy("page").text(f"{root}/api")
+        write_bodies(delivery, F.expr("page_id div 20"), F.struct("page_id", "url"), f"{root}/api")
         stream = rest.read_stream(spark, PageFolder(f"{root}/api"), "api://pages?page={{page}}&size={{size}}", paging="page",
                                   pagesize="20", firstpage="0", itemspath="items", callspertask="2")
         query_ = (stream.writeStream.format("parquet").option("path", f"{root}/read").option("checkpointLocation", f"{root}/checkpoint")

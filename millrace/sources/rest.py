@@ -152,6 +152,10 @@ def _as_text(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+#: Tasks of a read that does not say how many calls each makes, at most.
+MOST_TASKS = 1000
+
+
 class CallRange(InputPartition):
     """Calls of one partition."""
 
@@ -176,7 +180,7 @@ class RestReader(DataSourceReader):
         self.size = int(options.get("pagesize", "100"))
         self.total_path = options.get("totalpath", "count")
         self.items_path = options.get("itemspath", "")
-        self.per_task = int(options.get("callspertask", "10"))
+        self.per_task = int(options.get("callspertask", "0"))
         self.first_page = int(options.get("firstpage", "1"))
 
     def call(self, extra: Mapping[str, str]) -> Response:
@@ -224,10 +228,14 @@ class RestReader(DataSourceReader):
             full, short = (full, probe) if self.is_short(probe) else (probe, short)
         return short
 
+    def step(self, calls: int) -> int:
+        """Calls of one task: as asked, else ten, or more where that would make too many tasks."""
+        return self.per_task or max(10, -(-calls // MOST_TASKS))
+
     def partitions(self) -> Sequence[InputPartition]:
         calls = self.call_count()
-        return [CallRange(low, min(low + self.per_task, calls) - 1)
-                for low in range(0, calls, self.per_task)]
+        step = self.step(calls)
+        return [CallRange(low, min(low + step, calls) - 1) for low in range(0, calls, step)]
 
     def read(self, partition: CallRange) -> Iterator[tuple]:
         for number in range(partition.first, partition.last + 1):
@@ -275,12 +283,13 @@ class RestStreamReader(DataSourceStreamReader):
         return {"items": self.seen}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        first, last, size, step = start["items"], end["items"], self.calls.size, self.calls.per_task
+        first, last, size = start["items"], end["items"], self.calls.size
         if last < first:
             raise RuntimeError(f"the list shrank from {first} to {last} items")
         if last == first:
             return []
         pages = range(first // size, (last - 1) // size + 1)
+        step = self.calls.step(len(pages))
         return [ItemRange(low, min(low + step, pages.stop) - 1, first, last) for low in pages[::step]]
 
     def read(self, partition: ItemRange) -> Iterator[tuple]:
