@@ -35,6 +35,11 @@ def text_or_blank(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def placeholders(template: str) -> set[str]:
+    """The names that stand in braces in a template."""
+    return {brace for _, brace in _PLACEHOLDER.findall(template) if brace}
+
+
 def render(template: str, values: Mapping[str, Column], style: str = "dollar") -> Column:
     """Fill ``${name}`` (style "dollar") or ``{name}`` (style "brace") from columns.
 

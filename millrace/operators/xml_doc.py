@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import compact, year_prefix
-from millrace.functions.text import classify, clean_markup, first_non_blank, text_or_blank, xml_escape
+from millrace.functions.text import classify, clean_markup, first_non_blank, placeholders, text_or_blank, xml_escape
 from millrace.operators.mapping import default_render
 
 HEADER = '<?xml version="1.0" encoding="UTF-8"?>'
@@ -125,24 +125,35 @@ def entity_class(df: DataFrame, run_date: dt.date, category: str = "二级目录
     return F.concat(year_prefix(when, run_date), F.lit("-"), kind)
 
 
-def xml_lines(entries: Sequence[tuple[str, Column]], depth: int, omit_empty: bool = False) -> Column:
+def xml_lines(entries: Sequence[tuple[str, Column | str]], depth: int, omit_empty: bool = False) -> Column:
     """Indented lines of ``(tag, text)`` entries; an empty element is ``<tag/>`` or left out.
 
-    The entries travel as one array, so the cleaning expression occurs once in the plan
-    however many fields a document has.
+    Text given as ``str`` is the same in every row: the planner folds its lines into one literal, which goes ahead
+    of the next entry's line. The other entries travel as one array, so the cleaning expression
+    occurs once in the plan however many fields a document has.
     """
     pad = F.lit("\n" + INDENT * depth)
-    raw = F.array(*[F.struct(F.lit(tag).alias("tag"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-                    for tag, text in entries])
-    clean = F.transform(raw, lambda e: F.struct(e["tag"].alias("tag"), F.when(
-        e["text"].contains("<"), clean_markup(e["text"])).otherwise(e["text"]).alias("text")))
-    if omit_empty:
-        clean = F.filter(clean, lambda e: e["text"] != "")
-    lines = F.transform(clean, lambda e: F.when(
-        e["text"] == "", F.concat(pad, F.lit("<"), e["tag"], F.lit("/>"))).otherwise(
-        F.concat(pad, F.lit("<"), e["tag"], F.lit(">"), xml_escape(e["text"]),
-                 F.lit("</"), e["tag"], F.lit(">"))))
-    return F.array_join(lines, "")
+
+    def cleaned(text: Column) -> Column:
+        return F.when(text.contains("<"), clean_markup(text)).otherwise(text)
+
+    def line(tag: Column, text: Column) -> Column:
+        empty = F.lit("") if omit_empty else F.concat(pad, F.lit("<"), tag, F.lit("/>"))
+        return F.when(text == "", empty).otherwise(
+            F.concat(pad, F.lit("<"), tag, F.lit(">"), xml_escape(text), F.lit("</"), tag, F.lit(">")))
+
+    raw, ahead = [], [F.lit("")]
+    for tag, text in entries:
+        if isinstance(text, str):
+            ahead.append(line(F.lit(tag), cleaned(F.lit(text))))
+            continue
+        raw.append(F.struct(F.concat(*ahead).alias("ahead"), F.lit(tag).alias("tag"), F.coalesce(text.cast("string"), F.lit("")).alias("text")))
+        ahead = [F.lit("")]
+    if not raw:
+        return F.concat(*ahead)
+    clean = F.transform(F.array(*raw), lambda e: F.struct(e["ahead"], e["tag"], cleaned(e["text"]).alias("text")))
+    lines = F.transform(clean, lambda e: F.concat(e["ahead"], line(e["tag"], e["text"])))
+    return F.concat(F.array_join(lines, ""), *ahead)
 
 
 def metadata_xml(
@@ -166,8 +177,9 @@ def metadata_xml(
     for field in fields if fields is not None else default_fields():
         present = [F.col(f"`{s}`") for s in field.sources if s in df.columns]
         source = F.nullif(first_non_blank(*present), F.lit("")) if present else None
-        entries.append((field.tag, default_render(source, field.default, context, row)))
-    surroundings = [(tag, column_or_blank(df, tag)) for tag in ENVIRONMENT_FIELDS]
+        fixed = source is None and not placeholders(field.default) & (context.keys() | row.keys())
+        entries.append((field.tag, field.default if fixed else default_render(source, field.default, context, row)))
+    surroundings = [(tag, column_or_blank(df, tag) if tag in df.columns else "") for tag in ENVIRONMENT_FIELDS]
 
     def one_file(f: Column, i: Column) -> Column:
         values = [F.concat(F.lit(OBJECT_LABEL), (i + 1).cast("string")),

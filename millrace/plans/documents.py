@@ -205,9 +205,11 @@ def metadata_xml_default(spark: SparkSession, d: str) -> DataFrame:
     rows = joined.select("o_orderkey", F.col("c_name").alias("author"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("submissionDate"),
                          F.lit("1").alias("pdf_count"))
     none = F.array().cast("array<struct<name:string,format:string,size:bigint,md5:string>>")
-    lines = F.split(xml_doc.metadata_xml(rows, none, CLOCK, institution="Example"), "\n")
-    inner = F.filter(lines, lambda x: x.startswith("    "))
-    return rows.select(
-        "o_orderkey", F.array_contains(lines, F.concat(F.lit("    <第一责任者>"), F.col("author"), F.lit("</第一责任者>"))).alias("named"),
-        (F.size(inner) - 1).alias("lines"), F.get(inner, F.lit(0)).alias("first_line"),
-        F.get(F.filter(inner, lambda x: x.contains("页数")), F.lit(0)).alias("page_line"))
+    xml = xml_doc.metadata_xml(rows, none, CLOCK, institution="Example")
+    # Step by step, so that the document is rendered and split once, not for each measure.
+    split = rows.select("o_orderkey", "author", F.split(xml, "\n").alias("all"))
+    named = F.array_contains("all", F.concat(F.lit("    <第一责任者>"), F.col("author"), F.lit("</第一责任者>")))
+    inner = split.select("o_orderkey", named.alias("named"), F.filter("all", lambda x: x.startswith("    ")).alias("inner"))
+    return inner.select(
+        "o_orderkey", "named", (F.size("inner") - 1).alias("lines"), F.get("inner", F.lit(0)).alias("first_line"),
+        F.get(F.filter("inner", lambda x: x.contains("页数")), F.lit(0)).alias("page_line"))

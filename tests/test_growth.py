@@ -3,10 +3,15 @@
 import glob
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.plans import apis, bodies
-from millrace.sources import rest
+from millrace import sync
+from millrace.operators import json_ops, xml_doc
+from millrace.plans import apis, bodies, documents
+from millrace.sources import catalog, rest
+from millrace.streaming import incremental
+
 
 
 def test_pages_share_files_and_each_is_found(spark, tmp_path):
@@ -36,3 +41,26 @@ def test_a_long_list_is_read_by_a_bounded_number_of_tasks():
     many = of(1_000_001)
     assert len(many) <= rest.MOST_TASKS and many[-1].last == 1_000_000
     assert all(before.last + 1 == after.first for before, after in zip(many, many[1:]))
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_document_is_rendered_once(spark, tmp_path):
+    spark.sql("SELECT 1L AS o_orderkey, 2L AS o_custkey, TIMESTAMP_NTZ '2020-01-02 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 2L AS c_custkey, 'a' AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    assert optimized(documents.metadata_xml_default(spark, str(tmp_path))).count("学籍变更") == 1
+
+
+@pytest.mark.parametrize("omit", [False, True])
+def test_fixed_lines_equal_those_of_columns(spark, omit):
+    texts = [("a", "x<sub>1</sub><b>y</b>"), ("b", ""), ("c", "1 & 2"), ("d", "<i></i>"), ("e", "z")]
+    as_columns = xml_doc.xml_lines([(tag, F.lit(text)) for tag, text in texts], 1, omit)
+    fixed = xml_doc.xml_lines(texts, 1, omit)
+    mixed = xml_doc.xml_lines([(tag, F.lit(text) if i % 2 else text) for i, (tag, text) in enumerate(texts)], 1, omit)
+    row = spark.range(1).select(as_columns.alias("a"), fixed.alias("b"), mixed.alias("c")).first()
+    empty = "" if omit else "\n    <b/>"
+    last = "" if omit else "\n    <d/>"
+    assert row.a == f"\n    <a>x₁y</a>{empty}\n    <c>1 &amp; 2</c>{last}\n    <e>z</e>"
+    assert row.b == row.c == row.a
