@@ -64,3 +64,18 @@ def test_fixed_lines_equal_those_of_columns(spark, omit):
     last = "" if omit else "\n    <d/>"
     assert row.a == f"\n    <a>x₁y</a>{empty}\n    <c>1 &amp; 2</c>{last}\n    <e>z</e>"
     assert row.b == row.c == row.a
+
+
+def test_an_exact_profile_deals_its_rows_out(spark, monkeypatch, rows):
+    df = spark.sql("SELECT id, IF(id % 7 = 0, NULL, string(id % 5)) AS t, CASE id % 4 WHEN 0 THEN -0.0D WHEN 1 THEN 0.0D END AS f FROM range(0, 1000, 1, 1)")
+    assert "Expand" not in catalog.profile(df)._jdf.queryExecution().executedPlan().toString()
+    whole = rows(catalog.profile(df))
+    monkeypatch.setattr(catalog, "CELLS_PER_TASK", 100)
+    dealt = catalog.profile(df)
+    assert "RepartitionByExpression" in optimized(dealt)
+    assert rows(dealt) == whole
+    found = {r.column_name: (r.null_count, r.distinct_count, r.min_value, r.max_value, r.max_length) for r in dealt.collect()}
+    assert found["id"] == (0, 1000, "0", "999", 3) and found["t"] == (143, 5, "0", "4", 1)
+    assert found["f"][:2] == (500, 1)
+    empty = {r.column_name: (r.null_count, r.distinct_count, r.min_value, r.max_length) for r in catalog.profile(df.limit(0)).collect()}
+    assert empty == dict.fromkeys(("id", "t", "f"), (0, 0, None, None))
