@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -82,27 +82,57 @@ def stream_drop_duplicates(stream: DataFrame, key: str, event_time: str, delay:
 
 
 class FirstOfEach(StatefulProcessor):
-    """The first row of a key, by ``seq``; later rows of it go until its state expires."""
+    """The first row of each id, by ``seq``; later rows of it go until ``remember_ms`` have passed since.
 
-    def __init__(self, key: str, seq: Sequence[str], remember_ms: int):
-        self.key, self.seq, self.remember_ms = key, list(seq), remember_ms
+    Rows come by buckets of ids, whose state is the ids taken by each batch with its time, so that state is asked for
+    and written once a bucket, not once an id. ``name`` is the column with the id as text, null for a row without one.
+    """
+
+    def __init__(self, name: str, seq: Sequence[str], remember_ms: int):
+        self.name, self.seq, self.remember_ms = name, list(seq), remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "taken boolean", self.remember_ms)
+        self.seen = handle.getValueState("seen", "batches array<struct<at: bigint, ids: array<string>>>", self.remember_ms)
+
+    def place(self, row: Row) -> list[tuple]:
+        return [(row[name] is not None, row[name]) if row[name] is not None else (False,) for name in self.seq]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if key[0] is None:
-            yield from rows
-        elif not self.seen.exists():
-            self.seen.update((True,))
-            yield min(rows, key=lambda row: [(row[name] is not None, row[name]) if row[name] is not None else (False,) for name in self.seq])
+        now, held = timerValues.getCurrentProcessingTimeInMs(), self.seen.get()
+        batches = [(at, ids) for at, ids in (held[0] if held else ()) if now < at + self.remember_ms]
+        known = {name for _, ids in batches for name in ids}
+        first: dict[str, tuple[list, Row]] = {}
+        for row in rows:
+            name = row[self.name]
+            if name is None:
+                yield row
+            elif name not in known:
+                place = self.place(row)
+                if name not in first or place < first[name][0]:
+                    first[name] = place, row
+        if first:
+            self.seen.update(([*batches, (now, list(first))],))
+        for _, row in first.values():
+            yield row
 
     def close(self) -> None:
         """Nothing is held but the state."""
 
 
-#: Rows without an id are dealt to as many groups, so that they do not meet in one task.
-_SALTS = 256
+#: Ids and rows without an id are dealt to as many buckets. A bucket's state is rewritten when it takes an id, so they
+#: are many; the number is part of the checkpoint.
+_BUCKETS = 1 << 14
+
+
+def _as_text(df: DataFrame, key: str) -> Column:
+    """A key as text, the same for equal keys only."""
+    kind, value = df.schema[key].dataType, F.col(f"`{key}`")
+    if isinstance(kind, (T.StringType, T.IntegralType)):
+        return value.cast("string")
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        value = value + F.lit(0.0)  # there are two zeros
+    form = {"timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    return F.when(value.isNotNull(), F.to_json(F.struct(value.alias("id")), form))
 
 
 #: Keyed state lies in RocksDB. Batches without rows are off: state that expires by the clock would ask for them without end.
@@ -127,13 +157,15 @@ def stream_synced_state(spark: SparkSession, stream: DataFrame, target: str, che
                         seq: Sequence[str], remember_ms: int) -> None:
     """Append only the first row of each id, and every row without an id; no batch reads the target.
 
-    Seen ids are keyed state, one flag each, kept with the checkpoint and forgotten ``remember_ms`` after they came in:
-    state is bounded by the ids of that span, not by the target. No row is late: an id that comes again after
-    the span is taken once more. The file sink writes each micro-batch once.
+    Seen ids are keyed state, by buckets, kept with the checkpoint and forgotten ``remember_ms`` after they came in:
+    state is bounded by the ids of that span, not by the target, and a batch reads and writes that of the buckets its
+    ids fall into. No row is late: an id that comes again after the span is taken once more. The file sink writes each micro-batch once.
     """
-    salt = "_salt" + "_" * max(map(len, stream.columns))
-    dealt = stream.withColumn(salt, F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*stream.columns), F.lit(_SALTS))).otherwise(F.lit(0)))
+    bucket, name = ("_" * max(map(len, stream.columns)) + end for end in ("_bucket", "_name"))
+    named = stream.withColumn(name, _as_text(stream, key))
+    place = F.when(F.col(name).isNull(), F.xxhash64(*stream.columns)).otherwise(F.xxhash64(name))
+    dealt = named.withColumn(bucket, F.pmod(place, F.lit(_BUCKETS)))
     with _keyed_state(spark):
-        first = dealt.groupBy(key, salt).transformWithState(FirstOfEach(key, seq, remember_ms), dealt.schema, "append", "processingTime")
-        (first.drop(salt).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+        first = dealt.groupBy(bucket).transformWithState(FirstOfEach(name, seq, remember_ms), dealt.schema, "append", "processingTime")
+        (first.drop(bucket, name).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start().awaitTermination())

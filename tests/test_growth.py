@@ -79,3 +79,24 @@ def test_an_exact_profile_deals_its_rows_out(spark, monkeypatch, rows):
     assert found["f"][:2] == (500, 1)
     empty = {r.column_name: (r.null_count, r.distinct_count, r.min_value, r.max_length) for r in catalog.profile(df.limit(0)).collect()}
     assert empty == dict.fromkeys(("id", "t", "f"), (0, 0, None, None))
+
+
+def test_state_is_asked_for_by_bucket(spark, tmp_path):
+    import datetime as dt
+
+    now = dt.datetime(2024, 1, 1)
+    data = [(now, 1.5, "a"), (now, -0.0, "b"), (now, 0.0, "c"), (now, float("nan"), "d"), (now, float("nan"), "e"), (now, None, "f"), (now, None, "f")]
+    spark.createDataFrame(data, "at timestamp, id double, what string").write.parquet(f"{tmp_path}/in")
+    stream = incremental.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    incremental.stream_synced_state(spark, stream, f"{tmp_path}/out", f"{tmp_path}/cp", "id", ["what"], 10 ** 9)
+    assert sorted(r.what for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "d", "f", "f"]
+
+
+def test_many_ids_of_one_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "_BUCKETS", 2)
+    for step, (low, high) in enumerate(((0, 300), (100, 400))):
+        spark.range(low, high).selectExpr("id", f"id + {step} AS at").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = incremental.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+        incremental.stream_synced_state(spark, stream, f"{tmp_path}/out", f"{tmp_path}/cp", "id", ["at"], 10 ** 9)
+    taken = sorted((r.id, r["at"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert taken == [(i, i) for i in range(300)] + [(i, i + 1) for i in range(300, 400)]
