@@ -101,32 +101,47 @@ def nested_extract(df: DataFrame, body: str, path: str, fields: Sequence[tuple[s
 def json_to_kv(df: DataFrame, body: str, keys: Sequence[str]) -> DataFrame:
     """Every leaf as ``(key, value)`` with keys like ``a.b[0].c``; null leaves become blank.
 
-    Text that does not parse, and scalar roots, give no rows; empty containers vanish. Each level is one
-    lateral explode of the containers that the level before left, written to the shared folder with leaves and
-    containers apart, until no container is left: no document is cut, leaves are stored once, a deep document costs
-    the others nothing, and the plan is as long for 100 levels as for one.
+    Text that does not parse, and scalar roots, give no rows; empty containers vanish. A pass opens several levels by
+    lateral explodes, four at first and at most sixteen, and writes what it comes to to the shared folder, leaves and
+    containers apart; the next pass opens the containers left, until there are none. No document is cut, leaves
+    are stored once, a deep document costs the others nothing, a level costs no write of its own, and
+    the plan is as long for 100 levels as for 28.
     """
     spark, root = df.sparkSession, scratch(df.sparkSession, "json")
-    nodes = df.select(*keys, F.lit("").alias("_key"), F.try_parse_json(F.col(body)).alias("_node"))
-    level = nodes.where(_is_container(F.col("_node")))
+    # By its first character, so that a text is parsed once; one that does not parse is dropped after the first pass.
+    texts = df.where(F.col(body).rlike(r"^[ \t\r\n]*[\[{]"))
+    level = texts.select(*keys, F.lit("").alias("_key"), F.try_parse_json(F.col(body)).alias("_node"))
     schema = level.schema.add("_open", T.BooleanType())
     for number in count():
-        inside = spark.tvf.variant_explode(F.col("_node").outer()).toDF("_pos", "_name", "_value")
-        prefix = F.when(F.col("_key") == "", F.lit("")).otherwise(F.concat("_key", F.lit(".")))
-        name = F.coalesce(F.concat(prefix, F.col("_name")), F.concat("_key", F.lit("["), F.col("_pos").cast("string"), F.lit("]")))
-        opened = level.lateralJoin(inside).select(*keys, name.alias("_key"), F.col("_value").alias("_node"),
-                                                  _is_container(F.col("_value")).alias("_open"))
-        opened.write.partitionBy("_open").parquet(f"{root}/_level={number}")
+        opened = level
+        for _ in range(min(_FIRST_LEVELS << number, _MOST_LEVELS)):
+            opened = _one_level(opened, keys)
+        opened.withColumn("_open", _left_open(F.col("_node"))).write.partitionBy("_open").parquet(f"{root}/_level={number}")
         if not path_exists(spark, f"{root}/_level={number}/_open=true"):
             break
-        level = spark.read.schema(schema).parquet(f"{root}/_level={number}").where("_open")
+        level = spark.read.schema(schema).parquet(f"{root}/_level={number}").where("_open").drop("_open")
     leaves = spark.read.schema(schema.add("_level", T.IntegerType())).parquet(root).where("NOT _open")
     value = F.coalesce(F.try_variant_get("_node", "$", "string"), F.lit(""))
     return leaves.select(*keys, F.col("_key").alias("key"), value.alias("value"))
 
 
-def _is_container(node: Column) -> Column:
-    return F.coalesce(F.left(F.to_json(node), F.lit(1)).isin("{", "["), F.lit(False))
+#: Levels that the first pass opens, each later one twice as many as the one before, and the most that any does.
+_FIRST_LEVELS, _MOST_LEVELS = 4, 16
+
+
+def _one_level(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Members in place of containers; leaves and empty containers stay as they are."""
+    inside = nodes.sparkSession.tvf.variant_explode_outer(F.col("_node").outer()).toDF("_pos", "_name", "_value")
+    prefix = F.when(F.col("_key") == "", F.lit("")).otherwise(F.concat("_key", F.lit(".")))
+    name = F.coalesce(F.concat(prefix, F.col("_name")), F.concat("_key", F.lit("["), F.col("_pos").cast("string"), F.lit("]")), F.col("_key"))
+    node = F.when(F.col("_pos").isNull(), F.col("_node")).otherwise(F.col("_value"))
+    return nodes.lateralJoin(inside).select(*keys, name.alias("_key"), node.alias("_node"))
+
+
+def _left_open(node: Column) -> Column:
+    """Whether a node has to be opened still; null for an empty container and for a text that did not parse."""
+    start = F.array(F.left(F.to_json(node), F.lit(2)))  # bound, so that the text is made once
+    return F.get(F.transform(start, lambda s: F.when(~s.isin("{}", "[]"), F.left(s, F.lit(1)).isin("{", "["))), F.lit(0))
 
 
 _COLLECTION = "struct<item:array<struct<response:array<struct<body:string>>>>>"

@@ -100,3 +100,14 @@ def test_many_ids_of_one_bucket(spark, tmp_path, monkeypatch):
         incremental.stream_synced_state(spark, stream, f"{tmp_path}/out", f"{tmp_path}/cp", "id", ["at"], 10 ** 9)
     taken = sorted((r.id, r["at"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert taken == [(i, i) for i in range(300)] + [(i, i + 1) for i in range(300, 400)]
+
+
+def test_levels_share_passes(spark, rows, monkeypatch):
+    roots, scratch = [], json_ops.scratch
+    monkeypatch.setattr(json_ops, "scratch", lambda *given: roots.append(scratch(*given)) or roots[-1])
+    texts = ['{"a": ' * 40 + "[1, {}, [], null, \"{}\"]" + "}" * 40, ' \n[{"b": [[]]}, 2.50]', "{}", "3", "no", None, "[", '{"": {"c": "[]"}}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    deep = ".".join("a" * 40)
+    assert rows(json_ops.json_to_kv(df, "body", ["id"])) == sorted(
+        [(0, f"{deep}[0]", "1"), (0, f"{deep}[3]", ""), (0, f"{deep}[4]", "{}"), (1, "[1]", "2.5"), (7, "c", "[]")], key=repr)
+    assert len(glob.glob(f"{roots[0].removeprefix('file://')}/_level=*")) <= 4
