@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,27 +35,43 @@ def number_place(text: Column) -> Column:
     Null for text that is no number and for numbers of more digits: they have no place, and nothing
     is decided by cutting their digits off.
     """
-    plain = F.regexp_extract(F.btrim(text), r"^([+-]?)([0-9]*)(?:\.([0-9]*))?$", 0) != ""
     part = lambda n: F.regexp_extract(F.btrim(text), r"^([+-]?)([0-9]*)(?:\.([0-9]*))?$", n)
-    sign = F.when(part(1) == "-", F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
-    fraction = F.rtrim(part(3), F.lit("0"))
-    whole = (F.concat(F.lit("0"), F.ltrim(part(2), F.lit("0"))).try_cast("decimal(38,0)") * sign).cast("decimal(38,0)")
+    # Each part is bound once and used several times: spelled out, the expression would take the text apart anew for each use.
+    taken = F.array(F.struct(part(0).alias("all"), part(1).alias("sign"), part(2).alias("whole"),
+                             part(3).alias("fraction"), text.alias("text")))
+    placed = F.transform(F.transform(taken, _numbers), lambda n: F.when(n["whole"].isNotNull() & n["rest"].isNotNull(), n))
+    return F.get(placed, F.lit(0))
+
+
+def _numbers(t: Column) -> Column:
+    """Whole part and fraction of a number whose text was taken apart."""
+    plain, fraction = t["all"] != "", F.rtrim(t["fraction"], F.lit("0"))
+    sign = F.when(t["sign"] == "-", F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
+    whole = (F.concat(F.lit("0"), F.ltrim(t["whole"], F.lit("0"))).try_cast("decimal(38,0)") * sign).cast("decimal(38,0)")
     rest = (F.when(F.length(fraction) <= _FRACTION, F.concat(F.lit("0."), fraction, F.lit("0"))).try_cast(f"decimal(38,{_FRACTION})") * sign)
-    digits = F.length(part(2)) + F.length(part(3)) > 0
+    digits = F.length(t["whole"]) + F.length(t["fraction"]) > 0
     # Numbers with an exponent: whole part towards zero, and what is left.
-    other = text.try_cast(EXACT)
+    other = t["text"].try_cast(EXACT)
     cut = F.when(other < 0, F.ceil(other)).otherwise(F.floor(other)).cast("decimal(38,0)")
     whole = F.when(plain, F.when(digits, whole)).otherwise(cut)
     rest = F.when(plain, rest.cast(f"decimal(38,{_FRACTION})")).otherwise((other - cut).cast(f"decimal(38,{_FRACTION})"))
-    return F.when(whole.isNotNull() & rest.isNotNull(), F.struct(whole.alias("whole"), rest.alias("rest")))
+    return F.struct(whole.alias("whole"), rest.alias("rest"))
+
+
+def _fixed(place: Row) -> Column:
+    """A place found before, as a literal."""
+    return F.struct(F.lit(place["whole"]).cast("decimal(38,0)").alias("whole"), F.lit(place["rest"]).cast(f"decimal(38,{_FRACTION})").alias("rest"))
 
 
 def _newer(df: DataFrame, column: str, last, kind: str | None, ties: bool) -> DataFrame:
     value = guarded(df, column)
     if numeric_text(df, column, kind):
-        place, mark = number_place(value), number_place(F.lit(str(last)))
-        after = place >= mark if ties else place > mark
-        return df.where(after | (value.isNotNull() & place.isNull()) | mark.isNull())
+        found = df.sparkSession.range(1).select(number_place(F.lit(str(last))).alias("mark")).first()["mark"]
+        if found is None:
+            return df
+        place, mark = number_place(value), _fixed(found)
+        # Text that is no number compares to null; the place stands here once, so it is found once for a row.
+        return df.where(F.coalesce(place >= mark if ties else place > mark, value.isNotNull()))
     mark = F.lit(last).cast(df.schema[column].dataType)
     return df.where(value >= mark if ties else value > mark)
 
@@ -92,9 +108,8 @@ def capped(df: DataFrame, column: str, rows: int, kind: str | None = None) -> Da
         return df.where(place.isNull())
     mark = F.lit(cutoff)
     if as_number:
-        mark = F.struct(F.lit(cutoff["whole"]).cast("decimal(38,0)").alias("whole"),
-                        F.lit(cutoff["rest"]).cast(f"decimal(38,{_FRACTION})").alias("rest"))
-    return df.where(place.isNull() | (place <= mark))
+        mark = _fixed(cutoff)
+    return df.where(F.coalesce(place <= mark, F.lit(True)))
 
 
 def not_synced(df: DataFrame, synced: DataFrame, key: str, synced_key: str = "id") -> DataFrame:

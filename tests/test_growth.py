@@ -111,3 +111,11 @@ def test_levels_share_passes(spark, rows, monkeypatch):
     assert rows(json_ops.json_to_kv(df, "body", ["id"])) == sorted(
         [(0, f"{deep}[0]", "1"), (0, f"{deep}[3]", ""), (0, f"{deep}[4]", "{}"), (1, "[1]", "2.5"), (7, "c", "[]")], key=repr)
     assert len(glob.glob(f"{roots[0].removeprefix('file://')}/_level=*")) <= 4
+
+
+def test_a_number_kept_as_text_is_taken_apart_once(spark):
+    df = spark.createDataFrame([(t,) for t in ("9", "10", "+10.0", "1e1", "11", "no", "", None, "9" * 60, " 12 ", "-3")], "at string")
+    newer = sync.newer_by_time(df, "at", "10", "NUMERIC")
+    assert optimized(newer).count("regexp_extract") <= 4
+    assert sorted(r["at"] for r in newer.collect()) == sorted(["10", "+10.0", "1e1", "11", "no", "", "9" * 60, " 12 "])
+    assert sync.newer_by_id(df, "at", "no", "NUMERIC").count() == 11
