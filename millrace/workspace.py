@@ -59,6 +59,13 @@ def folders(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(status.getPath().toString() for status in files.globStatus(place) or ())
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """``path`` as a plain path of a local or mounted file system, None on any other."""
+    files, place = _file_system(spark, path)
+    whole = files.makeQualified(place).toUri()
+    return whole.getPath() if whole.getScheme() == "file" else None
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete what this library wrote at ``path``."""
     files, place = _file_system(spark, path)

@@ -6,11 +6,12 @@ import os
 import sys
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from millrace.operators import sinks
+from millrace.operators import cut_files, sinks
 from millrace.operators.prefix import prefix_sums
 from millrace.sources import ranges, scripts, sketches
 from millrace.workspace import flat_schema
@@ -144,3 +145,59 @@ def test_files_are_cut_by_bytes(spark, tmp_path, fmt, options):
 def test_other_formats_are_not_cut_by_bytes(spark, tmp_path):
     with pytest.raises(ValueError, match="cannot be cut"):
         sinks.write_files(spark.range(3), str(tmp_path), "xml", max_bytes_per_file=100, rowTag="r")
+
+
+@pytest.mark.parametrize("fmt, options", [("json", {}), ("csv", {"header": "true", "sep": ";"}), ("csv", {"lineSep": "\x1e"})])
+def test_many_small_files_hold_what_the_file_writer_writes(spark, tmp_path, fmt, options):
+    data = [(i, text, None if i % 5 else 1.5, dt.datetime(2024, 1, 1 + i % 9, 5)) for i, text in enumerate(
+        [None, "", " a ", "é\"b", "x;y,z", "#c", "\\", "two\nlines", "null"] * 30)] + [(None, None, None, None)]
+    df = spark.createDataFrame(data, "i int, `te;xt` string, x double, t timestamp").repartition(4)
+    cut, whole = tmp_path / "cut", tmp_path / "whole"
+    for _ in range(2):  # the second write replaces the first
+        sinks.write_files(df, str(cut), fmt, max_bytes_per_file=200, order=[F.col("i")], **options)
+    df.coalesce(1).write.format(fmt).options(**options).save(str(whole))
+    end = options.get("lineSep", "\n").encode()
+    (want,) = whole.glob("part-*")
+    head, *lines = want.read_bytes().split(end)[:-1]
+    if fmt == "json" or "header" not in options:
+        head, lines = None, [head, *lines]
+    files = [f for f in cut.rglob(f"*.{fmt}") if f.is_file()]
+    parts = [f.read_bytes().split(end)[:-1] for f in files]
+    assert len(files) > 50 and all(f.stat().st_size <= 200 or len(p) - (head is not None) == 1 for f, p in zip(files, parts))
+    assert head is None or all(p[0] == head for p in parts)
+    assert sorted(line for p in parts for line in p[head is not None:]) == sorted(lines)
+    assert len([f for f in cut.rglob("*") if f.is_dir()]) <= 8, "a folder for a task, not for a file"
+
+
+def test_files_cut_by_bytes_of_no_rows_and_of_rows_that_encode_to_nothing(spark, tmp_path):
+    for name, df in (("none", spark.range(0)), ("blank", spark.sql("SELECT CAST(NULL AS string) AS id FROM range(3)"))):
+        sinks.write_files(df, str(tmp_path / name), "csv", max_bytes_per_file=100)
+        assert spark.read.schema("id string").csv(str(tmp_path / name)).count() == 0
+    some = spark.sql("SELECT IF(id = 1, NULL, 'x' || id) AS id FROM range(3)")
+    sinks.write_files(some, str(tmp_path / "some"), "csv", max_bytes_per_file=100)
+    assert sorted(r.id for r in spark.read.schema("id string").csv(str(tmp_path / "some")).collect()) == ["x0", "x2"]
+
+
+def test_compressed_files_and_values_that_csv_refuses_are_left_to_the_file_writer(spark, tmp_path):
+    sinks.write_files(spark.range(100), str(tmp_path / "z"), "json", max_bytes_per_file=100, compression="gzip")
+    assert spark.read.json(str(tmp_path / "z")).count() == 100 and [*(tmp_path / "z").rglob("*.json.gz")]
+    with pytest.raises(Exception, match="CSV"):
+        sinks.write_files(spark.range(3).select(F.array("id").alias("ids")), str(tmp_path / "a"), "csv", max_bytes_per_file=100)
+
+
+def test_files_of_tasks_that_do_not_count_are_not_read(tmp_path):
+    def task(writer, *rows):
+        names, lines = zip(*rows)
+        return writer.write(iter([pa.record_batch([pa.array(names), pa.array(lines, pa.binary())], ["_file", "_line"])]))
+
+    options = {"root": str(tmp_path / "a"), "suffix": ".csv", "end": "\n", "head": "h"}
+    writer = cut_files.CutFilesWriter(options)
+    lost = task(writer, ("f0", b"1"), ("f0", b"2"))
+    kept = task(writer, ("f0", b"1"), ("f0", b"2"), ("f1", b"3"))
+    assert lost != kept and writer.write(iter([])).path is None
+    writer.commit([kept, writer.write(iter([])), None])
+    found = {f.name: f.read_bytes() for f in (tmp_path / "a").rglob("*.csv")}
+    assert found == {"f0.csv": b"h\n1\n2\n", "f1.csv": b"h\n3\n"} and len([*(tmp_path / "a").rglob("*.csv")]) == 2
+    failed = cut_files.CutFilesWriter(options | {"root": str(tmp_path / "b")})
+    failed.abort([task(failed, ("f0", b"1"))])
+    assert not [*(tmp_path / "b").rglob("*")]
