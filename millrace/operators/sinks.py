@@ -76,7 +76,7 @@ def write_files(df: DataFrame, path: str, fmt: str, max_rows_per_file: int | Non
                 order: Sequence[Column] = (), **options: str) -> None:
     """CSV, JSON or XML files, cut by row count, or (CSV and JSON) by bytes.
 
-    Files cut by bytes may be many and small, and Hadoop's client starts two processes (``chmod``) for each file that it
+    Files cut by bytes may be many and small, and Hadoop's client starts processes (``chmod``) for each file that it
     makes on a local or mounted file system: there the tasks write the encoded rows themselves.
     """
     if max_bytes_per_file:
